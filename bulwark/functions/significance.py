@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The exact distribution is used up to this sample size when there are no ties.
 EXACT_MAX = 8
@@ -47,6 +48,6 @@ def p_value(u: float, n1: float, n2: float, ties: float) -> float:
     return exact_p(u, int(n1), int(n2)) if exact else normal_p(u, n1, n2, ties)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mann_whitney_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([p_value(*row) if min(row[1], row[2]) > 0 else 1.0 for row in zip(u, n1, n2, ties)])

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +46,7 @@ def topic_similarity(vector: Column, topics: Sequence[Sequence[float]]) -> Colum
         return F.lit(1.0)
     wanted = _unit(np.asarray(topics, dtype=np.float64)).T
 
-    @F.arrow_udf("double")
+    @F.arrow_udf(T.DoubleType())
     def best(column: pa.Array) -> pa.Array:
         rows, valid = _matrix(column)
         sims = (_unit(rows) @ wanted).max(axis=1) if len(rows) else np.zeros(0)
@@ -54,7 +55,7 @@ def topic_similarity(vector: Column, topics: Sequence[Sequence[float]]) -> Colum
     return best(vector)
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _cosine(a: pa.Array, b: pa.Array) -> pa.Array:
     both = pa.compute.and_(a.is_valid(), b.is_valid())
     left, _ = _matrix(a.filter(both))
