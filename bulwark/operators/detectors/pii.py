@@ -101,7 +101,7 @@ def _medical_ok(code: Column) -> Column:
 
 def _verified(matches: Column, pattern: Pattern) -> Column:
     if pattern.check == "luhn":
-        return F.filter(matches, lambda m: F.luhn_check(F.regexp_replace(m, "[ -]", "")))
+        return F.filter(matches, lambda m: F.call_function("luhn_check", F.regexp_replace(m, "[ -]", "")))
     if pattern.check == "iban":
         return F.filter(matches, _iban_ok)
     if pattern.check == "medical":
@@ -120,15 +120,15 @@ def _matches(text: Column, pattern: Pattern) -> Column:
 
 def entities(text: Column, threshold: float = 0.5, types: Sequence[str] | None = None) -> Column:
     """``array<struct<type, score, match>>`` of the entities at or above the threshold."""
-    found = [
-        F.transform(
+    def typed(p: Pattern) -> Column:
+        return F.transform(
             _matches(text, p),
-            lambda m, p=p: F.struct(
+            lambda m: F.struct(
                 F.lit(p.type).alias("type"), F.lit(p.confidence).alias("score"), m.alias("match")
             ),
         )
-        for p in active_patterns(threshold, types)
-    ]
+
+    found = [typed(p) for p in active_patterns(threshold, types)]
     if not found:
         return F.array().cast("array<struct<type:string,score:double,match:string>>")
     return F.concat(*found)

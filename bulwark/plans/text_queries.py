@@ -1 +1,579 @@
-"""Queries."""
+"""Queries over conversations, documents and embeddings: messages, detectors, cache, datasets."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from bulwark.operators import cache, messages, offline, scoring
+from bulwark.operators.detectors import exfiltration, models, pii, vectors
+from bulwark.plans import fixtures as fx
+from bulwark.plans import standins
+from bulwark.plans.oracle_sql import PATTERNS, matches_sql, redacted_sql
+from bulwark.plans.registry import query, rounded, stamp_sql, stamped
+from bulwark.session import scratch
+from bulwark.sources import golden, responses
+
+ACTIVE = [p for p in PATTERNS if p.confidence >= 0.5]
+
+# Messages.
+
+
+@query(
+    "last_user_input",
+    """
+SELECT conv_id, coalesce(arg_max(text, turn) FILTER (WHERE role = 'user'), arg_max(text, turn), '') AS input_text
+FROM conversations GROUP BY conv_id""",
+)
+def last_user_input(spark, sf):
+    return messages.input_text(fx.conversations(spark, sf))
+
+
+@query(
+    "message_hash",
+    """
+SELECT conv_id, sha256(sha256(sha256(string_agg(digest, chr(30) ORDER BY turn)))) AS input_hash
+FROM (SELECT conv_id, turn, sha256(concat(role, chr(31), text)) AS digest FROM conversations) d GROUP BY conv_id""",
+)
+def message_hash(spark, sf):
+    return messages.input_hash(fx.conversations(spark, sf))
+
+
+_INSTRUCTION = messages.BOUNDARY_INSTRUCTION.replace("'", "''")
+
+
+@query(
+    "untrusted_wrap",
+    f"""WITH heads AS (
+  SELECT conv_id, min(turn) FILTER (WHERE role = 'system') AS system_turn, min(turn) AS first_turn
+  FROM conversations GROUP BY conv_id)
+SELECT c.conv_id, c.turn, c.role, CASE
+  WHEN c.role = 'user' THEN concat('<untrusted_user_input>', chr(10), c.text, chr(10), '</untrusted_user_input>')
+  WHEN c.turn = h.system_turn THEN concat(c.text, chr(10), chr(10), '{_INSTRUCTION}') ELSE c.text END AS text
+FROM conversations c JOIN heads h USING (conv_id)
+UNION ALL SELECT conv_id, first_turn - 1, 'system', '{_INSTRUCTION}' FROM heads WHERE system_turn IS NULL""",
+)
+def untrusted_wrap(spark, sf):
+    return messages.wrap_untrusted(fx.conversations(spark, sf))
+
+
+@query(
+    "payload_pairs",
+    "SELECT conv_id, turn, input_text, output_text FROM pairs",
+    ("pairs",),
+)
+def payload_pairs(spark, sf):
+    return messages.pair_payloads(fx.conversations(spark, sf))
+
+
+@query(
+    "redacted_substitution",
+    f"""WITH last AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY conv_id)
+SELECT c.conv_id, c.turn, c.role,
+  CASE WHEN l.turn IS NOT NULL THEN {redacted_sql("c.text")} ELSE c.text END AS text
+FROM conversations c LEFT JOIN last l ON l.conv_id = c.conv_id AND l.turn = c.turn""",
+)
+def redacted_substitution(spark, sf):
+    log = fx.conversations(spark, sf)
+    cleaned = messages.input_text(log).select("conv_id", pii.redacted(F.col("input_text")).alias("redacted_text"))
+    return messages.substitute_redacted(log, cleaned)
+
+
+@query("chunk_reassembly", "SELECT doc_id AS request_id, nullif(text, '') AS output_text FROM documents")
+def chunk_reassembly(spark, sf):
+    """Every document streamed word by word, with empty pieces in between, and put together again."""
+    words = F.split("text", "(?<= )")
+    pieces = fx.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("request_id"), F.posexplode(words).alias("at", "content")
+    )
+    deltas = pieces.select(
+        "request_id",
+        F.explode(
+            F.array(
+                F.struct((F.col("at") * 2).alias("seq"), F.col("content").alias("content")),
+                F.struct((F.col("at") * 2 + 1).alias("seq"), F.lit(None).cast("string").alias("content")),
+            )
+        ).alias("d"),
+    ).select("request_id", "d.*")
+    return messages.reassemble_chunks(deltas)
+
+
+@query(
+    "text_retention",
+    f"""
+SELECT conv_id, turn, CAST(NULL AS VARCHAR) AS input_text, {redacted_sql("input_text")} AS input_redacted FROM pairs""",
+    ("pairs",),
+)
+def text_retention(spark, sf):
+    payloads = messages.pair_payloads(fx.conversations(spark, sf)).drop("output_text")
+    cleaned = payloads.withColumn("redacted_text", pii.redacted(F.col("input_text")))
+    return messages.retain_text(cleaned, store_input_text=False).drop("redacted_text")
+
+
+# Detectors.
+
+def _entities_sql() -> str:
+    out = "[]"
+    for p in ACTIVE:
+        out = f"list_concat({out}, list_transform({matches_sql('text', p)}, lambda x: concat('{p.type}:', x)))"
+    return out
+
+
+@query(
+    "pii_scan",
+    f"""WITH f AS (SELECT doc_id, {_entities_sql()} AS found FROM documents), s AS (
+  SELECT doc_id, found, coalesce(list_max(list_transform(found, lambda x: CASE split_part(x, ':', 1) """
+    + " ".join(f"WHEN '{p.type}' THEN CAST({p.confidence} AS DOUBLE)" for p in ACTIVE)
+    + """ END)), 0) AS score FROM f)
+SELECT doc_id, score, len(found) AS n_entities, array_to_string(list_sort(found), '|') AS entities FROM s""",
+)
+def pii_scan(spark, sf):
+    scanned = pii.scan(fx.table(spark, sf, "documents").select("doc_id", "text"))
+    shown = F.array_sort(F.transform("entities", lambda e: F.concat(e["type"], F.lit(":"), e["match"])))
+    return scanned.select(
+        "doc_id",
+        "score",
+        F.size("entities").cast("long").alias("n_entities"),
+        F.array_join(shown, "|").alias("entities"),
+    )
+
+
+@query("pii_redact", f"SELECT doc_id, {redacted_sql('text')} AS redacted_text FROM documents")
+def pii_redact(spark, sf):
+    docs = fx.table(spark, sf, "documents")
+    return docs.select("doc_id", pii.redacted(F.col("text")).alias("redacted_text"))
+
+
+@query(
+    "pii_report",
+    "WITH c AS ("
+    + " UNION ALL ".join(
+        f"SELECT source, lang, '{p.type}' AS entity_type, len({matches_sql('text', p)}) AS n FROM documents"
+        for p in ACTIVE
+    )
+    + """)
+SELECT source, lang, entity_type, count(*) AS documents, CAST(sum(n) AS BIGINT) AS matches
+FROM c WHERE n > 0 GROUP BY ALL""",
+)
+def pii_report(spark, sf):
+    return pii.report(fx.table(spark, sf, "documents"), ["source", "lang"])
+
+
+ALLOWED = ("cdn.example.com",)
+_IMAGE = exfiltration.IMAGE.replace("'", "''")
+_HOST = "lower(regexp_extract({u}, '^(?i:https?)://(?:[^/?#]*@)?([^:/?#]*)', 1))"
+_BAD = "regexp_matches({u}, '^(?i:https?):') AND " + _HOST + " NOT IN ('cdn.example.com')"
+
+
+@query(
+    "exfiltration_detect",
+    f"""WITH u AS (SELECT doc_id, regexp_extract_all(output_text, '{_IMAGE}', 2) AS urls FROM outputs_with_images)
+SELECT doc_id, CASE WHEN len(urls) > 0 AND len(list_filter(urls, lambda x: {_BAD.format(u="x")})) > 0 THEN CAST(1 AS DOUBLE)
+    ELSE CAST(0 AS DOUBLE) END AS score,
+  array_to_string(list_transform(list_filter(urls, lambda x: {_BAD.format(u="x")}), lambda x: {_HOST.format(u="x")}), ',') AS hosts
+FROM u""".replace("WITH u", ", u", 1),
+    ("outputs_with_images",),
+)
+def exfiltration_detect(spark, sf):
+    found = exfiltration.detect(fx.outputs_with_images(spark, sf), allowed=ALLOWED)
+    hosts = F.array_join(F.transform("matches", lambda m: m["host"]), ",").alias("hosts")
+    return found.select("doc_id", "score", hosts)
+
+
+@query(
+    "exfiltration_strip",
+    f"""
+SELECT doc_id, regexp_replace(output_text, '{_IMAGE.replace("([^)", "((?i:https?):[^)", 1)}',
+  '{exfiltration.MARKER}', 'g') AS stripped_text FROM outputs_with_images""",
+    ("outputs_with_images",),
+)
+def exfiltration_strip(spark, sf):
+    return exfiltration.strip(fx.outputs_with_images(spark, sf)).select("doc_id", "stripped_text")
+
+
+@query(
+    "exfiltration_strip_allowed",
+    f"""
+SELECT doc_id, array_to_string(list_transform(list_zip(regexp_split_to_array(output_text, '{_IMAGE}'),
+    regexp_extract_all(output_text, '{_IMAGE}'), regexp_extract_all(output_text, '{_IMAGE}', 2)),
+  lambda z: concat(z[1], CASE WHEN z[2] IS NULL THEN '' WHEN {_BAD.format(u="z[3]")} THEN '{exfiltration.MARKER}'
+    ELSE z[2] END)), '') AS stripped_text FROM outputs_with_images""",
+    ("outputs_with_images",),
+)
+def exfiltration_strip_allowed(spark, sf):
+    stripped = exfiltration.strip(fx.outputs_with_images(spark, sf), allowed=ALLOWED)
+    return stripped.select("doc_id", "stripped_text")
+
+
+@query(
+    "topic_guardrail",
+    """WITH topics AS (SELECT embedding AS t FROM embeddings WHERE vec_id < 5)
+SELECT e.vec_id, round(greatest(max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(t.t AS DOUBLE[]))), 0), 6) AS score
+FROM embeddings e CROSS JOIN topics t GROUP BY e.vec_id""",
+)
+def topic_guardrail(spark, sf):
+    """Five vectors serve as the configured topics; every vector of the table is scored."""
+    vecs = fx.table(spark, sf, "embeddings")
+    topics = [r.embedding for r in vecs.where(F.col("vec_id") < 5).select("embedding").collect()]
+    scored = vectors.topic_guardrail(vecs, "embedding", topics)
+    return rounded(scored.select("vec_id", "score"), 6)
+
+
+@query(
+    "relevance",
+    """
+SELECT a.vec_id, round(greatest(0, least(1, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS score
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0""",
+)
+def relevance(spark, sf):
+    vecs = fx.table(spark, sf, "embeddings")
+    inputs = vecs.where(F.col("vec_id") % 2 == 0).select("vec_id", F.col("embedding").alias("input_vec"))
+    outputs = vecs.where(F.col("vec_id") % 2 == 1).select(
+        (F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("output_vec")
+    )
+    scored = inputs.join(outputs, "vec_id").withColumn(
+        "score", vectors.relevance(F.col("input_vec"), F.col("output_vec"))
+    )
+    return rounded(scored.select("vec_id", "score"), 6)
+
+
+@query(
+    "batch_scores",
+    """
+SELECT doc_id, CASE WHEN length(text) % 50 <> 0 THEN CAST(length(text) % 101 AS DOUBLE) / 100 END AS score,
+  CASE WHEN length(text) % 50 = 0 THEN 'unreadable text' END AS error FROM documents""",
+)
+def batch_scores(spark, sf):
+    scored = scoring.score(fx.table(spark, sf, "documents").select("doc_id", "text"), standins.FRAGILE)
+    return scored.select("doc_id", "score", "error")
+
+
+@query(
+    "injection_scores",
+    f"SELECT conv_id, turn, {standins.INJECTION_SQL} AS score FROM pairs",
+    ("pairs",),
+)
+def injection_scores(spark, sf):
+    payloads = messages.pair_payloads(fx.conversations(spark, sf))
+    scored = scoring.score(payloads, standins.INJECTION_LABELS)
+    return scored.select("conv_id", "turn", models.injection_probability(F.col("score")).alias("score"))
+
+
+@query(
+    "toxicity_scores",
+    """
+SELECT doc_id, greatest(CAST(length(text) % 83 AS DOUBLE) / 100, CAST(length(text) % 59 AS DOUBLE) / 100) AS any_score,
+  least(CAST(length(text) % 83 AS DOUBLE) / 100, CAST(length(text) % 59 AS DOUBLE) / 100) AS all_score,
+  CAST(0 AS DOUBLE) AS none_score FROM documents""",
+)
+def toxicity_scores(spark, sf):
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    scored = scoring.score(docs, standins.TOXICITY_DIMENSIONS)
+    dims = F.col("score")
+    return scored.select(
+        "doc_id",
+        models.toxicity(dims).alias("any_score"),
+        models.toxicity(dims, flag_on="all").alias("all_score"),
+        models.toxicity(dims, wanted=("insult",)).alias("none_score"),
+    )
+
+
+@query(
+    "grounding",
+    """
+SELECT request_id, round(max(1 - consistency), 9) AS hallucination, round(max(consistency), 9) AS faithfulness,
+  count(*) AS num_docs FROM doc_consistency GROUP BY request_id""",
+    ("doc_consistency",),
+)
+def grounding(spark, sf):
+    return rounded(models.grounding(fx.doc_consistency(spark, sf), ["request_id"]))
+
+
+@query(
+    "per_document_consistency",
+    """
+SELECT request_id, string_agg(CAST(CAST(round(consistency * 100, 0) AS INT) AS VARCHAR), ',' ORDER BY pos) AS percent
+FROM doc_consistency GROUP BY request_id""",
+    ("doc_consistency",),
+)
+def per_document_consistency(spark, sf):
+    listed = models.per_document(fx.doc_consistency(spark, sf), ["request_id"])
+    percent = F.transform("per_document", lambda c: F.round(c * 100, 0).cast("int").cast("string"))
+    return listed.select("request_id", F.array_join(percent, ",").alias("percent"))
+
+
+# Offline evaluation of whole conversations: all evaluators, stand-ins for the models.
+
+_CONTEXT = """, sys AS (SELECT conv_id, text AS document FROM conversations WHERE role = 'system'), p AS (
+  SELECT pairs.*, s.document FROM pairs LEFT JOIN sys s USING (conv_id))"""
+_SCORED = f"""{_CONTEXT}, f AS (SELECT *, {_entities_sql().replace("text", "input_text")} AS found FROM p), sc AS (
+  SELECT conv_id, turn, input_text, output_text, coalesce(list_max(list_transform(found, lambda x: CASE split_part(x, ':', 1) """ + " ".join(
+    f"WHEN '{p.type}' THEN CAST({p.confidence} AS DOUBLE)" for p in ACTIVE
+) + f""" END)), 0) AS score_pii, {standins.INJECTION_SQL} AS score_prompt_injection,
+    CASE WHEN length(output_text) > 0 THEN {standins.TOXICITY_SQL} END AS score_toxicity,
+    CASE WHEN length(output_text) > 0 THEN CAST(0 AS DOUBLE) END AS score_exfiltration,
+    CASE WHEN length(output_text) > 0 THEN {standins.RELEVANCE_SQL} END AS score_relevance,
+    CASE WHEN length(output_text) > 0 AND document IS NOT NULL
+         THEN 1 - CAST((length(document) * 5 + length(output_text)) % 101 AS DOUBLE) / 100 END AS score_hallucination,
+    CASE WHEN length(output_text) > 0 AND document IS NOT NULL
+         THEN CAST((length(document) * 5 + length(output_text)) % 101 AS DOUBLE) / 100 END AS score_faithfulness
+  FROM f)"""
+
+
+@query(
+    "offline_evaluation",
+    f"""{_SCORED}, fl AS (SELECT *, score_pii >= 0.5 AS f0, score_prompt_injection >= 0.8 AS f1,
+  coalesce(score_toxicity >= 0.7, false) AS f3, coalesce(score_relevance <= 0.3, false) AS f5,
+  coalesce(score_hallucination >= 0.5, false) AS f6, coalesce(score_faithfulness <= 0.5, false) AS f7 FROM sc)
+SELECT conv_id, turn, score_pii, score_prompt_injection, score_toxicity, score_exfiltration, score_relevance,
+  round(score_hallucination, 9) AS score_hallucination, round(score_faithfulness, 9) AS score_faithfulness,
+  f1 AS blocked, NOT (f0 OR f1 OR f3 OR f5 OR f6 OR f7) AS passed FROM fl""",
+    ("pairs",),
+)
+def offline_evaluation(spark, sf):
+    log = fx.conversations(spark, sf)
+    context = log.where(F.col("role") == "system").select("conv_id", F.array("text").alias("context_documents"))
+    payloads = messages.pair_payloads(log).join(context, "conv_id", "left")
+    records = payloads.withColumn("request_id", F.struct("conv_id", "turn"))
+    evaluators = {
+        "prompt_injection": standins.INJECTION,
+        "toxicity": standins.TOXICITY,
+        "relevance": standins.RELEVANCE,
+    }
+    results = offline.evaluate(records, evaluators, consistency=standins.CONSISTENCY)
+    scores = [F.col("scores")[n].alias(f"score_{n}") for n in (
+        "pii", "prompt_injection", "toxicity", "exfiltration", "relevance", "hallucination", "faithfulness",
+    )]
+    return rounded(
+        results.select("request_id.conv_id", "request_id.turn", *scores, "blocked", "passed")
+    )
+
+
+# Score cache.
+
+_CACHE_TEXTS = """, t AS (
+  SELECT conv_id, turn, conv_id % 4 AS tenant_id, input_text,
+    concat('guard:', CAST(conv_id % 4 AS VARCHAR), ':scores:', sha256(concat(input_text, '|v1'))) AS cache_key FROM pairs)"""
+
+
+@query("cache_keys", f"{_CACHE_TEXTS} SELECT conv_id, turn, cache_key FROM t", ("pairs",))
+def cache_keys(spark, sf):
+    return _cache_texts(spark, sf).select("conv_id", "turn", "cache_key")
+
+
+def _cache_texts(spark, sf):
+    payloads = messages.pair_payloads(fx.conversations(spark, sf)).withColumn("tenant_id", F.col("conv_id") % 4)
+    return cache.with_cache_key(payloads, "v1").drop("output_text")
+
+
+def _base():
+    return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def _hours(n):
+    return _base() + F.make_dt_interval(F.lit(0), n)
+
+
+_CACHE = """, stored AS (
+  SELECT DISTINCT tenant_id, cache_key, 'pii' AS evaluator, CAST(conv_id % 10 AS DOUBLE) / 10 AS score, 'm' AS metadata,
+    TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id % 5) AS written_at,
+    TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id % 5 + 1) AS expires_at
+  FROM t WHERE conv_id % 3 <> 0 AND turn < 2
+  UNION ALL
+  SELECT DISTINCT tenant_id, cache_key, 'prompt_injection', CAST(conv_id % 7 AS DOUBLE) / 10, 'm',
+    TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id % 5), TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id % 5 + 1)
+  FROM t WHERE conv_id % 3 = 1 AND turn < 2)"""
+
+
+def _stored(spark, sf):
+    """A cache filled from the first messages of two thirds of the conversations."""
+    conv = F.col("conv_id")
+    hour = (conv % 5).cast("int")
+    entries = F.array_compact(
+        F.array(
+            F.struct(F.lit("pii").alias("evaluator"), ((conv % 10).cast("double") / 10).alias("score")),
+            F.when(
+                conv % 3 == 1,
+                F.struct(
+                    F.lit("prompt_injection").alias("evaluator"), ((conv % 7).cast("double") / 10).alias("score")
+                ),
+            ),
+        )
+    )
+    return (
+        _cache_texts(spark, sf)
+        .where((conv % 3 != 0) & (F.col("turn") < 2))
+        .select(
+            "tenant_id",
+            "cache_key",
+            F.inline(entries),
+            F.lit("m").alias("metadata"),
+            _hours(hour).alias("written_at"),
+            _hours(hour + 1).alias("expires_at"),
+        )
+        .distinct()
+    )
+
+
+_WANTED = """, w AS (SELECT t.conv_id, t.turn, t.cache_key, e.evaluator FROM t CROSS JOIN
+  (VALUES ('pii'), ('prompt_injection'), ('topic_guardrail')) AS e(evaluator)),
+  alive AS (SELECT * FROM stored WHERE expires_at > TIMESTAMP '2024-01-01 03:00:00')"""
+CACHE_AS_OF = "2024-01-01 03:00:00"
+
+
+@query(
+    "cache_hits",
+    f"""{_CACHE_TEXTS}{_CACHE}{_WANTED}
+SELECT w.conv_id, w.turn, w.evaluator, a.score, 0 AS latency_ms FROM w JOIN alive a USING (cache_key, evaluator)""",
+    ("pairs",),
+)
+def cache_hits(spark, sf):
+    hits = cache.cache_hits(cache.wanted(_cache_texts(spark, sf)), _stored(spark, sf), CACHE_AS_OF)
+    return hits.select("conv_id", "turn", "evaluator", "score", "latency_ms")
+
+
+@query(
+    "cache_misses",
+    f"""{_CACHE_TEXTS}{_CACHE}{_WANTED}
+SELECT w.conv_id, w.turn, w.evaluator FROM w
+WHERE NOT EXISTS (SELECT 1 FROM alive a WHERE a.cache_key = w.cache_key AND a.evaluator = w.evaluator)""",
+    ("pairs",),
+)
+def cache_misses(spark, sf):
+    misses = cache.cache_misses(cache.wanted(_cache_texts(spark, sf)), _stored(spark, sf), CACHE_AS_OF)
+    return misses.select("conv_id", "turn", "evaluator")
+
+
+@query(
+    "cache_write_back",
+    f"""{_CACHE_TEXTS}{_CACHE}, fresh AS (
+  SELECT tenant_id, cache_key, 'pii' AS evaluator, CAST(length(input_text) % 100 AS DOUBLE) / 100 AS score, 'new' AS metadata,
+    max(TIMESTAMP '2024-01-01 03:30:00') AS written_at
+  FROM t WHERE turn < 4 AND length(input_text) % 6 <> 0 AND length(input_text) % 5 <> 0 GROUP BY ALL
+), k AS (SELECT cache_key, min(written_at) AS first_write, max(written_at) AS last_write FROM fresh GROUP BY 1), m AS (
+  SELECT tenant_id, cache_key, evaluator, score, metadata, written_at, expires_at FROM stored
+  UNION ALL SELECT *, NULL FROM fresh
+), kept AS (
+  SELECT m.*, k.last_write, row_number() OVER (PARTITION BY m.cache_key, m.evaluator ORDER BY m.written_at DESC) AS rn
+  FROM m LEFT JOIN k USING (cache_key) WHERE NOT coalesce(m.expires_at <= k.first_write, false))
+SELECT tenant_id, cache_key, evaluator, score, metadata, {stamp_sql("written_at")} AS written_at,
+  {stamp_sql("coalesce(last_write + INTERVAL '1' HOUR, expires_at)")} AS expires_at FROM kept WHERE rn = 1""",
+    ("pairs",),
+)
+def cache_write_back(spark, sf):
+    n = F.length("input_text")
+    fresh = (
+        _cache_texts(spark, sf)
+        .where(F.col("turn") < 4)
+        .select(
+            "tenant_id",
+            "cache_key",
+            F.lit("pii").alias("evaluator"),
+            F.when(n % 6 != 0, (n % 100).cast("double") / 100).alias("score"),
+            F.lit("new").alias("metadata"),
+            F.lit("2024-01-01 03:30:00").cast("timestamp_ntz").alias("written_at"),
+            F.when(n % 5 == 0, "boom").alias("error"),
+        )
+    )
+    return stamped(cache.write_back(_stored(spark, sf), fresh))
+
+
+# Datasets and logged responses.
+
+
+def _write_golden(spark, sf):
+    """Conversations as a golden file: user messages are records, system messages comments,
+    assistant messages blank lines; every third record has no output."""
+    role, record = F.col("role"), F.struct(
+        F.col("text").alias("input"),
+        F.when(F.col("turn") > 0, F.concat(F.lit("model-"), F.col("turn").cast("string"))).alias("model"),
+        F.when(F.col("conv_id") % 3 != 0, F.lower("text")).alias("output"),
+        F.when(F.col("turn") > 1, F.array(F.col("role"))).alias("tags"),
+        (F.col("conv_id") % 2 == 0).alias("expected_blocked"),
+    )
+    comment = F.concat(F.lit("# "), F.regexp_replace("text", "[\\r\\n]", " "))
+    line = F.when(role == "user", F.concat(F.lit("  "), F.to_json(record))).when(role == "system", comment)
+    lines = fx.conversations(spark, sf).orderBy("conv_id", "turn").select(F.coalesce(line, F.lit("")).alias("value"))
+    path = scratch(spark, "golden")
+    lines.write.text(path)
+    return path
+
+
+@query(
+    "golden_records",
+    """
+SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS record_index, text AS input,
+  CASE WHEN turn > 0 THEN concat('model-', turn) ELSE 'llama3.2' END AS model, 0 AS n_context,
+  conv_id % 2 = 0 AS expected_blocked FROM conversations WHERE role = 'user'""",
+)
+def golden_records(spark, sf):
+    records = golden.read_golden(spark, _write_golden(spark, sf))
+    return records.select(
+        "record_index", "input", "model", F.size("context_documents").alias("n_context"), "expected_blocked"
+    )
+
+
+@query(
+    "offline_records",
+    """
+SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS record_index, text AS input, lower(text) AS output,
+  CASE WHEN turn > 1 THEN 'user' ELSE '' END AS tags FROM conversations WHERE role = 'user' AND conv_id % 3 <> 0""",
+)
+def offline_records(spark, sf):
+    records, _ = golden.read_offline(spark, _write_golden(spark, sf))
+    return records.select("record_index", "input", "output", F.array_join("tags", ",").alias("tags"))
+
+
+@query(
+    "offline_rejects",
+    "SELECT count(*) AS n_rejected FROM conversations WHERE role = 'user' AND conv_id % 3 = 0",
+)
+def offline_rejects(spark, sf):
+    _, rejected = golden.read_offline(spark, _write_golden(spark, sf))
+    return rejected.agg(F.count("*").alias("n_rejected"))
+
+
+@query(
+    "live_results",
+    """
+SELECT id AS record_index, CASE WHEN id % 43 = 0 THEN NULL WHEN blocked THEN
+    CASE WHEN block_reason = 'pii_detected' THEN score_pii END ELSE score_pii END AS score_pii,
+  CASE WHEN id % 43 <> 0 AND (NOT blocked OR block_reason = 'prompt_injection_detected') THEN score_prompt_injection END AS score_prompt_injection,
+  CASE WHEN id % 43 = 0 THEN '' WHEN blocked THEN replace(block_reason, '_detected', '') WHEN flag_toxicity THEN 'toxicity' ELSE '' END AS flags,
+  id % 43 <> 0 AND blocked AS blocked, CASE WHEN id % 43 <> 0 AND blocked THEN block_reason END AS block_reason,
+  CASE WHEN id % 43 <> 0 AND NOT blocked THEN concat('answer ', id) END AS actual_output,
+  CASE WHEN id % 43 = 0 THEN 'HTTP 502: bad gateway' END AS error,
+  id % 43 = 0 OR NOT (blocked OR flag_toxicity) AS passed FROM requests""",
+    ("requests",),
+)
+def live_results(spark, sf):
+    r = fx.requests(spark, sf)
+    flags = F.when(F.col("flag_toxicity"), F.array(F.lit("toxicity"))).otherwise(F.array().cast("array<string>"))
+    scores = F.create_map(F.lit("pii"), F.col("score_pii"), F.lit("prompt_injection"), F.col("score_prompt_injection"))
+    ok = F.to_json(
+        F.struct(
+            F.array(
+                F.struct(F.struct(F.concat(F.lit("answer "), F.col("id").cast("string")).alias("content")).alias("message"))
+            ).alias("choices"),
+            F.struct(scores.alias("scores"), flags.alias("flags")).alias("guard"),
+        )
+    )
+    score = F.when(F.col("block_reason") == "pii_detected", F.col("score_pii")).otherwise(F.col("score_prompt_injection"))
+    refused = F.to_json(F.struct(F.struct(F.col("block_reason").alias("code"), score.alias("score")).alias("error")))
+    down = F.col("id") % 43 == 0
+    log = r.select(
+        F.col("id").alias("record_index"),
+        F.when(down, 502).when(F.col("blocked"), 400).otherwise(200).alias("status"),
+        F.when(down, "bad gateway").when(F.col("blocked"), refused).otherwise(ok).alias("body"),
+    )
+    results = responses.normalise_responses(log)
+    return results.select(
+        "record_index",
+        F.col("scores")["pii"].alias("score_pii"),
+        F.col("scores")["prompt_injection"].alias("score_prompt_injection"),
+        F.array_join("flags", ",").alias("flags"),
+        "blocked",
+        "block_reason",
+        "actual_output",
+        "error",
+        "passed",
+    )
