@@ -31,8 +31,12 @@ def _k() -> Column:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests_of(table(spark, sf_dir, "events"))
+
+
+def requests_of(events: DataFrame) -> DataFrame:
     k, i = _k(), F.col("event_id")
-    scored = table(spark, sf_dir, "events").select(
+    scored = events.select(
         i.alias("id"),
         F.col("ts").alias("created_at"),
         (F.col("user_id") % 4).alias("tenant_id"),
@@ -164,8 +168,12 @@ def api_keys(spark: SparkSession) -> DataFrame:
 
 
 def http_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return http_projection(table(spark, sf_dir, "events"))
+
+
+def http_projection(events: DataFrame) -> DataFrame:
     i = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         F.concat(F.lit("h"), (F.col("user_id") % 6).cast("string")).alias("api_key"),
         (F.col("user_id") % 4).alias("identity"),

@@ -29,24 +29,28 @@ def to_parquet(df: DataFrame, path: str, checkpoint: str, partition_by: tuple[st
     return (writer.partitionBy(*partition_by) if partition_by else writer).start()
 
 
-def health(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+def health(events: DataFrame, watermark: str = WATERMARK, **window: str) -> DataFrame:
     """Rolling health of windows closed by the watermark."""
-    return rolling_health(events, watermark=watermark)
+    return rolling_health(events, watermark=watermark, **window)
 
 
-def health_alerts(events: DataFrame, limits=None, watermark: str = WATERMARK) -> DataFrame:
-    return alerts(health(events, watermark), limits)
+def health_alerts(events: DataFrame, limits=None, watermark: str = WATERMARK, **window: str) -> DataFrame:
+    return alerts(health(events, watermark, **window), limits)
 
 
 def bucket_metrics(
-    requests: DataFrame, bucket: str = "1h", watermark: str = WATERMARK, approx: bool = False
+    requests: DataFrame,
+    bucket: str = "1h",
+    watermark: str = WATERMARK,
+    approx: bool = False,
+    digits: int | None = 4,
 ) -> DataFrame:
     """Bucket metrics per tenant, emitted once a bucket is closed."""
     width = EXACT_WIDTH.get(bucket, EXACT_WIDTH["1h"])
     grouped = (
         requests.withWatermark("created_at", watermark)
         .groupBy("tenant_id", F.window("created_at", width).alias("w"))
-        .agg(*bucket_aggregates(approx))
+        .agg(*bucket_aggregates(approx, digits))
     )
     return grouped.withColumn("bucket_start", F.col("w.start")).drop("w")
 
@@ -57,17 +61,20 @@ def rate_limits(
     width_ms: int = WINDOW_MS,
     watermark: str = WATERMARK,
 ) -> DataFrame:
-    """Allow or reject each call of (event_id, identity, arrival_ms, ts).
+    """Allow or reject each call of (event_id, identity, arrival_ms); ``arrival_ms`` is epoch time.
 
     State is one open window per caller and expires with it. Calls are taken in time order within
-    a micro-batch, and micro-batches in arrival order, as a live counter would.
+    a micro-batch, and micro-batches in arrival order, as a live counter would. A caller's rows
+    of one micro-batch meet in one task; bound them by the source's rate options.
     """
     out = (
         "event_id long, identity long, arrival_ms long, window_start long, position long, "
         "allowed boolean, retry_after_s long"
     )
     return (
-        log.withWatermark("ts", watermark)
+        log.select("event_id", "identity", "arrival_ms")
+        .withColumn("ts", F.timestamp_millis("arrival_ms"))
+        .withWatermark("ts", watermark)
         .groupBy("identity")
         .applyInPandasWithState(
             partial(decide_stream, limit=limit, width_ms=width_ms),
