@@ -45,5 +45,5 @@ def grounding(
 
 def per_document(pairs: DataFrame, keys: Sequence[str], pos: str = "pos", value: str = "consistency") -> DataFrame:
     """The per-document scores of a request in document order; a request lists its own documents."""
-    ordered = F.array_sort(F.collect_list(F.struct(pos, value)))
+    ordered = F.sort_array(F.collect_list(F.struct(pos, value)))
     return pairs.groupBy(*keys).agg(F.transform(ordered, lambda p: p[value]).alias("per_document"))

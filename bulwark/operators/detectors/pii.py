@@ -5,7 +5,7 @@ Name-like entity types need a language model and go through the batch scorer ins
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,10 +22,15 @@ class Pattern:
     type: str
     body: str
     confidence: float
+    guard: str  # a simple expression that any text with a match contains
     lead: bool = True
     trail: bool = True
     check: str | None = None  # luhn | iban | medical
 
+    @property
+    def numeric(self) -> bool:
+        return "[0-9]" in self.guard
+
     @property
     def regex(self) -> str:
         return (_LEAD if self.lead else "") + f"(?:{self.body})" + (_TRAIL if self.trail else "")
@@ -35,33 +40,36 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 # Entity patterns and confidences, in redaction priority. Patterns whose
 # confidence is below the threshold cannot report anything and are left out of the plan.
 PATTERNS: tuple[Pattern, ...] = (
-    Pattern("URL", r'https?://[^ \t\r\n<>"]+', 0.6, trail=False),
+    Pattern("URL", r'https?://[^ \t\r\n<>"]+', 0.6, "://", trail=False),
     Pattern(
         "EMAIL_ADDRESS",
         r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
         1.0,
+        "@",
         lead=False,
         trail=False,
     ),
-    Pattern("IBAN_CODE", "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", 1.0, check="iban"),
+    Pattern("IBAN_CODE", "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", 1.0, "[A-Z][0-9]{2}", check="iban"),
     Pattern(
         "CREDIT_CARD",
         "[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}",
         1.0,
+        "[0-9]{4}",
         check="luhn",
     ),
-    Pattern("US_SSN", "[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.5),
+    Pattern("US_SSN", "[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.5, "[0-9]-[0-9]{2}-[0-9]"),
     Pattern(
         "PHONE_NUMBER",
         r"1[ .-]\([2-9][0-9]{2}\) ?[0-9]{3}[ .-][0-9]{4}"
         r"|(?:1[ .-])?[2-9][0-9]{2}[ .-][0-9]{3}[ .-][0-9]{4}",
         0.75,
+        "[0-9]{3}[ .-][0-9]{4}",
     ),
-    Pattern("IP_ADDRESS", rf"(?:{_OCTET}\.){{3}}{_OCTET}", 0.6),
-    Pattern("MEDICAL_LICENSE", "[A-HJ-MPRSTUXa-hj-mprstux][A-Za-z][0-9]{7}", 1.0, check="medical"),
-    Pattern("US_DRIVER_LICENSE", "[A-Z][0-9]{3,6}|[A-Z][0-9]{5,9}", 0.3),
-    Pattern("US_PASSPORT", "[0-9]{9}|[A-Z][0-9]{8}", 0.1),
-    Pattern("US_BANK_NUMBER", "[0-9]{8,17}", 0.05),
+    Pattern("IP_ADDRESS", rf"(?:{_OCTET}\.){{3}}{_OCTET}", 0.6, r"[0-9]\.[0-9]"),
+    Pattern("MEDICAL_LICENSE", "[A-HJ-MPRSTUXa-hj-mprstux][A-Za-z][0-9]{7}", 1.0, "[0-9]{7}", check="medical"),
+    Pattern("US_DRIVER_LICENSE", "[A-Z][0-9]{3,6}|[A-Z][0-9]{5,9}", 0.3, "[A-Z][0-9]{3}"),
+    Pattern("US_PASSPORT", "[0-9]{9}|[A-Z][0-9]{8}", 0.1, "[0-9]{8}"),
+    Pattern("US_BANK_NUMBER", "[0-9]{8,17}", 0.05, "[0-9]{8}"),
 )
 # Entity types reported unless the caller names others. PERSON and NRP come from
 # the batch scorer; places and dates are not reported.
@@ -109,13 +117,19 @@ def _verified(matches: Column, pattern: Pattern) -> Column:
     return matches
 
 
+def _guarded(text: Column, p: Pattern) -> Column:
+    """A cheap necessary condition; most texts stop here for most types."""
+    return text.rlike(p.guard) if p.numeric else text.contains(p.guard)
+
+
+def _any_digit(text: Column) -> Column:
+    return text.rlike("[0-9]")
+
+
 def _matches(text: Column, pattern: Pattern) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(0))
-    if pattern.type == "URL":
-        found = F.when(text.contains("://"), found)
-    elif pattern.type == "EMAIL_ADDRESS":
-        found = F.when(text.contains("@"), found)
-    return _verified(F.coalesce(found, F.array().cast("array<string>")), pattern)
+    none = F.array().cast("array<string>")
+    return F.when(_guarded(text, pattern), _verified(found, pattern)).otherwise(none)
 
 
 def entities(text: Column, threshold: float = 0.5, types: Sequence[str] | None = None) -> Column:
@@ -128,10 +142,13 @@ def entities(text: Column, threshold: float = 0.5, types: Sequence[str] | None =
             ),
         )
 
-    found = [typed(p) for p in active_patterns(threshold, types)]
-    if not found:
-        return F.array().cast("array<struct<type:string,score:double,match:string>>")
-    return F.concat(*found)
+    active = active_patterns(threshold, types)
+    none = F.array().cast("array<struct<type:string,score:double,match:string>>")
+    plain = [typed(p) for p in active if not p.numeric]
+    numeric = [typed(p) for p in active if p.numeric]
+    if numeric:
+        plain.append(F.when(_any_digit(text), F.concat(*numeric)).otherwise(none))
+    return F.concat(*plain) if plain else none
 
 
 def spans(text: Column, pattern: Pattern) -> Column:
@@ -163,6 +180,11 @@ def scan(
     return with_entities.withColumn("score", F.coalesce(best, F.lit(0.0)))
 
 
+def _bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` computed once, however often ``fn`` uses it."""
+    return F.transform(F.array(value), lambda v: fn(v))[0]
+
+
 def redacted(text: Column, threshold: float = 0.5, types: Sequence[str] | None = None) -> Column:
     """The text with every entity replaced by ``<TYPE>``.
 
@@ -173,17 +195,25 @@ def redacted(text: Column, threshold: float = 0.5, types: Sequence[str] | None =
     def replace(current: Column, p: Pattern) -> Column:
         tag = f"<{p.type}>"
         if p.check is None:
-            return F.regexp_replace(current, p.regex, tag)
-        matches = F.regexp_extract_all(current, F.lit(p.regex), F.lit(0))
-        gaps = F.split(current, p.regex, -1)
-        tags = F.transform(
-            matches,
-            lambda m: F.when(F.size(_verified(F.array(m), p)) > 0, F.lit(tag)).otherwise(m),
-        )
-        pieces = F.zip_with(gaps, tags, lambda g, t: F.concat(g, F.coalesce(t, F.lit(""))))
-        return F.when(F.size(matches) > 0, F.array_join(pieces, "")).otherwise(current)
+            new = F.regexp_replace(current, p.regex, tag)
+        else:
+            tags = F.transform(
+                F.regexp_extract_all(current, F.lit(p.regex), F.lit(0)),
+                lambda m: F.when(F.size(_verified(F.array(m), p)) > 0, F.lit(tag)).otherwise(m),
+            )
+            pieces = F.zip_with(
+                F.split(current, p.regex, -1), tags, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))
+            )
+            new = F.array_join(pieces, "")
+        return F.when(_guarded(current, p), new).otherwise(current)
+
+    def replace_all(current: Column, patterns: Sequence[Pattern]) -> Column:
+        return reduce(lambda c, p: _bound(c, lambda v: replace(v, p)), patterns, current)
 
-    return reduce(replace, active_patterns(threshold, types), text)
+    active = active_patterns(threshold, types)
+    plain = replace_all(text, [p for p in active if not p.numeric])
+    numeric = [p for p in active if p.numeric]
+    return _bound(plain, lambda v: F.when(_any_digit(v), replace_all(v, numeric)).otherwise(v))
 
 
 def report(

@@ -124,7 +124,7 @@ def reassemble_chunks(chunks: DataFrame) -> DataFrame:
     response is spread over tasks."""
 
     def joined(position: str):
-        pieces = F.array_sort(F.collect_list(F.struct(position, "content")))
+        pieces = F.sort_array(F.collect_list(F.struct(position, "content")))
         return F.array_join(F.transform(pieces, lambda p: p["content"]), "")
 
     blocks = (

@@ -25,21 +25,22 @@ def _nearest_rank(pairs: Column, p: float) -> Column:
 
     The array holds one entry per minute and distinct latency, however many requests there were.
     """
-    ordered = F.array_sort(pairs)
-    total = F.aggregate(ordered, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    rank = F.floor(total * F.lit(p))
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("value"))
-    found = F.aggregate(
-        ordered,
-        start,
-        lambda a, x: F.struct(
-            (a["seen"] + x["n"]).alias("seen"),
-            F.when(a["value"].isNull() & (a["seen"] + x["n"] > rank), x["latency_ms"])
-            .otherwise(a["value"])
-            .alias("value"),
-        ),
+    total = F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    # The rank travels in the accumulator: inside the lambda it would be computed per element.
+    start = F.struct(
+        F.lit(0).cast("long").alias("seen"),
+        F.lit(None).cast("int").alias("value"),
+        F.floor(total * F.lit(p)).alias("rank"),
     )
-    return F.coalesce(found["value"], F.lit(0))
+
+    def step(a: Column, x: Column) -> Column:
+        seen = a["seen"] + x["n"]
+        first = a["value"].isNull() & (seen > a["rank"])
+        value = F.when(first, x["latency_ms"]).otherwise(a["value"])
+        return F.struct(seen.alias("seen"), value.alias("value"), a["rank"].alias("rank"))
+
+    found = F.aggregate(F.sort_array(pairs), start, step, lambda a: a["value"])
+    return F.coalesce(found, F.lit(0))
 
 
 def rolling_health(
