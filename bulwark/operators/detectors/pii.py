@@ -219,7 +219,6 @@ def redacted(text: Column, threshold: float = 0.5, types: Sequence[str] | None =
 def report(
     df: DataFrame,
     keys: Sequence[str],
-    doc_id: str = "doc_id",
     text: str = "text",
     threshold: float = 0.5,
     types: Sequence[str] | None = None,
@@ -230,9 +229,14 @@ def report(
     once per type without a distinct aggregate.
     """
     active = active_patterns(threshold, types)
-    counts = df.select(
-        *keys, doc_id, *[F.size(_matches(F.col(text), p)).alias(p.type) for p in active]
+    kinds = df.select(
+        *keys, F.transform(entities(F.col(text), threshold, types), lambda e: e["type"]).alias("_types")
     )
+
+    def found(kind: str) -> Column:
+        return F.size(F.filter("_types", lambda t: t == kind))
+
+    counts = kinds.where(F.size("_types") > 0).select(*keys, *[found(p.type).alias(p.type) for p in active])
     totals = counts.groupBy(*keys).agg(
         *[
             F.struct(

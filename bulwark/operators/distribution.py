@@ -24,9 +24,8 @@ def running_totals(
 
     ``hist`` has one row per (keys, value).
     """
-    partitions = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = durable(
-        hist.repartitionByRange(partitions, *keys, value).withColumn("_part", F.spark_partition_id())
+        hist.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id())
     )
     before = (Window.unboundedPreceding, -1)
     of_key = Window.partitionBy(*[f"_{k}" for k in keys])

@@ -51,6 +51,22 @@ def nested(requests: DataFrame) -> DataFrame:
     )
 
 
+def in_time(requests: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Rows with ``start <= created_at <= end``. On a stored log the same range is also put on
+    its partition column ``dt``, so that days outside it are not listed or read."""
+    kind = requests.schema["created_at"].dataType
+    stored = "dt" in requests.columns
+    if start is not None:
+        requests = requests.where(F.col("created_at") >= start.cast(kind))
+        if stored:
+            requests = requests.where(F.col("dt") >= F.to_date(start.cast(kind)))
+    if end is not None:
+        requests = requests.where(F.col("created_at") <= end.cast(kind))
+        if stored:
+            requests = requests.where(F.col("dt") <= F.to_date(end.cast(kind)))
+    return requests
+
+
 def score_history(
     requests: DataFrame,
     tenant_id=None,
@@ -60,12 +76,11 @@ def score_history(
     evaluator: str | None = None,
 ) -> DataFrame:
     """Rows in the inclusive time range, optionally flagged only; an unknown evaluator is ignored."""
-    df = for_tenant(requests, tenant_id)
-    kind = requests.schema["created_at"].dataType
-    if start is not None:
-        df = df.where(F.col("created_at") >= F.lit(start).cast(kind))
-    if end is not None:
-        df = df.where(F.col("created_at") <= F.lit(end).cast(kind))
+    df = in_time(
+        for_tenant(requests, tenant_id),
+        None if start is None else F.lit(start),
+        None if end is None else F.lit(end),
+    )
     if flagged_only:
         df = df.where(any_flag())
     if evaluator in NAMES:

@@ -124,7 +124,8 @@ def reassemble_chunks(chunks: DataFrame) -> DataFrame:
     response is spread over tasks."""
 
     def joined(position: str):
-        pieces = F.sort_array(F.collect_list(F.struct(position, "content")))
+        present = F.when(F.col("content").isNotNull(), F.struct(position, "content"))
+        pieces = F.sort_array(F.collect_list(present))
         return F.array_join(F.transform(pieces, lambda p: p["content"]), "")
 
     blocks = (

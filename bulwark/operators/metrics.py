@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bulwark.catalog import NAMES, SCORECARD_NAMES
 from bulwark.functions.flags import any_flag
 from bulwark.functions.numeric import int_from_float, int_from_numeric, rate
+from bulwark.operators.history import in_time
 
 # Look-back windows, bucket truncation and histogram bounds in seconds.
 LOOKBACK = {"1h": "1 hour", "6h": "6 hours", "24h": "24 hours", "7d": "7 days", "30d": "30 days"}
@@ -24,8 +25,7 @@ def since(requests: DataFrame, as_of, window: str = "24h") -> DataFrame:
     """Rows of the look-back window ending at ``as_of``; an unknown window means 24 hours."""
     kind = requests.schema["created_at"].dataType
     span = F.expr(f"INTERVAL {LOOKBACK.get(window, LOOKBACK['24h'])}")
-    end = F.lit(as_of).cast(kind)
-    return requests.where(F.col("created_at") >= (end - span).cast(kind))
+    return in_time(requests, start=F.lit(as_of).cast(kind) - span)
 
 
 def bucket_start(requests: DataFrame, bucket: str, exact: bool = False) -> Column:

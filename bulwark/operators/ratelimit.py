@@ -124,99 +124,71 @@ def replay_limits(
     limit: int = DEFAULT_LIMIT,
     width_ms: int = WINDOW_MS,
     enabled: bool = True,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Each event with its window, its position in it, and whether it is allowed.
 
     Events beyond the limit are rejected and still count. ``retry_after_s`` is the whole seconds
-    left in the window, at least 1.
+    left in the window, at least 1. ``carried`` holds each caller's last window of an earlier part
+    of the log, (identity, window_start, count): it goes on from there, and an event that comes
+    late for it counts in it.
     """
+    none = F.lit(None).cast("long")
     if not enabled:
-        none = F.lit(None).cast("long")
         return log.withColumns(
-            {
-                "window_start": none,
-                "position": none,
-                "allowed": F.lit(True),
-                "retry_after_s": none,
-            }
+            {"window_start": none, "position": none, "allowed": F.lit(True), "retry_after_s": none}
         )
+    if carried is not None:
+        held = carried.select(
+            F.col("identity").alias("_held_by"),
+            F.col("window_start").alias("_held_start"),
+            F.col("count").alias("_held_count"),
+        )
+        timed = log.join(held, F.col(identity).eqNullSafe(F.col("_held_by")), "left").withColumn(
+            "_at", F.greatest(F.col(time_ms), F.col("_held_start"))
+        )
+        opening = timed.select(F.col(identity).alias("identity"), F.col("_at")).unionByName(
+            held.select(F.col("_held_by").alias("identity"), F.col("_held_start").alias("_at"))
+        )
+    else:
+        timed = log.withColumns({"_at": F.col(time_ms), "_held_start": none, "_held_count": none})
+        opening = timed.select(F.col(identity).alias("identity"), "_at")
     # A window touches its own slot of the clock and the one after it.
-    opened = windows(log, identity, time_ms, width_ms).select(
+    slot = F.floor(F.col("window_start") / width_ms)
+    opened = windows(opening, "identity", "_at", width_ms).select(
         F.col("identity").alias("_identity"),
         "window_start",
-        F.explode(
-            F.array(
-                F.floor(F.col("window_start") / width_ms),
-                F.floor(F.col("window_start") / width_ms) + 1,
-            )
-        ).alias("_slot"),
-    )
-    in_window = (F.col(time_ms) >= F.col("window_start")) & (
-        F.col(time_ms) < F.col("window_start") + width_ms
+        F.explode(F.array(slot, slot + 1)).alias("_slot"),
     )
     same = (
         F.col(identity).eqNullSafe(F.col("_identity"))
-        & (F.floor(F.col(time_ms) / width_ms) == F.col("_slot"))
-        & in_window
+        & (F.floor(F.col("_at") / width_ms) == F.col("_slot"))
+        & (F.col("_at") >= F.col("window_start"))
+        & (F.col("_at") < F.col("window_start") + width_ms)
     )
-    placed = log.join(opened, same).drop("_identity", "_slot")
-    order = Window.partitionBy(identity, "window_start").orderBy(time_ms, event_id)
-    numbered = placed.withColumn("position", F.row_number().over(order))
-    left = F.col("window_start") + width_ms - F.col(time_ms)
-    return numbered.withColumns(
-        {
-            "allowed": F.col("position") <= limit,
-            "retry_after_s": F.when(
-                F.col("position") > limit,
-                F.greatest(F.ceil(left / F.lit(1000)).cast("long"), F.lit(1).cast("long")),
-            ),
-        }
+    order = Window.partitionBy(identity, "window_start").orderBy("_at", time_ms, event_id)
+    before = F.when(F.col("window_start") == F.col("_held_start"), F.col("_held_count")).otherwise(0)
+    numbered = timed.join(opened, same).withColumn("position", F.row_number().over(order) + before)
+    left = F.col("window_start") + width_ms - F.col("_at")
+    over = F.col("position") > limit
+    wait = F.greatest(F.ceil(left / F.lit(1000)).cast("long"), F.lit(1).cast("long"))
+    return numbered.select(
+        *log.columns,
+        "window_start",
+        F.col("position").cast("long").alias("position"),
+        (~over).alias("allowed"),
+        F.when(over, wait).alias("retry_after_s"),
     )
 
 
-def count_in_order(state: tuple[int, int] | None, times: np.ndarray, width: int) -> tuple:
-    """Positions of time-ordered events given the open window (start, count), and the new state."""
-    start, count = state if state else (None, 0)
-    positions, starts = np.empty(len(times), np.int64), np.empty(len(times), np.int64)
-    i, n = 0, len(times)
-    while i < n:
-        if start is None or times[i] >= start + width:
-            start, count = int(times[i]), 0
-        end = int(np.searchsorted(times, start + width, side="left"))
-        end = max(end, i + 1)
-        size = end - i
-        positions[i:end] = count + np.arange(1, size + 1)
-        starts[i:end] = start
-        count += size
-        i = end
-    return (start, count), positions, starts
-
-
-def decide_stream(
-    key: tuple, batches: Iterator[pd.DataFrame], state, limit: int, width_ms: int
-) -> Iterator[pd.DataFrame]:
-    """State step of the streaming limiter: one open window (start, count) per caller."""
-    frames = list(batches)
-    if state.hasTimedOut:
-        state.remove()
-        return
-    pdf = pd.concat(frames).sort_values(["arrival_ms", "event_id"])
-    times = pdf["arrival_ms"].to_numpy(np.int64)
-    held = state.get if state.exists else None
-    (start, count), positions, starts = count_in_order(held, times, width_ms)
-    state.update((start, count))
-    expiry = max(start + width_ms, state.getCurrentWatermarkMs() + 1)
-    state.setTimeoutTimestamp(expiry)
-    left = np.ceil((starts + width_ms - times) / 1000).astype(np.int64)
-    over = positions > limit
-    yield pd.DataFrame(
-        {
-            "event_id": pdf["event_id"].to_numpy(),
-            "identity": key[0],
-            "arrival_ms": times,
-            "window_start": starts,
-            "position": positions,
-            "allowed": ~over,
-            "retry_after_s": pd.Series(np.maximum(left, 1)).where(over).astype("Int64"),
-        }
+def last_windows(
+    decided: DataFrame, carried: DataFrame | None = None, identity: str = "identity"
+) -> DataFrame:
+    """Each caller's newest window with its count: the state to carry to the next part."""
+    state = decided.select(
+        F.col(identity).alias("identity"), "window_start", F.col("position").alias("count")
     )
+    if carried is not None:
+        state = state.unionByName(carried.select("identity", "window_start", "count"))
+    newest = F.max(F.struct("window_start", "count")).alias("w")
+    return state.groupBy("identity").agg(newest).select("identity", "w.*")

@@ -200,7 +200,7 @@ FROM placed"""
 @query("rate_limit_replay", limited_sql(30))
 def rate_limit_replay(spark, sf):
     log = fx.http_log(spark, sf).select("event_id", "identity", "arrival_ms")
-    return replay_limits(log, limit=30).withColumn("position", F.col("position").cast("long"))
+    return replay_limits(log, limit=30)
 
 
 @query(

@@ -106,8 +106,10 @@ def health_alerts_stream(spark, sf):
 
 @query("rate_limit_stream", limited_sql(30))
 def rate_limit_stream(spark, sf):
-    log = fx.http_projection(stream(spark, sf, "events"))
-    return drained(spark, jobs.rate_limits(log, limit=30), "rate-limits")
+    log = fx.http_projection(stream(spark, sf, "events")).select("event_id", "identity", "arrival_ms")
+    path = scratch(spark, "rate-limits")
+    jobs.rate_limits(log, path, scratch(spark, "rate-limits-checkpoint"), limit=30).awaitTermination()
+    return spark.read.parquet(f"{path}/decisions").drop("batch")
 
 
 @query(

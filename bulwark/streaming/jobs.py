@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bulwark.operators.metrics import EXACT_WIDTH, bucket_aggregates
-from bulwark.operators.ratelimit import DEFAULT_LIMIT, WINDOW_MS, decide_stream
+from bulwark.operators.ratelimit import DEFAULT_LIMIT, WINDOW_MS, last_windows, replay_limits
 from bulwark.operators.scoring import Scorer, score
 from bulwark.sources.events import parse_events
 from bulwark.streaming.health import alerts, rolling_health
@@ -57,32 +55,37 @@ def bucket_metrics(
 
 def rate_limits(
     log: DataFrame,
+    path: str,
+    checkpoint: str,
     limit: int = DEFAULT_LIMIT,
     width_ms: int = WINDOW_MS,
-    watermark: str = WATERMARK,
-) -> DataFrame:
-    """Allow or reject each call of (event_id, identity, arrival_ms); ``arrival_ms`` is epoch time.
-
-    State is one open window per caller and expires with it. Calls are taken in time order within
-    a micro-batch, and micro-batches in arrival order, as a live counter would. A caller's rows
-    of one micro-batch meet in one task; bound them by the source's rate options.
+    lateness_ms: int = 600_000,
+) -> StreamingQuery:
+    """Allow or reject each call of (event_id, identity, arrival_ms) as it arrives.
+
+    A keyed state operator would put all calls of one caller in one task. Here each micro-batch is
+    decided by the parallel replay, going on from every caller's open window, which is kept as one
+    row per caller and written once per micro-batch. Decisions go to ``path/decisions`` and state
+    to ``path/state``, in one folder per micro-batch, so a repeated batch overwrites its own
+    output. State of callers silent for longer than the window and ``lateness_ms`` is dropped.
     """
-    out = (
-        "event_id long, identity long, arrival_ms long, window_start long, position long, "
-        "allowed boolean, retry_after_s long"
-    )
+
+    def decide(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        carried = spark.read.parquet(f"{path}/state/batch={batch_id - 1}") if batch_id else None
+        decided = replay_limits(batch, limit=limit, width_ms=width_ms, carried=carried)
+        out = f"{path}/decisions/batch={batch_id}"
+        decided.write.mode("overwrite").parquet(out)
+        state = last_windows(spark.read.parquet(out), carried)
+        latest = state.agg(F.max("window_start")).scalar()
+        alive = F.col("window_start") + width_ms + lateness_ms > latest
+        state.where(alive).write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+
     return (
-        log.select("event_id", "identity", "arrival_ms")
-        .withColumn("ts", F.timestamp_millis("arrival_ms"))
-        .withWatermark("ts", watermark)
-        .groupBy("identity")
-        .applyInPandasWithState(
-            partial(decide_stream, limit=limit, width_ms=width_ms),
-            out,
-            "start long, count long",
-            "append",
-            "EventTimeTimeout",
-        )
+        log.writeStream.foreachBatch(decide)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
 

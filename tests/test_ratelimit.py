@@ -83,18 +83,45 @@ def test_caller_falls_back_to_address(spark):
     assert [r.x for r in df.select(ratelimit.caller(F.col("t"), F.col("ip")).alias("x")).collect()] == ["7", "10.0.0.1", "unknown"]
 
 
+def arrival_order(rows, limit):
+    """Decisions of a live counter that takes events as they come; late ones join the open window."""
+    out, state = {}, {}
+    for event_id, who, t in rows:
+        start, count = state.get(who, (None, 0))
+        if start is None or t >= start + WIDTH:
+            start, count = t, 0
+        state[who] = (start, count + 1)
+        out[event_id] = (start, count + 1, count < limit)
+    return out
+
+
 def test_stream_over_several_batches_matches_brute_force(spark, tmp_path):
     rng = random.Random(5)
     base = 1_700_000_000_000
-    rows = sorted(((i, rng.randrange(3), base + rng.randrange(900_000)) for i in range(1500)), key=lambda r: r[2])
-    rows = [(i, who, t) for i, (_, who, t) in enumerate(rows)]
+    times = sorted(base + rng.randrange(900_000) for _ in range(1500))
+    rows = [(i, rng.randrange(3), t) for i, t in enumerate(times)]
+    # The last caller is quiet for some batches, and one event of a later batch comes late.
+    rows += [(5000, 9, base + 5), (5001, 9, base + 899_000)]
     schema = "event_id long, identity long, arrival_ms long"
-    for b in range(5):
-        part = rows[b * 300 : (b + 1) * 300]
+    batches = [rows[b * 300 : (b + 1) * 300] for b in range(5)]
+    batches[0].append(rows[1500])
+    batches[4].append(rows[1501])
+    late = (7000, batches[3][-1][1], batches[2][-1][2] + 1)
+    batches.append([late])
+    for part in batches:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = jobs.rate_limits(source, limit=20, watermark="1 minute")
-    jobs.to_parquet(out, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).collect()
-    want = brute(rows, 20)
+    jobs.rate_limits(source, str(tmp_path / "out"), str(tmp_path / "cp"), limit=20).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out" / "decisions")).collect()
+    want = arrival_order([r for b in batches for r in sorted(b, key=lambda r: (r[2], r[0]))], 20)
     assert {r.event_id: (r.window_start, r.position, r.allowed) for r in got} == want
+
+
+def test_carried_window_goes_on(spark):
+    carried = spark.createDataFrame([("a", 1000, 2)], "identity string, window_start long, count long")
+    rows = [(0, "a", 500), (1, "a", 2000), (2, "a", 61_000), (3, "b", 61_000)]
+    df = ratelimit.replay_limits(log(spark, rows), limit=3, carried=carried)
+    got = {r.event_id: (r.window_start, r.position, r.allowed) for r in df.collect()}
+    assert got == {0: (1000, 3, True), 1: (1000, 4, False), 2: (61_000, 1, True), 3: (61_000, 1, True)}
+    state = {tuple(r) for r in ratelimit.last_windows(df, carried).collect()}
+    assert state == {("a", 61_000, 1), ("b", 61_000, 1)}

@@ -20,7 +20,15 @@ def brute_u(current, baseline):
     return sum((c > b) + 0.5 * (c == b) for c in current for b in baseline)
 
 
-def test_quantiles_match_brute_force_on_a_dominant_key(spark):
+@pytest.fixture
+def many_partitions(spark):
+    """Keep small shuffles in several partitions, so that totals cross partition borders."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_quantiles_match_brute_force_on_a_dominant_key(spark, many_partitions):
     rng = random.Random(1)
     rows = [("hot", rng.random()) for _ in range(4000)] + [("hot", 0.5)] * 500
     rows += [("one", 0.25)] + [(None, 0.1), (None, 0.3)] + [(f"k{i}", i / 7) for i in range(5)]
@@ -46,7 +54,7 @@ def test_nearest_rank_of_one_to_hundred_is_96(spark):
 
 
 @pytest.mark.parametrize("levels", [5, 40, 10**6])
-def test_mann_whitney_matches_brute_force(spark, levels):
+def test_mann_whitney_matches_brute_force(spark, many_partitions, levels):
     rng = random.Random(levels)
     cur = [rng.randrange(levels) / levels for _ in range(60)]
     base = [rng.randrange(levels) / levels * 0.9 for _ in range(45)]
