@@ -16,7 +16,8 @@ AS_OF = "2024-01-31 00:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def as_of() -> Column:
@@ -36,87 +37,67 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests_of(events: DataFrame) -> DataFrame:
-    k, i = _k(), F.col("event_id")
-    scored = events.select(
-        i.alias("id"),
-        F.col("ts").alias("created_at"),
-        (F.col("user_id") % 4).alias("tenant_id"),
-        F.concat(F.lit("model-"), (F.col("user_id") % 3).cast("string")).alias("model"),
-        (i % 3 == 0).alias("has_context"),
-        F.when(i % 17 != 0, _hundredth((k * 7 + i) % 60)).alias("score_pii"),
-        F.when(i % 19 != 0, _hundredth((k * 13 + i) % 90)).alias("score_prompt_injection"),
-        F.lit(None).cast("double").alias("score_topic_guardrail"),
-        _hundredth((k * 3 + i) % 80).alias("raw_toxicity"),
-        F.when(i % 23 == 0, 1.0).otherwise(0.0).alias("raw_exfiltration"),
-        _hundredth((k * 11 + i) % 100).alias("raw_relevance"),
-        _hundredth((k * 5 + i) % 100).alias("raw_consistency"),
-        (F.floor("value").cast("int") + 5).alias("latency_total"),
-        (i % 5 == 0).alias("reviewed"),
-    )
-    inputs = scored.select(
+    scored = events.selectExpr(
+        "event_id AS id",
+        "ts AS created_at",
+        "user_id % 4 AS tenant_id",
+        "concat('model-', CAST(user_id % 3 AS STRING)) AS model",
+        "event_id % 3 = 0 AS has_context",
+        "CAST(floor(value) AS INT) + 5 AS latency_total",
+        "event_id % 5 = 0 AS reviewed",
+        "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k",
+    )
+    inputs = scored.selectExpr(
         "*",
-        F.coalesce(F.col("score_pii") >= 0.5, F.lit(False)).alias("flag_pii"),
-        F.coalesce(F.col("score_prompt_injection") >= 0.8, F.lit(False)).alias("flag_prompt_injection"),
-        F.lit(False).alias("flag_topic_guardrail"),
-    )
-    answered = ~F.col("flag_prompt_injection")
-    grounded = answered & F.col("has_context")
-    outputs = inputs.select(
+        "CASE WHEN id % 17 <> 0 THEN CAST((k * 7 + id) % 60 AS DOUBLE) / 100D END AS score_pii",
+        "CASE WHEN id % 19 <> 0 THEN CAST((k * 13 + id) % 90 AS DOUBLE) / 100D END AS score_prompt_injection",
+        "CAST(NULL AS DOUBLE) AS score_topic_guardrail",
+        "CAST((k * 5 + id) % 100 AS DOUBLE) / 100D AS consistency",
+    ).selectExpr(
         "*",
-        (F.col("flag_pii") | F.col("flag_prompt_injection") | F.col("flag_topic_guardrail")).alias("blocked"),
-        F.when(F.col("flag_pii"), "pii_detected")
-        .when(F.col("flag_prompt_injection"), "prompt_injection_detected")
-        .alias("block_reason"),
-        F.when(answered, F.col("raw_toxicity")).alias("score_toxicity"),
-        F.when(answered, F.col("raw_exfiltration")).alias("score_exfiltration"),
-        F.when(answered, F.col("raw_relevance")).alias("score_relevance"),
-        F.when(grounded, 1 - F.col("raw_consistency")).alias("score_hallucination"),
-        F.when(grounded, F.col("raw_consistency")).alias("score_faithfulness"),
+        "coalesce(score_pii >= 0.5D, false) AS flag_pii",
+        "coalesce(score_prompt_injection >= 0.8D, false) AS flag_prompt_injection",
+        "false AS flag_topic_guardrail",
     )
-
-    def flag(cond: Column, name: str) -> Column:
-        return F.coalesce(cond, F.lit(False)).alias(f"flag_{name}")
-
-    return outputs.select(
+    answered = "NOT flag_prompt_injection"
+    outputs = inputs.selectExpr(
+        "*",
+        "flag_pii OR flag_prompt_injection OR flag_topic_guardrail AS blocked",
+        "CASE WHEN flag_pii THEN 'pii_detected' "
+        "WHEN flag_prompt_injection THEN 'prompt_injection_detected' END AS block_reason",
+        f"CASE WHEN {answered} THEN CAST((k * 3 + id) % 80 AS DOUBLE) / 100D END AS score_toxicity",
+        f"CASE WHEN {answered} THEN CASE WHEN id % 23 = 0 THEN 1D ELSE 0D END END AS score_exfiltration",
+        f"CASE WHEN {answered} THEN CAST((k * 11 + id) % 100 AS DOUBLE) / 100D END AS score_relevance",
+        f"CASE WHEN {answered} AND has_context THEN 1D - consistency END AS score_hallucination",
+        f"CASE WHEN {answered} AND has_context THEN consistency END AS score_faithfulness",
+    )
+    return outputs.selectExpr(
         "id", "created_at", "tenant_id", "model", "has_context", "blocked", "block_reason",
-        "score_pii", "score_prompt_injection", "score_topic_guardrail", "score_toxicity",
-        "score_exfiltration", "score_relevance", "score_hallucination", "score_faithfulness",
+        *[f"score_{e.name}" for e in EVALUATORS],
         "flag_pii", "flag_prompt_injection", "flag_topic_guardrail",
-        flag(F.col("score_toxicity") >= 0.7, "toxicity"),
-        flag(F.col("score_exfiltration") >= 0.5, "exfiltration"),
-        flag(F.col("score_relevance") <= 0.3, "relevance"),
-        flag(F.col("score_hallucination") >= 0.5, "hallucination"),
-        flag(F.col("score_faithfulness") <= 0.5, "faithfulness"),
+        "coalesce(score_toxicity >= 0.7D, false) AS flag_toxicity",
+        "coalesce(score_exfiltration >= 0.5D, false) AS flag_exfiltration",
+        "coalesce(score_relevance <= 0.3D, false) AS flag_relevance",
+        "coalesce(score_hallucination >= 0.5D, false) AS flag_hallucination",
+        "coalesce(score_faithfulness <= 0.5D, false) AS flag_faithfulness",
         "latency_total", "reviewed",
     )
 
 
 def eval_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per request and evaluator: eight literal entries exploded, no join."""
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(e.name).alias("evaluator"),
-                F.lit(e.chain).alias("chain"),
-                F.lit(e.ord).alias("ord"),
-            )
-            for e in EVALUATORS
-        ]
-    )
-    base = requests(spark, sf_dir).select("id", "latency_total", F.explode(entries).alias("e"))
-    i, o = F.col("id"), F.col("e.ord")
-    errored = (i + o) % 89 == 0
-    return base.select(
-        i.alias("request_id"),
-        "e.evaluator",
-        "e.chain",
-        "e.ord",
-        F.when(~errored, _hundredth((i * (o + 3) + F.col("latency_total") * 7) % 101)).alias("score"),
-        F.when((i + o * 5) % 97 == 0, F.lit(4000))
-        .otherwise(((i * 7 + o * 31) % 120 + 1).cast("int"))
-        .alias("latency_ms"),
-        F.when(errored, "boom").alias("error"),
-    )
+    entries = ", ".join(
+        f"named_struct('evaluator', '{e.name}', 'chain', '{e.chain}', 'ord', {e.ord})" for e in EVALUATORS
+    )
+    base = requests(spark, sf_dir).selectExpr("id AS request_id", "latency_total", f"inline(array({entries}))")
+    return base.selectExpr(
+        "request_id", "evaluator", "chain", "ord",
+        "CASE WHEN (request_id + ord) % 89 <> 0 "
+        "THEN CAST((request_id * (ord + 3) + latency_total * 7) % 101 AS DOUBLE) / 100D END AS score",
+        "CASE WHEN (request_id + ord * 5) % 97 = 0 THEN 4000 "
+        "ELSE CAST((request_id * 7 + ord * 31) % 120 + 1 AS INT) END AS latency_ms",
+        "CASE WHEN (request_id + ord) % 89 = 0 THEN 'boom' END AS error",
+    )
 
 
 def run_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
