@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from bulwark.catalog import EVALUATORS, FALLBACK_THRESHOLD, NAMES, Evaluator, enabled_names, lookup
 from bulwark.functions.flags import flagged
-from bulwark.schemas import REQUESTS, conform
+from bulwark.schemas import conform, requests_schema
 
 # Error code per blocking evaluator; any other gives "<name>_detected".
 BLOCK_CODES = {
@@ -128,13 +128,15 @@ def assemble(results: DataFrame, names: Sequence[str] = NAMES) -> DataFrame:
     )
 
 
-def request_records(assembled: DataFrame, attributes: DataFrame) -> DataFrame:
+def request_records(
+    assembled: DataFrame, attributes: DataFrame, names: Sequence[str] = NAMES
+) -> DataFrame:
     """Rows for the request log: assembled results joined with the request's own attributes.
 
     ``attributes`` is keyed by ``request_id``; a missing total latency is stored as 0.
     """
     joined = attributes.join(assembled, "request_id", "left")
-    flags = {f"flag_{n}": F.coalesce(F.col(f"flag_{n}"), F.lit(False)) for n in NAMES}
+    flags = {f"flag_{n}": F.coalesce(F.col(f"flag_{n}"), F.lit(False)) for n in names}
     filled = joined.withColumns(
         {
             **flags,
@@ -143,7 +145,7 @@ def request_records(assembled: DataFrame, attributes: DataFrame) -> DataFrame:
             "reviewed": F.lit(False),
         }
     ).withColumnRenamed("request_id", "id")
-    return conform(filled, REQUESTS)
+    return conform(filled, requests_schema(names))
 
 
 def block_code(evaluator: Column) -> Column:

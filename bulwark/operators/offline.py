@@ -1,41 +1,24 @@
-"""Offline evaluation: score stored (input, output, context) records with every evaluator."""
+"""Scoring of (input, output, context) records with every evaluator, offline and as in live traffic."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bulwark.catalog import FALLBACK_THRESHOLD, Evaluator, default_config
+from bulwark.catalog import Evaluator, default_config
 from bulwark.functions.flags import crosses
 from bulwark.operators.detectors import exfiltration, pii
 from bulwark.operators.detectors.models import grounding
 from bulwark.operators.scoring import Scorer, score, score_pairs
 
 
-def _by_expression(records: DataFrame) -> DataFrame:
-    """Pattern evaluators, computed in the scan."""
-    found = F.transform(pii.entities(F.col("input_text")), lambda e: e["score"])
-    images = exfiltration.matches(F.col("output_text"))
-    leaks = F.when(F.size(images) > 0, 1.0).otherwise(0.0)
-    return records.withColumns(
-        {
-            "score_pii": F.coalesce(F.array_max(found), F.lit(0.0)),
-            "score_exfiltration": F.when(F.length("output_text") > 0, leaks),
-        }
-    )
-
-
-def _by_model(records: DataFrame, scorer: Scorer) -> DataFrame:
+def _by_model(records: DataFrame, scorer: Scorer, skip_when: Column | None = None) -> DataFrame:
     name = scorer.name
-    return (
-        score(records, scorer)
-        .withColumnRenamed("score", f"score_{name}")
-        .withColumnRenamed("error", f"error_{name}")
-        .drop("skipped", "latency_ms")
-    )
+    renamed = {"score": f"score_{name}", "error": f"error_{name}", "latency_ms": f"latency_{name}"}
+    return score(records, scorer, skip_when=skip_when).withColumnsRenamed(renamed).drop("skipped")
 
 
 def _with_grounding(records: DataFrame, consistency: Scorer) -> DataFrame:
@@ -50,43 +33,125 @@ def _with_grounding(records: DataFrame, consistency: Scorer) -> DataFrame:
     return records.join(grounded, "request_id", "left")
 
 
+def _value(df: DataFrame, e: Evaluator) -> Column:
+    name = f"score_{e.name}"
+    return F.col(name) if name in df.columns else F.lit(None).cast("double")
+
+
+def _hit(df: DataFrame, e: Evaluator) -> Column:
+    return crosses(_value(df, e), F.lit(e.direction), F.lit(e.threshold))
+
+
+def _stopped(df: DataFrame, config: Iterable[Evaluator]) -> Column:
+    """Whether any input evaluator blocks; pii that redacts does not."""
+    stoppers = [
+        _hit(df, e)
+        for e in config
+        if e.enabled and e.chain == "input" and not (e.name == "pii" and e.action == "redact")
+    ]
+    return reduce(lambda a, b: a | b, stoppers, F.lit(False))
+
+
+def score_inputs(
+    records: DataFrame, models: Iterable[Scorer], config: Sequence[Evaluator], cheap_first: bool = False
+) -> DataFrame:
+    """Add ``score_<name>`` of the input evaluators.
+
+    ``cheap_first`` spares the models the records that patterns already block.
+    """
+    found = F.transform(pii.entities(F.col("input_text")), lambda e: e["score"])
+    scored = records.withColumn("score_pii", F.coalesce(F.array_max(found), F.lit(0.0)))
+    by_pattern = _stopped(scored, config) if cheap_first else None
+    for scorer in models:
+        if scorer.chain == "input":
+            scored = _by_model(scored, scorer, by_pattern)
+    return scored
+
+
+def score_outputs(
+    records: DataFrame,
+    models: Iterable[Scorer],
+    consistency: Scorer | None = None,
+    allowed_domains: Sequence[str] = (),
+    skip_when: Column | None = None,
+) -> DataFrame:
+    """Add ``score_<name>`` of the output evaluators; rows where ``skip_when`` holds have none."""
+    if skip_when is not None:
+        records = records.withColumn("output_text", F.when(~skip_when, F.col("output_text")))
+    leaks = F.when(F.size(exfiltration.matches(F.col("output_text"), allowed_domains)) > 0, 1.0).otherwise(0.0)
+    scored = records.withColumn("score_exfiltration", F.when(F.length("output_text") > 0, leaks))
+    for scorer in models:
+        if scorer.chain == "output":
+            scored = _by_model(scored, scorer)
+    if consistency is not None and "context_documents" in records.columns:
+        scored = _with_grounding(scored, consistency)
+    return scored
+
+
 def evaluate(
     records: DataFrame,
-    models: Mapping[str, Scorer],
+    models: Sequence[Scorer],
     consistency: Scorer | None = None,
     config: Iterable[Evaluator] | None = None,
 ) -> DataFrame:
-    """One result per record: scores map, flags, blocked, error, passed.
+    """Offline evaluation: scores map, flags, blocked, error and passed per record.
 
     ``records`` has (request_id, input_text, output_text[, context_documents, ...]). The raw text
-    is scored, and output evaluators also run on records whose input is blocked. A flagged input
-    evaluator blocks, unless it is pii that redacts; errors of one record do not touch others.
+    is scored, and output evaluators also run on records whose input is blocked. Errors of one
+    record do not touch others and leave its score NULL.
     """
     config = tuple(config or default_config())
+    scored = score_outputs(score_inputs(records, models, config), models, consistency)
     live = [e for e in config if e.enabled]
-    scored = _by_expression(records)
-    for scorer in models.values():
-        scored = _by_model(scored, scorer)
-    if consistency is not None and "context_documents" in records.columns:
-        scored = _with_grounding(scored, consistency)
-    have = set(scored.columns)
-
-    def value(e: Evaluator) -> Column:
-        return F.col(f"score_{e.name}") if f"score_{e.name}" in have else F.lit(None).cast("double")
-
-    def hit(e: Evaluator) -> Column:
-        threshold = FALLBACK_THRESHOLD if e.threshold is None else e.threshold
-        return crosses(value(e), F.lit(e.direction), F.lit(threshold))
-
-    flags = F.array_compact(F.array(*[F.when(hit(e), F.lit(e.name)) for e in live]))
-    stoppers = [hit(e) for e in live if e.chain == "input" and not (e.name == "pii" and e.action == "redact")]
-    blocked = reduce(lambda a, b: a | b, stoppers, F.lit(False))
-    errors = [F.col(c) for c in sorted(have) if c.startswith("error_")]
-    entries = [x for e in live for x in (F.lit(e.name), value(e))]
+    flags = F.array_compact(F.array(*[F.when(_hit(scored, e), F.lit(e.name)) for e in live]))
+    errors = [F.col(c) for c in scored.columns if c.startswith("error_")]
+    entries = [x for e in live for x in (F.lit(e.name), _value(scored, e))]
     return scored.select(
         *records.columns,
         F.create_map(*entries).alias("scores"),
         flags.alias("flags"),
-        blocked.alias("blocked"),
+        _stopped(scored, config).alias("blocked"),
         (F.concat_ws("; ", *errors) if errors else F.lit("")).alias("error"),
     ).withColumn("passed", ~F.col("blocked") & (F.size("flags") == 0))
+
+
+def calls_of(scored: DataFrame, config: Iterable[Evaluator]) -> DataFrame:
+    """Wide scores as evaluator calls in long form, for the decision replay."""
+    have = set(scored.columns)
+
+    def column(prefix: str, e: Evaluator, kind: str) -> Column:
+        name = f"{prefix}_{e.name}"
+        return (F.col(name) if name in have else F.lit(None)).cast(kind)
+
+    calls = [
+        F.struct(
+            F.lit(e.name).alias("evaluator"),
+            F.lit(e.chain).alias("chain"),
+            F.lit(e.ord).alias("ord"),
+            _value(scored, e).alias("score"),
+            F.coalesce(column("latency", e, "int"), F.lit(0)).alias("latency_ms"),
+            column("error", e, "string").alias("error"),
+        )
+        for e in config
+        if e.enabled
+    ]
+    return scored.select("request_id", F.inline(F.array(*calls)))
+
+
+def guard(
+    payloads: DataFrame,
+    models: Sequence[Scorer],
+    consistency: Scorer | None = None,
+    config: Iterable[Evaluator] | None = None,
+    enforce: bool = True,
+    cheap_first: bool = True,
+) -> DataFrame:
+    """Calls of logged traffic as the live guardrail would make them.
+
+    Input evaluators run first; outputs of blocked requests are not scored unless ``enforce`` is
+    off. The result feeds ``chain.replay``.
+    """
+    config = tuple(config or default_config())
+    inputs = score_inputs(payloads, models, config, cheap_first)
+    blocked = _stopped(inputs, config) if enforce else None
+    return calls_of(score_outputs(inputs, models, consistency, skip_when=blocked), config)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from bulwark.catalog import EVALUATORS, Evaluator
 from bulwark.functions.text import UNIT, sha256
+from bulwark.operators.cache import live
 
 NEEDS_CONTEXT = ("hallucination", "faithfulness")
 
@@ -35,6 +36,7 @@ class Scorer:
     load: Callable[[], Any] | None = None
     score_batch: Callable[..., Sequence[Any]] | None = None
     returns: str = "double"
+    version: str = ""  # change it with the model, workers keep one model per name and version
 
 
 def catalogue_with(*scorers: Scorer) -> tuple[Evaluator, ...]:
@@ -48,13 +50,14 @@ def catalogue_with(*scorers: Scorer) -> tuple[Evaluator, ...]:
     )
 
 
-_models: dict[str, Any] = {}
+_models: dict[tuple[str, str], Any] = {}
 
 
 def _model(scorer: Scorer) -> Any:
-    if scorer.name not in _models:
-        _models[scorer.name] = scorer.load() if scorer.load else None
-    return _models[scorer.name]
+    key = (scorer.name, scorer.version)
+    if scorer.load and key not in _models:
+        _models[key] = scorer.load()
+    return _models.get(key)
 
 
 def _score_rows(scorer: Scorer, columns: Sequence[list]) -> tuple[list, list]:
@@ -92,7 +95,7 @@ def _runner(scorer: Scorer) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
     return run
 
 
-def skip_reason(scorer: Scorer, columns: Sequence[str]) -> Column:
+def skip_reason(scorer: Scorer, columns: Sequence[str], skip_when: Column | None = None) -> Column:
     """Why an evaluator does not run on a row, or NULL when it does."""
     reason = F.lit(None).cast("string")
     if scorer.name in NEEDS_CONTEXT and "context_documents" in columns:
@@ -101,19 +104,23 @@ def skip_reason(scorer: Scorer, columns: Sequence[str]) -> Column:
     if scorer.chain == "output" and "output_text" in columns:
         no_output = F.coalesce(F.length("output_text"), F.lit(0)) == 0
         reason = F.when(no_output, "no output_text").otherwise(reason)
+    if skip_when is not None:
+        reason = F.when(skip_when, "not needed").otherwise(reason)
     return reason
 
 
-def score(df: DataFrame, scorer: Scorer, parallelism: int | None = None) -> DataFrame:
+def score(
+    df: DataFrame, scorer: Scorer, parallelism: int | None = None, skip_when: Column | None = None
+) -> DataFrame:
     """Add ``score``, ``error``, ``latency_ms`` and ``skipped`` from one scorer.
 
     Rows are keyed by the hash of the scored columns. Copies collapse with map-side combine, so
     each distinct text reaches the model once and each mapper sends at most one copy of it. The
     join back is on the hash; when copies of one text dominate, AQE splits that join partition,
     since the scored side has one row per hash. ``parallelism`` fixes the number of scoring tasks
-    for slow models.
+    for slow models; rows where ``skip_when`` holds are not scored.
     """
-    skipped = skip_reason(scorer, df.columns)
+    skipped = skip_reason(scorer, df.columns, skip_when)
     if scorer.expr is not None:
         value = scorer.expr(*[F.col(c) for c in scorer.requires])
         return df.withColumns(
@@ -142,6 +149,20 @@ def score(df: DataFrame, scorer: Scorer, parallelism: int | None = None) -> Data
     return joined.withColumn("latency_ms", F.coalesce("latency_ms", F.lit(0)))
 
 
+def score_cached(df: DataFrame, scorer: Scorer, cache: DataFrame, as_of) -> DataFrame:
+    """Like :func:`score`, with live cache entries (by ``cache_key``) used instead of the model.
+
+    A cached row has latency 0. The cache has one row per key and evaluator.
+    """
+    hits = live(cache, as_of).where(F.col("evaluator") == scorer.name)
+    entries = hits.select("cache_key", F.col("score").alias("_hit"), F.lit(True).alias("cached"))
+    looked_up = df.join(entries, "cache_key", "left").withColumn(
+        "cached", F.coalesce("cached", F.lit(False))
+    )
+    scored = score(looked_up, scorer, skip_when=F.col("cached"))
+    return scored.withColumn("score", F.when(F.col("cached"), F.col("_hit")).otherwise(F.col("score"))).drop("_hit")
+
+
 def score_pairs(
     payloads: DataFrame,
     keys: Sequence[str],
@@ -155,16 +176,3 @@ def score_pairs(
         *keys, output, F.posexplode(documents).alias("pos", "document")
     )
     return score(pairs, scorer).select(*keys, "pos", "score", "error", "latency_ms")
-
-
-def to_calls(scored: DataFrame, scorer: Scorer | Evaluator, request_id: str, ord: int) -> DataFrame:
-    """A scored frame as evaluator calls in long form."""
-    return scored.select(
-        F.col(request_id).alias("request_id"),
-        F.lit(scorer.name).alias("evaluator"),
-        F.lit(scorer.chain).alias("chain"),
-        F.lit(ord).alias("ord"),
-        "score",
-        F.col("latency_ms").cast("int").alias("latency_ms"),
-        "error",
-    )

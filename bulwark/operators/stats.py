@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,17 +20,27 @@ EFFECT_BOUNDS = ((0.2, "negligible"), (0.5, "small"), (0.8, "medium"))
 
 
 def two_samples(
-    scores: DataFrame, keys: Sequence[str], is_current: Column, value: str = "score"
+    scores: DataFrame,
+    keys: Sequence[str],
+    is_current: Column,
+    value: str = "score",
+    counts: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Per key: sample sizes, means, variances, the current sample's U and the tie term.
 
     One pass collapses the scores to distinct values; ranks come from exact running totals over
-    those, so neither an evaluator nor a run is ever sorted in one task.
+    those, so neither an evaluator nor a run is ever sorted in one task. ``counts`` names further
+    conditions to count in the same pass. NULL scores belong to neither sample.
     """
+    present = F.col(value).isNotNull()
+    counts = dict(counts or {})
     hist = (
-        scores.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count_if(is_current).alias("n_cur"), F.count_if(~is_current).alias("n_base"))
+        scores.groupBy(*keys, value)
+        .agg(
+            F.count_if(present & is_current).alias("n_cur"),
+            F.count_if(present & ~is_current).alias("n_base"),
+            *[F.count_if(cond).alias(name) for name, cond in counts.items()],
+        )
         .withColumn("s_cur", F.col("n_cur") * F.col(value))
         .withColumn("s_base", F.col("n_base") * F.col(value))
     )
@@ -58,6 +68,7 @@ def two_samples(
         variance("base").alias("var_baseline"),
         F.sum(F.col("n_cur") * below).alias("u"),
         F.sum(tied * tied * tied - tied).alias("ties"),
+        *[F.sum(name).alias(name) for name in counts],
     )
 
 
@@ -106,12 +117,11 @@ def compare_runs(
     keys = list(keys)
     current = F.col("side") == "current"
     listed = scores.where(F.col("evaluator").isin(*evaluators))
-    samples = two_samples(listed, keys, current)
-    flags = listed.groupBy(*keys).agg(
-        F.count_if(current & F.col("flag")).alias("current_flags"),
-        F.count_if(~current & F.col("flag")).alias("baseline_flags"),
-    )
-    joined = flags.join(samples, keys, "left")
+    flags = {
+        "current_flags": current & F.col("flag"),
+        "baseline_flags": ~current & F.col("flag"),
+    }
+    joined = two_samples(listed, keys, current, counts=flags)
     if baseline_flags is not None:
         stored = baseline_flags.select(*keys, F.col("flag_count").alias("_stored"))
         joined = joined.join(stored, keys, "left").withColumn(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +22,31 @@ LIMITS = {"error_rate": 0.0, "block_rate": 0.002, "evaluator_failure_rate": 0.0,
 
 def stream(spark, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data as a file stream."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    schema = fx.table(spark, sf_dir, name).schema
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+@contextmanager
+def stream_settings(spark):
+    """RocksDB state, and in a local session one state partition per core."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    if spark.sparkContext.master.startswith("local"):
+        wanted["spark.sql.shuffle.partitions"] = str(spark.sparkContext.defaultParallelism)
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def drained(spark, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Run the stream over all available input and read what it wrote."""
     path = scratch(spark, name)
-    jobs.to_parquet(df, path, scratch(spark, f"{name}-checkpoint"), partition_by).awaitTermination()
+    with stream_settings(spark):
+        jobs.to_parquet(df, path, scratch(spark, f"{name}-checkpoint"), partition_by).awaitTermination()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -180,7 +198,8 @@ def score_once_stream(spark, sf):
         (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("doc_id") % 3600)).alias("ts"),
     )
     path = scratch(spark, "score-cache")
-    jobs.score_once(texts, LENGTH, path, scratch(spark, "score-checkpoint")).awaitTermination()
+    with stream_settings(spark):
+        jobs.score_once(texts, LENGTH, path, scratch(spark, "score-checkpoint")).awaitTermination()
     return spark.read.parquet(path).select("tenant_id", "cache_key", "evaluator", "score")
 
 

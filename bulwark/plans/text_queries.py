@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bulwark.operators import cache, messages, offline, scoring
+from bulwark.operators import cache, chain, messages, offline, scoring
 from bulwark.operators.detectors import exfiltration, models, pii, vectors
 from bulwark.plans import fixtures as fx
 from bulwark.plans import standins
@@ -319,33 +319,70 @@ _SCORED = f"""{_CONTEXT}, f AS (SELECT *, {_entities_sql().replace("text", "inpu
   FROM f)"""
 
 
+_FLAGGED = f"""{_SCORED}, fl AS (SELECT *, score_pii >= 0.5 AS f0, score_prompt_injection >= 0.8 AS f1,
+  coalesce(score_toxicity >= 0.7, false) AS f3, coalesce(score_relevance <= 0.3, false) AS f5,
+  coalesce(score_hallucination >= 0.5, false) AS f6, coalesce(score_faithfulness <= 0.5, false) AS f7 FROM sc)"""
+MODELS = (standins.INJECTION, standins.TOXICITY, standins.RELEVANCE)
+
+
+def _records(spark, sf):
+    """Pairs of user and assistant messages, with the system message as context document."""
+    log = fx.conversations(spark, sf)
+    context = log.where(F.col("role") == "system").select("conv_id", F.array("text").alias("context_documents"))
+    payloads = messages.pair_payloads(log).join(context, "conv_id", "left")
+    return payloads.withColumn("request_id", F.concat_ws("/", "conv_id", "turn"))
+
+
 @query(
     "offline_evaluation",
-    f"""{_SCORED}, fl AS (SELECT *, score_pii >= 0.5 AS f0, score_prompt_injection >= 0.8 AS f1,
-  coalesce(score_toxicity >= 0.7, false) AS f3, coalesce(score_relevance <= 0.3, false) AS f5,
-  coalesce(score_hallucination >= 0.5, false) AS f6, coalesce(score_faithfulness <= 0.5, false) AS f7 FROM sc)
+    f"""{_FLAGGED}
 SELECT conv_id, turn, score_pii, score_prompt_injection, score_toxicity, score_exfiltration, score_relevance,
   round(score_hallucination, 9) AS score_hallucination, round(score_faithfulness, 9) AS score_faithfulness,
   f1 AS blocked, NOT (f0 OR f1 OR f3 OR f5 OR f6 OR f7) AS passed FROM fl""",
     ("pairs",),
 )
 def offline_evaluation(spark, sf):
-    log = fx.conversations(spark, sf)
-    context = log.where(F.col("role") == "system").select("conv_id", F.array("text").alias("context_documents"))
-    payloads = messages.pair_payloads(log).join(context, "conv_id", "left")
-    records = payloads.withColumn("request_id", F.struct("conv_id", "turn"))
-    evaluators = {
-        "prompt_injection": standins.INJECTION,
-        "toxicity": standins.TOXICITY,
-        "relevance": standins.RELEVANCE,
-    }
-    results = offline.evaluate(records, evaluators, consistency=standins.CONSISTENCY)
+    results = offline.evaluate(_records(spark, sf), MODELS, consistency=standins.CONSISTENCY)
     scores = [F.col("scores")[n].alias(f"score_{n}") for n in (
         "pii", "prompt_injection", "toxicity", "exfiltration", "relevance", "hallucination", "faithfulness",
     )]
-    return rounded(
-        results.select("request_id.conv_id", "request_id.turn", *scores, "blocked", "passed")
+    return rounded(results.select("conv_id", "turn", *scores, "blocked", "passed"))
+
+
+@query(
+    "guarded_requests",
+    f"""{_FLAGGED}, h AS (
+  SELECT conv_id, sha256(sha256(sha256(string_agg(digest, chr(30) ORDER BY turn)))) AS input_hash
+  FROM (SELECT conv_id, turn, sha256(concat(role, chr(31), text)) AS digest FROM conversations) d GROUP BY conv_id)
+SELECT concat(conv_id, '/', turn) AS id, input_hash, input_text, {redacted_sql("input_text")} AS input_redacted,
+  f0 OR f1 AS blocked, CASE WHEN f0 THEN 'pii_detected' WHEN f1 THEN 'prompt_injection_detected' END AS block_reason,
+  score_pii, score_prompt_injection, CASE WHEN NOT f1 THEN score_toxicity END AS score_toxicity,
+  CASE WHEN NOT f1 THEN score_exfiltration END AS score_exfiltration,
+  CASE WHEN NOT f1 THEN score_relevance END AS score_relevance,
+  round(CASE WHEN NOT f1 THEN score_hallucination END, 9) AS score_hallucination,
+  NOT f1 AND f5 AS flag_relevance, 0 AS latency_total
+FROM fl JOIN h USING (conv_id)""",
+    ("pairs",),
+)
+def guarded_requests(spark, sf):
+    """From conversations to request-log rows: pair, score, replay, assemble, redact, hash."""
+    records = _records(spark, sf)
+    # Stand-in models take no time worth logging; equal latencies finish in catalogue order.
+    calls = offline.guard(records, MODELS, standins.CONSISTENCY).withColumn("latency_ms", F.lit(1))
+    hashes = messages.input_hash(fx.conversations(spark, sf))
+    cleaned = records.withColumn("redacted_text", pii.redacted(F.col("input_text")))
+    kept = messages.retain_text(cleaned).join(hashes, "conv_id")
+    attributes = kept.select(
+        "request_id", "input_hash", "input_text", "input_redacted", F.lit(None).cast("int").alias("latency_total")
     )
+    rows = chain.request_records(chain.assemble(chain.replay(calls)), attributes)
+    return rounded(
+        rows.select(
+            "id", "input_hash", "input_text", "input_redacted", "blocked", "block_reason", "score_pii",
+            "score_prompt_injection", "score_toxicity", "score_exfiltration", "score_relevance",
+            "score_hallucination", "flag_relevance", "latency_total",
+        )
+    )
 
 
 # Score cache.
@@ -443,6 +480,21 @@ def cache_misses(spark, sf):
     return misses.select("conv_id", "turn", "evaluator")
 
 
+@query(
+    "cached_batch_scores",
+    f"""{_CACHE_TEXTS}{_CACHE}, alive AS (
+  SELECT * FROM stored WHERE evaluator = 'prompt_injection' AND expires_at > TIMESTAMP '2024-01-01 03:00:00')
+SELECT t.conv_id, t.turn, a.cache_key IS NOT NULL AS cached,
+  CASE WHEN a.cache_key IS NOT NULL THEN a.score ELSE {standins.INJECTION_SQL} END AS score
+FROM t LEFT JOIN alive a USING (cache_key)""",
+    ("pairs",),
+)
+def cached_batch_scores(spark, sf):
+    texts = _cache_texts(spark, sf)
+    scored = scoring.score_cached(texts, standins.INJECTION, _stored(spark, sf), CACHE_AS_OF)
+    return scored.select("conv_id", "turn", "cached", "score")
+
+
 @query(
     "cache_write_back",
     f"""{_CACHE_TEXTS}{_CACHE}, fresh AS (

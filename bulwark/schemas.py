@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,33 +24,38 @@ _S, _B, _D, _I, _TS = (
 )
 
 
-def _fields(prefix: str, kind: T.DataType) -> list[T.StructField]:
-    return [T.StructField(f"{prefix}_{name}", kind) for name in NAMES]
+def requests_schema(names: Sequence[str] = NAMES) -> T.StructType:
+    """The request log; a catalogue with more evaluators has more columns."""
 
+    def each(prefix: str, kind: T.DataType) -> list[T.StructField]:
+        return [T.StructField(f"{prefix}_{name}", kind) for name in names]
 
-REQUESTS = T.StructType(
-    [
-        T.StructField("id", _S),
-        T.StructField("created_at", _TS),
-        T.StructField("tenant_id", _S),
-        T.StructField("model", _S),
-        T.StructField("input_hash", _S),
-        T.StructField("input_text", _S),
-        T.StructField("input_redacted", _S),
-        T.StructField("has_context", _B),
-        T.StructField("blocked", _B),
-        T.StructField("block_reason", _S),
-        *_fields("score", _D),
-        *_fields("latency", _I),
-        T.StructField("latency_llm", _I),
-        T.StructField("latency_total", _I),
-        *_fields("flag", _B),
-        T.StructField("reviewed", _B),
-        T.StructField("review_label", _S),
-        T.StructField("reviewed_at", _TS),
-        T.StructField("reviewer_note", _S),
-    ]
-)
+    return T.StructType(
+        [
+            T.StructField("id", _S),
+            T.StructField("created_at", _TS),
+            T.StructField("tenant_id", _S),
+            T.StructField("model", _S),
+            T.StructField("input_hash", _S),
+            T.StructField("input_text", _S),
+            T.StructField("input_redacted", _S),
+            T.StructField("has_context", _B),
+            T.StructField("blocked", _B),
+            T.StructField("block_reason", _S),
+            *each("score", _D),
+            *each("latency", _I),
+            T.StructField("latency_llm", _I),
+            T.StructField("latency_total", _I),
+            *each("flag", _B),
+            T.StructField("reviewed", _B),
+            T.StructField("review_label", _S),
+            T.StructField("reviewed_at", _TS),
+            T.StructField("reviewer_note", _S),
+        ]
+    )
+
+
+REQUESTS = requests_schema()
 
 EVAL_RUNS = T.StructType(
     [

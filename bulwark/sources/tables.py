@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from bulwark.schemas import EVAL_RESULTS, EVAL_RUNS, REQUESTS, conform
+from bulwark.catalog import NAMES
+from bulwark.schemas import EVAL_RESULTS, EVAL_RUNS, REQUESTS, conform, requests_schema
 
 
-def append_requests(records: DataFrame, path: str) -> None:
+def append_requests(records: DataFrame, path: str, names: Sequence[str] = NAMES) -> None:
     """Append to the request log, partitioned by day.
 
-    Rows are grouped by day before the write, spread over several tasks per day, so a busy day
-    neither lands in one task nor leaves one small file per task.
+    The rebalance hint gathers each day into files of a good size: AQE splits a busy day over
+    tasks and merges quiet ones.
     """
-    day = F.to_date("created_at")
-    conform(records, REQUESTS).withColumn("dt", day).withColumn(
-        "_spread", F.pmod(F.xxhash64("id"), F.lit(16))
-    ).repartition("dt", "_spread").drop("_spread").write.partitionBy("dt").mode("append").parquet(path)
+    rows = conform(records, requests_schema(names)).withColumn("dt", F.to_date("created_at"))
+    rows.hint("rebalance", "dt").write.partitionBy("dt").mode("append").parquet(path)
 
 
 def append_requests_stream(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -36,7 +37,8 @@ def append_requests_stream(records: DataFrame, path: str, checkpoint: str) -> St
 
 def append_results(results: DataFrame, path: str) -> None:
     """Append eval results; offline rows carry a scores map and no request id."""
-    conform(results, EVAL_RESULTS).write.mode("append").partitionBy("eval_run_id").parquet(path)
+    rows = conform(results, EVAL_RESULTS).hint("rebalance", "eval_run_id")
+    rows.write.mode("append").partitionBy("eval_run_id").parquet(path)
 
 
 def append_runs(runs: DataFrame, path: str) -> None:

@@ -3,7 +3,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from bulwark.operators import offline, scoring
+from bulwark.catalog import configure, default_config
+from bulwark.operators import chain, offline, scoring
 from bulwark.operators.detectors import exfiltration, models, pii, vectors
 
 
@@ -182,7 +183,7 @@ def test_offline_output_runs_although_input_blocks(spark):
     df = spark.createDataFrame([(1, "in", "out"), (2, "in", None)], "request_id int, input_text string, output_text string")
     high = scoring.Scorer("prompt_injection", score_batch=lambda m, t: [0.95] * len(t))
     tox = scoring.Scorer("toxicity", ("output_text",), "output", score_batch=lambda m, t: [0.9] * len(t))
-    rows = {r.request_id: r for r in offline.evaluate(df, {"prompt_injection": high, "toxicity": tox}).collect()}
+    rows = {r.request_id: r for r in offline.evaluate(df, [high, tox]).collect()}
     assert rows[1].blocked and rows[1].flags == ["prompt_injection", "toxicity"] and not rows[1].passed
     assert rows[2].scores["toxicity"] is None and rows[2].flags == ["prompt_injection"]
 
@@ -192,5 +193,29 @@ def test_offline_error_counts_as_no_score(spark):
         raise RuntimeError("model down")
 
     df = spark.createDataFrame([(1, "in", "out")], "request_id int, input_text string, output_text string")
-    row = offline.evaluate(df, {"toxicity": scoring.Scorer("toxicity", ("output_text",), "output", score_batch=boom)}).collect()[0]
+    scorer = scoring.Scorer("toxicity", ("output_text",), "output", score_batch=boom)
+    row = offline.evaluate(df, [scorer]).collect()[0]
     assert row.error == "model down" and row.passed and row.scores["toxicity"] is None
+
+
+def test_live_guard_spares_models_what_is_blocked(spark):
+    df = spark.createDataFrame(
+        [("1", "mail a@b.example.com", "out"), ("2", "attack", "out"), ("3", "fine", "![x](https://e.example.com)")],
+        "request_id string, input_text string, output_text string",
+    )
+    seen = spark.sparkContext.accumulator(0)
+
+    def inject(m, texts):
+        seen.add(len(texts))
+        return [0.9 if t == "attack" else 0.1 for t in texts]
+
+    scorer = scoring.Scorer("prompt_injection", score_batch=inject, version="count")
+    config = configure({"pii": {"action": "block"}}, default_config())
+    calls = offline.guard(df, [scorer], config=config)
+    wide = {r.request_id: r for r in chain.assemble(chain.replay(calls, config)).collect()}
+    assert seen.value == 2 and wide["1"].score_prompt_injection is None
+    assert wide["1"].block_reason == "pii_detected" and wide["2"].block_reason == "prompt_injection_detected"
+    assert wide["1"].score_exfiltration is None and wide["2"].score_exfiltration is None
+    assert wide["3"].score_exfiltration == 1.0 and not wide["3"].blocked
+    shadow = offline.guard(df, [scorer], config=config, enforce=False, cheap_first=False)
+    assert shadow.where("evaluator = 'exfiltration' AND score IS NOT NULL").count() == 3

@@ -73,16 +73,6 @@ def test_last_input_aggregates_before_the_shuffle(spark, data_dir):
     assert text.count("partial_max_by") >= 2 and "Window" not in text
 
 
-def test_no_query_multiplies_rows_or_sorts_in_one_task(spark, data_dir):
-    """No cartesian or nested-loop join, and no window or sort of unaggregated rows in one task."""
-    for name, query in entry.queries().items():
-        text = plan(query(spark, data_dir))
-        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
-        if re.search(r"Window \[[^\n]*\n[^\n]*Sort[^\n]*\n[^\n]*Exchange SinglePartition", text):
-            # Offsets of file blocks: one short row per block.
-            assert name in ("golden_records", "offline_records"), name
-
-
 def test_no_query_uses_local_checkpoint_or_broadcast_hints():
     import pathlib
 
