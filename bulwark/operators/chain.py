@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bulwark.catalog import EVALUATORS, FALLBACK_THRESHOLD, NAMES, Evaluator, enabled_names, lookup
 from bulwark.functions.flags import flagged
+from bulwark.operators.messages import retain_text
 from bulwark.schemas import conform, requests_schema
 
 # Error code per blocking evaluator; any other gives "<name>_detected".
@@ -101,7 +102,9 @@ def output_results(calls: DataFrame) -> DataFrame:
     return calls.where(F.col("chain") == "output")
 
 
-def assemble(results: DataFrame, names: Sequence[str] = NAMES) -> DataFrame:
+def assemble(
+    results: DataFrame, names: Sequence[str] = NAMES, with_blocker: bool = False
+) -> DataFrame:
     """One wide row per request from its kept calls (input and output together).
 
     ``blocked`` is true for any flagged input call and ``block_reason`` names the first one to
@@ -122,6 +125,7 @@ def assemble(results: DataFrame, names: Sequence[str] = NAMES) -> DataFrame:
             *[F.coalesce(only(n, F.col("flag")), F.lit(False)).alias(f"flag_{n}") for n in names],
             F.bool_or(is_input_flag).alias("blocked"),
             first.alias("_first"),
+            *([F.max("blocked_by").alias("blocked_by")] if with_blocker else []),
         )
         .withColumn("block_reason", F.concat(F.col("_first.evaluator"), F.lit("_detected")))
         .drop("_first")
@@ -129,13 +133,24 @@ def assemble(results: DataFrame, names: Sequence[str] = NAMES) -> DataFrame:
 
 
 def request_records(
-    assembled: DataFrame, attributes: DataFrame, names: Sequence[str] = NAMES
+    assembled: DataFrame,
+    attributes: DataFrame,
+    names: Sequence[str] = NAMES,
+    store_input_text: bool = True,
+    enforce: bool = True,
 ) -> DataFrame:
     """Rows for the request log: assembled results joined with the request's own attributes.
 
-    ``attributes`` is keyed by ``request_id``; a missing total latency is stored as 0.
+    ``attributes`` is keyed by ``request_id``; a missing total latency is stored as 0. With a
+    ``redacted_text`` the stored texts follow ``messages.retain_text``; a request that was
+    stopped keeps its raw text as ``input_redacted``, since its redaction was never used.
     """
     joined = attributes.join(assembled, "request_id", "left")
+    if "redacted_text" in attributes.columns:
+        if enforce and "blocked_by" in assembled.columns:
+            used = F.when(F.col("blocked_by").isNull(), F.col("redacted_text"))
+            joined = joined.withColumn("redacted_text", used)
+        joined = retain_text(joined, store_input_text)
     flags = {f"flag_{n}": F.coalesce(F.col(f"flag_{n}"), F.lit(False)) for n in names}
     filled = joined.withColumns(
         {

@@ -12,25 +12,19 @@ from bulwark.catalog import Evaluator, default_config
 from bulwark.functions.flags import crosses
 from bulwark.operators.detectors import exfiltration, pii
 from bulwark.operators.detectors.models import grounding
-from bulwark.operators.scoring import Scorer, score, score_pairs
+from bulwark.operators.scoring import Scorer, score_all, score_pairs
+from bulwark.session import durable
 
 
-def _by_model(records: DataFrame, scorer: Scorer, skip_when: Column | None = None) -> DataFrame:
-    name = scorer.name
-    renamed = {"score": f"score_{name}", "error": f"error_{name}", "latency_ms": f"latency_{name}"}
-    return score(records, scorer, skip_when=skip_when).withColumnsRenamed(renamed).drop("skipped")
-
-
-def _with_grounding(records: DataFrame, consistency: Scorer) -> DataFrame:
-    """Hallucination and faithfulness from pairs scored once."""
+def _grounded(records: DataFrame, consistency: Scorer) -> DataFrame:
+    """Hallucination and faithfulness per request, from pairs scored once."""
     pairs = score_pairs(records, ["request_id"], consistency)
     per_request = grounding(pairs.withColumnRenamed("score", "consistency"), ["request_id"])
-    grounded = per_request.select(
+    return per_request.select(
         "request_id",
         F.col("hallucination").alias("score_hallucination"),
         F.col("faithfulness").alias("score_faithfulness"),
     )
-    return records.join(grounded, "request_id", "left")
 
 
 def _value(df: DataFrame, e: Evaluator) -> Column:
@@ -52,40 +46,16 @@ def _stopped(df: DataFrame, config: Iterable[Evaluator]) -> Column:
     return reduce(lambda a, b: a | b, stoppers, F.lit(False))
 
 
-def score_inputs(
-    records: DataFrame, models: Iterable[Scorer], config: Sequence[Evaluator], cheap_first: bool = False
-) -> DataFrame:
-    """Add ``score_<name>`` of the input evaluators.
-
-    ``cheap_first`` spares the models the records that patterns already block.
-    """
+def score_patterns(records: DataFrame, allowed_domains: Sequence[str] = ()) -> DataFrame:
+    """Add the scores that are plain expressions: pii and exfiltration."""
     found = F.transform(pii.entities(F.col("input_text")), lambda e: e["score"])
-    scored = records.withColumn("score_pii", F.coalesce(F.array_max(found), F.lit(0.0)))
-    by_pattern = _stopped(scored, config) if cheap_first else None
-    for scorer in models:
-        if scorer.chain == "input":
-            scored = _by_model(scored, scorer, by_pattern)
-    return scored
-
-
-def score_outputs(
-    records: DataFrame,
-    models: Iterable[Scorer],
-    consistency: Scorer | None = None,
-    allowed_domains: Sequence[str] = (),
-    skip_when: Column | None = None,
-) -> DataFrame:
-    """Add ``score_<name>`` of the output evaluators; rows where ``skip_when`` holds have none."""
-    if skip_when is not None:
-        records = records.withColumn("output_text", F.when(~skip_when, F.col("output_text")))
     leaks = F.when(F.size(exfiltration.matches(F.col("output_text"), allowed_domains)) > 0, 1.0).otherwise(0.0)
-    scored = records.withColumn("score_exfiltration", F.when(F.length("output_text") > 0, leaks))
-    for scorer in models:
-        if scorer.chain == "output":
-            scored = _by_model(scored, scorer)
-    if consistency is not None and "context_documents" in records.columns:
-        scored = _with_grounding(scored, consistency)
-    return scored
+    return records.withColumns(
+        {
+            "score_pii": F.coalesce(F.array_max(found), F.lit(0.0)),
+            "score_exfiltration": F.when(F.length("output_text") > 0, leaks),
+        }
+    )
 
 
 def evaluate(
@@ -101,7 +71,9 @@ def evaluate(
     record do not touch others and leave its score NULL.
     """
     config = tuple(config or default_config())
-    scored = score_outputs(score_inputs(records, models, config), models, consistency)
+    scored = score_all(score_patterns(records), models)
+    if consistency is not None and "context_documents" in records.columns:
+        scored = scored.join(_grounded(records, consistency), "request_id", "left")
     live = [e for e in config if e.enabled]
     flags = F.array_compact(F.array(*[F.when(_hit(scored, e), F.lit(e.name)) for e in live]))
     errors = [F.col(c) for c in scored.columns if c.startswith("error_")]
@@ -148,10 +120,24 @@ def guard(
 ) -> DataFrame:
     """Calls of logged traffic as the live guardrail would make them.
 
-    Input evaluators run first; outputs of blocked requests are not scored unless ``enforce`` is
-    off. The result feeds ``chain.replay``.
+    Input evaluators run first. Their scores, without any text, are written once, so that scoring
+    outputs does not run input models again; outputs of blocked requests are not scored unless
+    ``enforce`` is off. ``cheap_first`` spares the input models the records that patterns already
+    block. The result feeds ``chain.replay``.
     """
     config = tuple(config or default_config())
-    inputs = score_inputs(payloads, models, config, cheap_first)
-    blocked = _stopped(inputs, config) if enforce else None
-    return calls_of(score_outputs(inputs, models, consistency, skip_when=blocked), config)
+    of_input = [s for s in models if s.chain == "input"]
+    of_output = [s for s in models if s.chain != "input"]
+    records = score_patterns(payloads)
+    by_pattern = _stopped(records, config) if cheap_first else None
+    inputs = score_all(records, of_input, skip_when=by_pattern)
+    known = [c for s in of_input for c in (f"score_{s.name}", f"error_{s.name}", f"latency_{s.name}")]
+    verdicts = durable(inputs.select("request_id", *known, _stopped(inputs, config).alias("_stopped")))
+    judged = records.join(verdicts, "request_id")
+    if enforce:
+        answered = {c: F.when(~F.col("_stopped"), F.col(c)) for c in ("output_text", "score_exfiltration")}
+        judged = judged.withColumns(answered)
+    scored = score_all(judged, of_output)
+    if consistency is not None and "context_documents" in payloads.columns:
+        scored = scored.join(_grounded(judged, consistency), "request_id", "left")
+    return calls_of(scored, config)

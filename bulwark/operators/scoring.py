@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -77,20 +77,22 @@ def _score_rows(scorer: Scorer, columns: Sequence[list]) -> tuple[list, list]:
         return scores, errors
 
 
-def _runner(scorer: Scorer) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _runner(scorers: Sequence[Scorer]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Scores batches of distinct texts with every scorer that reads the same columns."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            started = time.monotonic()
-            scores, errors = _score_rows(scorer, [batch[c].tolist() for c in scorer.requires])
-            each = int((time.monotonic() - started) * 1000 / max(len(batch), 1))
-            yield pd.DataFrame(
-                {
-                    "_key": batch["_key"],
-                    "score": pd.Series(scores, dtype="float64" if scorer.returns == "double" else "object"),
-                    "error": pd.Series(errors, dtype="object"),
-                    "latency_ms": each,
-                }
-            )
+            out = {"_scored": batch["_scored"]}
+            columns = [batch[c].tolist() for c in scorers[0].requires]
+            for s in scorers:
+                started = time.monotonic()
+                scores, errors = _score_rows(s, columns)
+                each = int((time.monotonic() - started) * 1000 / max(len(batch), 1))
+                kind = "float64" if s.returns == "double" else "object"
+                out[f"score_{s.name}"] = pd.Series(scores, dtype=kind)
+                out[f"error_{s.name}"] = pd.Series(errors, dtype="object")
+                out[f"latency_{s.name}"] = each
+            yield pd.DataFrame(out)
 
     return run
 
@@ -109,44 +111,73 @@ def skip_reason(scorer: Scorer, columns: Sequence[str], skip_when: Column | None
     return reason
 
 
-def score(
-    df: DataFrame, scorer: Scorer, parallelism: int | None = None, skip_when: Column | None = None
+def _groups(scorers: Iterable[Scorer]) -> list[list[Scorer]]:
+    """Scorers that read the same columns of the same rows share one pass."""
+    groups: dict[tuple, list[Scorer]] = {}
+    for s in scorers:
+        groups.setdefault((s.requires, s.chain, s.name in NEEDS_CONTEXT), []).append(s)
+    return list(groups.values())
+
+
+def score_all(
+    df: DataFrame,
+    scorers: Iterable[Scorer],
+    parallelism: int | None = None,
+    skip_when: Column | None = None,
 ) -> DataFrame:
-    """Add ``score``, ``error``, ``latency_ms`` and ``skipped`` from one scorer.
+    """Add ``score_``, ``error_``, ``latency_`` and ``skipped_<name>`` of every scorer.
 
     Rows are keyed by the hash of the scored columns. Copies collapse with map-side combine, so
-    each distinct text reaches the model once and each mapper sends at most one copy of it. The
-    join back is on the hash; when copies of one text dominate, AQE splits that join partition,
-    since the scored side has one row per hash. ``parallelism`` fixes the number of scoring tasks
-    for slow models; rows where ``skip_when`` holds are not scored.
+    each distinct text reaches a model once and each mapper sends at most one copy of it. The join
+    back is on the hash; when copies of one text dominate, AQE splits that join partition, since
+    the scored side has one row per hash. All distinct texts come from ``df`` itself, never from a
+    frame that already carries scores, so no model runs twice. ``parallelism`` fixes the number of
+    scoring tasks for slow models; rows where ``skip_when`` holds are not scored.
     """
-    skipped = skip_reason(scorer, df.columns, skip_when)
-    if scorer.expr is not None:
-        value = scorer.expr(*[F.col(c) for c in scorer.requires])
-        return df.withColumns(
-            {
-                "skipped": skipped,
-                "score": F.when(skipped.isNull(), value),
-                "error": F.lit(None).cast("string"),
-                "latency_ms": F.lit(0),
-            }
+    scorers = list(scorers)
+    columns = df.columns
+    keyed = df
+    in_python = _groups(s for s in scorers if s.expr is None)
+    for s in scorers:
+        keyed = keyed.withColumn(f"skipped_{s.name}", skip_reason(s, columns, skip_when))
+        if s.expr is not None:
+            value = s.expr(*[F.col(c) for c in s.requires])
+            keyed = keyed.withColumns(
+                {
+                    f"score_{s.name}": F.when(F.col(f"skipped_{s.name}").isNull(), value),
+                    f"error_{s.name}": F.lit(None).cast("string"),
+                    f"latency_{s.name}": F.lit(0),
+                }
+            )
+    for i, group in enumerate(in_python):
+        parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in group[0].requires]
+        runs = F.col(f"skipped_{group[0].name}").isNull()
+        keyed = keyed.withColumn(f"_key{i}", F.when(runs, sha256(F.concat_ws(UNIT, *parts))))
+    joined = keyed
+    for i, group in enumerate(in_python):
+        distinct = (
+            keyed.where(F.col(f"_key{i}").isNotNull())
+            .groupBy(F.col(f"_key{i}").alias("_scored"))
+            .agg(*[F.any_value(c).alias(c) for c in group[0].requires])
         )
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in scorer.requires]
-    keyed = df.withColumn("skipped", skipped).withColumn(
-        "_key", F.when(F.col("skipped").isNull(), sha256(F.concat_ws(UNIT, *parts)))
-    )
-    distinct = (
-        keyed.where(F.col("_key").isNotNull())
-        .groupBy("_key")
-        .agg(*[F.any_value(c).alias(c) for c in scorer.requires])
-    )
-    if parallelism:
-        distinct = distinct.repartition(parallelism, "_key")
-    scored = distinct.mapInPandas(
-        _runner(scorer), f"_key string, score {scorer.returns}, error string, latency_ms int"
-    )
-    joined = keyed.join(scored, "_key", "left").drop("_key")
-    return joined.withColumn("latency_ms", F.coalesce("latency_ms", F.lit(0)))
+        if parallelism:
+            distinct = distinct.repartition(parallelism, "_scored")
+        fields = ", ".join(
+            f"score_{s.name} {s.returns}, error_{s.name} string, latency_{s.name} int" for s in group
+        )
+        scored = distinct.mapInPandas(_runner(group), f"_scored string, {fields}")
+        joined = joined.join(scored, F.col(f"_key{i}") == F.col("_scored"), "left").drop(f"_key{i}", "_scored")
+        joined = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in (f"latency_{s.name}" for s in group)})
+    return joined
+
+
+def score(
+    df: DataFrame, scorer: Scorer, parallelism: int | None = None, skip_when: Column | None = None
+) -> DataFrame:
+    """Add ``score``, ``error``, ``latency_ms`` and ``skipped`` of one scorer."""
+    names = {"score": "score", "error": "error", "latency": "latency_ms", "skipped": "skipped"}
+    scored = score_all(df, [scorer], parallelism, skip_when)
+    return scored.withColumnsRenamed({f"{k}_{scorer.name}": v for k, v in names.items()})
 
 
 def score_cached(df: DataFrame, scorer: Scorer, cache: DataFrame, as_of) -> DataFrame:

@@ -354,7 +354,8 @@ def offline_evaluation(spark, sf):
     f"""{_FLAGGED}, h AS (
   SELECT conv_id, sha256(sha256(sha256(string_agg(digest, chr(30) ORDER BY turn)))) AS input_hash
   FROM (SELECT conv_id, turn, sha256(concat(role, chr(31), text)) AS digest FROM conversations) d GROUP BY conv_id)
-SELECT concat(conv_id, '/', turn) AS id, input_hash, input_text, {redacted_sql("input_text")} AS input_redacted,
+SELECT concat(conv_id, '/', turn) AS id, input_hash, input_text,
+  CASE WHEN f1 THEN input_text ELSE {redacted_sql("input_text")} END AS input_redacted,
   f0 OR f1 AS blocked, CASE WHEN f0 THEN 'pii_detected' WHEN f1 THEN 'prompt_injection_detected' END AS block_reason,
   score_pii, score_prompt_injection, CASE WHEN NOT f1 THEN score_toxicity END AS score_toxicity,
   CASE WHEN NOT f1 THEN score_exfiltration END AS score_exfiltration,
@@ -370,12 +371,15 @@ def guarded_requests(spark, sf):
     # Stand-in models take no time worth logging; equal latencies finish in catalogue order.
     calls = offline.guard(records, MODELS, standins.CONSISTENCY).withColumn("latency_ms", F.lit(1))
     hashes = messages.input_hash(fx.conversations(spark, sf))
-    cleaned = records.withColumn("redacted_text", pii.redacted(F.col("input_text")))
-    kept = messages.retain_text(cleaned).join(hashes, "conv_id")
-    attributes = kept.select(
-        "request_id", "input_hash", "input_text", "input_redacted", F.lit(None).cast("int").alias("latency_total")
+    attributes = records.join(hashes, "conv_id").select(
+        "request_id",
+        "input_hash",
+        "input_text",
+        pii.redacted(F.col("input_text")).alias("redacted_text"),
+        F.lit(None).cast("int").alias("latency_total"),
     )
-    rows = chain.request_records(chain.assemble(chain.replay(calls)), attributes)
+    assembled = chain.assemble(chain.replay(calls), with_blocker=True)
+    rows = chain.request_records(assembled, attributes)
     return rounded(
         rows.select(
             "id", "input_hash", "input_text", "input_redacted", "blocked", "block_reason", "score_pii",
