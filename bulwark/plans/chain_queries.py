@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bulwark.catalog import NAMES
 from bulwark.operators import chain
 from bulwark.plans import fixtures as fx
-from bulwark.plans.registry import query
+from bulwark.plans.registry import as_doubles, query
 
 SWEEP = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
@@ -95,7 +95,7 @@ def output_results(spark, sf):
 
 _WIDE = ", ".join(
     [f"max(score) FILTER (WHERE evaluator = '{n}') AS score_{n}" for n in NAMES]
-    + [f"max(latency_ms) FILTER (WHERE evaluator = '{n}') AS latency_{n}" for n in NAMES]
+    + [f"CAST(max(latency_ms) FILTER (WHERE evaluator = '{n}') AS DOUBLE) AS latency_{n}" for n in NAMES]
     + [f"coalesce(bool_or(flag) FILTER (WHERE evaluator = '{n}'), false) AS flag_{n}" for n in NAMES]
 )
 _ASSEMBLED = f"""
@@ -109,7 +109,7 @@ _ASSEMBLED = f"""
 
 @query("assembled_results", _ASSEMBLED, ("replayed",))
 def assembled_results(spark, sf):
-    return chain.assemble(_replayed(spark, sf))
+    return as_doubles(chain.assemble(_replayed(spark, sf)), *[f"latency_{n}" for n in NAMES])
 
 
 @query(
@@ -131,7 +131,7 @@ def request_records(spark, sf):
         F.when(F.col("id") % 10 != 0, F.col("latency_total")).alias("latency_total"),
     )
     records = chain.request_records(chain.assemble(_replayed(spark, sf)), attributes)
-    return records.select(
+    return as_doubles(records, "latency_toxicity").select(
         "id", "model", "tenant_id", "blocked", "block_reason", "score_pii", "score_relevance",
         "latency_toxicity", "flag_pii", "flag_faithfulness", "latency_total", "has_context", "reviewed",
     )

@@ -10,7 +10,7 @@ from bulwark.operators.distribution import nearest_ranks, quantiles
 from bulwark.operators.ratelimit import replay_limits
 from bulwark.plans import fixtures as fx
 from bulwark.plans.oracle_sql import AS_OF_SQL
-from bulwark.plans.registry import query, rounded, stamp_sql, stamped
+from bulwark.plans.registry import as_doubles, query, rounded, stamp_sql, stamped
 from bulwark.session import scratch
 from bulwark.sources import events, tables, validation
 
@@ -152,6 +152,33 @@ def model_latency_histogram(spark, sf):
     return rounded(hist, 6)
 
 
+@query(
+    "http_latency_histogram",
+    _histogram_sql(
+        "(SELECT 'POST' AS method, event_type AS path, CAST(floor(value * 20) AS BIGINT) AS ms FROM events) q",
+        "method, path", "ms", metrics.HTTP_SECONDS,
+    ),
+)
+def http_latency_histogram(spark, sf):
+    served = fx.table(spark, sf, "events").select(
+        F.lit("POST").alias("method"), F.col("event_type").alias("path"), F.floor(F.col("value") * 20).alias("ms")
+    )
+    return rounded(metrics.latency_histogram(served, ["method", "path"], metrics.HTTP_SECONDS, "ms"), 6)
+
+
+@query(
+    "llm_error_counters",
+    """
+SELECT model, count(*) FILTER (WHERE NOT blocked) AS calls, count(*) FILTER (WHERE NOT blocked AND id % 41 = 0) AS errors
+FROM requests GROUP BY model""",
+    ("requests",),
+)
+def llm_error_counters(spark, sf):
+    sent = ~F.col("blocked")
+    failed = sent & (F.col("id") % 41 == 0)
+    return metrics.counters(fx.requests(spark, sf), ["model"], {"calls": sent, "errors": failed})
+
+
 @query(
     "evaluator_counters",
     """
@@ -193,14 +220,14 @@ def limited_sql(limit: int) -> str:
 
     return _LIMITED.format(log=TABLES["http_log"][1]) + f"""
 SELECT event_id, identity, arrival_ms, window_start, position, position <= {limit} AS allowed,
-  CASE WHEN position > {limit} THEN greatest(CAST(ceil((window_start + 60000 - arrival_ms) / 1000.0) AS BIGINT), 1) END AS retry_after_s
+  CASE WHEN position > {limit} THEN CAST(greatest(ceil((window_start + 60000 - arrival_ms) / 1000.0), 1) AS DOUBLE) END AS retry_after_s
 FROM placed"""
 
 
 @query("rate_limit_replay", limited_sql(30))
 def rate_limit_replay(spark, sf):
     log = fx.http_log(spark, sf).select("event_id", "identity", "arrival_ms")
-    return replay_limits(log, limit=30)
+    return as_doubles(replay_limits(log, limit=30), "retry_after_s")
 
 
 @query(
@@ -524,7 +551,7 @@ _RESOLVED = """
 @query(
     "tenant_resolution",
     f""", r AS ({_RESOLVED})
-SELECT event_id, CASE WHEN api_key = 'h5' THEN 0 ELSE tenant_id END AS tenant_id,
+SELECT event_id, CAST(CASE WHEN api_key = 'h5' THEN 0 ELSE tenant_id END AS DOUBLE) AS tenant_id,
   CASE WHEN api_key = 'h5' THEN 'master' WHEN known THEN 'resolved' ELSE 'rejected' END AS auth_status FROM r""",
     ("http_log", "api_keys"),
 )
@@ -532,7 +559,7 @@ def tenant_resolution(spark, sf):
     resolved = tenancy.resolve_tenants(
         fx.http_log(spark, sf), fx.api_keys(spark), fx.tenants(spark), master_key="h5"
     )
-    return resolved.select("event_id", "tenant_id", "auth_status")
+    return as_doubles(resolved, "tenant_id").select("event_id", "tenant_id", "auth_status")
 
 
 @query(

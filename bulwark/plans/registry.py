@@ -46,3 +46,8 @@ def stamped(df: DataFrame) -> DataFrame:
     """Timestamps as text."""
     times = {f.name for f in df.schema.fields if f.dataType.simpleString().startswith("timestamp")}
     return df.select(*[stamp(c).alias(c) if c in times else F.col(c) for c in df.columns])
+
+
+def as_doubles(df: DataFrame, *names: str) -> DataFrame:
+    """Whole numbers that may be NULL as doubles, which dataframe libraries read alike."""
+    return df.withColumns({n: F.col(n).cast("double") for n in names})

@@ -134,6 +134,22 @@ def eval_result_append(spark, sf):
     return rounded(grouped, 6)
 
 
+@query(
+    "eval_run_append",
+    """
+SELECT status, CAST(tenant_id AS VARCHAR) AS tenant_id, count(*) AS n, CAST(sum(record_count) AS BIGINT) AS records
+FROM eval_runs GROUP BY ALL""",
+    ("eval_runs",),
+)
+def eval_run_append(spark, sf):
+    path = scratch(spark, "eval-runs")
+    tables.append_runs(fx.eval_runs(spark, sf).withColumnRenamed("run_id", "id"), path)
+    stored = spark.read.parquet(path)
+    return stored.groupBy("status", "tenant_id").agg(
+        F.count("*").alias("n"), F.sum(F.col("record_count").cast("long")).alias("records")
+    )
+
+
 @query(
     "baseline_resolution",
     """

@@ -11,7 +11,7 @@ from bulwark.functions.text import cache_key
 from bulwark.operators.scoring import Scorer
 from bulwark.plans import fixtures as fx
 from bulwark.plans.log_queries import limited_sql
-from bulwark.plans.registry import query, rounded, stamp_sql, stamped
+from bulwark.plans.registry import as_doubles, query, rounded, stamp_sql, stamped
 from bulwark.session import STATE_STORE, scratch
 from bulwark.sources import events, tables
 from bulwark.streaming import jobs
@@ -127,7 +127,7 @@ def rate_limit_stream(spark, sf):
     log = fx.http_projection(stream(spark, sf, "events")).select("event_id", "identity", "arrival_ms")
     path = scratch(spark, "rate-limits")
     jobs.rate_limits(log, path, scratch(spark, "rate-limits-checkpoint"), limit=30).awaitTermination()
-    return spark.read.parquet(f"{path}/decisions").drop("batch")
+    return as_doubles(spark.read.parquet(f"{path}/decisions").drop("batch"), "retry_after_s")
 
 
 @query(

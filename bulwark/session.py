@@ -19,6 +19,7 @@ def session(app: str = "bulwark", master: str | None = None, **conf: str) -> Spa
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Recording the Python call site of every column costs more than planning the query.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
