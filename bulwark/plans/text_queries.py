@@ -206,14 +206,25 @@ def exfiltration_strip_allowed(spark, sf):
 
 @query(
     "topic_guardrail",
-    """WITH topics AS (SELECT embedding AS t FROM embeddings WHERE vec_id < 5)
-SELECT e.vec_id, round(greatest(max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(t.t AS DOUBLE[]))), 0), 6) AS score
+    """WITH c AS (
+  SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v
+  FROM embeddings CROSS JOIN range(1, (SELECT max(len(embedding)) + 1 FROM embeddings)) r(i) GROUP BY ALL
+), topics AS (SELECT label, list(v ORDER BY i) AS t FROM c GROUP BY label)
+SELECT e.vec_id, round(greatest(max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), t.t)), 0), 6) AS score
 FROM embeddings e CROSS JOIN topics t GROUP BY e.vec_id""",
 )
 def topic_guardrail(spark, sf):
-    """Five vectors serve as the configured topics; every vector of the table is scored."""
+    """The mean vector of each label is an allowed topic; every vector is scored against all."""
     vecs = fx.table(spark, sf, "embeddings")
-    topics = [r.embedding for r in vecs.where(F.col("vec_id") < 5).select("embedding").collect()]
+    means = (
+        vecs.select("label", F.posexplode("embedding").alias("pos", "v"))
+        .groupBy("label", "pos")
+        .agg(F.avg("v").alias("v"))
+        .groupBy("label")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("vector"))
+    )
+    # As many rows as labels: topics are configuration of the job.
+    topics = [[p.v for p in row.vector] for row in means.collect()]
     scored = vectors.topic_guardrail(vecs, "embedding", topics)
     return rounded(scored.select("vec_id", "score"), 6)
 

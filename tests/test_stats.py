@@ -1,6 +1,7 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,14 +9,6 @@ from bulwark.functions.significance import exact_p, normal_p, p_value
 from bulwark.operators import distribution, runs, stats
 
 
-def percentile(data, p):
-    s = sorted(data)
-    idx = p * (len(s) - 1)
-    lo = int(idx)
-    hi = min(lo + 1, len(s) - 1)
-    return s[lo] + (idx - lo) * (s[hi] - s[lo])
-
-
 def brute_u(current, baseline):
     return sum((c > b) + 0.5 * (c == b) for c in current for b in baseline)
 
@@ -39,7 +32,7 @@ def test_quantiles_match_brute_force_on_a_dominant_key(spark, many_partitions):
         data = [v for k, v in rows if k == key]
         assert got[key].n == len(data)
         for name, p in probs.items():
-            assert got[key][name] == pytest.approx(percentile(data, p)), (key, name)
+            assert got[key][name] == pytest.approx(np.quantile(data, p)), (key, name)
 
 
 def test_percentile_goldens(spark):
