@@ -19,9 +19,12 @@ def cache_key(tenant_id: Column, text: Column, config_version: str, prefix: str
 
 
 def uuid_or_null(text: Column) -> Column:
-    """A canonical lower-case UUID, or NULL when the text is not one."""
-    shape = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-    return F.when(text.rlike(shape), F.lower(text))
+    """A canonical lower-case UUID, or NULL when the text is not one. Braces, a urn prefix and
+    missing hyphens are accepted."""
+    bare = F.regexp_replace(F.regexp_replace(text, "urn:|uuid:", ""), "^[{}]+|[{}]+$", "")
+    digits = F.lower(F.regexp_replace(bare, "-", ""))
+    grouped = F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return F.when(digits.rlike("^[0-9a-f]{32}$"), grouped)
 
 
 def key_prefix(key: Column, length: int = 20) -> Column:

@@ -43,52 +43,74 @@ def _nearest_rank(pairs: Column, p: float) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
-def rolling_health(
-    events: DataFrame,
-    window: str = "15 minutes",
-    slide: str = "1 minute",
-    watermark: str | None = None,
-) -> DataFrame:
-    """Sliding-window health from (ts, kind, blocked, errored, latency_ms).
-
-    Events first collapse to one-minute panes per kind and latency, so the 15-fold window
-    assignment applies to panes and not to events, and state grows with distinct latencies.
-    """
-    if watermark:
-        events = events.withWatermark("ts", watermark)
+def _counted(events: DataFrame, *keys: Column) -> DataFrame:
+    """Events collapsed per kind and, for requests, latency."""
     latency = F.when(F.col("kind") == "request", F.col("latency_ms"))
-    panes = events.groupBy(F.window("ts", slide).alias("pane"), "kind", latency.alias("latency_ms")).agg(
+    return events.groupBy(*keys, "kind", latency.alias("latency_ms")).agg(
         F.count("*").alias("n"),
         F.count_if("blocked").alias("n_blocked"),
         F.count_if("errored").alias("n_errored"),
     )
-    timed = panes.select("*", F.window_time("pane").alias("pane_time"))
+
+
+def _totals() -> list[Column]:
+    """Aggregates over collapsed events."""
 
     def total(kind: str, column: str = "n") -> Column:
         return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(column))), F.lit(0))
 
-    pair = F.when(
-        (F.col("kind") == "request") & F.col("latency_ms").isNotNull(), F.struct("latency_ms", "n")
-    )
-    grouped = timed.groupBy(F.window("pane_time", window, slide).alias("w")).agg(
+    has_latency = (F.col("kind") == "request") & F.col("latency_ms").isNotNull()
+    return [
         total("request").alias("request_count"),
         total("request", "n_blocked").alias("_blocked"),
         total("llm_call").alias("llm_call_count"),
         total("llm_call", "n_errored").alias("_llm_errors"),
         total("evaluator").alias("evaluator_call_count"),
         total("evaluator", "n_errored").alias("_failures"),
-        F.collect_list(pair).alias("_latencies"),
-    )
-    return grouped.select(
-        F.col("w.start").alias("window_start"),
-        F.col("w.end").alias("window_end"),
-        "request_count",
+        F.collect_list(F.when(has_latency, F.struct("latency_ms", "n"))).alias("_latencies"),
+    ]
+
+
+def _measures() -> list[Column]:
+    """Health columns from the totals."""
+    return [
+        F.col("request_count"),
         rate(F.col("_blocked"), F.col("request_count")).alias("block_rate"),
-        "llm_call_count",
+        F.col("llm_call_count"),
         rate(F.col("_llm_errors"), F.col("llm_call_count")).alias("llm_error_rate"),
-        "evaluator_call_count",
+        F.col("evaluator_call_count"),
         rate(F.col("_failures"), F.col("evaluator_call_count")).alias("evaluator_failure_rate"),
         _nearest_rank(F.col("_latencies"), P95).alias("p95_latency_ms"),
+    ]
+
+
+def snapshot(events: DataFrame, as_of, window: str = "15 minutes") -> DataFrame:
+    """Health of the window that ends at ``as_of``, both ends included; always one row."""
+    kind = events.schema["ts"].dataType
+    end = F.lit(as_of).cast(kind)
+    start = (end - F.expr(f"INTERVAL {window}")).cast(kind)
+    recent = events.where((F.col("ts") >= start) & (F.col("ts") <= end))
+    return _counted(recent).agg(*_totals()).select(*_measures())
+
+
+def rolling_health(
+    events: DataFrame,
+    window: str = "15 minutes",
+    slide: str = "1 minute",
+    watermark: str | None = None,
+) -> DataFrame:
+    """Sliding-window health from (ts, kind, blocked, errored, latency_ms).
+
+    Events first collapse to one-minute panes per kind and latency, so the 15-fold window
+    assignment applies to panes and not to events, and state grows with distinct latencies.
+    """
+    if watermark:
+        events = events.withWatermark("ts", watermark)
+    panes = _counted(events, F.window("ts", slide).alias("pane"))
+    timed = panes.select("*", F.window_time("pane").alias("pane_time"))
+    grouped = timed.groupBy(F.window("pane_time", window, slide).alias("w")).agg(*_totals())
+    return grouped.select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *_measures()
     )
 
 

@@ -87,3 +87,14 @@ def test_cache_key_value(spark, version):
     df = spark.createDataFrame([("t1", "héllo")], "tenant string, text string")
     key = df.select(cache_key(F.col("tenant"), F.col("text"), version).alias("k")).collect()[0].k
     assert key == "guard:t1:scores:" + hashlib.sha256(f"héllo|{version}".encode()).hexdigest()
+
+
+def test_uuid_forms(spark):
+    from bulwark.functions.text import key_prefix, uuid_or_null
+
+    want = "a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11"
+    forms = [want, want.upper(), "{" + want + "}", "urn:uuid:" + want, want.replace("-", ""), "no", "", want + "0", None]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(forms)], "i int, t string")
+    rows = df.orderBy("i").select(uuid_or_null(F.col("t")).alias("u"), key_prefix(F.col("t")).alias("p")).collect()
+    assert [r.u for r in rows] == [want] * 5 + [None] * 4
+    assert rows[0].p == want[:20]

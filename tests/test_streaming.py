@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from bulwark.operators.scoring import Scorer
 from bulwark.streaming import jobs
-from bulwark.streaming.health import alerts, rolling_health
+from bulwark.streaming.health import alerts, rolling_health, snapshot
 
 START = datetime(2024, 1, 1)
 HEALTH = "ts timestamp, kind string, blocked boolean, errored boolean, latency_ms int"
@@ -41,6 +41,15 @@ def test_events_leave_the_window(spark):
     assert df.count() == 30 and df.agg(F.max("request_count")).collect()[0][0] == 1
 
 
+def test_snapshot_includes_both_ends_and_may_be_empty(spark):
+    rows = [event(0, latency=7), event(15, blocked=True, latency=9), event(15.1, latency=1), event(-0.1, latency=1)]
+    df = spark.createDataFrame(rows, HEALTH)
+    s = snapshot(df, START + timedelta(minutes=15)).collect()[0]
+    assert (s.request_count, s.block_rate, s.p95_latency_ms) == (2, 0.5, 9)
+    empty = snapshot(df, START - timedelta(days=1)).collect()
+    assert [tuple(r) for r in empty] == [(0, 0.0, 0, 0.0, 0, 0.0, 0)]
+
+
 def checks(spark, rows, limits=None):
     df = alerts(rolling_health(spark.createDataFrame(rows, HEALTH)), limits)
     at = df.where(F.col("window_start") == F.lit(START)).orderBy("ord").collect()
