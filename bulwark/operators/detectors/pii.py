@@ -236,7 +236,7 @@ def report(
     def found(kind: str) -> Column:
         return F.size(F.filter("_types", lambda t: t == kind))
 
-    counts = kinds.where(F.size("_types") > 0).select(*keys, *[found(p.type).alias(p.type) for p in active])
+    counts = kinds.select(*keys, *[found(p.type).alias(p.type) for p in active])
     totals = counts.groupBy(*keys).agg(
         *[
             F.struct(
