@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from bulwark.plans.registry import ORACLES, QUERIES
 from tools.check import connect, matches
 
 # A window in one task over something unaggregated.
@@ -18,7 +19,7 @@ def con(data_dir):
     return connect(data_dir)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, data_dir, name):
     df = entry.queries()[name](spark, data_dir)
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -34,4 +35,4 @@ def test_entry_has_rows(spark):
 
 
 def test_only_the_p_values_lack_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"run_comparison_p_values"}
+    assert set(QUERIES) - set(ORACLES) == {"run_comparison_p_values"}
