@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bulwark.llm import bpe
+from bulwark.llm import bpe, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,8 @@ def vocabulary() -> str:
 @query
 def op5_bpe_round_trip(spark, sf):
     return bpe.digests(bpe.encode(_documents(spark, sf), vocabulary(), decoded=True))
+
+
+@query
+def op4_simhash_groups(spark, sf):
+    return simhash.groups(_documents(spark, sf))
