@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bulwark.llm import bpe, simhash
+from bulwark.llm import bpe, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,8 @@ def op5_bpe_round_trip(spark, sf):
 @query
 def op4_simhash_groups(spark, sf):
     return simhash.groups(_documents(spark, sf))
+
+
+@query
+def op2_mixture_quotas(spark, sf):
+    return mixing.taken(_documents(spark, sf))
