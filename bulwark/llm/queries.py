@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bulwark.llm import bpe, mixing, simhash
+from bulwark.llm import bpe, mixing, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,8 @@ def op4_simhash_groups(spark, sf):
 @query
 def op2_mixture_quotas(spark, sf):
     return mixing.taken(_documents(spark, sf))
+
+
+@query
+def op10_secret_spans(spark, sf):
+    return secret_scan.report(_documents(spark, sf))
