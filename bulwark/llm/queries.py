@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bulwark.llm import bpe, mixing, secret_scan, simhash
+from bulwark.llm import bpe, mixing, secret_scan, simhash, weighted_sampling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,8 @@ def op2_mixture_quotas(spark, sf):
 @query
 def op10_secret_spans(spark, sf):
     return secret_scan.report(_documents(spark, sf))
+
+
+@query
+def op6_weighted_fingerprints(spark, sf):
+    return weighted_sampling.digests(weighted_sampling.edited(_documents(spark, sf)))
