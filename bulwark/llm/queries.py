@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bulwark.llm import bpe, lblm, mixing, secret_scan, simhash, weighted_sampling
+from bulwark.llm import bpe, langid, lblm, mixing, secret_scan, simhash, weighted_sampling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,8 @@ def op6_weighted_fingerprints(spark, sf):
 @query
 def op8_log_bilinear_scores(spark, sf):
     return lblm.scores(_documents(spark, sf))
+
+
+@query
+def op7_languages(spark, sf):
+    return langid.identified(_documents(spark, sf))
