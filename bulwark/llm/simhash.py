@@ -11,7 +11,7 @@ query also visits each shard whose region its ball overlaps by the triangle boun
 symmetric, so only shards after its own. Inside a shard smaller trees prune by the same bound and
 the pairs left are compared over all 64 bits. The result is exact: all pairs within the radius.
 
-Shards that hold more than ``SHARD`` fingerprints (many close together) are cut into cells of
+Shards that hold more than ``CELL`` fingerprints (many close together) are cut into cells of
 bounded size, so no task takes a whole group. Tasks give spanning edges, never all pairs, and
 copies count once: only distinct fingerprints are searched.
 
@@ -39,8 +39,9 @@ SEED = 42
 BITS = 64
 #: Distinct fingerprints that the top trees are built from.
 SAMPLE = 16_384
-#: Fingerprints that one cell of a shard may hold.
-SHARD = 4_096
+#: Fingerprints in a shard, about, and the most that one cell of a shard takes.
+SHARD = 8_192
+CELL = 32_768
 #: Pairs compared at once where a tree cannot split further.
 LEAF = 1 << 14
 
@@ -248,7 +249,7 @@ def links(distinct: DataFrame, radius: int = 4, blocks: int = 3, seed: int = 7)
     routed = stored(mapped(distinct.select("fp"), route, "block int, leaf int, home boolean, fp long"), "routed")
     # One row per leaf of the sampled trees: bounded by SAMPLE.
     counts = routed.groupBy("block", "leaf").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / SHARD)).cast("int").alias("parts")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / CELL)).cast("int").alias("parts")
     sized = routed.join(F.broadcast(counts.select("block", "leaf", parts)), ["block", "leaf"])
     part = F.pmod(F.xxhash64(F.lit(seed), "fp"), F.col("parts")).cast("int")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
