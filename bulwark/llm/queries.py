@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bulwark.llm import bpe, langid, lblm, mixing, secret_scan, simhash, weighted_sampling
+from bulwark.llm import bpe, langid, lblm, mixing, secret_scan, simhash, toxicity, weighted_sampling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,8 @@ def op8_log_bilinear_scores(spark, sf):
 @query
 def op7_languages(spark, sf):
     return langid.identified(_documents(spark, sf))
+
+
+@query
+def op9_toxicity_scores(spark, sf):
+    return toxicity.scored(_documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
