@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bulwark.llm import bpe, langid, lblm, mixing, quality, secret_scan, simhash, toxicity, weighted_sampling
+from bulwark.llm import bpe, hnsw, langid, lblm, mixing, quality, secret_scan, simhash, toxicity, weighted_sampling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op9_toxicity_scores(spark, sf):
 @query
 def op1_quality_grades(spark, sf):
     return quality.graded(_documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query
+def op3_hnsw_groups(spark, sf):
+    return hnsw.groups(spark.read.parquet(f"{sf}/embeddings.parquet"))
