@@ -48,6 +48,13 @@ ID_MASK = (1 << ID_BITS) - 1
 NEVER = 1 << 62
 
 
+def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public vocabulary file of the installed package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in a byte-level vocabulary file."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

@@ -1,7 +1,4 @@
-"""The training-data operators as queries: whole tables, production parameters, full results.
-
-``public_tokenizers`` is the installed package with the files of public vocabularies.
-"""
+"""The training-data operators as queries: whole tables, production parameters, full results."""
 
 from __future__ import annotations
 
@@ -9,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from bulwark.llm import bpe, hnsw, langid, lblm, mixing, quality, secret_scan, simhash, toxicity, weighted_sampling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,15 +22,9 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-def vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 @query
 def op5_bpe_round_trip(spark, sf):
-    return bpe.digests(bpe.encode(_documents(spark, sf), vocabulary(), decoded=True))
+    return bpe.digests(bpe.encode(_documents(spark, sf), bpe.public_vocabulary(), decoded=True))
 
 
 @query
@@ -78,3 +70,8 @@ def op1_quality_grades(spark, sf):
 @query
 def op3_hnsw_groups(spark, sf):
     return hnsw.groups(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+@query
+def pipeline(spark, sf):
+    return corpus_pipeline.run(spark, sf)
