@@ -6,7 +6,8 @@ are exact code points whatever the text holds.
 
 Model. Two first-order character models, one of random strings and one of ordinary identifiers,
 give a log-likelihood ratio per character. Their bigram counts come from labelled samples: the
-secrets inside base spans are random; runs of letters and underscores are ordinary. The documents that train are a bounded sample (``SAMPLE``);
+secrets inside base spans are random; other words and identifiers are ordinary. A pair's
+probability leans on its second character's own frequency by ``LEAN`` counts. The documents that train are a bounded sample (``SAMPLE``);
 all documents are scanned. A run of at least ``LEAST`` signs that no base span touches becomes a
 span of kind ``markov`` when its mean ratio reaches ``RATIO`` and it mixes digits with letters.
 
@@ -51,6 +52,7 @@ RATIO = 0.5
 #: Documents that train the model, about.
 SAMPLE = 20_000
 CODES = 128
+LEAN = 5.0
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -117,8 +119,7 @@ def _pairs(strings: Column) -> Column:
 def train(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SAMPLE, seed: int = 5) -> np.ndarray:
     """Log-likelihood ratios, random over ordinary, by pair of character codes.
 
-    The driver receives pair counts: at most 2 x 128 x 128 rows. Both models start from a uniform
-    distribution over the printable characters with weight 1 for each pair.
+    The driver receives pair counts: at most 2 x 128 x 128 rows.
     """
     sample = bounded_sample(docs.select(F.col(id), F.coalesce(F.col(text), F.lit("")).alias("_text")), id, size, seed)
     marked = sample.select(F.explode(base_spans(F.col("_text"))).alias("span"))
@@ -128,10 +129,8 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = S
             inner = F.regexp_extract("span.found", kind.pattern, kind.secret)
             value = F.when(F.col("span.kind") == i, inner).otherwise(value)
     random = marked.select(F.lit(1).alias("random"), value.alias("s"))
-    ordinary = sample.select(
-        F.lit(0).alias("random"),
-        F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(r"[A-Za-z_]{4,}"), F.lit(0)))).alias("s"),
-    )
+    names = F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(r"[A-Za-z_][A-Za-z0-9_]{3,}"), F.lit(0))))
+    ordinary = sample.select(F.lit(0).alias("random"), names.alias("s")).join(random.select("s"), "s", "left_anti").select("random", "s")
     pairs = (
         random.unionByName(ordinary).where(F.length("s") > 1)
         .select("random", F.explode(_pairs(F.col("s"))).alias("pair"))
@@ -143,8 +142,10 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = S
             counts[row["random"], row["pair"]] = row["n"]
     if not counts.sum(axis=1).all():
         return np.zeros(CODES * CODES)
-    counts = counts.reshape(2, CODES, CODES) + 1.0
-    log_p = np.log(counts / counts.sum(axis=2, keepdims=True))
+    counts = counts.reshape(2, CODES, CODES)
+    single = counts.sum(axis=1) + 1.0
+    single /= single.sum(axis=1, keepdims=True)
+    log_p = np.log((counts + LEAN * single[:, None, :]) / (counts.sum(axis=2, keepdims=True) + LEAN))
     return (log_p[1] - log_p[0]).ravel()
 
 
