@@ -221,13 +221,15 @@ def redacted(docs: DataFrame, id: str = "doc_id", text: str = "text", mark: str
         ).otherwise(F.struct(F.greatest(done["at"], s["end"]).alias("at"), done["out"].alias("out"))),
         lambda done: F.concat(done["out"], F.substr(F.col(text), done["at"] + 1, F.length(F.col(text)))),
     )
-    changed = F.size("_bw_spans") > 0
+    # A column of its own: an alias ``text`` beside it would be taken for the text inside the lambda.
+    filled_in = found.withColumn("_bw_filled", F.when(F.size("_bw_spans") > 0, filled))
+    changed = F.col("_bw_filled").isNotNull()
     out = []
     for name in docs.columns:
         if name == text:
-            out.append(F.when(changed, filled).otherwise(F.col(text)).alias(text))
+            out.append(F.coalesce("_bw_filled", F.col(name)).alias(name))
         elif name == "n_chars":
-            out.append(F.when(changed, F.length(filled)).otherwise(F.col(name)).cast(docs.schema[name].dataType).alias(name))
+            out.append(F.when(changed, F.length("_bw_filled")).otherwise(F.col(name)).cast(docs.schema[name].dataType).alias(name))
         else:
             out.append(F.col(name))
-    return found.select(*out)
+    return filled_in.select(*out)
