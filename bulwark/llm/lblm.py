@@ -46,15 +46,15 @@ SIZE = 32
 EVERY = 8
 SHARD = 250_000
 ROUNDS = 2
-PASSES = 2
+PASSES = 1
 BATCH = 512
 NOISE = 128
-RATE = 0.15
+RATE = 0.1
 #: Tokens whose counts every task holds, and their greatest length in bytes.
 COMMON = 100_000
 LONGEST = 64
 #: Distinct tokens that a counting task holds before it passes them on.
-HELD = 400_000
+HELD = 250_000
 #: Shards averaged at once.
 FAN_IN = 64
 
@@ -162,7 +162,7 @@ def _summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def train_shard(theta: np.ndarray, examples: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
     """Noise-contrastive estimation over examples (u, v, w) with AdaGrad steps."""
     theta = theta.copy()
-    squares = np.full(theta.shape, 1e-6)
+    squares = np.ones(theta.shape)
     rng = np.random.default_rng(seed)
     cumulative = np.cumsum(p)
     with np.errstate(divide="ignore"):
@@ -185,11 +185,10 @@ def train_shard(theta: np.ndarray, examples: np.ndarray, p: np.ndarray, seed: in
             false = h @ theta[noise, out].T + theta[noise, bias] - offset[noise]
             g_true = -1.0 / (1.0 + np.exp(np.clip(true, -30, 30)))
             g_false = 1.0 / (1.0 + np.exp(-np.clip(false, -30, 30)))
-            n = len(u)
-            g_h = (g_true[:, None] * r + g_false @ theta[noise, out]) / n
+            g_h = g_true[:, None] * r + g_false @ theta[noise, out]
             ids = np.concatenate([w, noise])
-            g_out = np.vstack([g_true[:, None] * h, g_false.T @ h]) / n
-            g_bias = np.concatenate([g_true, g_false.sum(axis=0)])[:, None] / n
+            g_out = np.vstack([g_true[:, None] * h, g_false.T @ h])
+            g_bias = np.concatenate([g_true, g_false.sum(axis=0)])[:, None]
             step(ids, out, g_out)
             step(ids, slice(bias, bias + 1), g_bias)
             step(u, first, g_h)
