@@ -285,17 +285,14 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Trees:
 
 def isotonic(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(raw, probability) points of the best non-decreasing curve, by pooling violators."""
-    order = np.lexsort((y, raw))
+    level, at = np.unique(raw, return_inverse=True)  # equal scores share a probability
+    weights = np.bincount(at, weight)
     blocks: list[list[float]] = []  # weighted mean of y, weight, weighted sum of raw
-    for r, t, w in zip(raw[order], y[order], weight[order]):
-        if blocks and blocks[-1][3] == r:  # equal scores share a probability
-            last = blocks[-1]
-            last[0], last[1], last[2] = (last[0] * last[1] + t * w) / (last[1] + w), last[1] + w, last[2] + r * w
-        else:
-            blocks.append([t, w, r * w, r])
+    for r, t, w in zip(level, np.bincount(at, weight * y) / weights, weights):
+        blocks.append([t, w, r * w])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             b, a = blocks.pop(), blocks.pop()
-            blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2], b[3]])
+            blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
     return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] for b in blocks])
 
 
