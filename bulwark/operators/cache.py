@@ -1,16 +1,24 @@
-"""Score cache as a table: (tenant_id, cache_key, evaluator, score, metadata, written_at, expires_at)."""
+"""Score cache as a table: (tenant_id, cache_key, evaluator, score, metadata, written_at, expires_at).
+
+Batch and streaming jobs share it. It is stored in buckets of keys, and a write replaces only the
+buckets that hold its keys.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bulwark.catalog import INPUT_NAMES
 from bulwark.functions.text import cache_key
+from bulwark.session import stored
 
 TTL_SECONDS = 3600
+BUCKETS = 64
+COLUMNS = ("tenant_id", "cache_key", "evaluator", "score", "metadata", "written_at", "expires_at")
 
 
 def with_cache_key(payloads: DataFrame, config_version: str, prefix: str = "guard") -> DataFrame:
@@ -44,11 +52,12 @@ def cache_misses(requested: DataFrame, cache: DataFrame, as_of) -> DataFrame:
     return requested.join(entries, ["cache_key", "evaluator"], "left_anti")
 
 
-def write_back(cache: DataFrame, fresh: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+def write_back(cache: DataFrame, fresh: DataFrame, ttl_seconds: int = TTL_SECONDS, as_of=None) -> DataFrame:
     """The cache after storing ``fresh`` results (with ``written_at`` and ``error``).
 
     Errored and NULL scores are not stored. The latest write of an evaluator wins, and any write
-    renews the expiry of the key's entries that are still alive.
+    renews the expiry of the key's entries that are still alive. Entries that have expired by
+    ``as_of`` leave the cache.
     """
     keys = ["tenant_id", "cache_key", "evaluator"]
     columns = [*keys, "score", "metadata", "written_at", "expires_at"]
@@ -71,10 +80,46 @@ def write_back(cache: DataFrame, fresh: DataFrame, ttl_seconds: int = TTL_SECOND
     # A key that had expired before the new writes starts over without its old entries.
     lapsed = F.coalesce(F.col("expires_at") <= F.col("first_write"), F.lit(False))
     renewed = F.col("last_write") + F.expr(f"INTERVAL '{ttl_seconds}' SECOND")
-    return (
+    kept = (
         merged.where(~lapsed)
         .withColumn("expires_at", F.coalesce(renewed, F.col("expires_at")))
         .groupBy(*keys)
         .agg(newest_value, F.max("expires_at").alias("expires_at"))
         .select(*keys, "v.*", "expires_at")
     )
+    return kept if as_of is None else live(kept, as_of)
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("cache_key"), F.lit(buckets)).cast("int")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored cache, or None before its first write."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def store(fresh: DataFrame, path: str, ttl_seconds: int = TTL_SECONDS, buckets: int = BUCKETS) -> None:
+    """Write ``fresh`` results back to the cache at ``path``.
+
+    Only the buckets of its keys are read and replaced, without what expired before the newest of
+    the writes. Storing the same results again changes nothing.
+    """
+    spark = fresh.sparkSession
+    good = stored(fresh.where(F.col("error").isNull() & F.col("score").isNotNull()), "fresh")
+    # At most as many rows as there are buckets.
+    newest = [tuple(r) for r in good.groupBy(_bucket(buckets)).agg(F.max("written_at")).collect()]
+    if not newest:
+        return
+    empty = good.withColumn("expires_at", F.col("written_at")).select(*COLUMNS).limit(0)
+    held = read(spark, path)
+    old = empty if held is None else held.where(F.col("bucket").isin([b for b, _ in newest])).select(*COLUMNS)
+    merged = stored(write_back(old, good, ttl_seconds, max(t for _, t in newest)), "cache")
+    rows = merged.withColumn("bucket", _bucket(buckets)).repartition("bucket")
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("bucket").parquet(path)

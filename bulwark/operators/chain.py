@@ -138,18 +138,21 @@ def request_records(
     names: Sequence[str] = NAMES,
     store_input_text: bool = True,
     enforce: bool = True,
+    config: Iterable[Evaluator] = EVALUATORS,
 ) -> DataFrame:
     """Rows for the request log: assembled results joined with the request's own attributes.
 
     ``attributes`` is keyed by ``request_id``; a missing total latency is stored as 0. With a
-    ``redacted_text`` the stored texts follow ``messages.retain_text``; a request that was
-    stopped keeps its raw text as ``input_redacted``, since its redaction was never used.
+    ``redacted_text`` the stored texts follow ``messages.retain_text``. The redaction counts only
+    where it was used: pii was flagged with action redact, and the request was not stopped.
     """
     joined = attributes.join(assembled, "request_id", "left")
     if "redacted_text" in attributes.columns:
+        redacts = any(e.name == "pii" and e.enabled and e.action == "redact" for e in config)
+        used = F.lit(redacts) & F.coalesce(F.col("flag_pii"), F.lit(False))
         if enforce and "blocked_by" in assembled.columns:
-            used = F.when(F.col("blocked_by").isNull(), F.col("redacted_text"))
-            joined = joined.withColumn("redacted_text", used)
+            used &= F.col("blocked_by").isNull()
+        joined = joined.withColumn("redacted_text", F.when(used, F.col("redacted_text")))
         joined = retain_text(joined, store_input_text)
     flags = {f"flag_{n}": F.coalesce(F.col(f"flag_{n}"), F.lit(False)) for n in names}
     filled = joined.withColumns(
@@ -175,12 +178,14 @@ def decisions(
     config: Iterable[Evaluator] = EVALUATORS,
     enforce: bool = True,
     llm_errors: DataFrame | None = None,
+    unstrippable: DataFrame | None = None,
 ) -> DataFrame:
     """The outcome of each request: blocked, llm_error, redacted, stripped or passed.
 
     ``results`` are kept calls with ``blocked_by`` on the input ones. With ``enforce=False``
     (shadow mode) blockers are reported but do not block. ``llm_errors`` lists request ids whose
-    model call failed.
+    model call failed, ``unstrippable`` those whose answer could not be replaced: it was streamed,
+    or nothing was left of it without its links. Those pass unless they were redacted.
     """
     config = tuple(config)
     action = lookup(F.col("evaluator"), config, "action", "flag")
@@ -201,13 +206,18 @@ def decisions(
         marked = llm_errors.select("request_id", F.lit(True).alias("_failed"))
         per_request = per_request.join(marked, "request_id", "left")
         failed = F.coalesce(F.col("_failed"), F.lit(False))
+    stripped = F.col("stripped")
+    if unstrippable is not None:
+        whole = unstrippable.select("request_id", F.lit(True).alias("_whole")).distinct()
+        per_request = per_request.join(whole, "request_id", "left")
+        stripped &= F.col("_whole").isNull()
     stopped = F.col("blocked_by").isNotNull() & F.lit(enforce)
     return per_request.select(
         "request_id",
         F.when(stopped, "blocked")
         .when(failed, "llm_error")
         .when(F.col("redacted"), "redacted")
-        .when(F.col("stripped"), "stripped")
+        .when(stripped, "stripped")
         .otherwise("passed")
         .alias("decision"),
         F.when(stopped, 400).when(failed, 502).otherwise(200).alias("status"),
@@ -221,13 +231,18 @@ def decisions(
     )
 
 
-def replay(calls: DataFrame, config: Iterable[Evaluator] = EVALUATORS, enforce: bool = True) -> DataFrame:
+def replay(
+    calls: DataFrame,
+    config: Iterable[Evaluator] = EVALUATORS,
+    enforce: bool = True,
+    timeout_seconds: float = TIMEOUT_SECONDS,
+) -> DataFrame:
     """Calls that count for the log: the input race plus output calls of requests not blocked.
 
     Without enforcement the output chain runs for every request.
     """
     config = tuple(config)
-    ready = apply_thresholds(normalise_timeouts(calls), config)
+    ready = apply_thresholds(normalise_timeouts(calls, timeout_seconds), config)
     raced = _raced(ready, config)
     ran_output = F.col("_first").isNull() | F.lit(not enforce)
     kept = F.when(F.col("chain") == "input", _finished()).otherwise(ran_output)

@@ -33,14 +33,24 @@ def grounding(
 
     ``support`` is the consistency (or entailment) of each pair. Hallucination is the largest
     contradiction, by default ``1 - support``; faithfulness is the largest support. Both come from
-    one aggregation, so pairs are scored once.
+    one aggregation, so pairs are scored once. A failed pair could hide a contradiction: a request
+    with any ``error`` has no scores and carries the first error by text. ``latency_ms`` is the sum
+    over the request's pairs.
     """
     against = F.col(contradiction) if contradiction else F.lit(1.0) - F.col(support)
-    return pairs.groupBy(*keys).agg(
+    have = set(pairs.columns)
+    failed = F.bool_or(F.col("error").isNotNull()) if "error" in have else F.lit(False)
+    grouped = pairs.groupBy(*keys).agg(
         F.max(against).alias("hallucination"),
         F.max(support).alias("faithfulness"),
         F.count(support).alias("num_docs"),
+        *([F.min("error").alias("error"), failed.alias("_failed")] if "error" in have else []),
+        *([F.sum("latency_ms").cast("int").alias("latency_ms")] if "latency_ms" in have else []),
     )
+    if "error" not in have:
+        return grouped
+    whole = {c: F.when(~F.col("_failed"), F.col(c)) for c in ("hallucination", "faithfulness")}
+    return grouped.withColumns(whole).drop("_failed")
 
 
 def per_document(pairs: DataFrame, keys: Sequence[str], pos: str = "pos", value: str = "consistency") -> DataFrame:

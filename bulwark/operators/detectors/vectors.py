@@ -10,20 +10,26 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of equal length as float64, plus a mask of rows that are present."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    valid = np.asarray(column.is_valid())
-    rows = column.drop_null()
-    width = len(rows[0]) if len(rows) else 0
-    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(rows), width), valid
+def _widths(column: pa.Array) -> np.ndarray:
+    """Length of each row; -1 where it is absent or holds a NULL."""
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False).copy()
+    if column.flatten().null_count:
+        for i, row in enumerate(column.to_pylist()):
+            if row is not None and None in row:
+                lengths[i] = -1
+    return lengths
+
+
+def _matrix(column: pa.Array, width: int, usable: np.ndarray) -> np.ndarray:
+    """The usable rows, which all have ``width`` numbers, as float64."""
+    rows = column.filter(pa.array(usable))
+    return rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), width)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -40,7 +46,8 @@ def _spread(values: np.ndarray, valid: np.ndarray) -> pa.Array:
 def topic_similarity(vector: Column, topics: Sequence[Sequence[float]]) -> Column:
     """Highest cosine similarity to any topic, floored at 0; 1.0 when there are no topics.
 
-    Topics are configuration: a short list fixed before the job starts.
+    Topics are configuration: a short list of vectors of one width, fixed before the job starts.
+    A vector of another width has no score; :func:`vector_error` says why.
     """
     if not topics:
         return F.lit(1.0)
@@ -48,20 +55,23 @@ def topic_similarity(vector: Column, topics: Sequence[Sequence[float]]) -> Colum
 
     @F.arrow_udf(T.DoubleType())
     def best(column: pa.Array) -> pa.Array:
-        rows, valid = _matrix(column)
+        usable = _widths(column) == len(wanted)
+        rows = _matrix(column, len(wanted), usable)
         sims = (_unit(rows) @ wanted).max(axis=1) if len(rows) else np.zeros(0)
-        return _spread(np.maximum(sims, 0.0), valid)
+        return _spread(np.maximum(sims, 0.0), usable)
 
     return best(vector)
 
 
 @F.arrow_udf(T.DoubleType())
 def _cosine(a: pa.Array, b: pa.Array) -> pa.Array:
-    both = pa.compute.and_(a.is_valid(), b.is_valid())
-    left, _ = _matrix(a.filter(both))
-    right, _ = _matrix(b.filter(both))
-    sims = (_unit(left) * _unit(right)).sum(axis=1) if len(left) else np.zeros(0)
-    return _spread(np.clip(sims, 0.0, 1.0), np.asarray(both))
+    widths = _widths(a)
+    usable = (widths == _widths(b)) & (widths >= 0)
+    sims = np.zeros(len(widths))
+    for width in np.unique(widths[usable]):  # one product per width, nearly always a single one
+        rows = usable & (widths == width)
+        sims[rows] = (_unit(_matrix(a, width, rows)) * _unit(_matrix(b, width, rows))).sum(axis=1)
+    return _spread(np.clip(sims[usable], 0.0, 1.0), usable)
 
 
 def relevance(input_vector: Column, output_vector: Column) -> Column:
@@ -69,5 +79,50 @@ def relevance(input_vector: Column, output_vector: Column) -> Column:
     return _cosine(input_vector, output_vector)
 
 
+def vector_error(vector: Column, width: Column | int) -> Column:
+    """Why a vector has no score: it is absent, holds a NULL, or has another width; else NULL."""
+    wanted = F.lit(width) if isinstance(width, int) else width
+    broken = F.exists(vector, lambda x: x.isNull())
+    return (
+        F.when(vector.isNull(), "no vector")
+        .when(broken, "vector with a missing number")
+        .when(F.size(vector) != wanted, F.format_string("vector of width %d, not %d", F.size(vector), wanted))
+    )
+
+
 def topic_guardrail(df: DataFrame, vector: str, topics: Sequence[Sequence[float]]) -> DataFrame:
-    return df.withColumn("score", topic_similarity(F.col(vector), topics))
+    """Add ``score`` and ``error``: a vector that cannot be scored fails open."""
+    error = vector_error(F.col(vector), len(topics[0])) if topics else F.lit(None).cast("string")
+    return df.withColumns({"score": topic_similarity(F.col(vector), topics), "error": error})
+
+
+def topic_guardrail_by(df: DataFrame, vector: str, topics: DataFrame, topic: str) -> DataFrame:
+    """Like :func:`topic_guardrail` with the topics in a table, as when each tenant has its own.
+
+    ``topics`` holds ``topic`` vectors; columns of equal name in both tables must match, without any
+    every row meets every topic. Topics of a row's group are few, so they travel as one array.
+    """
+    shared = [c for c in topics.columns if c in df.columns and c != topic]
+    lists = topics.groupBy(*shared).agg(F.sort_array(F.collect_list(topic)).alias("_topics"))
+    if shared:
+        met = df.join(lists, shared, "left")
+    else:
+        met = df.withColumn("_topics", lists.select("_topics").scalar())
+
+    @F.arrow_udf(T.DoubleType())
+    def best(column: pa.Array, lists: pa.Array) -> pa.Array:
+        out, present = np.zeros(len(column)), np.zeros(len(column), dtype=bool)
+        units: dict[bytes, np.ndarray] = {}
+        for i, (row, wanted) in enumerate(zip(column.to_pylist(), lists.to_pylist())):
+            if not wanted:
+                out[i], present[i] = 1.0, True
+                continue
+            matrix = np.asarray(wanted, dtype=np.float64)
+            unit = units.setdefault(matrix.tobytes(), _unit(matrix))
+            if row is not None and None not in row and len(row) == unit.shape[1]:
+                out[i], present[i] = max(0.0, float((unit @ _unit(np.asarray([row], dtype=np.float64))[0]).max())), True
+        return pa.array(out, mask=~present)
+
+    width = F.size(F.get("_topics", F.lit(0)))
+    error = F.when(F.size("_topics") > 0, vector_error(F.col(vector), width))
+    return met.withColumns({"score": best(F.col(vector), F.col("_topics")), "error": error}).drop("_topics")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bulwark.catalog import NAMES
 from bulwark.functions.flags import any_flag, flag_names
-from bulwark.schemas import REVIEW_LABELS
+from bulwark.schemas import REVIEW_LABELS, requests_schema
 
 FLAGGED_VIEW_COLUMNS = (
     "id", "created_at", "model", "input_redacted", "blocked", "block_reason",
@@ -22,9 +22,11 @@ def for_tenant(df: DataFrame, tenant_id=None) -> DataFrame:
     return df if tenant_id is None else df.where(F.col("tenant_id") == F.lit(tenant_id))
 
 
-def _present(df: DataFrame, names, kind: str) -> list[Column]:
+def _present(df: DataFrame, names) -> list[Column]:
+    """The named columns, absent ones as NULLs of the request log's types."""
     have = set(df.columns)
-    return [F.col(n) if n in have else F.lit(None).cast(kind).alias(n) for n in names]
+    kinds = {f.name: f.dataType for f in requests_schema(NAMES).fields}
+    return [F.col(n) if n in have else F.lit(None).cast(kinds[n]).alias(n) for n in names]
 
 
 def nested(requests: DataFrame) -> DataFrame:
@@ -109,7 +111,7 @@ def review_queue(requests: DataFrame, tenant_id=None, limit: int = 20) -> DataFr
 def flagged_view(requests: DataFrame) -> DataFrame:
     """Rows with any flag or a block, in the view's 25 columns. Consumers order it."""
     rows = requests.where(any_flag() | F.col("blocked"))
-    return rows.select(*_present(requests, FLAGGED_VIEW_COLUMNS, "string"))
+    return rows.select(*_present(requests, FLAGGED_VIEW_COLUMNS))
 
 
 def page(requests: DataFrame, page: int = 1, limit: int = 50) -> DataFrame:

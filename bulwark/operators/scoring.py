@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -50,26 +51,50 @@ def catalogue_with(*scorers: Scorer) -> tuple[Evaluator, ...]:
     )
 
 
+class LoadError(RuntimeError):
+    """A model that could not be loaded; remembered, so a worker tries once."""
+
+
 _models: dict[tuple[str, str], Any] = {}
 
 
 def _model(scorer: Scorer) -> Any:
     key = (scorer.name, scorer.version)
     if scorer.load and key not in _models:
-        _models[key] = scorer.load()
-    return _models.get(key)
+        try:
+            _models[key] = scorer.load()
+        except Exception as exc:
+            _models[key] = LoadError(f"model not loaded: {exc}")
+    model = _models.get(key)
+    if isinstance(model, LoadError):
+        raise model
+    return model
+
+
+def _called(scorer: Scorer, model: Any, columns: Sequence[list]) -> list:
+    scores = list(scorer.score_batch(model, *columns))
+    if len(scores) != len(columns[0]):
+        raise ValueError(f"{len(scores)} scores for {len(columns[0])} rows")
+    return scores
 
 
 def _score_rows(scorer: Scorer, columns: Sequence[list]) -> tuple[list, list]:
-    """Scores and errors of a batch; when the batch fails, each row is tried alone."""
+    """Scores and errors of a batch; when the batch fails, each row is tried alone.
+
+    A model that does not load fails every row without another try.
+    """
     n = len(columns[0])
     try:
-        return list(scorer.score_batch(_model(scorer), *columns)), [None] * n
+        model = _model(scorer)
+    except LoadError as exc:
+        return [None] * n, [str(exc)] * n
+    try:
+        return _called(scorer, model, columns), [None] * n
     except Exception:
         scores, errors = [], []
         for row in zip(*columns, strict=True):
             try:
-                scores.append(scorer.score_batch(_model(scorer), *[[v] for v in row])[0])
+                scores.append(_called(scorer, model, [[v] for v in row])[0])
                 errors.append(None)
             except Exception as exc:  # a failing evaluator never fails the job
                 scores.append(None)
@@ -124,15 +149,17 @@ def score_all(
     scorers: Iterable[Scorer],
     parallelism: int | None = None,
     skip_when: Column | None = None,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``score_``, ``error_``, ``latency_`` and ``skipped_<name>`` of every scorer.
 
-    Rows are keyed by the hash of the scored columns. Copies collapse with map-side combine, so
-    each distinct text reaches a model once and each mapper sends at most one copy of it. The join
-    back is on the hash; when copies of one text dominate, AQE splits that join partition, since
-    the scored side has one row per hash. All distinct texts come from ``df`` itself, never from a
-    frame that already carries scores, so no model runs twice. ``parallelism`` fixes the number of
-    scoring tasks for slow models; rows where ``skip_when`` holds are not scored.
+    Rows are keyed by the hash of the scored columns, and each distinct text reaches a model once.
+    A text crosses the network once per group of scorers that read the same columns; the groups'
+    results meet on the hashes alone, and the rows of ``df`` join them once. With ``keep`` only
+    those columns of ``df`` take part in that join and in the result, so without the texts it is
+    narrow. When copies of one text dominate, AQE splits the join, since the scored side has one
+    row per combination of hashes. ``parallelism`` fixes the number of scoring tasks for slow
+    models; rows where ``skip_when`` holds are not scored.
     """
     scorers = list(scorers)
     columns = df.columns
@@ -153,22 +180,35 @@ def score_all(
         parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in group[0].requires]
         runs = F.col(f"skipped_{group[0].name}").isNull()
         keyed = keyed.withColumn(f"_key{i}", F.when(runs, sha256(F.concat_ws(UNIT, *parts))))
-    joined = keyed
-    for i, group in enumerate(in_python):
-        distinct = (
-            keyed.where(F.col(f"_key{i}").isNotNull())
-            .groupBy(F.col(f"_key{i}").alias("_scored"))
-            .agg(*[F.any_value(c).alias(c) for c in group[0].requires])
-        )
+    kept = [c for c in keyed.columns if c not in columns or keep is None or c in keep]
+    if not in_python:
+        return keyed.select(*kept)
+    keys = [f"_key{i}" for i in range(len(in_python))]
+    results = keyed.select(*keys).distinct() if len(keys) > 1 else None
+    names: list[str] = []
+    for key, group in zip(keys, in_python):
+        # Equal hashes have equal texts, so this is one row per hash without sorting any text.
+        distinct = keyed.where(F.col(key).isNotNull()).select(F.col(key).alias("_scored"), *group[0].requires).distinct()
         if parallelism:
             distinct = distinct.repartition(parallelism, "_scored")
         fields = ", ".join(
             f"score_{s.name} {s.returns}, error_{s.name} string, latency_{s.name} int" for s in group
         )
         scored = distinct.mapInPandas(_runner(group), f"_scored string, {fields}")
-        joined = joined.join(scored, F.col(f"_key{i}") == F.col("_scored"), "left").drop(f"_key{i}", "_scored")
-        joined = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in (f"latency_{s.name}" for s in group)})
-    return joined
+        names += [c for c in scored.columns if c != "_scored"]
+        if results is None:
+            results = scored.withColumnRenamed("_scored", f"_found{key}")
+        else:
+            results = results.join(scored, F.col(key) == F.col("_scored"), "left").drop("_scored")
+    found = {key: f"_found{key}" for key in keys}
+    if len(keys) > 1:
+        results = results.withColumnsRenamed(found)
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f)) for k, f in found.items()])
+    else:
+        same = F.col(keys[0]) == F.col(found[keys[0]])
+    joined = keyed.select(*kept).join(results, same, "left")
+    latencies = {c: F.coalesce(c, F.lit(0)) for c in names if c.startswith("latency_")}
+    return joined.withColumns(latencies).drop(*keys, *found.values())
 
 
 def score(
@@ -183,10 +223,11 @@ def score(
 def score_cached(df: DataFrame, scorer: Scorer, cache: DataFrame, as_of) -> DataFrame:
     """Like :func:`score`, with live cache entries (by ``cache_key``) used instead of the model.
 
-    A cached row has latency 0. The cache has one row per key and evaluator.
+    A cached row has latency 0 and the entry's ``metadata``, from which a redacted text comes; rows
+    that were scored have no metadata. The cache has one row per key and evaluator.
     """
     hits = live(cache, as_of).where(F.col("evaluator") == scorer.name)
-    entries = hits.select("cache_key", F.col("score").alias("_hit"), F.lit(True).alias("cached"))
+    entries = hits.select("cache_key", F.col("score").alias("_hit"), "metadata", F.lit(True).alias("cached"))
     looked_up = df.join(entries, "cache_key", "left").withColumn(
         "cached", F.coalesce("cached", F.lit(False))
     )

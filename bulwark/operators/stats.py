@@ -143,15 +143,16 @@ def compare_runs(
         {
             "mann_whitney_u": F.when(enough, F.col("u")).otherwise(0.0),
             "z": F.when(enough, z_score(F.col("u"), n1, n2, F.col("ties"))),
-            "p_value": F.when(
-                enough,
+            # NULL arguments spare the rows that are not tested.
+            "p_value": F.coalesce(
                 mann_whitney_p(
-                    F.coalesce("u", F.lit(0.0)),
-                    n1.cast("double"),
-                    n2.cast("double"),
-                    F.coalesce("ties", F.lit(0.0)),
+                    F.when(enough, F.col("u")),
+                    F.when(enough, n1.cast("double")),
+                    F.when(enough, n2.cast("double")),
+                    F.when(enough, F.col("ties").cast("double")),
                 ),
-            ).otherwise(1.0),
+                F.lit(1.0),
+            ),
             "cohens_d": F.when(enough, cohens_d()).otherwise(0.0),
             "flag_rate_delta": F.col("current_flags") / per(n1) - F.col("baseline_flags") / per(n2),
         }

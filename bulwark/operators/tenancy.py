@@ -74,5 +74,14 @@ def key_usage(api_keys: DataFrame, tenants: DataFrame, log: DataFrame, tenant_id
 
 
 def insert_if_absent(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """``table`` plus the rows whose key it does not hold yet (insert, do nothing on conflict)."""
-    return table.unionByName(rows.join(table.select(key), key, "left_anti"))
+    """``table`` plus the rows whose key it does not hold yet (insert, do nothing on conflict).
+
+    Of several new rows with one key the smallest stays, comparing their other columns in order;
+    a NULL key conflicts with nothing, so all its rows are inserted.
+    """
+    others = [c for c in rows.columns if c != key]
+    named = rows.where(F.col(key).isNotNull())
+    first = named.groupBy(key).agg(F.min(F.struct(*others)).alias("_row")) if others else named.distinct()
+    one = first.select(key, "_row.*") if others else first
+    fresh = one.join(table.select(key), key, "left_anti").select(*rows.columns)
+    return table.unionByName(fresh).unionByName(rows.where(F.col(key).isNull()))

@@ -230,6 +230,28 @@ def rate_limit_replay(spark, sf):
     return as_doubles(replay_limits(log, limit=30), "retry_after_s")
 
 
+def _unknown_sql() -> str:
+    from bulwark.plans.oracle_sql import TABLES
+
+    named = f"""SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN identity ELSE -1 END AS identity, arrival_ms
+  FROM ({TABLES["http_log"][1]}) h WHERE event_id % 11 <> 0"""
+    return _LIMITED.format(log=named) + f"""
+SELECT event_id, CAST(CASE WHEN identity <> -1 THEN identity END AS DOUBLE) AS identity, CAST(arrival_ms AS DOUBLE) AS arrival_ms,
+  CAST(window_start AS DOUBLE) AS window_start, CAST(position AS DOUBLE) AS position, position <= 5 AS allowed FROM placed
+UNION ALL SELECT event_id, CAST(CASE WHEN event_id % 7 <> 0 THEN identity END AS DOUBLE), NULL, NULL, NULL, NULL
+FROM ({TABLES["http_log"][1]}) h WHERE event_id % 11 = 0"""
+
+
+@query("rate_limit_unknown", _unknown_sql())
+def rate_limit_unknown(spark, sf):
+    """Callers without an identity share a window; events without a time pass undecided."""
+    i = F.col("event_id")
+    log = fx.http_log(spark, sf).select(
+        "event_id", F.when(i % 7 != 0, F.col("identity")).alias("identity"), F.when(i % 11 != 0, F.col("arrival_ms")).alias("arrival_ms")
+    )
+    return as_doubles(replay_limits(log, limit=5).drop("retry_after_s"), "identity", "arrival_ms", "window_start", "position")
+
+
 @query(
     "http_counters",
     limited_sql(30).replace("SELECT event_id, identity, arrival_ms, window_start", ", limited AS (SELECT event_id, identity, arrival_ms, window_start", 1)

@@ -317,9 +317,55 @@ def run_comparison(spark, sf):
     return rounded(table.withColumns({"mann_whitney_u": F.round("mann_whitney_u", 3), "z": F.round("z", 6)}))
 
 
-@query("run_comparison_p_values")
+# 1 - 2 (integral of the normal density from 0 to z), by Simpson's rule in 2,000 steps.
+_NORMAL_P = """, p AS (
+  SELECT evaluator, greatest(0, least(1, coalesce(1 - 2 * (max(z) / 2000 / 3 * sum(
+    CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(z * i / 2000) * (z * i / 2000) / 2) / sqrt(2 * pi()))), 1))) AS p
+  FROM z CROSS JOIN range(0, 2001) r(i) GROUP BY evaluator)"""
+
+
+@query(
+    "run_comparison_p_values",
+    f"""{_COMPARED}{_NORMAL_P}
+SELECT evaluator, round(p, 9) AS p_value, p < 0.05 AND abs(d) >= 0.2 AS significant,
+  CASE WHEN NOT (p < 0.05 AND abs(d) >= 0.2) THEN 'stable'
+       WHEN CASE WHEN direction = 'above' THEN mean_current > mean_baseline ELSE mean_current < mean_baseline END THEN 'regression'
+       ELSE 'improvement' END AS direction
+FROM z JOIN p USING (evaluator)""",
+    ("run_flags",),
+)
 def run_comparison_p_values(spark, sf):
-    return stats.compare_runs(_sides(spark, sf)).select("evaluator", "p_value", "significant", "direction")
+    return rounded(stats.compare_runs(_sides(spark, sf)).select("evaluator", "p_value", "significant", "direction"))
+
+
+@query(
+    "exact_comparison",
+    """, g AS (
+  SELECT id // 13 AS batch, id % 13 < 6 AS cur, (id * 7919) % 10007 AS score FROM requests
+), s AS (
+  SELECT a.batch, count(*) FILTER (WHERE b.score < a.score) AS u FROM g a JOIN g b ON a.batch = b.batch AND a.cur AND NOT b.cur GROUP BY a.batch
+), n AS (SELECT batch, count(*) FILTER (WHERE cur) AS n1, count(*) FILTER (WHERE NOT cur) AS n2 FROM g GROUP BY batch
+), ways AS (
+  SELECT list_sum(list_transform(range(13), lambda i: CASE WHEN (m >> i) & 1 = 1 THEN i ELSE 0 END)) - 15 AS u
+  FROM range(0, 8192) r(m) WHERE bit_count(m) = 6
+), tail AS (SELECT v.upper, count(*) AS n FROM (SELECT DISTINCT greatest(u, 42 - u) AS upper FROM s) v JOIN ways w ON w.u >= v.upper GROUP BY 1)
+SELECT batch, n1 AS n_current, n2 AS n_baseline, CASE WHEN n2 >= 5 THEN CAST(u AS DOUBLE) ELSE 0 END AS mann_whitney_u,
+  CASE WHEN n2 >= 5 THEN round(least(1, 2 * t.n / CAST(1716 AS DOUBLE)), 9) ELSE 1 END AS p_value
+FROM n LEFT JOIN s USING (batch) LEFT JOIN tail t ON t.upper = greatest(u, 42 - u) WHERE n1 = 6 AND n2 = 7""",
+    ("requests",),
+)
+def exact_comparison(spark, sf):
+    """Six against seven distinct scores: the exact distribution, counted by enumeration in SQL."""
+    i = F.col("id")
+    scores = fx.requests(spark, sf).select(
+        F.floor(i / 13).alias("batch"),
+        F.lit("toxicity").alias("evaluator"),
+        F.when(i % 13 < 6, "current").otherwise("baseline").alias("side"),
+        ((i * 7919) % 10007).cast("double").alias("score"),
+        F.lit(False).alias("flag"),
+    )
+    table = stats.compare_runs(scores, ["batch", "evaluator"]).where("n_current = 6 AND n_baseline = 7")
+    return rounded(table.select("batch", "n_current", "n_baseline", "mann_whitney_u", "p_value"))
 
 
 @query(

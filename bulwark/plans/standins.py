@@ -27,6 +27,16 @@ def _injection(_, texts: list[str]) -> list[float]:
 INJECTION = Scorer("prompt_injection", ("input_text",), score_batch=_injection)
 
 
+def _topic(_, texts: list[str]) -> list[float]:
+    if any(len(t) % 11 == 0 for t in texts):
+        raise ValueError("off the map")
+    return [(len(t) * 11 % 97) / 100 for t in texts]
+
+
+TOPIC = Scorer("topic_guardrail", ("input_text",), "input", "below", score_batch=_topic)
+TOPIC_SQL = "CASE WHEN length(input_text) % 11 <> 0 THEN CAST(length(input_text) * 11 % 97 AS DOUBLE) / 100 END"
+
+
 def _toxicity(_, texts: list[str]) -> list[float]:
     return [(len(t) * 3 % 90) / 100 for t in texts]
 

@@ -28,18 +28,16 @@ def stream(spark, sf_dir: str, name: str) -> DataFrame:
 
 @contextmanager
 def stream_settings(spark):
-    """RocksDB state, and in a local session one state partition per core."""
+    """RocksDB state."""
     wanted = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
-    if spark.sparkContext.master.startswith("local"):
-        wanted["spark.sql.shuffle.partitions"] = str(spark.sparkContext.defaultParallelism)
-    before = {k: spark.conf.get(k) for k in wanted}
+    before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
         yield
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def drained(spark, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -127,7 +125,7 @@ def rate_limit_stream(spark, sf):
     log = fx.http_projection(stream(spark, sf, "events")).select("event_id", "identity", "arrival_ms")
     path = scratch(spark, "rate-limits")
     jobs.rate_limits(log, path, scratch(spark, "rate-limits-checkpoint"), limit=30).awaitTermination()
-    return as_doubles(spark.read.parquet(f"{path}/decisions").drop("batch"), "retry_after_s")
+    return as_doubles(spark.read.parquet(f"{path}/decisions").drop("batch", "late"), "retry_after_s")
 
 
 @query(
@@ -203,6 +201,46 @@ def score_once_stream(spark, sf):
     return spark.read.parquet(path).select("tenant_id", "cache_key", "evaluator", "score")
 
 
+def _moody_score(_, texts: list[str], moods: list[str]) -> list[float]:
+    if "down" in moods:
+        raise ValueError("model is down")
+    return _length_score(None, texts)
+
+
+MOODY = Scorer("length", ("text", "mood"), score_batch=_moody_score)
+
+
+@query(
+    "score_once_retry_stream",
+    """WITH t AS (SELECT DISTINCT text FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0)
+SELECT 1 AS tenant_id, concat('guard:1:scores:', sha256(concat(text, '|v1'))) AS cache_key, 'length' AS evaluator,
+  CAST(length(text) % 101 AS DOUBLE) / 100 AS score FROM t""",
+)
+def score_once_retry_stream(spark, sf):
+    """The model is down for the first micro-batch; its texts come again or are tried again."""
+    texts = fx.table(spark, sf, "documents").select(
+        F.lit(1).cast("long").alias("tenant_id"),
+        "text",
+        cache_key(F.lit(1), F.col("text"), "v1").alias("cache_key"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("doc_id") % 600)).alias("ts"),
+        "doc_id",
+    )
+    inbox = scratch(spark, "moody-input")
+    third, even = texts.where("doc_id % 3 = 0"), texts.where("doc_id % 2 = 0")
+    later = F.col("ts") + F.expr("INTERVAL 10 MINUTE")
+    # First the model is down; then it is well, for other texts and for most of the same ones.
+    parts = [
+        third.withColumn("mood", F.lit("down")),
+        even.unionByName(third).withColumns({"mood": F.lit("well"), "ts": later}),
+    ]
+    for part in parts:
+        part.drop("doc_id").coalesce(1).write.mode("append").parquet(inbox)
+    source = spark.readStream.schema(parts[0].drop("doc_id").schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    path = scratch(spark, "moody-cache")
+    jobs.score_once(source, MOODY, path, scratch(spark, "moody-checkpoint")).awaitTermination()
+    return spark.read.parquet(path).select("tenant_id", "cache_key", "evaluator", "score")
+
+
 @query(
     "request_log_stream",
     """

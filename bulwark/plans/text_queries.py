@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bulwark.catalog import configure
 from bulwark.operators import cache, chain, messages, offline, scoring
 from bulwark.operators.detectors import exfiltration, models, pii, vectors
 from bulwark.plans import fixtures as fx
@@ -11,7 +12,7 @@ from bulwark.plans import standins
 from bulwark.plans.oracle_sql import PATTERNS, matches_sql, redacted_sql
 from bulwark.plans.registry import query, rounded, stamp_sql, stamped
 from bulwark.session import scratch
-from bulwark.sources import golden, responses
+from bulwark.sources import golden, responses, tables
 
 ACTIVE = [p for p in PATTERNS if p.confidence >= 0.5]
 
@@ -216,16 +217,60 @@ FROM embeddings e CROSS JOIN topics t GROUP BY e.vec_id""",
 def topic_guardrail(spark, sf):
     """The mean vector of each label is an allowed topic; every vector is scored against all."""
     vecs = fx.table(spark, sf, "embeddings")
-    means = (
+    scored = vectors.topic_guardrail_by(vecs, "embedding", _label_means(vecs).select("topic"), "topic")
+    return rounded(scored.select("vec_id", "score"), 6)
+
+
+def _label_means(vecs):
+    return (
         vecs.select("label", F.posexplode("embedding").alias("pos", "v"))
         .groupBy("label", "pos")
         .agg(F.avg("v").alias("v"))
         .groupBy("label")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("vector"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda p: p["v"]).alias("topic"))
     )
-    # As many rows as labels: topics are configuration of the job.
-    topics = [[p.v for p in row.vector] for row in means.collect()]
-    scored = vectors.topic_guardrail(vecs, "embedding", topics)
+
+
+def _ragged(spark, sf):
+    """The vectors, every fifth cut to ten numbers and every seventh absent."""
+    v = F.col("embedding")
+    cut = F.when(F.col("vec_id") % 5 == 0, F.slice(v, 1, 10)).otherwise(v)
+    return fx.table(spark, sf, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 7 != 0, cut))
+
+
+_WIDTH_ERROR = """CASE WHEN vec_id % 7 = 0 THEN 'no vector' WHEN vec_id % 5 = 0 THEN
+  concat('vector of width 10, not ', (SELECT max(len(embedding)) FROM embeddings)) END"""
+
+
+@query(
+    "topic_guardrail_ragged",
+    f"""WITH c AS (
+  SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v
+  FROM embeddings CROSS JOIN range(1, (SELECT max(len(embedding)) + 1 FROM embeddings)) r(i) GROUP BY ALL
+), topics AS (SELECT label, list(v ORDER BY i) AS t FROM c GROUP BY label)
+SELECT e.vec_id, CASE WHEN vec_id % 7 <> 0 AND vec_id % 5 <> 0
+    THEN round(greatest(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), t.t), 0), 6) END AS score, {_WIDTH_ERROR} AS error
+FROM embeddings e JOIN topics t USING (label)""",
+)
+def topic_guardrail_ragged(spark, sf):
+    """Each vector against its own label's topic; vectors that cannot be scored say why."""
+    vecs = _ragged(spark, sf)
+    scored = vectors.topic_guardrail_by(vecs, "embedding", _label_means(fx.table(spark, sf, "embeddings")), "topic")
+    return rounded(scored.select("vec_id", "score", "error"), 6)
+
+
+@query(
+    "relevance_ragged",
+    """
+SELECT a.vec_id, CASE WHEN a.vec_id % 7 <> 0 AND b.vec_id % 7 <> 0 AND (a.vec_id % 5 = 0) = (b.vec_id % 5 = 0) THEN
+  round(greatest(0, least(1, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) END AS score
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0""",
+)
+def relevance_ragged(spark, sf):
+    vecs = _ragged(spark, sf)
+    outputs = vecs.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("output_vec"))
+    pairs = vecs.where(F.col("vec_id") % 2 == 0).join(outputs, "vec_id")
+    scored = pairs.withColumn("score", vectors.relevance(F.col("embedding"), F.col("output_vec")))
     return rounded(scored.select("vec_id", "score"), 6)
 
 
@@ -299,6 +344,29 @@ def grounding(spark, sf):
     return rounded(models.grounding(fx.doc_consistency(spark, sf), ["request_id"]))
 
 
+@query(
+    "grounding_errors",
+    """
+SELECT request_id, CASE WHEN NOT bool_or((request_id + pos) % 7 = 0) THEN round(max(1 - consistency), 9) END AS hallucination,
+  CASE WHEN NOT bool_or((request_id + pos) % 7 = 0) THEN round(max(consistency), 9) END AS faithfulness,
+  count(*) FILTER (WHERE (request_id + pos) % 7 <> 0) AS num_docs,
+  CASE WHEN bool_or((request_id + pos) % 7 = 0) THEN 'model failed' END AS error, CAST(sum(pos + 1) AS INTEGER) AS latency_ms
+FROM doc_consistency GROUP BY request_id""",
+    ("doc_consistency",),
+)
+def grounding_errors(spark, sf):
+    """One failed document leaves the request without scores."""
+    failed = (F.col("request_id") + F.col("pos")) % 7 == 0
+    pairs = fx.doc_consistency(spark, sf).withColumns(
+        {
+            "consistency": F.when(~failed, F.col("consistency")),
+            "error": F.when(failed, "model failed"),
+            "latency_ms": (F.col("pos") + 1).cast("int"),
+        }
+    )
+    return rounded(models.grounding(pairs, ["request_id"]))
+
+
 @query(
     "per_document_consistency",
     """
@@ -344,20 +412,78 @@ def _records(spark, sf):
     return payloads.withColumn("request_id", F.concat_ws("/", "conv_id", "turn"))
 
 
+CHAINED = configure({"topic_guardrail": {"enabled": True}})
+
+
+def _offline_sql() -> str:
+    """Calls in long form, the race by (latency, order), then one row per record."""
+    calls = " UNION ALL ".join(
+        f"""SELECT conv_id, turn, '{e.name}' AS evaluator, {e.ord} AS ord, '{e.chain}' = 'input' AS is_input,
+    {"score_topic" if e.name == "topic_guardrail" else f"score_{e.name}"} AS raw, (conv_id * 131 + turn * 17 + {e.ord * 977}) % 3400 AS took,
+    {"CASE WHEN length(input_text) % 11 = 0 THEN 'off the map' END" if e.name == "topic_guardrail" else "CAST(NULL AS VARCHAR)"} AS failure,
+    {e.threshold} AS threshold, '{e.direction}' = 'above' AS above, {e.action != "redact" and e.chain == "input"} AS can_block
+  FROM scored"""
+        for e in CHAINED
+    )
+    columns = ", ".join(
+        f"round(max(score) FILTER (WHERE evaluator = '{e.name}' AND kept), 9) AS score_{e.name}" for e in CHAINED
+    )
+    return f"""{_SCORED}, scored AS (SELECT *, {standins.TOPIC_SQL} AS score_topic FROM sc), c AS ({calls}), r AS (
+  SELECT *, CASE WHEN took <= 3000 AND failure IS NULL THEN raw END AS score, CASE WHEN took > 3000 THEN 'timeout' ELSE failure END AS error,
+    least(took, 3000) * 100 + ord AS finish FROM c
+), g AS (SELECT *, coalesce(CASE WHEN above THEN score >= threshold ELSE score <= threshold END, false) AS flag FROM r), w AS (
+  SELECT *, min(finish) FILTER (WHERE flag AND can_block) OVER (PARTITION BY conv_id, turn) AS stop FROM g
+), k AS (SELECT *, NOT is_input OR stop IS NULL OR finish <= stop AS kept FROM w)
+SELECT conv_id, turn, {columns},
+  coalesce(string_agg(evaluator, ',' ORDER BY ord) FILTER (WHERE kept AND flag), '') AS flags,
+  max(evaluator) FILTER (WHERE finish = stop) AS blocked_by, max(stop) IS NOT NULL AS blocked,
+  coalesce(string_agg(concat(evaluator, ': ', error), '; ' ORDER BY ord) FILTER (WHERE kept AND error IS NOT NULL), '') AS error,
+  max(stop) IS NULL AND NOT bool_or(kept AND flag) AS passed
+FROM k GROUP BY conv_id, turn"""
+
+
+def _took(calls):
+    """Latencies as they might have been logged: some over the timeout, in varying order."""
+    conv, turn = (F.split_part("request_id", F.lit("/"), F.lit(i)).cast("long") for i in (1, 2))
+    return calls.withColumn("latency_ms", ((conv * 131 + turn * 17 + F.col("ord") * 977) % 3400).cast("int"))
+
+
+@query("offline_evaluation", _offline_sql(), ("pairs",))
+def offline_evaluation(spark, sf):
+    """All evaluators, with timeouts, failing rows and the first blocker cancelling slower calls."""
+    results = offline.evaluate(
+        _records(spark, sf), (*MODELS, standins.TOPIC), standins.CONSISTENCY, CHAINED, logged=_took
+    )
+    scores = [F.col("scores")[e.name].alias(f"score_{e.name}") for e in CHAINED]
+    flags = F.array_join("flags", ",").alias("flags")
+    return rounded(results.select("conv_id", "turn", *scores, flags, "blocked_by", "blocked", "error", "passed"))
+
+
 @query(
-    "offline_evaluation",
-    f"""{_FLAGGED}
-SELECT conv_id, turn, score_pii, score_prompt_injection, score_toxicity, score_exfiltration, score_relevance,
-  round(score_hallucination, 9) AS score_hallucination, round(score_faithfulness, 9) AS score_faithfulness,
-  f1 AS blocked, NOT (f0 OR f1 OR f3 OR f5 OR f6 OR f7) AS passed FROM fl""",
-    ("pairs",),
+    "offline_result_rows",
+    f"""WITH u AS (
+  SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS record_index, conv_id, text FROM conversations WHERE role = 'user' AND conv_id % 3 <> 0
+), e AS (SELECT *, len({_entities_sql()}) > 0 AS f0, {standins.INJECTION_SQL.replace("input_text", "text")} AS s1,
+    {standins.TOXICITY_SQL.replace("output_text", "text")} AS s3 FROM u)
+SELECT 'run-7' AS eval_run_id, record_index, text AS input_text, lower(text) AS actual_output, s1 AS score_prompt_injection,
+  CASE WHEN length(text) > 0 THEN s3 END AS score_toxicity, NOT (f0 OR s1 >= 0.8 OR coalesce(s3 >= 0.7 AND length(text) > 0, false)) AS passed
+FROM e""",
 )
-def offline_evaluation(spark, sf):
-    results = offline.evaluate(_records(spark, sf), MODELS, consistency=standins.CONSISTENCY)
-    scores = [F.col("scores")[n].alias(f"score_{n}") for n in (
-        "pii", "prompt_injection", "toxicity", "exfiltration", "relevance", "hallucination", "faithfulness",
-    )]
-    return rounded(results.select("conv_id", "turn", *scores, "blocked", "passed"))
+def offline_result_rows(spark, sf):
+    """From an offline dataset to rows of the result table."""
+    records, _ = golden.read_offline(spark, _write_golden(spark, sf))
+    listed = records.select(
+        F.col("record_index").cast("string").alias("request_id"),
+        "record_index",
+        F.col("input").alias("input_text"),
+        F.col("output").alias("output_text"),
+    )
+    results = offline.evaluate(listed, (standins.INJECTION, standins.TOXICITY), logged=lambda c: c.withColumn("latency_ms", F.lit(1)))
+    path = scratch(spark, "offline-results")
+    tables.append_results(offline.result_rows(results, "run-7"), path)
+    rows = spark.read.parquet(path)
+    scores = [F.col("scores")[n].alias(f"score_{n}") for n in ("prompt_injection", "toxicity")]
+    return rows.select("eval_run_id", "record_index", "input_text", "actual_output", *scores, "passed")
 
 
 @query(
@@ -425,19 +551,22 @@ def _hours(n):
     return _base() + F.make_dt_interval(F.lit(0), n)
 
 
-_CACHE = """, stored AS (
-  SELECT DISTINCT tenant_id, cache_key, 'pii' AS evaluator, CAST(conv_id % 10 AS DOUBLE) / 10 AS score, 'm' AS metadata,
-    TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id % 5) AS written_at,
-    TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id % 5 + 1) AS expires_at
-  FROM t WHERE conv_id % 3 <> 0 AND turn < 2
-  UNION ALL
-  SELECT DISTINCT tenant_id, cache_key, 'prompt_injection', CAST(conv_id % 7 AS DOUBLE) / 10, 'm',
-    TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id % 5), TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id % 5 + 1)
-  FROM t WHERE conv_id % 3 = 1 AND turn < 2)"""
+_CACHE = """, entries AS (
+  SELECT tenant_id, cache_key, e.evaluator, CASE e.evaluator WHEN 'pii' THEN CAST(conv_id % 10 AS DOUBLE) / 10
+      ELSE CAST(conv_id % 7 AS DOUBLE) / 10 END AS score, concat('m', conv_id % 10) AS metadata, conv_id % 5 AS hour
+  FROM t CROSS JOIN (VALUES ('pii'), ('prompt_injection')) AS e(evaluator) WHERE e.evaluator = 'pii' OR conv_id % 3 = 1
+), stored AS (
+  SELECT tenant_id, cache_key, evaluator, score, metadata, TIMESTAMP '2024-01-01 00:00:00' + to_hours(hour) AS written_at,
+    TIMESTAMP '2024-01-01 00:00:00' + to_hours(hour + 1) AS expires_at
+  FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, cache_key, evaluator ORDER BY hour DESC, score DESC, metadata DESC) AS rn
+        FROM entries) q WHERE rn = 1)"""
 
 
 def _stored(spark, sf):
-    """A cache filled from the first messages of two thirds of the conversations."""
+    """A cache filled from all messages: pii of every text, injection for one conversation in three.
+
+    Copies of a text collapse to their latest entry. Entries expire hour by hour.
+    """
     conv = F.col("conv_id")
     hour = (conv % 5).cast("int")
     entries = F.array_compact(
@@ -451,18 +580,22 @@ def _stored(spark, sf):
             ),
         )
     )
+    listed = _cache_texts(spark, sf).select(
+        "tenant_id", "cache_key", hour.alias("hour"), F.concat(F.lit("m"), conv % 10).alias("metadata"), F.inline(entries)
+    )
+    latest = F.max(F.struct("hour", "score", "metadata")).alias("e")
     return (
-        _cache_texts(spark, sf)
-        .where((conv % 3 != 0) & (F.col("turn") < 2))
+        listed.groupBy("tenant_id", "cache_key", "evaluator")
+        .agg(latest)
         .select(
             "tenant_id",
             "cache_key",
-            F.inline(entries),
-            F.lit("m").alias("metadata"),
-            _hours(hour).alias("written_at"),
-            _hours(hour + 1).alias("expires_at"),
+            "evaluator",
+            "e.score",
+            "e.metadata",
+            _hours(F.col("e.hour")).alias("written_at"),
+            _hours(F.col("e.hour") + 1).alias("expires_at"),
         )
-        .distinct()
     )
 
 
@@ -500,14 +633,14 @@ def cache_misses(spark, sf):
     f"""{_CACHE_TEXTS}{_CACHE}, alive AS (
   SELECT * FROM stored WHERE evaluator = 'prompt_injection' AND expires_at > TIMESTAMP '2024-01-01 03:00:00')
 SELECT t.conv_id, t.turn, a.cache_key IS NOT NULL AS cached,
-  CASE WHEN a.cache_key IS NOT NULL THEN a.score ELSE {standins.INJECTION_SQL} END AS score
+  CASE WHEN a.cache_key IS NOT NULL THEN a.score ELSE {standins.INJECTION_SQL} END AS score, a.metadata
 FROM t LEFT JOIN alive a USING (cache_key)""",
     ("pairs",),
 )
 def cached_batch_scores(spark, sf):
     texts = _cache_texts(spark, sf)
     scored = scoring.score_cached(texts, standins.INJECTION, _stored(spark, sf), CACHE_AS_OF)
-    return scored.select("conv_id", "turn", "cached", "score")
+    return scored.select("conv_id", "turn", "cached", "score", "metadata")
 
 
 @query(
@@ -515,7 +648,7 @@ def cached_batch_scores(spark, sf):
     f"""{_CACHE_TEXTS}{_CACHE}, fresh AS (
   SELECT tenant_id, cache_key, 'pii' AS evaluator, CAST(length(input_text) % 100 AS DOUBLE) / 100 AS score, 'new' AS metadata,
     max(TIMESTAMP '2024-01-01 03:30:00') AS written_at
-  FROM t WHERE turn < 4 AND length(input_text) % 6 <> 0 AND length(input_text) % 5 <> 0 GROUP BY ALL
+  FROM t WHERE length(input_text) % 6 <> 0 AND length(input_text) % 5 <> 0 GROUP BY ALL
 ), k AS (SELECT cache_key, min(written_at) AS first_write, max(written_at) AS last_write FROM fresh GROUP BY 1), m AS (
   SELECT tenant_id, cache_key, evaluator, score, metadata, written_at, expires_at FROM stored
   UNION ALL SELECT *, NULL FROM fresh
@@ -523,25 +656,55 @@ def cached_batch_scores(spark, sf):
   SELECT m.*, k.last_write, row_number() OVER (PARTITION BY m.cache_key, m.evaluator ORDER BY m.written_at DESC) AS rn
   FROM m LEFT JOIN k USING (cache_key) WHERE NOT coalesce(m.expires_at <= k.first_write, false))
 SELECT tenant_id, cache_key, evaluator, score, metadata, {stamp_sql("written_at")} AS written_at,
-  {stamp_sql("coalesce(last_write + INTERVAL '1' HOUR, expires_at)")} AS expires_at FROM kept WHERE rn = 1""",
+  {stamp_sql("coalesce(last_write + INTERVAL '1' HOUR, expires_at)")} AS expires_at FROM kept
+WHERE rn = 1 AND coalesce(last_write + INTERVAL '1' HOUR, expires_at) > TIMESTAMP '2024-01-01 03:30:00'""",
     ("pairs",),
 )
 def cache_write_back(spark, sf):
+    """Through the stored cache: filled, then written to again, with what expired gone."""
     n = F.length("input_text")
-    fresh = (
-        _cache_texts(spark, sf)
-        .where(F.col("turn") < 4)
-        .select(
-            "tenant_id",
-            "cache_key",
-            F.lit("pii").alias("evaluator"),
-            F.when(n % 6 != 0, (n % 100).cast("double") / 100).alias("score"),
-            F.lit("new").alias("metadata"),
-            F.lit("2024-01-01 03:30:00").cast("timestamp_ntz").alias("written_at"),
-            F.when(n % 5 == 0, "boom").alias("error"),
-        )
+    fresh = _cache_texts(spark, sf).select(
+        "tenant_id",
+        "cache_key",
+        F.lit("pii").alias("evaluator"),
+        F.when(n % 6 != 0, (n % 100).cast("double") / 100).alias("score"),
+        F.lit("new").alias("metadata"),
+        F.lit("2024-01-01 03:30:00").cast("timestamp_ntz").alias("written_at"),
+        F.when(n % 5 == 0, "boom").alias("error"),
     )
-    return stamped(cache.write_back(_stored(spark, sf), fresh))
+    return stamped(cache.write_back(_stored(spark, sf), fresh, as_of="2024-01-01 03:30:00"))
+
+
+@query(
+    "cache_store",
+    f"""{_CACHE_TEXTS}
+SELECT tenant_id, cache_key, 'pii' AS evaluator, CAST(length(input_text) % 100 AS DOUBLE) / 100 AS score, 'second' AS metadata,
+  '2024-01-01 00:30:00.000000' AS written_at, '2024-01-01 01:30:00.000000' AS expires_at
+FROM t WHERE length(input_text) % 4 <> 0 GROUP BY ALL
+UNION ALL
+SELECT tenant_id, cache_key, 'pii', CAST(length(input_text) % 10 AS DOUBLE) / 10, 'first',
+  '2024-01-01 00:00:00.000000', '2024-01-01 01:00:00.000000'
+FROM t WHERE length(input_text) % 4 = 0 GROUP BY ALL""",
+    ("pairs",),
+)
+def cache_store(spark, sf):
+    """Two writes to a stored cache; the second replaces most scores and repeats itself harmlessly."""
+    n = F.length("input_text")
+    texts = _cache_texts(spark, sf)
+    none = F.lit(None).cast("string").alias("error")
+    path = scratch(spark, "stored-cache")
+
+    def written(score, metadata: str, at: str, rows):
+        return rows.select(
+            "tenant_id", "cache_key", F.lit("pii").alias("evaluator"), score.alias("score"), F.lit(metadata).alias("metadata"),
+            F.lit(at).cast("timestamp_ntz").alias("written_at"), none,
+        )
+
+    cache.store(written((n % 10).cast("double") / 10, "first", "2024-01-01 00:00:00", texts), path)
+    second = written((n % 100).cast("double") / 100, "second", "2024-01-01 00:30:00", texts.where(n % 4 != 0))
+    for _ in range(2):
+        cache.store(second, path)
+    return stamped(spark.read.parquet(path).select(*cache.COLUMNS))
 
 
 # Datasets and logged responses.

@@ -9,8 +9,6 @@ from bulwark.catalog import SCORECARD_NAMES
 from bulwark.functions.text import uuid_or_null
 from bulwark.operators.chain import BLOCK_CODES
 
-ERROR_TEXT = 300
-
 
 def _body_schema(envelope: str) -> str:
     return (
@@ -38,13 +36,17 @@ def _score_map(names, only: Column | None = None, value: Column | None = None) -
 
 
 def normalise_responses(
-    log: DataFrame, envelope: str = "guard", names: tuple[str, ...] = SCORECARD_NAMES
+    log: DataFrame,
+    envelope: str = "guard",
+    names: tuple[str, ...] = SCORECARD_NAMES,
+    error_chars: int | None = None,
 ) -> DataFrame:
     """Results from (record_index, status, body[, failure]).
 
     200 gives scores, flags and the answer; 400 only the blocking evaluator's score; anything
     else, or a call that failed, gives an error. A row passes when it has no flag and no block,
-    so errors pass. ``envelope`` names the body's object with scores and flags.
+    so errors pass. ``envelope`` names the body's object with scores and flags. Errors hold the
+    whole body unless ``error_chars`` cuts it.
     """
     failure = F.col("failure") if "failure" in log.columns else F.lit(None).cast("string")
     parsed = log.withColumn("_failure", failure).withColumn(
@@ -60,13 +62,14 @@ def normalise_responses(
     scores = F.when(ok, F.coalesce(g["scores"], _score_map(names))).when(
         refused, _score_map(names, blocker, F.col("b.error.score"))
     )
+    body = F.coalesce("body", F.lit(""))
     error = F.when(~replied, F.col("_failure")).when(
         ~ok & ~refused,
         F.concat(
             F.lit("HTTP "),
             F.col("status").cast("string"),
             F.lit(": "),
-            F.substring(F.coalesce("body", F.lit("")), 1, ERROR_TEXT),
+            body if error_chars is None else F.substring(body, 1, error_chars),
         ),
     )
     results = parsed.select(

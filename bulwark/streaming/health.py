@@ -23,7 +23,7 @@ P95 = 0.95
 def _nearest_rank(pairs: Column, p: float) -> Column:
     """``sorted[int(n * p)]`` from an array of (latency_ms, n) counts; 0 when empty.
 
-    The array holds one entry per minute and distinct latency, however many requests there were.
+    The array holds one entry per distinct latency, however many requests there were.
     """
     total = F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + x["n"])
     # The rank travels in the accumulator: inside the lambda it would be computed per element.
@@ -71,6 +71,12 @@ def _totals() -> list[Column]:
     ]
 
 
+def _merged(counted: DataFrame, *keys: Column) -> DataFrame:
+    """Collapsed events added up, again one row per kind and latency."""
+    sums = [F.sum(c).alias(c) for c in ("n", "n_blocked", "n_errored")]
+    return counted.groupBy(*keys, "kind", "latency_ms").agg(*sums)
+
+
 def _measures() -> list[Column]:
     """Health columns from the totals."""
     return [
@@ -102,13 +108,14 @@ def rolling_health(
     """Sliding-window health from (ts, kind, blocked, errored, latency_ms).
 
     Events first collapse to one-minute panes per kind and latency, so the 15-fold window
-    assignment applies to panes and not to events, and state grows with distinct latencies.
+    assignment applies to panes and not to events. Panes then merge per window, kind and latency,
+    so a window lists each distinct latency once and its counts are updated one by one.
     """
     if watermark:
         events = events.withWatermark("ts", watermark)
     panes = _counted(events, F.window("ts", slide).alias("pane"))
     timed = panes.select("*", F.window_time("pane").alias("pane_time"))
-    grouped = timed.groupBy(F.window("pane_time", window, slide).alias("w")).agg(*_totals())
+    grouped = _merged(timed, F.window("pane_time", window, slide).alias("w")).groupBy("w").agg(*_totals())
     return grouped.select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *_measures()
     )

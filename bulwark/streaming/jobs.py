@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from bulwark.operators import cache
 from bulwark.operators.metrics import EXACT_WIDTH, bucket_aggregates
 from bulwark.operators.ratelimit import DEFAULT_LIMIT, WINDOW_MS, last_windows, replay_limits
 from bulwark.operators.scoring import Scorer, score
+from bulwark.session import stored
 from bulwark.sources.events import parse_events
 from bulwark.streaming.health import alerts, rolling_health
 
@@ -67,13 +69,16 @@ def rate_limits(
     decided by the parallel replay, going on from every caller's open window, which is kept as one
     row per caller and written once per micro-batch. Decisions go to ``path/decisions`` and state
     to ``path/state``, in one folder per micro-batch, so a repeated batch overwrites its own
-    output. State of callers silent for longer than the window and ``lateness_ms`` is dropped.
+    output. State of callers silent for longer than the window and ``lateness_ms`` is dropped; an
+    event from before that horizon may open a window of its own, and its ``late`` is true.
     """
 
     def decide(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         carried = spark.read.parquet(f"{path}/state/batch={batch_id - 1}") if batch_id else None
-        decided = replay_limits(batch, limit=limit, width_ms=width_ms, carried=carried)
+        latest = carried.agg(F.max("window_start")).first()[0] if carried is not None else None
+        late = F.lit(False) if latest is None else F.coalesce(F.col("arrival_ms") < latest - lateness_ms, F.lit(False))
+        decided = replay_limits(batch, limit=limit, width_ms=width_ms, carried=carried).withColumn("late", late)
         out = f"{path}/decisions/batch={batch_id}"
         decided.write.mode("overwrite").parquet(out)
         state = last_windows(spark.read.parquet(out), carried)
@@ -99,30 +104,46 @@ def visible_to(events: DataFrame, tenant_id: str) -> DataFrame:
     return events.where((F.col("tenant_id") == F.lit(tenant_id)) | F.col("tenant_id").isNull())
 
 
-def first_occurrences(texts: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    """The first row of each (tenant, cache key) within the time to live."""
-    return texts.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["tenant_id", "cache_key"])
-
+def score_once(
+    texts: DataFrame, scorer: Scorer, path: str, checkpoint: str, ttl_seconds: int = cache.TTL_SECONDS
+) -> StreamingQuery:
+    """Score each distinct text of a tenant once per time to live, into the cache at ``path``.
 
-def score_once(texts: DataFrame, scorer: Scorer, path: str, checkpoint: str, ttl: str = "1 hour") -> StreamingQuery:
-    """Score each distinct text of a tenant once per time to live and append it to the cache."""
+    ``texts`` has (tenant_id, cache_key, ts) and the columns the scorer reads. A text with a live
+    entry is not scored again. A text whose scorer failed is kept beside the cache and tried again
+    with the next micro-batch, with the newest row of its key; nothing is dropped for being late.
+    The cache is what ``cache.cache_hits`` and ``scoring.score_cached`` read.
+    """
+    keys = ["tenant_id", "cache_key"]
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        # Scoring reads the batch twice; without this the de-duplication would run twice.
-        batch.persist()
-        try:
-            scored = score(batch, scorer).where(F.col("error").isNull() & F.col("score").isNotNull())
-            entries = scored.select(
-                "tenant_id", "cache_key", F.lit(scorer.name).alias("evaluator"), "score", "ts"
-            )
-            # One folder per micro-batch: a retried batch overwrites its own output.
-            entries.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        finally:
-            batch.unpersist()
+        spark = batch.sparkSession
+        wanted = batch.select(*keys, "ts", *scorer.requires)
+        failed_before = cache.read(spark, f"{path}-failed/batch={batch_id - 1}")
+        if failed_before is not None:
+            wanted = wanted.unionByName(failed_before)
+        newest = F.max(F.struct("ts", *scorer.requires)).alias("row")
+        distinct = stored(wanted.groupBy(*keys).agg(newest).select(*keys, "row.*"), "texts")
+        held = cache.read(spark, path)
+        if held is not None:
+            alive = held.where(F.col("evaluator") == scorer.name).select(*keys, "expires_at")
+            known = distinct.join(alive, keys).where(F.col("expires_at") > F.col("ts")).select(*keys)
+            distinct = distinct.join(known, keys, "left_anti")
+        scored = stored(score(distinct, scorer), "scored")
+        fresh = scored.select(
+            *keys,
+            F.lit(scorer.name).alias("evaluator"),
+            "score",
+            F.lit(None).cast("string").alias("metadata"),
+            F.col("ts").alias("written_at"),
+            "error",
+        )
+        cache.store(fresh, path, ttl_seconds)
+        failed = scored.where(F.col("error").isNotNull() | F.col("score").isNull())
+        failed.select(*keys, "ts", *scorer.requires).write.mode("overwrite").parquet(f"{path}-failed/batch={batch_id}")
 
     return (
-        first_occurrences(texts, ttl)
-        .writeStream.foreachBatch(store)
+        texts.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,7 +196,7 @@ def test_offline_error_counts_as_no_score(spark):
     df = spark.createDataFrame([(1, "in", "out")], "request_id int, input_text string, output_text string")
     scorer = scoring.Scorer("toxicity", ("output_text",), "output", score_batch=boom)
     row = offline.evaluate(df, [scorer]).collect()[0]
-    assert row.error == "model down" and row.passed and row.scores["toxicity"] is None
+    assert row.error == "toxicity: model down" and row.passed and row.scores["toxicity"] is None
 
 
 def test_live_guard_spares_models_what_is_blocked(spark):
@@ -219,3 +220,61 @@ def test_live_guard_spares_models_what_is_blocked(spark):
     assert wide["3"].score_exfiltration == 1.0 and not wide["3"].blocked
     shadow = offline.guard(df, [scorer], config=config, enforce=False, cheap_first=False)
     assert shadow.where("evaluator = 'exfiltration' AND score IS NOT NULL").count() == 3
+
+
+def test_failed_load_is_tried_once_and_short_lists_are_errors(spark):
+    tries = spark.sparkContext.accumulator(0)
+
+    def load():
+        tries.add(1)
+        raise OSError("no weights")
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(3)], "id int, input_text string").coalesce(1)
+    lost = scoring.Scorer("lost", load=load, score_batch=lambda m, t: [0.0] * len(t), version="once")
+    rows = scoring.score(df, lost).collect()
+    assert {(r.score, r.error) for r in rows} == {(None, "model not loaded: no weights")} and tries.value == 1
+    short = scoring.Scorer("short", score_batch=lambda m, t: [0.5] * (len(t) - 1), version="short")
+    assert {(r.score, r.error) for r in scoring.score(df, short).collect()} == {(None, "0 scores for 1 rows")}
+
+
+def test_one_failed_document_leaves_no_score(spark):
+    pairs = spark.createDataFrame(
+        [(1, 0, None, "boom", 3), (1, 1, 0.9, None, 4), (2, 0, 0.4, None, 5)],
+        "id int, pos int, consistency double, error string, latency_ms int",
+    )
+    rows = {r.id: r for r in models.grounding(pairs, ["id"]).collect()}
+    assert (rows[1].hallucination, rows[1].faithfulness, rows[1].error, rows[1].latency_ms) == (None, None, "boom", 7)
+    assert rows[2].faithfulness == 0.4 and rows[2].error is None
+
+
+def test_vectors_of_other_widths_have_errors(spark):
+    df = spark.createDataFrame(
+        [(1, [1.0, 0.0], [1.0, 0.0, 0.0]), (2, [1.0], [1.0]), (3, None, [1.0]), (4, [1.0, None], [1.0, 0.0]), (5, [], [])],
+        "id int, a array<float>, b array<float>",
+    )
+    rows = {r.id: r for r in vectors.topic_guardrail(df, "a", [[1.0, 0.0]]).collect()}
+    assert rows[1].score == 1.0 and rows[1].error is None
+    assert [rows[i].score for i in (2, 3, 4, 5)] == [None] * 4
+    assert [rows[i].error for i in (2, 3, 4)] == ["vector of width 1, not 2", "no vector", "vector with a missing number"]
+    related = {r.id: r.s for r in df.select("id", vectors.relevance(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert related == {1: None, 2: 1.0, 3: None, 4: None, 5: 0.0}
+
+
+def test_scoring_moves_text_once_per_group(spark):
+    """Without broadcasts, texts cross the network once per group of models; the rest is hashes."""
+    df = spark.createDataFrame([(str(i), f"in{i}", f"out{i}") for i in range(20)], "request_id string, input_text string, output_text string")
+    a = scoring.Scorer("prompt_injection", score_batch=lambda m, t: [0.1] * len(t))
+    b = scoring.Scorer("toxicity", ("output_text",), "output", score_batch=lambda m, t: [0.1] * len(t))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = scoring.score_all(df, [a, b], keep=["request_id"])
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        rows = scored.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(rows) == 20 and {(r.score_prompt_injection, r.score_toxicity) for r in rows} == {(0.1, 0.1)}
+    lines = plan.splitlines()
+    moved = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    as_column = re.compile(r"[\[ ](input|output)_text#\d+[,\]]")  # not inside a function
+    assert moved and sum(bool(as_column.search(line)) for line in moved) <= 2

@@ -177,3 +177,25 @@ def test_insert_if_absent(spark):
     table = spark.createDataFrame([("a", 1)], "k string, v int")
     rows = spark.createDataFrame([("a", 2), ("b", 3)], "k string, v int")
     assert {tuple(r) for r in tenancy.insert_if_absent(table, rows, "k").collect()} == {("a", 1), ("b", 3)}
+
+
+def test_insert_if_absent_keeps_one_row_per_key(spark):
+    from bulwark.operators.tenancy import insert_if_absent
+
+    table = spark.createDataFrame([("a", 1)], "slug string, n int")
+    rows = spark.createDataFrame([("a", 2), ("b", 4), ("b", 3), (None, 5), (None, 5)], "slug string, n int")
+    got = sorted(((r.slug, r.n) for r in insert_if_absent(table, rows, "slug").collect()), key=str)
+    assert got == [("a", 1), ("b", 3), (None, 5), (None, 5)] or got == sorted([("a", 1), ("b", 3), (None, 5), (None, 5)], key=str)
+
+
+def test_absent_columns_have_the_logs_types(spark):
+    from bulwark.operators.history import FLAGGED_VIEW_COLUMNS, flagged_view
+    from bulwark.schemas import REQUESTS
+
+    log = spark.createDataFrame([("1", True)], "id string, blocked boolean")
+    from bulwark.catalog import NAMES
+
+    log = log.withColumns({f"flag_{n}": F.lit(False) for n in NAMES})
+    kinds = dict(flagged_view(log).dtypes)
+    want = {f.name: f.dataType.simpleString() for f in REQUESTS.fields}
+    assert all(kinds[c] == want[c] for c in FLAGGED_VIEW_COLUMNS)

@@ -125,3 +125,42 @@ def test_carried_window_goes_on(spark):
     assert got == {0: (1000, 3, True), 1: (1000, 4, False), 2: (61_000, 1, True), 3: (61_000, 1, True)}
     state = {tuple(r) for r in ratelimit.last_windows(df, carried).collect()}
     assert state == {("a", 61_000, 1), ("b", 61_000, 1)}
+
+
+def test_dense_caller_in_levels(spark, monkeypatch):
+    """One event every few milliseconds over hours; step tables compose over several levels."""
+    rng = random.Random(7)
+    rows = [(i, "dense", t) for i, t in enumerate(sorted(rng.sample(range(0, 6 * 3_600_000), 12_000)))]
+    rows += [(20_000 + i, "beat", i * 20_000) for i in range(1080)]
+    sizes = []
+    composed = ratelimit.compose
+
+    def watched(tables):
+        sizes.append(len(tables))
+        return composed(tables)
+
+    monkeypatch.setattr(ratelimit, "compose", watched)
+    df = ratelimit.windows(log(spark, rows), "identity", "arrival_ms", chunk_ms=600_000, fan_in=3)
+    got = {(r.identity, r.window_start) for r in df.collect()}
+    assert got == {(w, s) for (_, w, _), (s, _, _) in zip(rows, map(brute(rows, 1).get, (r[0] for r in rows)))}
+
+
+def test_composition_equals_chaining():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        tables = []
+        for c in sorted(rng.choice(9, int(rng.integers(1, 6)), replace=False)):
+            start = 3_600_000 * int(c)
+            times = np.unique(rng.integers(start, start + 3_600_000, int(rng.integers(1, 40))))
+            tables.append((int(c), *ratelimit.chunk_exits(times, start, WIDTH)))
+        whole = (0, *ratelimit.compose(tables))
+        after = (99, np.array([2**60]), np.array([2**60]))
+        for entry in [ratelimit._NEVER, *(tables[0][0] * 3_600_000 + rng.integers(0, WIDTH, 8))]:
+            direct, short = ratelimit.chain([*tables, after], int(entry))[-1], ratelimit.chain([whole, after], int(entry))[-1]
+            assert direct == short
+
+
+def test_unknown_callers_and_times(spark):
+    rows = [(0, None, 1000), (1, None, 2000), (2, "a", None), (3, None, None), (4, "a", 1000)]
+    got = replayed(spark, rows, 1)
+    assert got == {0: (1000, 1, True), 1: (1000, 2, False), 2: (None, None, None), 3: (None, None, None), 4: (1000, 1, True)}

@@ -117,5 +117,7 @@ def test_live_responses(spark):
     assert r[1].passed and r[1].actual_output is None and set(r[1].scores.values()) == {None} and len(r[1].scores) == 7
     assert r[2].blocked and r[2].flags == ["topic_guardrail"] and r[2].scores["topic_guardrail"] == 0.12
     assert r[3].blocked and r[3].flags == [] and not r[3].passed
-    assert r[4].error == "HTTP 502: " + "x" * 300 and r[4].passed
+    assert r[4].error == "HTTP 502: " + "x" * 400 and r[4].passed
+    short = responses.normalise_responses(log, error_chars=300).where("record_index = 4").first()
+    assert short.error == "HTTP 502: " + "x" * 300
     assert r[5].error == "refused" and r[5].passed

@@ -158,3 +158,18 @@ def test_auc_and_quality(spark):
     q = stats.quality_at(df, ["d"], F.col("y") == 1, [0.5]).collect()[0]
     assert (q.tp, q.fp, q.fn, q.tn) == (2, 1, 1, 2)
     assert q.precision == pytest.approx(2 / 3) and q.accuracy == pytest.approx(4 / 6)
+
+
+def test_exact_p_for_any_sizes():
+    """Against counting all splits of the ranks, and against the large-sample value."""
+    from itertools import combinations
+
+    from bulwark.functions.significance import exact_p, normal_p, p_value
+
+    for n1, n2 in ((5, 6), (3, 9), (8, 5), (1, 4)):
+        sums = [sum(c) - n1 * (n1 - 1) // 2 for c in combinations(range(n1 + n2), n1)]
+        for u in range(n1 * n2 + 1):
+            tail = sum(s >= max(u, n1 * n2 - u) for s in sums)
+            assert abs(exact_p(u, n1, n2) - min(1.0, 2 * tail / len(sums))) < 1e-12
+    large = p_value(0.1 * 5 * 900_000, 5, 900_000, 0)
+    assert abs(large - 5.2e-4) < 5e-6 and abs(large - normal_p(0.1 * 5 * 900_000, 5, 900_000, 0)) > 1e-3
