@@ -1,6 +1,7 @@
 """Personal data by pattern: typed entities with a confidence, redaction and a report.
 
-Name-like entity types need a language model and go through the batch scorer instead.
+Name-like entity types need a language model: it runs through the batch scorer and returns entities
+with places, which join those of the patterns in :func:`scan_spans`.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ class Pattern:
     lead: bool = True
     trail: bool = True
     check: str | None = None  # luhn | iban | medical
+    start: str = ""  # instead of a word boundary: where a match may start
 
     @property
     def numeric(self) -> bool:
@@ -33,7 +35,7 @@ class Pattern:
 
     @property
     def regex(self) -> str:
-        return (_LEAD if self.lead else "") + f"(?:{self.body})" + (_TRAIL if self.trail else "")
+        return (_LEAD if self.lead else self.start) + f"(?:{self.body})" + (_TRAIL if self.trail else "")
 
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -48,6 +50,8 @@ PATTERNS: tuple[Pattern, ...] = (
         "@",
         lead=False,
         trail=False,
+        # Not inside a run of address characters, so a long run is read once; the matches are the same.
+        start=r"(?:\G|(?<![A-Za-z0-9._%+-]))",
     ),
     Pattern("IBAN_CODE", "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", 1.0, "[A-Z][0-9]{2}", check="iban"),
     Pattern(
@@ -151,24 +155,104 @@ def entities(text: Column, threshold: float = 0.5, types: Sequence[str] | None =
     return F.concat(*plain) if plain else none
 
 
+SPAN = "struct<start:int,end:int,type:string,score:double,match:string>"
+
+
 def spans(text: Column, pattern: Pattern) -> Column:
-    """``array<struct<type, score, match, start, end>>`` with 0-based character offsets."""
+    """Spans of a pattern's verified matches, with 0-based character offsets.
+
+    Gaps and matches alternate; one pass adds up their lengths.
+    """
     matches = F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(0))
-    gaps = F.split(text, pattern.regex, -1)
-
-    def located(m: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, s: a + F.length(s))
-        earlier = F.aggregate(F.slice(matches, F.lit(1), i), F.lit(0), lambda a, s: a + F.length(s))
-        start = before + earlier
-        return F.struct(
-            F.lit(pattern.type).alias("type"),
-            F.lit(pattern.confidence).alias("score"),
-            m.alias("match"),
-            start.alias("start"),
-            (start + F.length(m)).alias("end"),
-        )
+    gaps = F.slice(F.split(text, pattern.regex, -1), F.lit(1), F.greatest(F.size(matches), F.lit(1)))
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def step(done: Column, pair: Column) -> Column:
+        start = done["at"] + F.length(pair["gap"])
+        end = start + F.length(pair["match"])
+        span = F.struct(
+            start.alias("start"), end.alias("end"), F.lit(pattern.type).alias("type"),
+            F.lit(pattern.confidence).alias("score"), pair["match"].alias("match"),
+        )
+        return F.struct(end.alias("at"), F.concat(done["found"], F.array(span)).alias("found"))
+
+    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+    found = F.aggregate(F.filter(pairs, lambda p: p["match"].isNotNull()), start, step, lambda done: done["found"])
+    if pattern.check is not None:
+        found = F.filter(found, lambda s: F.size(_verified(F.array(s["match"]), pattern)) > 0)
+    return F.when(_guarded(text, pattern), found).otherwise(none)
+
+
+def resolved(found: Column) -> Column:
+    """Spans in order without overlaps: of two that overlap the one with the higher score stays, then
+    the longer, then the earlier one, then the first type by name."""
+    last = lambda kept: F.element_at(kept, -1)
+
+    def better(new: Column, old: Column) -> Column:
+        length = lambda s: s["end"] - s["start"]
+        return (new["score"] > old["score"]) | ((new["score"] == old["score"]) & (length(new) > length(old)))
+
+    def step(kept: Column, new: Column) -> Column:
+        apart = (F.size(kept) == 0) | (F.get(kept, F.size(kept) - 1)["end"] <= new["start"])
+        instead = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(new))
+        return F.when(apart, F.concat(kept, F.array(new))).when(better(new, last(kept)), instead).otherwise(kept)
+
+    return F.aggregate(F.array_sort(found), F.array().cast(f"array<{SPAN}>"), step)
+
+
+def located(
+    text: Column, threshold: float = 0.5, types: Sequence[str] | None = None, extra: Column | None = None
+) -> Column:
+    """``array<struct<start, end, type, score, match>>`` by start, without overlaps.
+
+    ``extra`` holds a model's entities, ``array<struct<type, score, start, end>>``; like patterns they
+    count from the threshold on and only for the reported types, and only inside the text.
+    """
+    parts = [spans(text, p) for p in active_patterns(threshold, types)]
+    if extra is not None:
+        wanted = list(types or SENSITIVE_TYPES)
+        sure = F.filter(
+            F.coalesce(extra, F.array()),
+            lambda e: e["type"].isin(*wanted) & (e["score"] >= threshold)
+            & (e["start"] >= 0) & (e["start"] < e["end"]) & (e["end"] <= F.length(text)),
+        )
+        parts.append(
+            F.transform(
+                sure,
+                lambda e: F.struct(
+                    e["start"].cast("int").alias("start"), e["end"].cast("int").alias("end"), e["type"].alias("type"),
+                    e["score"].cast("double").alias("score"), F.substr(text, e["start"] + 1, e["end"] - e["start"]).alias("match"),
+                ),
+            )
+        )
+    return resolved(F.concat(*parts)) if parts else F.array().cast(f"array<{SPAN}>")
+
+
+def scan_spans(
+    df: DataFrame,
+    text: str = "text",
+    extra: str | None = None,
+    threshold: float = 0.5,
+    types: Sequence[str] | None = None,
+) -> DataFrame:
+    """Add ``entities`` with places, and ``score``: the highest confidence, 0.0 without entities."""
+    model = None if extra is None else F.col(extra)
+    found = df.withColumn("entities", located(F.col(text), threshold, types, model))
+    best = F.array_max(F.transform("entities", lambda e: e["score"]))
+    return found.withColumn("score", F.coalesce(best, F.lit(0.0)))
+
+
+def redacted_spans(text: Column, found: Column) -> Column:
+    """The text with each of the ordered spans replaced by ``<TYPE>``."""
+
+    def step(done: Column, s: Column) -> Column:
+        before = F.substr(text, done["at"] + 1, s["start"] - done["at"])
+        return F.struct(s["end"].alias("at"), F.concat(done["out"], before, F.lit("<"), s["type"], F.lit(">")).alias("out"))
 
-    return F.transform(matches, located)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    rest = lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text)))
+    return F.aggregate(found, start, step, rest)
 
 
 def scan(

@@ -181,10 +181,3 @@ def fold_states(events: DataFrame, table_columns: Sequence[str] = ()) -> DataFra
             F.col("s.summary").alias("summary"),
         )
     )
-
-
-def duplicate_labels(runs: DataFrame) -> DataFrame:
-    """(tenant, label) pairs used by more than one run."""
-    return (
-        runs.groupBy("tenant_id", "label").agg(F.count("*").alias("n_runs")).where(F.col("n_runs") > 1)
-    )

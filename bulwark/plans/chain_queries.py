@@ -137,7 +137,7 @@ def request_records(spark, sf):
     )
 
 
-def _decisions_sql(enforce: bool) -> str:
+def _decisions_sql(enforce: bool, can_strip: str = "true") -> str:
     source = "replayed" if enforce else "shadow"
     shadow = (
         ""
@@ -155,7 +155,7 @@ def _decisions_sql(enforce: bool) -> str:
   FROM {source} GROUP BY request_id)
 SELECT request_id,
   CASE WHEN {stopped} THEN 'blocked' WHEN failed THEN 'llm_error' WHEN redacted THEN 'redacted'
-       WHEN stripped THEN 'stripped' ELSE 'passed' END AS decision,
+       WHEN stripped AND {can_strip} THEN 'stripped' ELSE 'passed' END AS decision,
   CASE WHEN {stopped} THEN 400 WHEN failed THEN 502 ELSE 200 END AS status, blocked_by,
   CASE blocked_by WHEN 'prompt_injection' THEN 'prompt_injection_detected' WHEN 'topic_guardrail' THEN 'off_topic' END AS code,
   blocker_score,
@@ -173,6 +173,13 @@ def decisions(spark, sf):
     return chain.decisions(_replayed(spark, sf), llm_errors=_llm_errors(spark, sf))
 
 
+@query("streamed_decisions", _decisions_sql(True, "request_id % 2 = 1"), ("replayed",))
+def streamed_decisions(spark, sf):
+    """Every second answer was streamed; those cannot be stripped any more."""
+    streamed = fx.requests(spark, sf).select(F.col("id").alias("request_id")).where("request_id % 2 = 0")
+    return chain.decisions(_replayed(spark, sf), llm_errors=_llm_errors(spark, sf), unstrippable=streamed)
+
+
 @query("shadow_decisions", _decisions_sql(False), ("flagged_calls", "blockers"))
 def shadow_decisions(spark, sf):
     replayed = _replayed(spark, sf, enforce=False)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bulwark.catalog import NAMES, SCORECARD_NAMES
+from bulwark.functions.text import key_prefix, uuid_or_null
 from bulwark.operators import history, metrics, tenancy
 from bulwark.operators.distribution import nearest_ranks, quantiles
 from bulwark.operators.ratelimit import replay_limits
@@ -152,6 +153,57 @@ def model_latency_histogram(spark, sf):
     return rounded(hist, 6)
 
 
+_CALLS_SQL = """(SELECT id, model, CASE WHEN id % 2 = 0 THEN 'local' ELSE 'hosted' END AS provider, latency_total * 3 // 4 AS latency_llm,
+  id % 41 = 0 AS failed FROM requests WHERE NOT blocked) c"""
+
+
+def _llm_calls(spark, sf):
+    """Model calls of requests that were not blocked, with the provider that answered."""
+    i = F.col("id")
+    return fx.requests(spark, sf).where(~F.col("blocked")).select(
+        "id", "model", F.when(i % 2 == 0, "local").otherwise("hosted").alias("provider"),
+        F.floor(F.col("latency_total") * 3 / 4).alias("latency_llm"), (i % 41 == 0).alias("failed"),
+    )
+
+
+@query(
+    "llm_latency_histogram",
+    _histogram_sql(_CALLS_SQL, "provider, model", "latency_llm", metrics.LLM_SECONDS),
+    ("requests",),
+)
+def llm_latency_histogram(spark, sf):
+    """Latency of the model call alone, by provider and model."""
+    return rounded(metrics.latency_histogram(_llm_calls(spark, sf), ["provider", "model"], metrics.LLM_SECONDS, "latency_llm"), 6)
+
+
+@query(
+    "provider_error_counters",
+    f"SELECT provider, count(*) AS calls, count(*) FILTER (WHERE failed) AS errors FROM {_CALLS_SQL} GROUP BY provider",
+    ("requests",),
+)
+def provider_error_counters(spark, sf):
+    return metrics.counters(_llm_calls(spark, sf), ["provider"], {"calls": F.lit(True), "errors": F.col("failed")})
+
+
+_SERVED = """CASE WHEN id % 3 = 0 THEN 'GET' ELSE 'POST' END AS method, concat('/v1/', model) AS path,
+  CASE WHEN blocked THEN 400 WHEN id % 41 = 0 THEN 502 ELSE 200 END AS status_code"""
+
+
+@query(
+    "http_status_counters",
+    f"SELECT method, path, status_code, count(*) AS requests FROM (SELECT {_SERVED} FROM requests) q GROUP BY ALL",
+    ("requests",),
+)
+def http_status_counters(spark, sf):
+    i = F.col("id")
+    served = fx.requests(spark, sf).select(
+        F.when(i % 3 == 0, "GET").otherwise("POST").alias("method"),
+        F.concat(F.lit("/v1/"), "model").alias("path"),
+        F.when(F.col("blocked"), 400).when(i % 41 == 0, 502).otherwise(200).alias("status_code"),
+    )
+    return metrics.counters(served, ["method", "path", "status_code"], {"requests": F.lit(True)})
+
+
 @query(
     "http_latency_histogram",
     _histogram_sql(
@@ -494,17 +546,15 @@ def request_violations(spark, sf):
 
 @query(
     "duplicate_run_labels",
-    "SELECT tenant_id, model AS label, count(*) AS n_runs FROM eval_runs_by_model GROUP BY ALL HAVING count(*) > 1".replace(
+    "SELECT tenant_id, model AS label, count(*) AS n_rows FROM eval_runs_by_model GROUP BY ALL HAVING count(*) > 1".replace(
         "eval_runs_by_model", "(SELECT DISTINCT tenant_id, model, date_trunc('day', created_at) FROM requests) q"
     ),
     ("requests",),
 )
 def duplicate_run_labels(spark, sf):
     """Runs labelled by model only, so that a model's days collide."""
-    from bulwark.operators.runs import duplicate_labels
-
     label = F.substring_index("label", "/", 1).alias("label")
-    return duplicate_labels(fx.eval_runs(spark, sf).select("tenant_id", label))
+    return validation.duplicates(fx.eval_runs(spark, sf).select("tenant_id", label), ["tenant_id", "label"])
 
 
 @query(
@@ -609,3 +659,35 @@ FROM api_keys k LEFT JOIN r ON r.known AND r.key_hash = k.key_hash GROUP BY ALL"
 def key_usage(spark, sf):
     log = fx.http_log(spark, sf).select(F.sha2("api_key", 256).alias("key_hash"), "ts")
     return stamped(tenancy.key_usage(fx.api_keys(spark), fx.tenants(spark), log))
+
+
+@query(
+    "tenant_insert",
+    """
+SELECT 'model-0' AS slug, CAST(-1 AS BIGINT) AS n UNION ALL SELECT model, min(id) FROM requests WHERE model <> 'model-0' GROUP BY model""",
+    ("requests",),
+)
+def tenant_insert(spark, sf):
+    """Insert, do nothing on conflict: very many new rows with a few keys."""
+    rows = fx.requests(spark, sf).select(F.col("model").alias("slug"), F.col("id").alias("n"))
+    table = rows.where(F.col("slug") == "model-0").select("slug", F.lit(-1).cast("long").alias("n")).distinct()
+    return tenancy.insert_if_absent(table, rows, "slug")
+
+
+_UUID_TEXT = """CASE id % 5 WHEN 0 THEN h WHEN 1 THEN concat('{', upper(h), '}') WHEN 2 THEN concat('urn:uuid:', h)
+  WHEN 3 THEN left(h, 31) ELSE 'none' END"""
+
+
+@query(
+    "public_identifiers",
+    f""", i AS (SELECT id, md5(CAST(id AS VARCHAR)) AS h FROM requests), t AS (SELECT id, h, {_UUID_TEXT} AS given FROM i)
+SELECT id, CASE WHEN id % 5 < 3 THEN concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12)) END AS uuid,
+  concat('sk-', left(h, 17)) AS shown FROM t""",
+    ("requests",),
+)
+def public_identifiers(spark, sf):
+    """Request ids in the forms clients send, and the part of a key that may be shown."""
+    h = F.md5(F.col("id").cast("string"))
+    hashed = fx.requests(spark, sf).select("id", h.alias("h")).selectExpr("*", f"{_UUID_TEXT} AS given")
+    key = F.concat(F.lit("sk-"), "h")
+    return hashed.select("id", uuid_or_null(F.col("given")).alias("uuid"), key_prefix(key).alias("shown"))

@@ -37,6 +37,21 @@ TOPIC = Scorer("topic_guardrail", ("input_text",), "input", "below", score_batch
 TOPIC_SQL = "CASE WHEN length(input_text) % 11 <> 0 THEN CAST(length(input_text) * 11 % 97 AS DOUBLE) / 100 END"
 
 
+def _names(_, texts: list[str]) -> list[list[dict]]:
+    """The first word of a text as a person, surely for texts of even length; and a date, unreported."""
+    out = []
+    for t in texts:
+        word = t.split(" ")[0]
+        score = 0.85 if len(t) % 2 == 0 else 0.4
+        out.append(
+            [{"type": "PERSON", "score": score, "start": 0, "end": len(word)}, {"type": "DATE_TIME", "score": 0.9, "start": 0, "end": len(t)}]
+        )
+    return out
+
+
+NAMES = Scorer("names", ("text",), score_batch=_names, returns="array<struct<type:string,score:double,start:int,end:int>>")
+
+
 def _toxicity(_, texts: list[str]) -> list[float]:
     return [(len(t) * 3 % 90) / 100 for t in texts]
 
@@ -45,6 +60,13 @@ TOXICITY = Scorer("toxicity", ("output_text",), "output", score_batch=_toxicity)
 TOXICITY_SQL = "CAST(length(output_text) * 3 % 90 AS DOUBLE) / 100"
 
 
+def _verbosity(_, texts: list[str]) -> list[float]:
+    return [(len(t) % 71) / 100 for t in texts]
+
+
+VERBOSITY = Scorer("verbosity", ("output_text",), "output", threshold=0.6, score_batch=_verbosity)
+
+
 def _dimensions(_, texts: list[str]) -> list[dict[str, float]]:
     return [
         {"toxicity": len(t) % 83 / 100, "threat": len(t) % 59 / 100, "obscenity": len(t) % 97 / 100} for t in texts

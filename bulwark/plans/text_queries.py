@@ -12,7 +12,7 @@ from bulwark.plans import standins
 from bulwark.plans.oracle_sql import PATTERNS, matches_sql, redacted_sql
 from bulwark.plans.registry import query, rounded, stamp_sql, stamped
 from bulwark.session import scratch
-from bulwark.sources import golden, responses, tables
+from bulwark.sources import golden, responses, tables, validation
 
 ACTIVE = [p for p in PATTERNS if p.confidence >= 0.5]
 
@@ -144,6 +144,49 @@ def pii_redact(spark, sf):
     return docs.select("doc_id", pii.redacted(F.col("text")).alias("redacted_text"))
 
 
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"  # written out, not the engine's
+_NAMED = f"""WITH m AS (
+  SELECT doc_id, text, length(split_part(text, ' ', 1)) AS n, regexp_extract_all(text, '{_EMAIL}') AS found, regexp_split_to_array(text, '{_EMAIL}') AS gaps
+  FROM documents
+), e AS (
+  SELECT *, list_transform(range(1, len(found) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda g: length(g)))
+    + coalesce(list_sum(list_transform(found[1:i - 1], lambda f: length(f))), 0)) AS starts FROM m
+), s AS (
+  SELECT *, length(text) % 2 = 0 AND n > 0 AND len(list_filter(starts, lambda s: s < n)) = 0 AS person FROM e)"""
+
+
+@query(
+    "pii_scan_entities",
+    f"""{_NAMED}
+SELECT doc_id, CAST(CASE WHEN len(found) > 0 THEN 1.0 WHEN person THEN 0.85 ELSE 0.0 END AS DOUBLE) AS score,
+  array_to_string(list_concat(CASE WHEN person THEN [concat('PERSON:0:', n)] ELSE [] END, list_transform(range(1, len(found) + 1),
+    lambda i: concat('EMAIL_ADDRESS:', CAST(starts[i] AS BIGINT), ':', CAST(starts[i] + length(found[i]) AS BIGINT)))), '|') AS entities
+FROM s""",
+)
+def pii_scan_entities(spark, sf):
+    """Places of patterns and of a model's entities, without overlaps."""
+    scanned = _with_names(spark, sf)
+    place = lambda e: F.concat_ws(":", e["type"], e["start"].cast("string"), e["end"].cast("string"))
+    return scanned.select("doc_id", "score", F.array_join(F.transform("entities", place), "|").alias("entities"))
+
+
+def _with_names(spark, sf):
+    named = scoring.score(fx.table(spark, sf, "documents").select("doc_id", "text"), standins.NAMES)
+    found = named.select("doc_id", "text", F.col("score").alias("names"))
+    return pii.scan_spans(found, extra="names", types=("EMAIL_ADDRESS", "PERSON"))
+
+
+@query(
+    "pii_redact_entities",
+    f"""{_NAMED}
+SELECT doc_id, CASE WHEN person THEN concat('<PERSON>', regexp_replace(substr(text, n + 1), '{_EMAIL}', '<EMAIL_ADDRESS>', 'g'))
+  ELSE regexp_replace(text, '{_EMAIL}', '<EMAIL_ADDRESS>', 'g') END AS redacted_text FROM s""",
+)
+def pii_redact_entities(spark, sf):
+    scanned = _with_names(spark, sf)
+    return scanned.select("doc_id", pii.redacted_spans(F.col("text"), F.col("entities")).alias("redacted_text"))
+
+
 @query(
     "pii_report",
     "WITH c AS ("
@@ -292,6 +335,37 @@ def relevance(spark, sf):
     return rounded(scored.select("vec_id", "score"), 6)
 
 
+@query(
+    "turn_gaps",
+    """
+SELECT conv_id, count(*) AS n_messages, min(turn) AS first, max(turn) AS last FROM conversations
+WHERE NOT (conv_id % 3 = 0 AND turn = 1) GROUP BY conv_id HAVING count(*) <> max(turn) - min(turn) + 1""",
+)
+def turn_gaps(spark, sf):
+    log = fx.conversations(spark, sf).where(~((F.col("conv_id") % 3 == 0) & (F.col("turn") == 1)))
+    return validation.turn_gaps(log)
+
+
+@query(
+    "ninth_evaluator",
+    f""", s AS (SELECT concat(conv_id, '/', turn) AS request_id, {standins.INJECTION_SQL} AS s1,
+    CASE WHEN length(output_text) > 0 THEN CAST(length(output_text) % 71 AS DOUBLE) / 100 END AS s8 FROM pairs)
+SELECT request_id, s1 AS score_prompt_injection, CASE WHEN s1 < 0.8 THEN s8 END AS score_verbosity,
+  coalesce(s1 < 0.8 AND s8 >= 0.6, false) AS flag_verbosity, s1 >= 0.8 AS blocked FROM s""",
+    ("pairs",),
+)
+def ninth_evaluator(spark, sf):
+    """A detector that the catalogue does not know, from its scores to its columns of the log."""
+    config = tuple(
+        e for e in scoring.catalogue_with(standins.VERBOSITY) if e.name in ("prompt_injection", "verbosity")
+    )
+    payloads = _records(spark, sf).drop("context_documents")
+    calls = offline.guard(payloads, (standins.INJECTION, standins.VERBOSITY), config=config)
+    kept = chain.replay(calls.withColumn("latency_ms", F.lit(1)), config)
+    wide = chain.assemble(kept, [e.name for e in config])
+    return wide.select("request_id", "score_prompt_injection", "score_verbosity", "flag_verbosity", "blocked")
+
+
 @query(
     "batch_scores",
     """

@@ -92,16 +92,6 @@ EVAL_RESULTS = T.StructType(
     ]
 )
 
-# Declared by the data model; no operator reads or writes these two.
-PROMPT_VERSIONS = T.StructType(
-    [T.StructField("id", _S), T.StructField("created_at", _TS)]
-    + [T.StructField(n, _S) for n in ("name", "version_tag", "template", "description", "metadata")]
-)
-MODEL_VERSIONS = T.StructType(
-    [T.StructField("id", _S), T.StructField("created_at", _TS)]
-    + [T.StructField(n, _S) for n in ("provider", "model_id", "version_tag", "config_snapshot")]
-)
-
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``df`` in the order and types of ``schema``; columns it lacks become NULL."""

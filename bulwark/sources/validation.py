@@ -50,3 +50,11 @@ def split(df: DataFrame, checks: Mapping[str, Column]) -> tuple[DataFrame, DataF
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Key values held by more than one row."""
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > 1)
+
+
+def turn_gaps(messages: DataFrame) -> DataFrame:
+    """Conversations whose turns are not numbered one by one: (conv_id, n_messages, first, last)."""
+    counted = messages.groupBy("conv_id").agg(
+        F.count("*").alias("n_messages"), F.min("turn").alias("first"), F.max("turn").alias("last")
+    )
+    return counted.where(F.col("n_messages") != F.col("last") - F.col("first") + 1)
