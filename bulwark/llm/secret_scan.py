@@ -48,7 +48,7 @@ ADDED = "markov"
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 LEAST = 20
 #: Mean log-likelihood ratio per pair of characters.
-RATIO = 0.5
+RATIO = 1.5
 #: Documents that train the model, about.
 SAMPLE = 20_000
 CODES = 128
