@@ -396,12 +396,14 @@ def groups(
     )
     numbers = met.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(met.select("node", "root"), "node", "root")
-    of_class = (
+    of_class = stored(
         classes.select(F.col("_node").alias("node"), "least", "copies")
         .join(numbers, "node", "left").join(roots, "node", "left")
-        .select("node", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+        .select("node", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")),
+        "of_class",
     )
-    smallest = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Stored, so that the join with a large group's rows is one that AQE can split.
+    smallest = stored(of_class.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     answers = of_class.join(smallest, "root").select(F.col("node").alias("_node"), "n_links", "component_id")
     component = F.when(F.col("_node").isNull(), F.col(id)).otherwise(F.col("component_id"))
     return named.select(id, "_node").join(answers, "_node", "left").select(

@@ -275,10 +275,14 @@ def _grouped(marked: DataFrame, id: str, radius: int) -> DataFrame:
     """``marked`` with ``root`` (the group's name) and ``component_id`` (its smallest id)."""
     classes = stored(marked.groupBy("fp").agg(F.min(id).alias("_least")), "classes")
     roots = components(links(classes.select("fp"), radius))
-    named = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", "_least", F.coalesce("root", "fp").alias("root")
+    named = stored(
+        classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
+            "fp", "_least", F.coalesce("root", "fp").alias("root")
+        ),
+        "named",
     )
-    least = named.groupBy("root").agg(F.min("_least").alias("component_id"))
+    # Stored, so that the join with a large group's rows is one that AQE can split.
+    least = stored(named.groupBy("root").agg(F.min("_least").alias("component_id")), "least")
     return marked.join(named.select("fp", "root").join(least, "root"), "fp")
 
 

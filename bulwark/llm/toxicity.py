@@ -35,7 +35,7 @@ from bulwark.llm.common import fold, mapped, stored, uniform, utf8
 #: Labelled texts of the sample, about.
 TOXIC, OTHER = 4_000, 8_000
 #: Least log-likelihood ratio of a lexicon entry, and the most entries.
-EVIDENCE = 12.0
+EVIDENCE = 8.0
 ENTRIES = 4_000
 BEGINNINGS = (4, 5, 6)
 #: Words whose attributes a worker remembers.
