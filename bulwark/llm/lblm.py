@@ -56,7 +56,7 @@ LONGEST = 64
 #: Distinct tokens that a counting task holds before it passes them on.
 HELD = 250_000
 #: Shards averaged at once.
-FAN_IN = 64
+FAN_IN = 16
 
 END = b""
 BEGIN = ENDINGS  # the class that stands before a text; never predicted
@@ -113,9 +113,22 @@ class Vocabulary:
 
 
 def vocabulary(counted: DataFrame) -> Vocabulary:
-    """The broadcast part of stored counts: at most COMMON tokens of at most LONGEST bytes."""
+    """The broadcast part of stored counts: at most COMMON tokens of at most LONGEST bytes.
+
+    They are those at or above a count that leaves no more of them, found from the numbers of tokens
+    by size of count (a few hundred rows), so no task sends more than what is kept.
+    """
     short = counted.where((F.length("token") <= LONGEST) & (F.length("token") > 0))
-    top = short.orderBy(F.col("c").desc(), "token").limit(COMMON).collect()
+    size = F.floor(F.log2("c") * 8)
+    sizes = short.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, held = None, 0
+    for row in sorted(sizes, key=lambda r: -r["size"]):
+        held += row["n"]
+        if held > COMMON:
+            break
+        least = row["size"]
+    top = [] if least is None else short.where(size >= least).collect()
+    top.sort(key=lambda r: (-r["c"], bytes(r["token"])))
     totals = counted.agg(F.sum("c"), F.count(F.lit(1))).first()
     ends = counted.where(F.length("token") == 0).agg(F.sum("c")).first()[0] or 0
     tokens = [END, *(bytes(r["token"]) for r in top)]
