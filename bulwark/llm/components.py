@@ -51,15 +51,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def local_roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest node reachable from each of ``size`` nodes, inside one task."""
+    """Smallest node reachable from each of ``size`` nodes, inside one task.
+
+    Only roots are hooked, to the smallest root that an edge shows them; their nodes follow. Edges
+    between different roots stay until none is left.
+    """
     label = np.arange(size)
     while len(a):
         low = np.minimum(label[a], label[b])
         new = label.copy()
         np.minimum.at(new, label[a], low)
         np.minimum.at(new, label[b], low)
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
         while True:
             jumped = new[new]
             if (jumped == new).all():

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from bulwark.llm import hnsw
-from bulwark.llm.components import local_roots
+from tests.llm.plain import roots
 
 
 def plain(rows, least=0.98):
@@ -21,7 +21,7 @@ def plain(rows, least=0.98):
                     edges.append((i, j))
                     number[i] += 1
                     number[j] += 1
-    root = local_roots(n, np.array([i for i, _ in edges], dtype=int), np.array([j for _, j in edges], dtype=int))
+    root = roots(n, np.array([i for i, _ in edges], dtype=int), np.array([j for _, j in edges], dtype=int))
     first = {}
     for r, row in zip(root, rows):
         if row[0] is not None:

@@ -6,6 +6,7 @@ import xxhash
 
 from bulwark.llm import simhash
 from bulwark.llm.components import components, local_roots
+from tests.llm.plain import roots
 
 
 def plain_fingerprint(text, n):
@@ -20,7 +21,7 @@ def plain_groups(rows, n=4):
     """(id, fingerprint, component) by comparing all pairs."""
     prints = np.array([plain_fingerprint(t, n) for _, t in rows], dtype=np.uint64)
     i, j = np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4)
-    root = local_roots(len(rows), i, j)
+    root = roots(len(rows), i, j)
     least = {}
     for r, (id_, _) in zip(root, rows):
         if id_ is not None:
@@ -70,9 +71,9 @@ def test_links_are_exact(spark, monkeypatch, shard, cell, blocks):
     table = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
     place = {int(v): i for i, v in enumerate(values.view(np.int64))}
     edges = [(place[r["a"]], place[r["b"]]) for r in simhash.links(table, blocks=blocks).collect()]
-    got = local_roots(len(values), np.array([a for a, _ in edges]), np.array([b for _, b in edges]))
+    got = roots(len(values), np.array([a for a, _ in edges]), np.array([b for _, b in edges]))
     i, j = np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= 4)
-    assert (got == local_roots(len(values), i, j)).all()
+    assert (got == roots(len(values), i, j)).all()
     assert len(edges) <= 20 * len(values)  # spanning edges, not pairs
 
 
@@ -94,7 +95,15 @@ def test_components(spark):
     names = sorted({x for e in edges for x in e if x is not None})
     at = {n: i for i, n in enumerate(names)}
     clean = [(at[x], at[y]) for x, y in edges if x is not None and y is not None]
-    root = local_roots(len(names), np.array([x for x, _ in clean]), np.array([y for _, y in clean]))
+    root = roots(len(names), np.array([x for x, _ in clean]), np.array([y for _, y in clean]))
     want = {names[i]: names[r] for i, r in enumerate(root) if i != r}
     assert {r["node"]: r["root"] for r in rows} == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_local_roots_against_plain_ones():
+    rng = np.random.default_rng(5)
+    for _ in range(1500):
+        n, m = int(rng.integers(2, 60)), int(rng.integers(0, 50))
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        assert (local_roots(n, a, b) == roots(n, a, b)).all()
