@@ -32,18 +32,23 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def with_index(kept: DataFrame, keep: Column) -> DataFrame:
     """Add ``record_index``: 0, 1, 2, ... over the rows where ``keep`` holds, in file order.
 
-    Rows are numbered inside their file block by a task-local counter; the blocks' sizes, one
-    short row per block, give the offsets. No row is moved to number it.
+    Rows are numbered inside their file block by a task-local counter. Offsets come in two levels:
+    a block's inside its file, and a file's among the files, one short row each. No row is moved to
+    number it.
     """
     # The counter must count only rows that get an index, so it is taken after the filter.
     chosen = kept.where(keep).withColumn(
         "_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))
     )
     blocks = chosen.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    in_order = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
-        "_file", "_block", "_first", F.coalesce(F.sum("_n").over(in_order), F.lit(0)).alias("_offset")
+    before = (Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(*before)
+    of_files = Window.orderBy("_file").rowsBetween(*before)
+    files = blocks.groupBy("_file").agg(F.sum("_n").alias("_n")).select(
+        "_file", F.coalesce(F.sum("_n").over(of_files), F.lit(0)).alias("_start")
     )
+    inside = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(in_file), F.lit(0)))
+    offsets = inside.join(files, "_file").select("_file", "_block", "_first", (F.col("_start") + F.col("_offset")).alias("_offset"))
     indexed = chosen.join(offsets, ["_file", "_block"])
     return indexed.withColumn("record_index", F.col("_offset") + F.col("_row") - F.col("_first"))
 

@@ -278,3 +278,45 @@ def test_scoring_moves_text_once_per_group(spark):
     moved = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
     as_column = re.compile(r"[\[ ](input|output)_text#\d+[,\]]")  # not inside a function
     assert moved and sum(bool(as_column.search(line)) for line in moved) <= 2
+
+
+# Written by hand from the formats themselves, not from the patterns.
+GOLDEN_ENTITIES = [
+    ("see https://a.example.com/x?y=1 now", ["URL:https://a.example.com/x?y=1"]),
+    ("write to first.last+tag@sub.example.org.", ["EMAIL_ADDRESS:first.last+tag@sub.example.org"]),
+    ("a@b.com.x@y.org", ["EMAIL_ADDRESS:a@b.com", "EMAIL_ADDRESS:.x@y.org"]),
+    ("IBAN GB82WEST12345698765432 ok", ["IBAN_CODE:GB82WEST12345698765432"]),
+    ("IBAN GB82WEST12345698765433 bad", []),
+    ("card 4111 1111 1111 1111 ok", ["CREDIT_CARD:4111 1111 1111 1111"]),
+    ("card 4111 1111 1111 1112 bad", []),
+    ("amex 378282246310005 ok", ["CREDIT_CARD:378282246310005"]),
+    ("ssn 123-45-6789 ok", ["US_SSN:123-45-6789"]),
+    ("call 212-555-0142 or 1 (212) 555-0142", ["PHONE_NUMBER:212-555-0142", "PHONE_NUMBER:1 (212) 555-0142"]),
+    ("host 192.168.0.254, not 300.1.1.1", ["IP_ADDRESS:192.168.0.254"]),
+    ("licence AB1234563, not AB1234564", ["MEDICAL_LICENSE:AB1234563"]),
+    ("nothing here, 12:30, v1.2.3", []),
+]
+
+
+@pytest.mark.parametrize("text,expected", GOLDEN_ENTITIES)
+def test_golden_entities(spark, text, expected):
+    found = one(spark, text, pii.entities(F.col("t")))
+    assert sorted(f"{e.type}:{e.match}" for e in found) == sorted(expected)
+    placed = one(spark, text, pii.located(F.col("t")))
+    assert sorted(f"{e.type}:{e.match}" for e in placed) == sorted(expected)
+    assert all(text[e.start : e.end] == e.match for e in placed)
+
+
+def test_model_entities_and_overlaps(spark):
+    text = "Jane Doe jane.doe@x.example.com met Bob é Ann"
+    extra = [
+        ("PERSON", 0.85, 0, 8), ("PERSON", 0.9, 9, 13), ("DATE_TIME", 0.99, 0, 4), ("PERSON", 0.3, 36, 39),
+        ("NRP", 0.7, 36, 41), ("PERSON", 0.7, 40, 45), ("PERSON", 0.9, 44, 99),
+    ]
+    df = spark.createDataFrame([(text, extra), (text, None)], "t string, e array<struct<type:string,score:double,start:int,end:int>>")
+    rows = pii.scan_spans(df, "t", "e").withColumn("r", pii.redacted_spans(F.col("t"), F.col("entities"))).collect()
+    assert [(e.type, e.start, e.end) for e in rows[0].entities] == [("PERSON", 0, 8), ("EMAIL_ADDRESS", 9, 31), ("NRP", 36, 41)] or [
+        (e.type, e.start, e.end) for e in rows[0].entities
+    ] == [("PERSON", 0, 8), ("EMAIL_ADDRESS", 9, 31), ("PERSON", 40, 45)]
+    assert rows[0].score == 1.0 and rows[0].r.startswith("<PERSON> <EMAIL_ADDRESS> met ")
+    assert [(e.type, e.start) for e in rows[1].entities] == [("EMAIL_ADDRESS", 9)]
