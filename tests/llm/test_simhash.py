@@ -17,10 +17,10 @@ def plain_fingerprint(text, n):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_groups(rows, n=4):
+def plain_groups(rows, n=4, radius=4):
     """(id, fingerprint, component) by comparing all pairs."""
     prints = np.array([plain_fingerprint(t, n) for _, t in rows], dtype=np.uint64)
-    i, j = np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4)
+    i, j = np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= radius)
     root = roots(len(rows), i, j)
     least = {}
     for r, (id_, _) in zip(root, rows):
@@ -62,25 +62,25 @@ def clustered(seed, clusters, dense):
 
 
 @pytest.mark.parametrize("shard, cell", [(8192, 32768), (64, 100)])
-@pytest.mark.parametrize("blocks", [1, 3, 5])
-def test_links_are_exact(spark, monkeypatch, shard, cell, blocks):
-    """All pairs within four bits, with one shard, many shards and split cells."""
+@pytest.mark.parametrize("radius, blocks", [(4, 1), (4, 3), (4, 5), (5, 3)])
+def test_links_are_exact(spark, monkeypatch, shard, cell, radius, blocks):
+    """All pairs within the radius, with one shard, many shards and split cells."""
     monkeypatch.setattr(simhash, "SHARD", shard)
     monkeypatch.setattr(simhash, "CELL", cell)
     values = clustered(3, 400, 300)
     table = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
     place = {int(v): i for i, v in enumerate(values.view(np.int64))}
-    edges = [(place[r["a"]], place[r["b"]]) for r in simhash.links(table, blocks=blocks).collect()]
+    edges = [(place[r["a"]], place[r["b"]]) for r in simhash.links(table, radius, blocks).collect()]
     got = roots(len(values), np.array([a for a, _ in edges]), np.array([b for _, b in edges]))
-    i, j = np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= 4)
+    i, j = np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= radius)
     assert (got == roots(len(values), i, j)).all()
     assert len(edges) <= 20 * len(values)  # spanning edges, not pairs
 
 
 def test_one_of_each(documents, texts):
     twice = documents.unionByName(documents)
-    kept = simhash.one_of_each(twice, shingle=4)
-    want = {id_ for id_, _, component in plain_groups(list(texts.items())) if id_ == component}
+    kept = simhash.one_of_each(twice)
+    want = {id_ for id_, _, component in plain_groups(list(texts.items()), 5, 5) if id_ == component}
     rows = kept.collect()
     assert kept.schema == documents.schema and len(rows) == len(want) and {r["doc_id"] for r in rows} == want
 
