@@ -79,3 +79,16 @@ def test_no_query_uses_local_checkpoint_or_broadcast_hints():
     files = pathlib.Path(entry.ROOT, "bulwark").rglob("*.py")
     source = "".join(p.read_text() for p in files if "llm" not in p.parts)
     assert "localCheckpoint" not in source and "F.broadcast(" not in source and "crossJoin" not in source
+
+
+@pytest.mark.parametrize("name, most", [("offline_evaluation", 18), ("guarded_requests", 22)])
+def test_scoring_plans_shuffle_little(spark, data_dir, name, most):
+    """Without broadcasts, as on large data."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = entry.queries()[name](spark, data_dir)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert 0 < plan.count("Exchange hashpartitioning") <= most
