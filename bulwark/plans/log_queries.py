@@ -289,7 +289,7 @@ def _unknown_sql() -> str:
   FROM ({TABLES["http_log"][1]}) h WHERE event_id % 11 <> 0"""
     return _LIMITED.format(log=named) + f"""
 SELECT event_id, CAST(CASE WHEN identity <> -1 THEN identity END AS DOUBLE) AS identity, CAST(arrival_ms AS DOUBLE) AS arrival_ms,
-  CAST(window_start AS DOUBLE) AS window_start, CAST(position AS DOUBLE) AS position, position <= 5 AS allowed FROM placed
+  CAST(window_start AS DOUBLE) AS window_start, CAST(position AS DOUBLE) AS position, CAST(position <= 5 AS DOUBLE) AS allowed FROM placed
 UNION ALL SELECT event_id, CAST(CASE WHEN event_id % 7 <> 0 THEN identity END AS DOUBLE), NULL, NULL, NULL, NULL
 FROM ({TABLES["http_log"][1]}) h WHERE event_id % 11 = 0"""
 
@@ -301,7 +301,8 @@ def rate_limit_unknown(spark, sf):
     log = fx.http_log(spark, sf).select(
         "event_id", F.when(i % 7 != 0, F.col("identity")).alias("identity"), F.when(i % 11 != 0, F.col("arrival_ms")).alias("arrival_ms")
     )
-    return as_doubles(replay_limits(log, limit=5).drop("retry_after_s"), "identity", "arrival_ms", "window_start", "position")
+    decided = replay_limits(log, limit=5).drop("retry_after_s").withColumn("allowed", F.col("allowed").cast("int"))
+    return as_doubles(decided, "identity", "arrival_ms", "window_start", "position", "allowed")
 
 
 @query(

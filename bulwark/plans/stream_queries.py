@@ -213,7 +213,7 @@ MOODY = Scorer("length", ("text", "mood"), score_batch=_moody_score)
 @query(
     "score_once_retry_stream",
     """WITH t AS (SELECT DISTINCT text FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0)
-SELECT 1 AS tenant_id, concat('guard:1:scores:', sha256(concat(text, '|v1'))) AS cache_key, 'length' AS evaluator,
+SELECT CAST(1 AS BIGINT) AS tenant_id, concat('guard:1:scores:', sha256(concat(text, '|v1'))) AS cache_key, 'length' AS evaluator,
   CAST(length(text) % 101 AS DOUBLE) / 100 AS score FROM t""",
 )
 def score_once_retry_stream(spark, sf):
