@@ -111,17 +111,21 @@ def topic_guardrail_by(df: DataFrame, vector: str, topics: DataFrame, topic: str
 
     @F.arrow_udf(T.DoubleType())
     def best(column: pa.Array, lists: pa.Array) -> pa.Array:
-        out, present = np.zeros(len(column)), np.zeros(len(column), dtype=bool)
-        units: dict[bytes, np.ndarray] = {}
-        for i, (row, wanted) in enumerate(zip(column.to_pylist(), lists.to_pylist())):
-            if not wanted:
-                out[i], present[i] = 1.0, True
-                continue
-            matrix = np.asarray(wanted, dtype=np.float64)
-            unit = units.setdefault(matrix.tobytes(), _unit(matrix))
-            if row is not None and None not in row and len(row) == unit.shape[1]:
-                out[i], present[i] = max(0.0, float((unit @ _unit(np.asarray([row], dtype=np.float64))[0]).max())), True
-        return pa.array(out, mask=~present)
+        widths, numbers = _widths(column), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        first = pc.list_value_length(pc.list_element(lists.filter(pa.array(numbers > 0)), 0)).to_numpy(zero_copy_only=False)
+        topic_widths = np.full(len(widths), -1)
+        topic_widths[numbers > 0] = first
+        free = numbers == 0
+        usable = (widths == topic_widths) & ~free
+        sims = np.where(free, 1.0, 0.0)
+        # Rows with equally many topics of one width make one product; nearly always that is all.
+        for number, width in {*zip(numbers[usable].tolist(), widths[usable].tolist())}:
+            rows = usable & (numbers == number) & (widths == width)
+            flat = lists.filter(pa.array(rows)).flatten().flatten().to_numpy(zero_copy_only=False)
+            topics = _unit(flat.reshape(-1, width)).reshape(-1, number, width)
+            found = np.einsum("nkd,nd->nk", topics, _unit(_matrix(column, width, rows)))
+            sims[rows] = np.maximum(found.max(axis=1), 0.0)
+        return pa.array(sims, mask=~(usable | free))
 
     width = F.size(F.get("_topics", F.lit(0)))
     error = F.when(F.size("_topics") > 0, vector_error(F.col(vector), width))
