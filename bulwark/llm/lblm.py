@@ -6,8 +6,8 @@ Classes. The ``WORDS`` most frequent tokens are classes of their own; all other
 ``ENDINGS`` classes by their last two bytes. A token's probability is its class's, given the two
 classes before it, times, for a token without a class of its own, its share (c + 1) of the class.
 
-Model. The score of class w after classes u, v is (P[u] + Q[v]) . R[w] + b[w]. Training takes a fixed
-share of all training positions, dealt to shards of bounded size; each shard runs minibatches
+Model. The score of class w after classes u, v is (P[u] + Q[v]) . R[w] + b[w]. Training takes
+every training position, dealt to shards of bounded size by text; each shard runs minibatches
 against noise from the unigram distribution, the shards' parameters are averaged, and a second
 round starts from there. Work and data grow with the corpus; no shard, and no average, does.
 
@@ -42,8 +42,7 @@ WORDS = 2_048
 ENDINGS = 64
 #: Dimensions of the vectors.
 SIZE = 32
-#: One training position in this many is an example; examples in a shard, about.
-EVERY = 8
+#: Examples in a shard, about.
 SHARD = 250_000
 ROUNDS = 2
 PASSES = 1
@@ -173,90 +172,97 @@ def _summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train_shard(theta: np.ndarray, examples: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
-    """Noise-contrastive estimation over examples (u, v, w) with AdaGrad steps."""
-    theta = theta.copy()
-    squares = np.ones(theta.shape)
+    """Noise-contrastive estimation over examples (u, v, w) with AdaGrad steps, in single precision."""
+    cuts = [slice(0, SIZE), slice(SIZE, 2 * SIZE), slice(2 * SIZE, 3 * SIZE), slice(3 * SIZE, None)]
+    parts = [np.ascontiguousarray(theta[:, c], dtype=np.float32) for c in cuts]
+    squares = [np.ones_like(part) for part in parts]
+    first, second, out, bias = range(4)
     rng = np.random.default_rng(seed)
     cumulative = np.cumsum(p)
     with np.errstate(divide="ignore"):
-        offset = np.log(NOISE * p)
-    first, second, out, bias = slice(0, SIZE), slice(SIZE, 2 * SIZE), slice(2 * SIZE, 3 * SIZE), 3 * SIZE
+        offset = np.log(NOISE * p).astype(np.float32)
 
-    def step(ids: np.ndarray, columns: slice, gradient: np.ndarray) -> None:
+    def step(ids: np.ndarray, part: int, gradient: np.ndarray) -> None:
         at, g = _summed(ids, gradient)
-        squares[at, columns] += g * g
-        theta[at, columns] -= RATE * g / np.sqrt(squares[at, columns])
+        square = squares[part][at] + g * g
+        squares[part][at] = square
+        parts[part][at] -= RATE * g / np.sqrt(square)
 
     for _ in range(PASSES):
         order = rng.permutation(len(examples))
         for start in range(0, len(order), BATCH):
             u, v, w = examples[order[start : start + BATCH]].T
             noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE), side="right"), len(p) - 1)
-            h = theta[u, first] + theta[v, second]
-            r = theta[w, out]
-            true = (h * r).sum(axis=1) + theta[w, bias] - offset[w]
-            false = h @ theta[noise, out].T + theta[noise, bias] - offset[noise]
+            h = parts[first][u] + parts[second][v]
+            r, r_noise = parts[out][w], parts[out][noise]
+            true = (h * r).sum(axis=1) + parts[bias][w, 0] - offset[w]
+            false = h @ r_noise.T + parts[bias][noise, 0] - offset[noise]
             g_true = -1.0 / (1.0 + np.exp(np.clip(true, -30, 30)))
             g_false = 1.0 / (1.0 + np.exp(-np.clip(false, -30, 30)))
-            g_h = g_true[:, None] * r + g_false @ theta[noise, out]
+            g_h = g_true[:, None] * r + g_false @ r_noise
             ids = np.concatenate([w, noise])
             g_out = np.vstack([g_true[:, None] * h, g_false.T @ h])
             g_bias = np.concatenate([g_true, g_false.sum(axis=0)])[:, None]
             step(ids, out, g_out)
-            step(ids, slice(bias, bias + 1), g_bias)
+            step(ids, bias, g_bias)
             step(u, first, g_h)
             step(v, second, g_h)
-    return theta
+    return np.hstack(parts)
 
 
 def _examples(docs: DataFrame, id: str, text: str, shared, shards: int, seed: int) -> DataFrame:
-    """(shard, packed): triples of class ids of the chosen positions, a row per text."""
+    """(shard, packed): class ids of a text after two begins, a row per text."""
 
     def work(batch: pa.RecordBatch) -> dict:
         vocab = shared.value
         packed = []
-        for key, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-            tokens = [*words(data), END]
-            rng = np.random.default_rng((key & 0xFFFFFFFFFFFF, seed))
-            at = np.nonzero(rng.random(len(tokens)) < 1.0 / EVERY)[0]
-            line = np.concatenate(([BEGIN, BEGIN], vocab.classes(tokens)[1]))
-            packed.append(np.stack([line[at], line[at + 1], line[at + 2]], axis=1).astype("<u2").tobytes())
-        return {"shard": batch.column(1), "packed": pa.array(packed, pa.binary())}
+        for data in batch.column(1).to_pylist():
+            line = np.concatenate(([BEGIN, BEGIN], vocab.classes([*words(data), END])[1]))
+            packed.append(line.astype("<u2").tobytes())
+        return {"shard": batch.column(0), "packed": pa.array(packed, pa.binary())}
 
     key = F.xxhash64(F.lit(seed), F.col(id), F.length(text))
-    rows = docs.select(key.alias("_key"), F.pmod(key, F.lit(shards)).cast("int").alias("_shard"), utf8(text).alias("_text"))
-    return mapped(rows, work, "shard int, packed binary").where(F.length("packed") > 0)
+    rows = docs.select(F.pmod(key, F.lit(shards)).cast("int").alias("_shard"), utf8(text).alias("_text"))
+    return mapped(rows, work, "shard int, packed binary")
+
+
+def triples(packed: bytes) -> np.ndarray:
+    """(u, v, w) of every position of texts that stand one after the other; no w is a begin."""
+    line = np.frombuffer(packed, dtype="<u2").astype(np.int64)
+    every = np.stack([line[:-2], line[1:-1], line[2:]], axis=1)
+    return every[every[:, 2] != BEGIN]
 
 
 def _averaged(rows: DataFrame, shards: int) -> np.ndarray | None:
     """Mean of the shards' parameters, weighted by examples; FAN_IN at a time."""
 
     def add(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(v, dtype="<f8") for v in part["sums"])
-        return pd.DataFrame({"shard": [int(key[0])], "examples": [int(part["examples"].sum())], "sums": [total.tobytes()]})
+        total = sum(np.frombuffer(v, dtype="<f4").astype(np.float64) for v in part["sums"])
+        sums = total.astype("<f4").tobytes()
+        return pd.DataFrame({"shard": [int(key[0])], "examples": [int(part["examples"].sum())], "sums": [sums]})
 
     while shards > 1:
         group = F.floor(F.col("shard") / FAN_IN).cast("int").alias("_group")
         rows = rows.groupBy(group).applyInPandas(add, "shard int, examples long, sums binary")
         shards = -(-shards // FAN_IN)
     row = rows.first()
-    return None if row is None else np.frombuffer(row["sums"], dtype="<f8") / row["examples"]
+    return None if row is None else np.frombuffer(row["sums"], dtype="<f4").astype(np.float64) / row["examples"]
 
 
 def train(docs: DataFrame, vocab: Vocabulary, id: str = "doc_id", text: str = "text", seed: int = 3) -> np.ndarray:
     """Parameters of the model, trained on the texts of ``docs``."""
     p = unigram(vocab)
     theta = initial(p, seed)
-    shards = max(1, -(-vocab.total // (EVERY * SHARD)))
+    shards = max(1, -(-vocab.total // SHARD))
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
     examples = stored(_examples(docs, id, text, shared, shards, seed), "examples")
 
     def fitter(start, seed: int):
         def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            triples = np.frombuffer(b"".join(part["packed"].sort_values()), dtype="<u2").reshape(-1, 3).astype(np.int64)
-            fitted = train_shard(start.value, triples, p, seed)
-            n = len(triples)
-            return pd.DataFrame({"shard": [int(key[0])], "examples": [n], "sums": [(fitted * n).astype("<f8").tobytes()]})
+            examples = triples(b"".join(part["packed"].sort_values()))
+            fitted = train_shard(start.value, examples, p, seed)
+            n = len(examples)
+            return pd.DataFrame({"shard": [int(key[0])], "examples": [n], "sums": [(fitted * n).astype("<f4").tobytes()]})
 
         return fit
 

@@ -80,3 +80,17 @@ def test_training_learns_context():
     tables = lblm.Tables(lblm.train_shard(lblm.initial(p, 1), examples, p, 2))
     after = lambda u, v, w: 10 ** tables.log10(np.array([u, v, w]))[0]
     assert after(b, a, b) > 0.85 and after(a, b, a) > 0.85 and after(b, a, a) < 0.1
+
+
+def test_every_training_position_is_an_example(spark, documents, texts):
+    """The shards hold each token of each text once, with the two classes before it."""
+    vocab = lblm.vocabulary(lblm.counts(documents, "text").persist())
+    rows = lblm._examples(documents, "doc_id", "text", spark.sparkContext.broadcast(vocab), 3, 3).collect()
+    got = Counter()
+    for shard in {r["shard"] for r in rows}:
+        got.update(map(tuple, lblm.triples(b"".join(r["packed"] for r in rows if r["shard"] == shard)).tolist()))
+    want = Counter()
+    for text in texts.values():
+        line = [lblm.BEGIN, lblm.BEGIN, *vocab.classes([*(text or "").encode().lower().split(), lblm.END])[1].tolist()]
+        want.update(zip(line, line[1:], line[2:]))
+    assert got == want and got.total() == vocab.total
