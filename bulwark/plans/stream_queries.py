@@ -218,6 +218,22 @@ SELECT CAST(1 AS BIGINT) AS tenant_id, concat('guard:1:scores:', sha256(concat(t
 )
 def score_once_retry_stream(spark, sf):
     """The model is down for the first micro-batch; its texts come again or are tried again."""
+    return _retried(spark, sf, "doc_id % 2 = 0")
+
+
+@query(
+    "score_once_retry_whole_stream",
+    """
+SELECT DISTINCT CAST(1 AS BIGINT) AS tenant_id, concat('guard:1:scores:', sha256(concat(text, '|v1'))) AS cache_key, 'length' AS evaluator,
+  CAST(length(text) % 101 AS DOUBLE) / 100 AS score FROM documents""",
+)
+def score_once_retry_whole_stream(spark, sf):
+    """The same with every document in the second micro-batch."""
+    return _retried(spark, sf, "doc_id % 3 <> 0 OR doc_id % 3 IS NULL")
+
+
+def _retried(spark, sf, healthy):
+    """Scores of a third of the documents, first with the model down, and of the ``healthy`` ones."""
     texts = fx.table(spark, sf, "documents").select(
         F.lit(1).cast("long").alias("tenant_id"),
         "text",
@@ -226,12 +242,12 @@ def score_once_retry_stream(spark, sf):
         "doc_id",
     )
     inbox = scratch(spark, "moody-input")
-    third, even = texts.where("doc_id % 3 = 0"), texts.where("doc_id % 2 = 0")
+    third, others = texts.where("doc_id % 3 = 0"), texts.where(healthy)
     later = F.col("ts") + F.expr("INTERVAL 10 MINUTE")
     # First the model is down; then it is well, for other texts and for most of the same ones.
     parts = [
         third.withColumn("mood", F.lit("down")),
-        even.unionByName(third).withColumns({"mood": F.lit("well"), "ts": later}),
+        others.unionByName(third).withColumns({"mood": F.lit("well"), "ts": later}),
     ]
     for part in parts:
         part.drop("doc_id").coalesce(1).write.mode("append").parquet(inbox)
