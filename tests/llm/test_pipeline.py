@@ -45,3 +45,10 @@ def test_stages_on_odd_and_empty_tables(spark, odd, empty, data_dir):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_last_stage_decodes(spark, documents, odd, data_dir):
+    for docs in (documents, odd):
+        rows = corpus_pipeline.STAGES[-1][1](spark, docs, data_dir).select("doc_id", "decoded").collect()
+        key = lambda r: (r[0] is None, r[0] or 0, r[1])
+        assert sorted(rows, key=key) == sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=key)
