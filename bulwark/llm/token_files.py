@@ -13,10 +13,13 @@ ties by a hash of the text, through all parts in turn. Columns:
 A stripe has an index and a footer of its own, so that several tasks read one file by stripes.
 
 Encoding. Documents are dealt into ranges of ids first, and each range is encoded and written as it
-is sorted, so texts cross the network once and token ids not at all. The tokenizer's own library
-encodes; a worker keeps the ids of ``CACHED`` white-space-separated strings. No token of the
-vocabularies used here crosses white space: normalisation and splitting of a string between two
-ASCII white-space characters don't depend on what stands beyond, which ``separable`` checks in the file.
+is sorted, so texts cross the network once and token ids not at all. The tokenizers library encodes.
+It takes some 15 us for a word, so each distinct word is encoded once in a slice of texts and what it
+gave is remembered. Where the vocabulary file drops white space between pieces and splits, lower-cases
+and composes without regard to what stands beyond (``separable``), a text is the sequence of its
+words. Words of ASCII and Latin-1 letters are lower-cased and cut into pieces here, by the file's own
+rule, and the library's model merges the distinct pieces; all other words, and texts with combining
+marks or what may be an added token, go through the whole library.
 
 Cases: a null text is empty and has the end id alone; texts of any length; null ids come first and
 are kept; repeated ids are kept, in the order of their texts' hashes; equal rows follow each other
@@ -27,16 +30,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bulwark.llm.common import ROWS_AT_ONCE, utf8
+from bulwark.llm.common import utf8
 from bulwark.session import scratch
 
 #: Bytes of a stripe before it is compressed, and rows between two entries of its index.
@@ -44,16 +49,20 @@ STRIPE = 16 << 20
 INDEXED = 1_000
 #: Share of absent ids that a Bloom filter lets pass.
 FALSE_PASSES = 0.01
-#: Strings whose ids a worker remembers.
-CACHED = 400_000
+#: Strings in a generation of a worker's memory.
+CACHED = 150_000
+#: Bytes of texts encoded together, and pieces given to the library together.
+SLICE = 8 << 20
+TOGETHER = 10_000
 #: The id that ends every document.
 END = 1
 #: Files up to which the table of parts is broadcast.
 BROADCAST_FILES = 100_000
-#: Ids that one batch holds, about.
-IDS_AT_ONCE = 1 << 20
 
 PACKED = "<u4"
+ID_BYTES = 4
+# Fixed value: what the vocabulary file writes behind the last letter of a word.
+WORD_END = "</w>"
 
 
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -63,72 +72,203 @@ def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+# The rule by which the vocabulary file cuts normalised texts.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Lower-case letters of ASCII and Latin-1, and the same rule on them: a space behind each piece.
+LOWER = r"a-z\x{df}-\x{f6}\x{f8}-\x{ff}"
+PIECE = rf"('s|'t|'re|'ve|'m|'ll|'d|[{LOWER}]+|[0-9]|[^\s0-9{LOWER}]+)"
+#: What words that the rule fits don't hold: all but ASCII signs, and letters from U+00C0.
+FOREIGN = r"[^\x21-\x7e\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]"
+#: Texts in which lower-casing before composing, or cutting at white space, could matter.
+ODD = r"[\x{300}-\x{37f}]|<\|"
+
+
 def separable(file: bytes) -> bool:
-    """Whether a vocabulary file drops white space between pieces and normalises strings one by one."""
+    """Whether a vocabulary file is one whose texts are the sequence of their words."""
     known = json.loads(file)
     steps = (known.get("normalizer") or {}).get("normalizers", [])
     splits = (known.get("pre_tokenizer") or {}).get("pretokenizers", [])
     return (
         known["model"]["type"] == "BPE"
-        and all(s["type"] in ("NFC", "Replace", "Lowercase") for s in steps)
-        and all(s["pattern"] == {"Regex": r"\s+"} for s in steps if s["type"] == "Replace")
-        and bool(splits)
-        and splits[0]["type"] == "Split"
+        and known["model"]["end_of_word_suffix"] == WORD_END
+        and [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"]
+        and steps[1]["pattern"] == {"Regex": r"\s+"}
+        and [s["type"] for s in splits] == ["Split", "ByteLevel"]
+        and splits[0]["pattern"] == {"Regex": SPLIT}
         and splits[0]["behavior"] == "Removed"
         and splits[0]["invert"]
-        and not any(s.get("add_prefix_space") for s in splits)
-        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in known["added_tokens"])
+        and not splits[1]["add_prefix_space"]
+        and not splits[1]["use_regex"]
+        and all(t["content"].startswith("<|") for t in known["added_tokens"])
         and known["post_processor"] is None
     )
 
 
+def _pieces_only(file: bytes) -> bytes:
+    """The vocabulary file for pieces that are normalised and cut already, one space between them."""
+    known = json.loads(file)
+    known["normalizer"] = None
+    known["pre_tokenizer"]["pretokenizers"][0] = {"type": "CharDelimiterSplit", "delimiter": " "}
+    return json.dumps(known).encode()
+
+
+class Memory:
+    """What was found for the last strings: two generations of at most ``size`` each."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def fill(self, wanted: dict[str, bytes | None]) -> list[str]:
+        """Put what is known into ``wanted``; gives the strings that are not."""
+        unknown = []
+        for s in wanted:
+            ids = self.young.get(s)
+            if ids is None:
+                ids = self.old.get(s)
+                if ids is None:
+                    unknown.append(s)
+                    continue
+                self.young[s] = ids
+            wanted[s] = ids
+        return unknown
+
+    def keep(self, found: dict[str, bytes]) -> None:
+        self.young.update(found)
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+            if len(self.old) > 2 * self.size:
+                self.old = {}
+
+
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    """Packed ids as lists."""
+    sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // ID_BYTES
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), np.frombuffer(b"".join(packed), dtype=np.int32))
+
+
 class Encoder:
-    """The library's ids of whole texts, string by string."""
+    """The library's ids of whole texts."""
 
-    def __init__(self, file: bytes) -> None:
+    def __init__(self, file: bytes, end: int = END) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side already
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_buffer(file)
         self.library.no_truncation()
         self.library.no_padding()
+        self.end = np.array([end], dtype=PACKED).tobytes()
         self.whole = not separable(file)
-        self.known: dict[bytes, bytes] = {}
-
-    def _look_up(self, strings: list[bytes]) -> None:
-        found = self.library.encode_batch([s.decode("utf-8", "replace") for s in strings], add_special_tokens=False)
-        if len(self.known) + len(strings) > CACHED:
-            self.known.clear()
-        self.known.update((s, np.array(e.ids, dtype=PACKED).tobytes()) for s, e in zip(strings, found))
-
-    def encode(self, data: bytes) -> bytes:
-        """Packed ids of a text."""
-        if self.whole:
-            ids = self.library.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids
-            return np.array(ids, dtype=PACKED).tobytes()
-        out = []
-        strings = data.split()
-        for start in range(0, len(strings), CACHED):
-            part = strings[start : start + CACHED]
-            unknown = list({s for s in part if s not in self.known})
-            if len(self.known) + len(unknown) > CACHED:
-                # The rest of the memory goes, so what this part needs is looked up together.
-                unknown = list(set(part))
-            if unknown:
-                self._look_up(unknown)
-            out.append(b"".join(map(self.known.__getitem__, part)))
-        return b"".join(out)
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def _encoder(shared) -> Encoder:
-    key = hashlib.sha256(shared.value).hexdigest()
+        if not self.whole:
+            self.merger = Tokenizer.from_buffer(_pieces_only(file))
+            ids = self.library.get_vocab()
+            self.ends = np.zeros(max(ids.values()) + 1, dtype=bool)
+            self.ends[[i for s, i in ids.items() if s.endswith(WORD_END)]] = True
+            self.pieces, self.words = Memory(CACHED), Memory(CACHED)
+
+    def _by_library(self, strings: list[str]) -> list[bytes]:
+        found = self.library.encode_batch(strings, add_special_tokens=False)
+        return [np.array(e.ids, dtype=PACKED).tobytes() for e in found]
+
+    def _by_merger(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, which are told apart by the tokens that end a word; of no piece, none."""
+        if "" in pieces:
+            at = pieces.index("")
+            return [*self._by_merger(pieces[:at]), b"", *self._by_merger(pieces[at + 1 :])]
+        out: list[bytes] = []
+        for start in range(0, len(pieces), TOGETHER):
+            part = pieces[start : start + TOGETHER]
+            ids = np.array(self.merger.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=PACKED)
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            if len(stops) != len(part):
+                raise RuntimeError("a piece without an end of word")
+            packed = ids.tobytes()
+            out += [packed[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist())]
+        return out
+
+    def _known(self, strings: list[str], memory: Memory, ask) -> pa.ListArray:
+        """Ids of distinct strings, from ``memory`` or else from the library."""
+        wanted: dict[str, bytes | None] = dict.fromkeys(strings)
+        unknown = memory.fill(wanted)
+        found = dict(zip(unknown, ask(unknown)))
+        memory.keep(found)
+        wanted.update(found)
+        return _lists(list(wanted.values()))
+
+    def _of_words(self, words: pa.StringArray) -> pa.ListArray:
+        """Ids of distinct words whose ASCII letters are lower-case; the end's ids after the last."""
+        foreign = pc.match_substring_regex(words, FOREIGN)
+        spaced = pc.replace_substring_regex(pc.utf8_lower(words.filter(pc.invert(foreign))), PIECE, r"\1 ")
+        cut = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(spaced))
+        named = cut.values.dictionary_encode()
+        of_piece = self._known(named.dictionary.to_pylist(), self.pieces, self._by_merger)
+        of_place = of_piece.take(named.indices)
+        of_plain = pa.ListArray.from_arrays(of_place.offsets.take(cut.offsets), of_place.values)
+        of_foreign = self._known(words.filter(foreign).to_pylist(), self.words, self._by_library)
+        table = pa.concat_arrays([of_plain, of_foreign, _lists([self.end])])
+        first = np.argsort(foreign.to_numpy(zero_copy_only=False), kind="stable")
+        place = np.empty(len(words) + 1, dtype=np.int32)
+        place[first], place[-1] = np.arange(len(words)), len(words)
+        return table.take(pa.array(place))
+
+    def _separated(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts whose words stand for themselves, each text with its end."""
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        named = words.values.dictionary_encode()
+        table = self._of_words(named.dictionary)
+        stops = words.offsets.to_numpy()
+        stops = stops[1:] - stops[0]
+        # Every text's words, then its end.
+        order = np.insert(named.indices.to_numpy(), stops, len(table) - 1)
+        found = table.take(pa.array(order))
+        places = found.offsets.to_numpy()[np.concatenate(([0], stops + np.arange(1, len(stops) + 1)))]
+        return np.diff(places).astype(np.int64), found.flatten().to_numpy()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text with its end, all ids) of an array of UTF-8 bytes."""
+        try:
+            strings = texts.cast(pa.string())
+        except pa.ArrowInvalid:
+            strings = pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+        odd = np.ones(len(strings), dtype=bool) if self.whole else pc.match_substring_regex(strings, ODD).to_numpy(zero_copy_only=False)
+        runs = np.concatenate(([0], np.flatnonzero(np.diff(odd)) + 1, [len(odd)]))
+        lengths, ids = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
+        for a, b in zip(runs[:-1], runs[1:]):
+            if a == b:
+                continue
+            if odd[a]:
+                packed = [p + self.end for p in self._by_library(strings.slice(a, b - a).to_pylist())]
+                lengths.append(np.array([len(p) // ID_BYTES for p in packed], dtype=np.int64))
+                ids.append(np.frombuffer(b"".join(packed), dtype=np.int32))
+            else:
+                some, flat = self._separated(strings.slice(a, b - a))
+                lengths.append(some)
+                ids.append(flat)
+        return np.concatenate(lengths), np.concatenate(ids)
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def _encoder(shared, end: int) -> Encoder:
+    key = (hashlib.sha256(shared.value).hexdigest(), end)
     if key not in _encoders:
-        _encoders[key] = Encoder(shared.value)
+        _encoders[key] = Encoder(shared.value, end)
     return _encoders[key]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of a batch in slices of about SLICE bytes, one text at least."""
+    size = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.cumsum(size)
+    start = 0
+    while start < len(size):
+        stop = max(start + 1, int(np.searchsorted(total, total[start] - size[start] + SLICE, "right")))
+        yield batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start)
+        start = stop
+
+
 def write(docs: DataFrame, path: str, file: str, id: str = "doc_id", text: str = "text", end: int = END) -> None:
     """Encode ``docs`` with the vocabulary ``file`` and write the files into the folder ``path``."""
     with open(file, "rb") as f:
@@ -141,33 +281,23 @@ def write(docs: DataFrame, path: str, file: str, id: str = "doc_id", text: str =
         rows.withColumn("tie", F.xxhash64("data")).withColumn("copy", F.monotonically_increasing_id())
         .repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc", "data")
     )
-    ending = np.array([end], dtype=PACKED).tobytes()
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = _encoder(shared), TaskContext.get().partitionId(), 0
-
-        def columns(docs: list, packed: list[bytes], first: int) -> pa.RecordBatch:
-            sizes = np.array([len(p) // 4 for p in packed], dtype=np.int64)
-            ids = pa.array(np.frombuffer(b"".join(packed), dtype=np.int32))
-            starts = np.concatenate(([0], np.cumsum(sizes)))
-            return pa.RecordBatch.from_pydict(
-                {
-                    "doc": docs,
-                    "part": pa.array(np.full(len(sizes), part, dtype=np.int32)),
-                    "at": pa.array(starts[:-1] + first),
-                    "n_tokens": pa.array(sizes),
-                    "ids": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), ids),
-                }
-            )
-
+        encoder, part, at = _encoder(shared, end), TaskContext.get().partitionId(), 0
         for batch in batches:
-            start, packed, held = 0, [], 0
-            for place, data in enumerate(batch.column(1), 1):
-                packed.append(encoder.encode(data.as_py()) + ending)
-                held += len(packed[-1]) // 4
-                if len(packed) == ROWS_AT_ONCE or held >= IDS_AT_ONCE or place == batch.num_rows:
-                    yield columns(batch.column(0).slice(start, place - start), packed, at)
-                    start, packed, at, held = place, [], at + held, 0
+            for ids, texts in _slices(batch):
+                sizes, flat = encoder.encode(texts)
+                starts = np.concatenate(([0], np.cumsum(sizes)))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc": ids,
+                        "part": pa.array(np.full(len(sizes), part, dtype=np.int32)),
+                        "at": pa.array(starts[:-1] + at),
+                        "n_tokens": pa.array(sizes),
+                        "ids": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat)),
+                    }
+                )
+                at += int(starts[-1])
 
     schema = f"doc {kind}, part int, at long, n_tokens long, ids array<int>"
     (

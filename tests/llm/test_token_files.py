@@ -2,7 +2,10 @@ import glob
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from bulwark.llm import token_files
@@ -52,13 +55,48 @@ STRANGE = [
 ]
 
 
-@pytest.mark.parametrize("text", STRANGE)
-def test_strings_equal_whole_texts(text, library):
+def encoded(encoder, texts):
+    """Ids of each text without its end."""
+    sizes, ids = encoder.encode(pa.array([t.encode() if isinstance(t, str) else t for t in texts], pa.binary()))
+    parts = np.split(ids, np.cumsum(sizes)[:-1])
+    assert all(p[-1] == token_files.END for p in parts)
+    return [p[:-1].tolist() for p in parts]
+
+
+def whole(library, texts):
+    return [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.fixture(scope="module")
+def encoder():
     with open(FILE, "rb") as f:
-        encoder = token_files.Encoder(f.read())
+        return token_files.Encoder(f.read())
+
+
+def test_strings_equal_whole_texts(encoder, library):
     assert not encoder.whole
-    for joined in (text, f"{text} {text}", f"{text}\v{text}\f"):
-        assert np.frombuffer(encoder.encode(joined.encode()), "<u4").tolist() == library.encode(joined, add_special_tokens=False).ids
+    texts = [j for t in STRANGE for j in (t, f"{t} {t}", f"{t}\v{t}\f", f"X{t}É", f"{t}\u0301{t.upper()}")]
+    assert encoded(encoder, texts) == whole(library, texts)
+
+
+def test_every_character(encoder, library):
+    """Alone, between letters of both cases, and before and after a sign."""
+    codes = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0xF900, 0x10000, 7)]
+    texts = [f"{c} a{c}b A{c}B J{c} .{c} {c}, '{c} {c}{c}" for c in codes]
+    assert encoded(encoder, texts) == whole(library, texts)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aBsStTlLvé\xc9\xd7\xf7\xdfÿ\u0178µ\u0301\u030cJ'’.,<|>0²½ \n\t\x1c\x85\xa0世ΣİẞǅŽ", max_size=30), min_size=1, max_size=5))
+def test_any_text(texts):
+    global _both
+    if _both is None:
+        with open(FILE, "rb") as f:
+            _both = token_files.Encoder(f.read()), Tokenizer.from_file(FILE)
+    assert encoded(_both[0], texts) == whole(_both[1], texts)
+
+
+_both = None
 
 
 def test_other_vocabularies_take_whole_texts():
@@ -66,17 +104,30 @@ def test_other_vocabularies_take_whole_texts():
         data = f.read()
     encoder = token_files.Encoder(data)
     assert encoder.whole
-    text = "Hello  world\n\n  it's <|endoftext|>"
-    assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == Tokenizer.from_buffer(data).encode(text, add_special_tokens=False).ids
+    texts = ["Hello  world\n\n  it's <|endoftext|>", "", "é"]
+    assert encoded(encoder, texts) == whole(Tokenizer.from_buffer(data), texts)
 
 
-def test_full_memory_is_cleared(documents, library, monkeypatch):
+def test_malformed_bytes_count_as_replacement_characters(encoder, library):
+    assert encoded(encoder, [b"ok", b"a\xff\xfe b"]) == whole(library, ["ok", "a\ufffd\ufffd b"])
+
+
+def test_memory_is_bounded(documents, library, monkeypatch):
     monkeypatch.setattr(token_files, "CACHED", 50)
     with open(FILE, "rb") as f:
         encoder = token_files.Encoder(f.read())
     for row in documents.select("text").limit(30).collect():
-        assert np.frombuffer(encoder.encode(row["text"].encode()), "<u4").tolist() == library.encode(row["text"], add_special_tokens=False).ids
-        assert len(encoder.known) <= 50
+        assert encoded(encoder, [row["text"]]) == whole(library, [row["text"]])
+        for memory in (encoder.words, encoder.pieces):
+            assert len(memory.young) <= memory.size and len(memory.old) <= 2 * memory.size
+
+
+def test_slices_hold_every_row(monkeypatch):
+    monkeypatch.setattr(token_files, "SLICE", 10)
+    texts = [b"", b"x" * 30, b"abc", b"defg", b"hijk", b"", b"lmnopqrst"]
+    batch = pa.RecordBatch.from_pydict({"doc": range(7), "data": pa.array(texts, pa.binary())})
+    slices = [s.to_pylist() for _, s in token_files._slices(batch)]
+    assert sum(slices, []) == texts and all(len(s) == 1 or sum(map(len, s)) <= 10 for s in slices)
 
 
 @pytest.fixture(scope="module")
