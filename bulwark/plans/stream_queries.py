@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bulwark.functions.text import cache_key
+from bulwark.operators import cache
 from bulwark.operators.scoring import Scorer
 from bulwark.plans import fixtures as fx
 from bulwark.plans.log_queries import limited_sql
@@ -198,7 +199,7 @@ def score_once_stream(spark, sf):
     path = scratch(spark, "score-cache")
     with stream_settings(spark):
         jobs.score_once(texts, LENGTH, path, scratch(spark, "score-checkpoint")).awaitTermination()
-    return spark.read.parquet(path).select("tenant_id", "cache_key", "evaluator", "score")
+    return cache.read(spark, path).select("tenant_id", "cache_key", "evaluator", "score")
 
 
 def _moody_score(_, texts: list[str], moods: list[str]) -> list[float]:
@@ -210,17 +211,6 @@ def _moody_score(_, texts: list[str], moods: list[str]) -> list[float]:
 MOODY = Scorer("length", ("text", "mood"), score_batch=_moody_score)
 
 
-@query(
-    "score_once_retry_stream",
-    """WITH t AS (SELECT DISTINCT text FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0)
-SELECT CAST(1 AS BIGINT) AS tenant_id, concat('guard:1:scores:', sha256(concat(text, '|v1'))) AS cache_key, 'length' AS evaluator,
-  CAST(length(text) % 101 AS DOUBLE) / 100 AS score FROM t""",
-)
-def score_once_retry_stream(spark, sf):
-    """The model is down for the first micro-batch; its texts come again or are tried again."""
-    return _retried(spark, sf, "doc_id % 2 = 0")
-
-
 @query(
     "score_once_retry_whole_stream",
     """
@@ -228,12 +218,7 @@ SELECT DISTINCT CAST(1 AS BIGINT) AS tenant_id, concat('guard:1:scores:', sha256
   CAST(length(text) % 101 AS DOUBLE) / 100 AS score FROM documents""",
 )
 def score_once_retry_whole_stream(spark, sf):
-    """The same with every document in the second micro-batch."""
-    return _retried(spark, sf, "doc_id % 3 <> 0 OR doc_id % 3 IS NULL")
-
-
-def _retried(spark, sf, healthy):
-    """Scores of a third of the documents, first with the model down, and of the ``healthy`` ones."""
+    """The model is down for the first micro-batch, which has every third document; the second has all."""
     texts = fx.table(spark, sf, "documents").select(
         F.lit(1).cast("long").alias("tenant_id"),
         "text",
@@ -242,19 +227,17 @@ def _retried(spark, sf, healthy):
         "doc_id",
     )
     inbox = scratch(spark, "moody-input")
-    third, others = texts.where("doc_id % 3 = 0"), texts.where(healthy)
     later = F.col("ts") + F.expr("INTERVAL 10 MINUTE")
-    # First the model is down; then it is well, for other texts and for most of the same ones.
     parts = [
-        third.withColumn("mood", F.lit("down")),
-        others.unionByName(third).withColumns({"mood": F.lit("well"), "ts": later}),
+        texts.where("doc_id % 3 = 0").withColumn("mood", F.lit("down")),
+        texts.withColumns({"mood": F.lit("well"), "ts": later}),
     ]
     for part in parts:
         part.drop("doc_id").coalesce(1).write.mode("append").parquet(inbox)
     source = spark.readStream.schema(parts[0].drop("doc_id").schema).option("maxFilesPerTrigger", 1).parquet(inbox)
     path = scratch(spark, "moody-cache")
     jobs.score_once(source, MOODY, path, scratch(spark, "moody-checkpoint")).awaitTermination()
-    return spark.read.parquet(path).select("tenant_id", "cache_key", "evaluator", "score")
+    return cache.read(spark, path).select("tenant_id", "cache_key", "evaluator", "score")
 
 
 @query(

@@ -778,7 +778,7 @@ def cache_store(spark, sf):
     second = written((n % 100).cast("double") / 100, "second", "2024-01-01 00:30:00", texts.where(n % 4 != 0))
     for _ in range(2):
         cache.store(second, path)
-    return stamped(spark.read.parquet(path).select(*cache.COLUMNS))
+    return stamped(cache.read(spark, path))
 
 
 # Datasets and logged responses.

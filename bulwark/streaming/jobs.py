@@ -119,12 +119,11 @@ def score_once(
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         wanted = batch.select(*keys, "ts", *scorer.requires)
-        failed_before = cache.read(spark, f"{path}-failed/batch={batch_id - 1}")
-        if failed_before is not None:
-            wanted = wanted.unionByName(failed_before)
+        if batch_id:
+            wanted = wanted.unionByName(spark.read.schema(wanted.schema).parquet(f"{path}-failed/batch={batch_id - 1}"))
         newest = F.max(F.struct("ts", *scorer.requires)).alias("row")
         distinct = stored(wanted.groupBy(*keys).agg(newest).select(*keys, "row.*"), "texts")
-        held = cache.read(spark, path)
+        held = cache.read(spark, path, distinct)
         if held is not None:
             alive = held.where(F.col("evaluator") == scorer.name).select(*keys, "expires_at")
             known = distinct.join(alive, keys).where(F.col("expires_at") > F.col("ts")).select(*keys)
@@ -138,7 +137,7 @@ def score_once(
             F.col("ts").alias("written_at"),
             "error",
         )
-        cache.store(fresh, path, ttl_seconds)
+        cache.store(fresh, path, ttl_seconds, token=(checkpoint, batch_id))
         failed = scored.where(F.col("error").isNotNull() | F.col("score").isNull())
         failed.select(*keys, "ts", *scorer.requires).write.mode("overwrite").parquet(f"{path}-failed/batch={batch_id}")
 

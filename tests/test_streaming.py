@@ -2,6 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from bulwark.operators import cache
 from bulwark.operators.scoring import Scorer
 from bulwark.streaming import jobs
 from bulwark.streaming.health import alerts, rolling_health, snapshot
@@ -98,7 +99,7 @@ def test_score_once_drops_repeats_across_batches(spark, tmp_path):
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     scorer = Scorer("one", ("text",), score_batch=_ones)
     jobs.score_once(source, scorer, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    stored = spark.read.parquet(str(tmp_path / "out"))
+    stored = cache.read(spark, str(tmp_path / "out"))
     assert stored.count() == 6 and stored.select("cache_key").distinct().count() == 6
 
 
