@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from bulwark.catalog import EVALUATORS, Evaluator
 from bulwark.functions.text import UNIT, sha256
 from bulwark.operators.cache import live
+from bulwark.operators.deadline import NotLoaded, Supervised
 
 NEEDS_CONTEXT = ("hallucination", "faithfulness")
 
@@ -24,7 +25,9 @@ class Scorer:
     """A detector plugged into the engine.
 
     Give ``expr`` (a column builder, stays in the plan) or ``load`` and ``score_batch`` (a model
-    loaded once per Python worker, called with one list per required column).
+    loaded once per Python worker, called with one list per required column). With ``timeout_ms`` a
+    call that has not returned by then is ended: its row has no score, error ``timeout`` and the
+    deadline as latency, and the others are scored.
     """
 
     name: str
@@ -38,6 +41,8 @@ class Scorer:
     score_batch: Callable[..., Sequence[Any]] | None = None
     returns: str = "double"
     version: str = ""  # change it with the model, workers keep one model per name and version
+    timeout_ms: int | None = None  # a deadline: the model runs in a child process that is ended at it
+    rows_per_call: int = 1  # with a deadline: rows that share a call and its deadline
 
 
 def catalogue_with(*scorers: Scorer) -> tuple[Evaluator, ...]:
@@ -102,6 +107,24 @@ def _score_rows(scorer: Scorer, columns: Sequence[list]) -> tuple[list, list]:
         return scores, errors
 
 
+_children: dict[tuple[str, str], Supervised] = {}
+
+
+def _supervised_rows(scorer: Scorer, columns: Sequence[list]) -> tuple[list, list, list]:
+    """Scores, errors and latencies from the worker's child process for this model."""
+    n = len(columns[0])
+    key = (scorer.name, scorer.version)
+    child = _children.setdefault(key, Supervised(scorer.load, scorer.score_batch))
+    try:
+        failed = _models.get(key)
+        if isinstance(failed, LoadError):
+            raise failed
+        return child.rows(columns, scorer.timeout_ms / 1000, scorer.rows_per_call)
+    except (NotLoaded, LoadError) as exc:
+        _models[key] = exc if isinstance(exc, LoadError) else LoadError(str(exc))
+        return [None] * n, [str(exc)] * n, [0] * n
+
+
 def _runner(scorers: Sequence[Scorer]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Scores batches of distinct texts with every scorer that reads the same columns."""
 
@@ -111,8 +134,11 @@ def _runner(scorers: Sequence[Scorer]) -> Callable[[Iterator[pd.DataFrame]], Ite
             columns = [batch[c].tolist() for c in scorers[0].requires]
             for s in scorers:
                 started = time.monotonic()
-                scores, errors = _score_rows(s, columns)
-                each = int((time.monotonic() - started) * 1000 / max(len(batch), 1))
+                if s.timeout_ms is not None:
+                    scores, errors, each = _supervised_rows(s, columns)
+                else:
+                    scores, errors = _score_rows(s, columns)
+                    each = int((time.monotonic() - started) * 1000 / max(len(batch), 1))
                 kind = "float64" if s.returns == "double" else "object"
                 out[f"score_{s.name}"] = pd.Series(scores, dtype=kind)
                 out[f"error_{s.name}"] = pd.Series(errors, dtype="object")

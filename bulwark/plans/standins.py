@@ -5,6 +5,8 @@ Each depends on text lengths only and has a SQL form next to it.
 
 from __future__ import annotations
 
+import time
+
 from bulwark.operators.scoring import Scorer
 
 
@@ -102,3 +104,16 @@ def _fragile(_, texts: list[str]) -> list[float]:
 
 
 FRAGILE = Scorer("readability", ("text",), score_batch=_fragile)
+
+
+HANGS_FOR, HANGS_AT = 701, 7
+
+
+def _hanging(_, texts: list[str]) -> list[float]:
+    """Never returns on some texts."""
+    while any(len(t) % HANGS_FOR == HANGS_AT for t in texts):
+        time.sleep(60)
+    return [(len(t) % 101) / 100 for t in texts]
+
+
+HANGING = Scorer("patience", ("text",), score_batch=_hanging, timeout_ms=250, rows_per_call=64)

@@ -377,6 +377,20 @@ def batch_scores(spark, sf):
     return scored.select("doc_id", "score", "error")
 
 
+@query(
+    "deadline_scores",
+    f"""
+SELECT doc_id, CASE WHEN NOT hangs THEN CAST(length(text) % 101 AS DOUBLE) / 100 END AS score,
+  CASE WHEN hangs THEN 'timeout' END AS error, CASE WHEN hangs THEN {standins.HANGING.timeout_ms} END AS timed_out_ms
+FROM (SELECT *, coalesce(length(text) % {standins.HANGS_FOR} = {standins.HANGS_AT}, false) AS hangs FROM documents) d""",
+)
+def deadline_scores(spark, sf):
+    """A model that never returns on some texts, each of which is given up at the deadline."""
+    scored = scoring.score(fx.table(spark, sf, "documents").select("doc_id", "text"), standins.HANGING)
+    late = F.when(F.col("error") == "timeout", F.col("latency_ms"))
+    return scored.select("doc_id", "score", "error", late.alias("timed_out_ms"))
+
+
 @query(
     "injection_scores",
     f"SELECT conv_id, turn, {standins.INJECTION_SQL} AS score FROM pairs",
