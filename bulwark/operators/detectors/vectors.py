@@ -6,7 +6,8 @@ lambda per element.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bulwark.session import stored
+
+#: Numbers of all topics together up to which they travel to the rows (8 MB).
+SMALL = 1 << 20
+#: Topics and vectors of a block.
+TOPICS = 1024
+VECTORS = 4096
+
 
 def _widths(column: pa.Array) -> np.ndarray:
     """Length of each row; -1 where it is absent or holds a NULL."""
@@ -100,33 +109,87 @@ def topic_guardrail_by(df: DataFrame, vector: str, topics: DataFrame, topic: str
     """Like :func:`topic_guardrail` with the topics in a table, as when each tenant has its own.
 
     ``topics`` holds ``topic`` vectors; columns of equal name in both tables must match, without any
-    every row meets every topic. Topics of a row's group are few, so they travel as one array.
+    every row meets every topic. The smallest topic of a group gives the group's width; topics of
+    other widths are left out. Up to ``SMALL`` numbers the topics travel to the rows; beyond, see
+    :func:`_by_blocks`. Rows of a group without topics score 1.0.
     """
     shared = [c for c in topics.columns if c in df.columns and c != topic]
-    lists = topics.groupBy(*shared).agg(F.sort_array(F.collect_list(topic)).alias("_topics"))
-    if shared:
-        met = df.join(lists, shared, "left")
-    else:
-        met = df.withColumn("_topics", lists.select("_topics").scalar())
+    group = F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(shared)])) if shared else F.lit("")
+    # As in a join on the shared columns, a NULL matches nothing.
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in shared], F.lit(True))
+    known = topics.where(whole & F.col(topic).isNotNull()).select(group.alias("_group"), F.col(topic).cast("array<double>").alias("_topic"))
+    n, width = known.agg(F.count(F.lit(1)), F.max(F.size("_topic"))).first()
+    rows = df.withColumn("_group", F.when(whole, group))
+    if n * (width or 0) > SMALL:
+        return _by_blocks(rows, vector, known).drop("_group")
+    # At most SMALL numbers, by the count above.
+    lists: dict[str, list] = {}
+    for g, t in known.collect():
+        lists.setdefault(g, []).append(t)
+    widths = {g: len(min(ts)) for g, ts in lists.items()}
+    matrices = {g: _unit(np.asarray([t for t in ts if len(t) == widths[g]], dtype=np.float64)).T for g, ts in lists.items()}
 
     @F.arrow_udf(T.DoubleType())
-    def best(column: pa.Array, lists: pa.Array) -> pa.Array:
-        widths, numbers = _widths(column), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        first = pc.list_value_length(pc.list_element(lists.filter(pa.array(numbers > 0)), 0)).to_numpy(zero_copy_only=False)
-        topic_widths = np.full(len(widths), -1)
-        topic_widths[numbers > 0] = first
-        free = numbers == 0
-        usable = (widths == topic_widths) & ~free
-        sims = np.where(free, 1.0, 0.0)
-        # Rows with equally many topics of one width make one product; nearly always that is all.
-        for number, width in {*zip(numbers[usable].tolist(), widths[usable].tolist())}:
-            rows = usable & (numbers == number) & (widths == width)
-            flat = lists.filter(pa.array(rows)).flatten().flatten().to_numpy(zero_copy_only=False)
-            topics = _unit(flat.reshape(-1, width)).reshape(-1, number, width)
-            found = np.einsum("nkd,nd->nk", topics, _unit(_matrix(column, width, rows)))
-            sims[rows] = np.maximum(found.max(axis=1), 0.0)
-        return pa.array(sims, mask=~(usable | free))
-
-    width = F.size(F.get("_topics", F.lit(0)))
-    error = F.when(F.size("_topics") > 0, vector_error(F.col(vector), width))
-    return met.withColumns({"score": best(F.col(vector), F.col("_topics")), "error": error}).drop("_topics")
+    def best(column: pa.Array, groups: pa.Array) -> pa.Array:
+        found = _widths(column)
+        names = groups.dictionary_encode()
+        of_row = pc.fill_null(names.indices, -1).to_numpy(zero_copy_only=False)
+        sims, valid = np.ones(len(found)), np.ones(len(found), dtype=bool)
+        for i, g in enumerate(names.dictionary.to_pylist()):
+            if g in matrices:
+                usable = (of_row == i) & (found == len(matrices[g]))
+                sims[usable] = np.maximum((_unit(_matrix(column, len(matrices[g]), usable)) @ matrices[g]).max(axis=1, initial=0.0), 0.0)
+                valid &= (of_row != i) | usable
+        return pa.array(sims, mask=~valid)
+
+    width_of = F.create_map(*[F.lit(x) for pair in widths.items() for x in pair]) if widths else F.lit(None).cast("map<string,int>")
+    limit = F.try_element_at(width_of, F.col("_group"))
+    error = F.when(limit.isNotNull(), vector_error(F.col(vector), limit))
+    return rows.withColumns({"score": best(F.col(vector), F.col("_group")), "error": error}).drop("_group")
+
+
+def _by_blocks(rows: DataFrame, vector: str, known: DataFrame) -> DataFrame:
+    """Highest similarities against a large table of topics, as blocked matrix products.
+
+    Topics of a group are dealt by a hash into blocks of about ``TOPICS``, its distinct vectors into
+    blocks of about ``VECTORS``. Each block of vectors meets each block of topics in one product, and
+    only a maximum per vector leaves the task. Blocks meet by an equi-join on (group, block of
+    topics), so that the work spreads over executors however large one group is.
+    """
+    known = known.withColumn("_w", F.size("_topic"))
+    sizes = stored(
+        known.groupBy("_group").agg(F.size(F.min("_topic")).alias("_width"), F.ceil(F.count(F.lit(1)) / TOPICS).cast("int").alias("_parts")), "topic-groups"
+    )
+    name = F.concat(*[F.hex(F.xxhash64(F.lit(i), "_group", vector)) for i in (1, 2)])
+    measured = rows.join(sizes, "_group", "left").withColumn("error", F.when(F.col("_width").isNotNull(), vector_error(F.col(vector), F.col("_width"))))
+    scored = F.col("_width").isNotNull() & F.col("error").isNull()
+    measured = measured.withColumn("_name", F.when(scored, name))
+    distinct = stored(
+        measured.where(scored).select("_group", "_parts", "_name", F.col(vector).cast("array<double>").alias("_vector")).distinct(), "topic-vectors"
+    )
+    counts = distinct.groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / VECTORS).alias("_n"))
+    asked = (
+        distinct.join(counts, "_group").withColumn("_part", F.pmod(F.xxhash64("_vector"), F.col("_n")))
+        .groupBy("_group", "_parts", "_part").agg(F.collect_list("_name").alias("names"), F.flatten(F.collect_list("_vector")).alias("vectors"))
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    )
+    offered = (
+        known.join(sizes, "_group").where("_w = _width").withColumn("_block", F.pmod(F.xxhash64("_topic"), F.col("_parts")).cast("int"))
+        .groupBy("_group", "_block").agg(F.flatten(F.collect_list("_topic")).alias("topics"))
+    )
+
+    def products(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for names, vectors, topics in zip(*batch.columns):
+                flat = vectors.values.to_numpy(zero_copy_only=False).reshape(len(names), -1)
+                sims = _unit(flat) @ _unit(topics.values.to_numpy(zero_copy_only=False).reshape(-1, flat.shape[1])).T
+                yield pa.RecordBatch.from_pydict({"_name": names.values, "_similarity": pa.array(sims.max(axis=1))})
+
+    met = asked.join(offered, ["_group", "_block"]).select("names", "vectors", "topics")
+    best = met.mapInArrow(products, "_name string, _similarity double").groupBy("_name").agg(F.max("_similarity").alias("_similarity"))
+    similarity = F.when(F.col("_similarity").isNotNull(), F.greatest(F.col("_similarity"), F.lit(0.0)))
+    return (
+        measured.join(best, "_name", "left")
+        .withColumn("score", F.when(F.col("_width").isNull(), F.lit(1.0)).otherwise(similarity))
+        .select(*[c for c in rows.columns], "score", "error")
+    )
