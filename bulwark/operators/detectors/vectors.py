@@ -121,7 +121,7 @@ def topic_guardrail_by(df: DataFrame, vector: str, topics: DataFrame, topic: str
     n, width = known.agg(F.count(F.lit(1)), F.max(F.size("_topic"))).first()
     rows = df.withColumn("_group", F.when(whole, group))
     if n * (width or 0) > SMALL:
-        return _by_blocks(rows, vector, known).drop("_group")
+        return _by_blocks(rows, vector, known, bool(shared)).drop("_group")
     # At most SMALL numbers, by the count above.
     lists: dict[str, list] = {}
     for g, t in known.collect():
@@ -148,7 +148,16 @@ def topic_guardrail_by(df: DataFrame, vector: str, topics: DataFrame, topic: str
     return rows.withColumns({"score": best(F.col(vector), F.col("_group")), "error": error}).drop("_group")
 
 
-def _by_blocks(rows: DataFrame, vector: str, known: DataFrame) -> DataFrame:
+def _beside(df: DataFrame, facts: DataFrame, grouped: bool, how: str = "inner") -> DataFrame:
+    """``df`` with the facts of its group; the one row of facts there is without groups, as constants."""
+    if grouped:
+        return df.join(facts, "_group", how)
+    only = facts.first()
+    facts = facts.drop("_group")
+    return df.withColumns({c: F.lit(only[c] if only else None).cast(facts.schema[c].dataType) for c in facts.columns})
+
+
+def _by_blocks(rows: DataFrame, vector: str, known: DataFrame, grouped: bool) -> DataFrame:
     """Highest similarities against a large table of topics, as blocked matrix products.
 
     Topics of a group are dealt by a hash into blocks of about ``TOPICS``, its distinct vectors into
@@ -161,7 +170,7 @@ def _by_blocks(rows: DataFrame, vector: str, known: DataFrame) -> DataFrame:
         known.groupBy("_group").agg(F.size(F.min("_topic")).alias("_width"), F.ceil(F.count(F.lit(1)) / TOPICS).cast("int").alias("_parts")), "topic-groups"
     )
     name = F.concat(*[F.hex(F.xxhash64(F.lit(i), "_group", vector)) for i in (1, 2)])
-    measured = rows.join(sizes, "_group", "left").withColumn("error", F.when(F.col("_width").isNotNull(), vector_error(F.col(vector), F.col("_width"))))
+    measured = _beside(rows, sizes, grouped, "left").withColumn("error", F.when(F.col("_width").isNotNull(), vector_error(F.col(vector), F.col("_width"))))
     scored = F.col("_width").isNotNull() & F.col("error").isNull()
     measured = measured.withColumn("_name", F.when(scored, name))
     distinct = stored(
@@ -169,12 +178,12 @@ def _by_blocks(rows: DataFrame, vector: str, known: DataFrame) -> DataFrame:
     )
     counts = distinct.groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / VECTORS).alias("_n"))
     asked = (
-        distinct.join(counts, "_group").withColumn("_part", F.pmod(F.xxhash64("_vector"), F.col("_n")))
+        _beside(distinct, counts, grouped).withColumn("_part", F.pmod(F.xxhash64("_vector"), F.col("_n")))
         .groupBy("_group", "_parts", "_part").agg(F.collect_list("_name").alias("names"), F.flatten(F.collect_list("_vector")).alias("vectors"))
         .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     )
     offered = (
-        known.join(sizes, "_group").where("_w = _width").withColumn("_block", F.pmod(F.xxhash64("_topic"), F.col("_parts")).cast("int"))
+        _beside(known, sizes, grouped).where("_w = _width").withColumn("_block", F.pmod(F.xxhash64("_topic"), F.col("_parts")).cast("int"))
         .groupBy("_group", "_block").agg(F.flatten(F.collect_list("_topic")).alias("topics"))
     )
 
@@ -185,7 +194,7 @@ def _by_blocks(rows: DataFrame, vector: str, known: DataFrame) -> DataFrame:
                 sims = _unit(flat) @ _unit(topics.values.to_numpy(zero_copy_only=False).reshape(-1, flat.shape[1])).T
                 yield pa.RecordBatch.from_pydict({"_name": names.values, "_similarity": pa.array(sims.max(axis=1))})
 
-    met = asked.join(offered, ["_group", "_block"]).select("names", "vectors", "topics")
+    met = asked.join(offered, ["_group", "_block"] if grouped else ["_block"]).select("names", "vectors", "topics")
     best = met.mapInArrow(products, "_name string, _similarity double").groupBy("_name").agg(F.max("_similarity").alias("_similarity"))
     similarity = F.when(F.col("_similarity").isNotNull(), F.greatest(F.col("_similarity"), F.lit(0.0)))
     return (
