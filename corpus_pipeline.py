@@ -1,8 +1,8 @@
 """A training corpus from raw documents, stage by stage.
 
 1. quality: documents whose chance of a good rating is too small go (ordinal regression).
-2. simhash: of each group of near-duplicates the document with the smallest id stays. Two documents
-   are linked by five of 64 bits, or by 0.8 of their distinct five-word shingles in common.
+2. simhash: of each group of near-duplicates the document with the smallest id stays. Documents are
+   linked by four of 64 bits over four-word shingles, as in the SimHash operator's own query.
 3. secrets: every secret in a text is replaced by a mark; no document goes.
 4. mixing: sources give words by target weight; a document comes once for each pass that takes
    words of it, cut to those words.
@@ -10,7 +10,11 @@
    decode to.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again. All but the
-last keep the columns of their input. Empty tables give empty results.
+last keep the columns of their input, whatever their names. Null and empty texts are one group of
+near-duplicates; of rows that agree in all columns one stays at stage 2; null ids are kept as they are,
+and a group's row with a null id stays only if all its ids are null; texts of any length are read whole;
+a text without words leaves at stage 4, as no block of words is taken of it. Empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs, share=0.8)
+    return simhash.one_of_each(docs, shingle=4, radius=4)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
