@@ -7,9 +7,11 @@ Classes. The ``WORDS`` most frequent tokens are classes of their own; all other
 classes before it, times, for a token without a class of its own, its share (c + 1) of the class.
 
 Model. The score of class w after classes u, v is (P[u] + Q[v]) . R[w] + b[w]. Training takes
-every training position, dealt to shards of bounded size by text; each shard runs minibatches
-against noise from the unigram distribution, the shards' parameters are averaged, and a second
-round starts from there. Work and data grow with the corpus; no shard, and no average, does.
+every training position once. Texts are cut into segments and dealt to shards of about ``SHARD``
+positions, far more bytes than the parameters have; a shard is written as one row and read again by
+each round. In each of ``ROUNDS`` rounds every shard runs minibatches over its next share of positions
+against noise from the unigram distribution, a task adds up the parameters of its shards, and the
+mean of all starts the next round. Work and data grow with the corpus; no shard, and no average, does.
 
 Scoring. exp(score) factors into one term per context word, so one matrix product gives the
 normalisers of all pairs of context classes at once: Z = exp(P R') (exp(Q R') exp(b))'. Each token's
@@ -32,21 +34,24 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bulwark.llm.common import fold, mapped, stored, utf8, words
+from bulwark.llm.common import fold, mapped, splitmix, stored, utf8, words
 
 #: Tokens with a class of their own, and classes for the rest.
 WORDS = 2_048
 ENDINGS = 64
 #: Dimensions of the vectors.
 SIZE = 32
-#: Examples in a shard, about.
-SHARD = 250_000
+#: Positions in a shard, about, and in a segment of a text.
+SHARD = 3_000_000
+SEGMENT = 1 << 16
+#: Bytes of segments that a task holds before it passes them on.
+DEALT = 8 << 20
 ROUNDS = 2
-PASSES = 1
-BATCH = 512
+BATCH = 2048
 NOISE = 128
 RATE = 0.1
 #: Tokens whose counts every task holds, and their greatest length in bytes.
@@ -54,18 +59,31 @@ COMMON = 100_000
 LONGEST = 64
 #: Distinct tokens that a counting task holds before it passes them on.
 HELD = 250_000
-#: Shards averaged at once.
+#: Rows averaged at once.
 FAN_IN = 16
 
 END = b""
 BEGIN = ENDINGS  # the class that stands before a text; never predicted
 END_CLASS = ENDINGS + 1
+#: Stands before a segment that goes on with a text: no position with it is an example.
+SKIP = 0xFFFF
 
 
 def ending(token: bytes) -> int:
     return zlib.crc32(token[-2:]) % ENDINGS
 
 
+_ends: dict[bytes, int] = {}
+
+
+def _ending_table() -> dict[bytes, int]:
+    """The class of each possible ending of at most two bytes."""
+    if not _ends:
+        ones = [bytes([i]) for i in range(256)]
+        _ends.update((t, ending(t)) for t in [b"", *ones, *(a + b for a in ones for b in ones)])
+    return _ends
+
+
 def counts(docs: DataFrame, text: str) -> DataFrame:
     """(token, c): how often each token stands in the texts, ends included."""
 
@@ -106,8 +124,9 @@ class Vocabulary:
         """(place among the common tokens or -1, class) of each token."""
         place = np.fromiter(map(self.index.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
         found = self.class_of[place]
-        for i in np.nonzero(place < 0)[0].tolist():
-            found[i] = ending(tokens[i])
+        rare = np.nonzero(place < 0)[0]
+        ends = _ending_table()
+        found[rare] = [ends[tokens[i][-2:]] for i in rare.tolist()]
         return place, found
 
 
@@ -164,15 +183,25 @@ def initial(p: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and the sum of their rows."""
+    """Distinct ids and the sum of their rows; short integers sort by radix."""
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     starts = np.concatenate(([0], np.nonzero(np.diff(ids))[0] + 1))
     return ids[starts], np.add.reduceat(rows[order], starts, axis=0)
 
 
-def train_shard(theta: np.ndarray, examples: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
-    """Noise-contrastive estimation over examples (u, v, w) with AdaGrad steps, in single precision."""
+def positions(line: np.ndarray) -> np.ndarray:
+    """Places i of segments that stand one after the other whose (i, i + 1, i + 2) is an example."""
+    skip = line == SKIP
+    return np.flatnonzero((line[2:] != BEGIN) & ~skip[:-2] & ~skip[1:-1] & ~skip[2:]).astype(np.int32)
+
+
+def train_shard(theta: np.ndarray, line: np.ndarray, at: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
+    """Noise-contrastive estimation over the examples at places ``at`` of a shard.
+
+    AdaGrad steps in single precision; a minibatch shares its noise, so that its gradients are three
+    matrix products.
+    """
     cuts = [slice(0, SIZE), slice(SIZE, 2 * SIZE), slice(2 * SIZE, 3 * SIZE), slice(3 * SIZE, None)]
     parts = [np.ascontiguousarray(theta[:, c], dtype=np.float32) for c in cuts]
     squares = [np.ones_like(part) for part in parts]
@@ -183,58 +212,74 @@ def train_shard(theta: np.ndarray, examples: np.ndarray, p: np.ndarray, seed: in
         offset = np.log(NOISE * p).astype(np.float32)
 
     def step(ids: np.ndarray, part: int, gradient: np.ndarray) -> None:
-        at, g = _summed(ids, gradient)
-        square = squares[part][at] + g * g
-        squares[part][at] = square
-        parts[part][at] -= RATE * g / np.sqrt(square)
-
-    for _ in range(PASSES):
-        order = rng.permutation(len(examples))
-        for start in range(0, len(order), BATCH):
-            u, v, w = examples[order[start : start + BATCH]].T
-            noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE), side="right"), len(p) - 1)
-            h = parts[first][u] + parts[second][v]
-            r, r_noise = parts[out][w], parts[out][noise]
-            true = (h * r).sum(axis=1) + parts[bias][w, 0] - offset[w]
-            false = h @ r_noise.T + parts[bias][noise, 0] - offset[noise]
-            g_true = -1.0 / (1.0 + np.exp(np.clip(true, -30, 30)))
-            g_false = 1.0 / (1.0 + np.exp(-np.clip(false, -30, 30)))
-            g_h = g_true[:, None] * r + g_false @ r_noise
-            ids = np.concatenate([w, noise])
-            g_out = np.vstack([g_true[:, None] * h, g_false.T @ h])
-            g_bias = np.concatenate([g_true, g_false.sum(axis=0)])[:, None]
-            step(ids, out, g_out)
-            step(ids, bias, g_bias)
-            step(u, first, g_h)
-            step(v, second, g_h)
+        rows, g = _summed(ids, gradient)
+        square = squares[part][rows] + g * g
+        squares[part][rows] = square
+        parts[part][rows] -= RATE * g / np.sqrt(square)
+
+    order = rng.permutation(at)
+    for start in range(0, len(order), BATCH):
+        i = order[start : start + BATCH]
+        u, v, w = line[i], line[i + 1], line[i + 2]
+        noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE), side="right"), len(p) - 1).astype(line.dtype)
+        h = parts[first][u] + parts[second][v]
+        r, r_noise = parts[out][w], parts[out][noise]
+        true = np.einsum("nd,nd->n", h, r) + parts[bias][w, 0] - offset[w]
+        g_true = -1.0 / (1.0 + np.exp(np.clip(true, -30, 30)))
+        g_false = h @ r_noise.T
+        np.subtract(offset[noise] - parts[bias][noise, 0], g_false, out=g_false)
+        with np.errstate(over="ignore"):  # a score far below its offset has no gradient
+            np.exp(g_false, out=g_false)
+        g_false += 1.0
+        np.reciprocal(g_false, out=g_false)
+        g_h = g_true[:, None] * r + g_false @ r_noise
+        ids = np.concatenate([w, noise])
+        step(ids, out, np.vstack([g_true[:, None] * h, g_false.T @ h]))
+        step(ids, bias, np.concatenate([g_true, g_false.sum(axis=0)])[:, None])
+        step(u, first, g_h)
+        step(v, second, g_h)
     return np.hstack(parts)
 
 
-def _examples(docs: DataFrame, id: str, text: str, shared, shards: int, seed: int) -> DataFrame:
-    """(shard, packed): class ids of a text after two begins, a row per text."""
+def segments(classes: np.ndarray) -> Iterator[bytes]:
+    """A text's classes as packed segments: after two begins, or after two classes that were there before."""
+    line = np.concatenate(([BEGIN, BEGIN], classes)).astype("<u2")
+    yield line[: SEGMENT + 2].tobytes()
+    for start in range(SEGMENT, len(classes), SEGMENT):
+        yield np.concatenate(([SKIP], line[start : start + SEGMENT + 2])).astype("<u2").tobytes()
 
-    def work(batch: pa.RecordBatch) -> dict:
-        vocab = shared.value
-        packed = []
-        for data in batch.column(1).to_pylist():
-            line = np.concatenate(([BEGIN, BEGIN], vocab.classes([*words(data), END])[1]))
-            packed.append(line.astype("<u2").tobytes())
-        return {"shard": batch.column(0), "packed": pa.array(packed, pa.binary())}
 
-    key = F.xxhash64(F.lit(seed), F.col(id), F.length(text))
-    rows = docs.select(F.pmod(key, F.lit(shards)).cast("int").alias("_shard"), utf8(text).alias("_text"))
-    return mapped(rows, work, "shard int, packed binary")
+def _examples(docs: DataFrame, text: str, shared, shards: int, seed: int) -> DataFrame:
+    """(shard, packed): segments of all texts, dealt in turn by a hash of their number in the task."""
 
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, part, number, size = shared.value, TaskContext.get().partitionId(), 0, 0
+        held: dict[int, list[bytes]] = {}
 
-def triples(packed: bytes) -> np.ndarray:
-    """(u, v, w) of every position of texts that stand one after the other; no w is a begin."""
-    line = np.frombuffer(packed, dtype="<u2").astype(np.int64)
-    every = np.stack([line[:-2], line[1:-1], line[2:]], axis=1)
-    return every[every[:, 2] != BEGIN]
+        def passed() -> pa.RecordBatch:
+            packed = [b"".join(parts) for parts in held.values()]
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int32()), pa.array(packed, pa.binary())], names=["shard", "packed"])
+
+        for batch in batches:
+            for data in batch.column(0):
+                for segment in segments(vocab.classes([*words(data.as_py()), END])[1]):
+                    key = np.array([(seed << 56) ^ (part << 32) ^ number], dtype=np.uint64)
+                    held.setdefault(int(splitmix(key)[0] % np.uint64(shards)), []).append(segment)
+                    number, size = number + 1, size + len(segment)
+                    if size >= DEALT:
+                        yield passed()
+                        held, size = {}, 0
+        yield passed()
+
+    return docs.select(utf8(text).alias("_text")).mapInArrow(deal, "shard int, packed binary")
+
+
+def _together(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"shard": [int(key[0])], "packed": [b"".join(part["packed"].sort_values())]})
 
 
 def _averaged(rows: DataFrame, shards: int) -> np.ndarray | None:
-    """Mean of the shards' parameters, weighted by examples; FAN_IN at a time."""
+    """Mean of the parameters, weighted by examples; FAN_IN rows at a time."""
 
     def add(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(v, dtype="<f4").astype(np.float64) for v in part["sums"])
@@ -246,33 +291,41 @@ def _averaged(rows: DataFrame, shards: int) -> np.ndarray | None:
         rows = rows.groupBy(group).applyInPandas(add, "shard int, examples long, sums binary")
         shards = -(-shards // FAN_IN)
     row = rows.first()
-    return None if row is None else np.frombuffer(row["sums"], dtype="<f4").astype(np.float64) / row["examples"]
+    return None if row is None else np.frombuffer(row["sums"], dtype="<f4").astype(np.float64) / max(row["examples"], 1)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, id: str = "doc_id", text: str = "text", seed: int = 3) -> np.ndarray:
+def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", seed: int = 3) -> np.ndarray:
     """Parameters of the model, trained on the texts of ``docs``."""
     p = unigram(vocab)
     theta = initial(p, seed)
+    if not vocab.total:
+        return theta
     shards = max(1, -(-vocab.total // SHARD))
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    examples = stored(_examples(docs, id, text, shared, shards, seed), "examples")
-
-    def fitter(start, seed: int):
-        def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            examples = triples(b"".join(part["packed"].sort_values()))
-            fitted = train_shard(start.value, examples, p, seed)
-            n = len(examples)
-            return pd.DataFrame({"shard": [int(key[0])], "examples": [n], "sums": [(fitted * n).astype("<f4").tobytes()]})
+    dealt = _examples(docs, text, shared, shards, seed)
+    examples = stored(dealt.groupBy("shard").applyInPandas(_together, "shard int, packed binary"), "examples")
+
+    def fitter(start, round_: int):
+        def fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n, least = np.zeros(start.value.shape), 0, None
+            for batch in batches:
+                for shard, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    line = np.frombuffer(packed.as_py(), dtype="<u2")
+                    # The same order in every round; each round takes its own share of it.
+                    at = np.random.default_rng((seed, shard)).permutation(positions(line))[round_::ROUNDS]
+                    total += train_shard(start.value, line, at, p, hash((seed, shard, round_)) % (1 << 32)) * len(at)
+                    n, least = n + len(at), shard if least is None else min(least, shard)
+            if least is not None:
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([least], pa.int32()), "examples": [n], "sums": [total.astype("<f4").tobytes()]})
 
         return fit
 
     for round_ in range(ROUNDS):
-        fit = fitter(docs.sparkSession.sparkContext.broadcast(theta), seed * 1000 + round_)
-        fitted = examples.groupBy("shard").applyInPandas(fit, "shard int, examples long, sums binary")
+        fit = fitter(docs.sparkSession.sparkContext.broadcast(theta), round_)
+        fitted = examples.mapInArrow(fit, "shard int, examples long, sums binary")
         mean = _averaged(stored(fitted, "fitted"), shards)
-        if mean is None:
-            break
-        theta = mean.reshape(theta.shape)
+        if mean is not None and np.isfinite(mean).all() and mean.any():
+            theta = mean.reshape(theta.shape)
     return theta
 
 
@@ -305,7 +358,7 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
     training = docs.where(~held_out)
     counted = stored(counts(training, text), "counts")
     vocab = vocabulary(counted)
-    theta = train(training, vocab, id, text)
+    theta = train(training, vocab, text)
     shared, model = spark.sparkContext.broadcast(vocab), spark.sparkContext.broadcast(theta.astype(np.float32))
     key = hash(theta.tobytes())
     base_of_all = np.log10(vocab.total + vocab.kinds + 1)
@@ -317,21 +370,31 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
             _tables[key] = Tables(model.value)
         log10_count = np.log10(known.count + 1.0)
         log10_rest = np.log10(known.rest)
-        n_tokens, n_known, base, score, tokens_of, times_of = [], [], [], [], [], []
-        for data in batch.column(2).to_pylist():
-            tokens = [*words(data), END]
-            place, classes = known.classes(tokens)
-            by_count = np.where(place >= 0, log10_count[place], 0.0)
-            rare = classes < ENDINGS
-            total = float(_tables[key].log10(np.concatenate(([BEGIN, BEGIN], classes))).sum(dtype=np.float64))
-            total += float(by_count[rare].sum() - log10_rest[classes[rare]].sum())
-            others = Counter([tokens[i] for i in np.nonzero(place < 0)[0].tolist()])
-            n_tokens.append(len(tokens))
-            n_known.append(int(((place >= 0) & (known.count[place] > 0)).sum()))
-            base.append(float(by_count.sum()) - len(tokens) * base_of_all)
-            score.append(total)
-            tokens_of.append(list(others.keys()))
-            times_of.append(list(others.values()))
+        # All texts of the piece at once: their tokens one after the other, every text ends with END.
+        tokens: list[bytes] = []
+        sizes = []
+        for data in batch.column(2):
+            own = words(data.as_py())
+            tokens += own
+            tokens.append(END)
+            sizes.append(len(own) + 1)
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        place, classes = known.classes(tokens)
+        by_count = np.where(place >= 0, log10_count[place], 0.0)
+        rare = classes < ENDINGS
+        share = np.where(rare, by_count - log10_rest[np.where(rare, classes, 0)], 0.0)
+        # Two begins before each text; a position that predicts one belongs to no text.
+        line = np.insert(classes, np.repeat(starts, 2), BEGIN)
+        model_part = _tables[key].log10(line)[line[2:] != BEGIN].astype(np.float64)
+        of_text = lambda x: np.add.reduceat(x, starts)
+        n_tokens = np.array(sizes, dtype=np.int64)
+        n_known = of_text(((place >= 0) & (known.count[place] > 0)).astype(np.int64))
+        base = of_text(by_count) - n_tokens * base_of_all
+        score = of_text(model_part + share)
+        unknown = np.nonzero(place < 0)[0]
+        cuts = np.searchsorted(unknown, [*starts, len(tokens)]).tolist()
+        others = [Counter([tokens[i] for i in unknown[a:b].tolist()]) for a, b in zip(cuts, cuts[1:])]
+        tokens_of, times_of = [list(o.keys()) for o in others], [list(o.values()) for o in others]
         return {
             id: batch.column(0),
             "held_out": batch.column(1),

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bulwark.llm.common import ROWS_AT_ONCE, WORD, stored
+from bulwark.llm.common import ROWS_AT_ONCE, WORD, numbered, stored
 
 #: Documents in a shard, about.
 SHARD = 512
@@ -226,9 +226,12 @@ def mix(
 
     All columns are kept; ``n_chars``, where there is one, follows a text that was cut.
     """
-    sized = docs.withColumn("_bw_size", word_count(text))
-    narrow = stored(sized.select(id, source, "_bw_size"), "sizes")
-    placed = laid_out(sized.where("_bw_size > 0"), narrow.where("_bw_size > 0"), id, source, block, seed, weights, share, most)
+    plain, name = numbered(docs)
+    sized = plain.withColumn("_bw_size", word_count(name[text]))
+    narrow = stored(sized.select(name[id], name[source], "_bw_size"), "sizes")
+    placed = laid_out(
+        sized.where("_bw_size > 0"), narrow.where("_bw_size > 0"), name[id], name[source], block, seed, weights, share, most
+    )
 
     def spans(place: str) -> Column:
         start, end = F.col(place), F.col(place) + F.col("_bw_size")
@@ -259,4 +262,4 @@ def mix(
                     columns[long_at] = pa.array(sizes, columns[long_at].type)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return passes.select(*names, "_bw_pass").mapInArrow(run, docs.schema)
+    return passes.select(*name.values(), "_bw_pass").mapInArrow(run, docs.schema)

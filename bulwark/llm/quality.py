@@ -61,7 +61,7 @@ class Reader:
         self.place: dict[bytes, tuple[int, int]] = {}
 
     def slots(self, word: bytes) -> tuple[int, int]:
-        shape = _RUN.sub(rb"\1\1", word.translate(_SHAPE)[:64])
+        shape = _RUN.sub(rb"\1\1", word.translate(_SHAPE))
         return slot(b"w:" + word.lower().strip(_SIGNS)), slot(b"s:" + shape)
 
     def vector(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +208,7 @@ def train(
             "x": pa.array([v.astype("<f4").tobytes() for _, v in vectors], pa.binary()),
         }
 
-    texts = docs.join(chosen, id).select("_grade", utf8(text).alias("_text"))
+    texts = docs.select(F.col(id), utf8(text).alias("_text")).join(chosen, id).select("_grade", "_text")
     rows = mapped(texts, work, "grade double, slots binary, x binary").collect()
     rows.sort(key=lambda r: (r["grade"], bytes(r["slots"]), bytes(r["x"])))
     if not rows:

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bulwark.llm.common import bounded_sample
+from bulwark.llm.common import bounded_sample, numbered
 
 
 @dataclass(frozen=True)
@@ -53,6 +53,40 @@ RATIO = 1.5
 SAMPLE = 20_000
 CODES = 128
 LEAN = 5.0
+#: Beyond every place in a text.
+FAR = (1 << 31) - 1
+#: Items that grow one array together.
+BLOCK = 256
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _scan(items: Column, kind: str, step, first: int = 0) -> Column:
+    """array<kind> of what ``step(at, item)`` = (next at, out) gives item by item, ``at`` from ``first``.
+
+    An array grows by being copied, so it grows block by block and blocks are joined once.
+    """
+    none, no_blocks = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def of_block(part: Column, at: Column) -> Column:
+        def grown(done: Column, item: Column) -> Column:
+            after, out = step(done["at"], item)
+            return F.struct(after.alias("at"), F.concat(done["out"], F.array(out)).alias("out"))
+
+        return F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), grown)
+
+    def joined(done: Column, part: Column) -> Column:
+        return _bound(of_block(part, done["at"]), lambda b: F.struct(b["at"].alias("at"), F.concat(done["out"], F.array(b["out"])).alias("out")))
+
+    def whole(all_: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(all_) / BLOCK).cast("int") - 1), lambda i: F.slice(all_, i * BLOCK + 1, F.lit(BLOCK)))
+        start = F.struct(F.lit(first).alias("at"), no_blocks.alias("out"))
+        return F.when(F.size(all_) > 0, F.flatten(F.aggregate(blocks, start, joined, lambda done: done["out"]))).otherwise(none)
+
+    return _bound(items, whole)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -65,26 +99,14 @@ def matches(text: Column, pattern: str) -> Column:
     paired = F.zip_with(
         F.slice(pieces, 1, F.greatest(F.size(found), F.lit(1))), found, lambda before, hit: F.struct(before.alias("before"), hit.alias("hit"))
     )
-    empty = F.lit(None).cast("array<struct<start:int,end:int,found:string>>")
-    step = F.aggregate(
-        F.filter(paired, lambda p: p["hit"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("spans")),
-        lambda done, p: F.struct(
-            (done["at"] + F.length(p["before"]) + F.length(p["hit"])).alias("at"),
-            F.concat(
-                done["spans"],
-                F.array(
-                    F.struct(
-                        (done["at"] + F.length(p["before"])).alias("start"),
-                        (done["at"] + F.length(p["before"]) + F.length(p["hit"])).alias("end"),
-                        p["hit"].alias("found"),
-                    )
-                ),
-            ).alias("spans"),
-        ),
-        lambda done: done["spans"],
-    )
-    return F.when(F.size(found) > 0, step).otherwise(F.coalesce(empty, F.array().cast("array<struct<start:int,end:int,found:string>>")))
+
+    def step(at: Column, p: Column) -> tuple[Column, Column]:
+        start = at + F.length(p["before"])
+        end = start + F.length(p["hit"])
+        return end, F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("found"))
+
+    spans = _scan(F.filter(paired, lambda p: p["hit"].isNotNull()), "struct<start:int,end:int,found:string>", step)
+    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))
 
 
 def _spans(text: Column, kind: Kind, order: int) -> Column:
@@ -109,10 +131,12 @@ def base_spans(text: Column) -> Column:
 
 
 def _pairs(strings: Column) -> Column:
-    """Pairs of neighbouring characters of a string, as one number each."""
-    return F.transform(
-        F.sequence(F.lit(1), F.length(strings) - 1),
-        lambda i: F.ascii(F.substr(strings, i, F.lit(1))) * CODES + F.ascii(F.substr(strings, i + 1, F.lit(1))),
+    """Pairs of neighbouring characters of a string of two or more, as one number each."""
+    return _bound(
+        F.split(strings, ""),
+        lambda c: F.zip_with(
+            F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.ascii(a) * CODES + F.ascii(b)
+        ),
     )
 
 
@@ -156,21 +180,37 @@ def _ratio(run: Column, model: np.ndarray) -> Column:
     return total / (F.length(run) - 1)
 
 
+def _apart(runs: Column, base: Column, order: int) -> Column:
+    """The runs that no base span touches, found in two passes over both in the order of their starts."""
+    kind = "struct<start:int,kind:int,end:int,found:string,hit:boolean>"
+
+    def out(s: Column, hit: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["found"].alias("found"), hit.alias("hit"))
+
+    def from_left(reached: Column, s: Column) -> tuple[Column, Column]:
+        return F.when(s["kind"] < order, F.greatest(reached, s["end"])).otherwise(reached), out(s, reached > s["start"])
+
+    def from_right(next_: Column, s: Column) -> tuple[Column, Column]:
+        return F.when(s["kind"] < order, F.least(next_, s["start"])).otherwise(next_), out(s, s["hit"] | (next_ < s["end"]))
+
+    both = _scan(F.array_sort(F.concat(base, runs)), kind, from_left)
+    both = _scan(F.reverse(both), kind, from_right, FAR)
+    free = F.filter(both, lambda s: (s["kind"] == order) & ~s["hit"])
+    return F.transform(
+        free, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["found"].alias("found"))
+    )
+
+
 def _added(text: Column, base: Column, model: np.ndarray) -> Column:
     order = len(KINDS)
-    fresh = F.filter(
-        matches(text, RUN),
-        lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-        & m["found"].rlike("[0-9]")
-        & m["found"].rlike("[A-Za-z]")
-        & (_ratio(m["found"], model) >= RATIO),
-    )
+    mixed = F.filter(matches(text, RUN), lambda m: m["found"].rlike("[0-9]") & m["found"].rlike("[A-Za-z]"))
     named = F.transform(
-        fresh,
-        lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("kind"), m["end"].alias("end"), m["found"].alias("found")),
+        mixed, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("kind"), m["end"].alias("end"), m["found"].alias("found"))
     )
+    free = _bound(named, lambda runs: F.when((F.size(runs) > 0) & (F.size(base) > 0), _apart(runs, base, order)).otherwise(runs))
+    fresh = F.filter(free, lambda m: _ratio(m["found"], model) >= RATIO)
     none = F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>")
-    return F.when(text.rlike(RUN), named).otherwise(none)
+    return F.when(text.rlike(RUN), fresh).otherwise(none)
 
 
 def scan(docs: DataFrame, model: np.ndarray, text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
@@ -207,29 +247,29 @@ def redacted(docs: DataFrame, id: str = "doc_id", text: str = "text", mark: str
 
     All rows and columns are kept; ``n_chars``, where there is one, follows the new text.
     """
-    found = scan(docs, train(docs, id, text), text, "_bw_base", "_bw_spans")
-    # What lies before the place reached is already written; spans come by start.
-    filled = F.aggregate(
-        F.col("_bw_spans"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda done, s: F.when(
-            s["start"] >= done["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(done["out"], F.substr(F.col(text), done["at"] + 1, s["start"] - done["at"]), F.lit(mark)).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(done["at"], s["end"]).alias("at"), done["out"].alias("out"))),
-        lambda done: F.concat(done["out"], F.substr(F.col(text), done["at"] + 1, F.length(F.col(text)))),
-    )
-    # A column of its own: an alias ``text`` beside it would be taken for the text inside the lambda.
-    filled_in = found.withColumn("_bw_filled", F.when(F.size("_bw_spans") > 0, filled))
-    changed = F.col("_bw_filled").isNotNull()
+    plain, name = numbered(docs)
+    found = scan(plain, train(docs, id, text), name[text], "base", "spans")
+
+    # Spans come by start; one that starts inside an earlier one only extends what is covered.
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, F.struct(at.alias("start"), (s["start"] - at).alias("size")))
+
+    def filled(chars: Column) -> Column:
+        kept = F.filter(_scan(F.col("spans"), "struct<start:int,size:int>", step), lambda p: p.isNotNull())
+        piece = lambda start, size: F.array_join(F.slice(chars, start + 1, size), "")
+        covered = F.array_max(F.transform("spans", lambda s: s["end"]))
+        rest = piece(covered, F.size(chars) - covered)
+        return F.array_join(F.concat(F.transform(kept, lambda p: piece(p["start"], p["size"])), F.array(rest)), mark)
+
+    # A column of its own, so that it is computed once.
+    changed = F.when(F.size("spans") > 0, _bound(F.split(F.col(name[text]), ""), filled))
+    filled_in = found.withColumn("filled", changed)
     out = []
-    for name in docs.columns:
-        if name == text:
-            out.append(F.coalesce("_bw_filled", F.col(name)).alias(name))
-        elif name == "n_chars":
-            out.append(F.when(changed, F.length("_bw_filled")).otherwise(F.col(name)).cast(docs.schema[name].dataType).alias(name))
-        else:
-            out.append(F.col(name))
+    for column in docs.columns:
+        value = F.col(name[column])
+        if column == text:
+            value = F.coalesce("filled", value)
+        elif column == "n_chars":
+            value = F.when(F.col("filled").isNotNull(), F.length("filled")).otherwise(value).cast(docs.schema[column].dataType)
+        out.append(value.alias(column))
     return filled_in.select(*out)

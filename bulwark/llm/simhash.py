@@ -15,13 +15,6 @@ Shards that hold more than ``CELL`` fingerprints (many close together) are cut i
 bounded size, so no task takes a whole group. Tasks give spanning edges, never all pairs, and
 copies count once: only distinct fingerprints are searched.
 
-Similar texts. ``one_of_each`` can also link texts by the share of word shingles they have in common,
-which the distance of 64 bits tells too coarsely: at a share of 0.8 it is near 10 bits, a radius at
-which no group of bits prunes. Min-hashes find candidates in bands, and the exact share decides.
-Only distinct sets of shingles are searched. Of a bucket of up to ``FEW`` sets all pairs are
-compared; in larger ones each set is compared with two others, of which one is the set that meets
-most others, so the work never grows with the square of a group.
-
 Cases: null or empty texts, or texts of white space, have fingerprint zero and link like any
 other; texts shorter than a shingle are one shingle; repeated rows and ids are kept row by row; a
 null id never names a group unless all its ids are null; an empty table gives an empty result.
@@ -39,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bulwark.llm.common import mapped, splitmix, stored, uniform, utf8, words
+from bulwark.llm.common import mapped, numbered, stored, uniform, utf8, words
 from bulwark.llm.components import components, local_roots
 
 SEED = 42
@@ -51,12 +44,6 @@ SHARD = 8_192
 CELL = 32_768
 #: Pairs compared at once where a tree cannot split further.
 LEAF = 1 << 14
-#: Bands of min-hashes and min-hashes in each: a pair with a share of 0.8 meets in some band with
-#: probability 1 - (1 - 0.8 ** 4) ** 16 = 0.9998.
-BANDS = 16
-WIDTH = 4
-#: Most sets in a bucket whose pairs are all compared.
-FEW = 8
 
 
 def _digests(data: bytes, shingle: int) -> Iterator[bytes]:
@@ -88,23 +75,6 @@ def fingerprint(data: bytes, shingle: int) -> int:
     return _majority(_digests(data, shingle))
 
 
-def _distinct(blocks: list[bytes]) -> np.ndarray:
-    """The set of shingles as sorted hashes."""
-    return np.unique(np.frombuffer(b"".join(blocks), dtype="<u8"))
-
-
-_MIXERS = splitmix(np.arange(1, BANDS * WIDTH + 1, dtype=np.uint64))
-_FACTORS = splitmix(_MIXERS) | np.uint64(1)
-
-
-def min_hashes(values: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * WIDTH, np.iinfo(np.uint64).max)
-    for at in range(0, len(values), 1 << 10):
-        part = (values[at : at + (1 << 10)] ^ _MIXERS[:, None]) * _FACTORS[:, None]
-        np.minimum(least, part.min(axis=1), out=least)
-    return least
-
-
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = 4) -> DataFrame:
     """The columns ``keep`` and ``fp``, the fingerprint as a signed 64-bit integer, row by row."""
 
@@ -117,87 +87,6 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle:
     return mapped(docs.select(*keep, utf8(text).alias("_text")), work, f"{kinds}, fp long")
 
 
-def sketches(docs: DataFrame, keep: list[str], text: str, shingle: int) -> DataFrame:
-    """The columns ``keep``, ``fp``, ``node`` (fingerprint and set of shingles in one hash) and ``bands``."""
-
-    def work(batch: pa.RecordBatch) -> dict:
-        prints, sets, least = [], [], []
-        for data in batch.column(len(keep)).to_pylist():
-            blocks = list(_digests(data, shingle))
-            values = _distinct(blocks)
-            prints.append(_majority(blocks))
-            sets.append(xxhash.xxh64_intdigest(values.tobytes(), SEED))
-            least.append(min_hashes(values))
-        fp = np.array(prints, dtype=np.uint64)
-        bands = np.zeros((len(prints), BANDS), dtype=np.uint64)
-        for i in range(WIDTH):
-            bands = splitmix(bands ^ np.stack(least).reshape(-1, BANDS, WIDTH)[:, :, i])
-        kept = {name: batch.column(i) for i, name in enumerate(keep)}
-        return kept | {
-            "fp": pa.array(fp.view(np.int64)),
-            "node": pa.array((splitmix(fp) ^ np.array(sets, dtype=np.uint64)).view(np.int64)),
-            "bands": pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())),
-        }
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return mapped(docs.select(*keep, utf8(text).alias("_text")), work, f"{kinds}, fp long, node long, bands array<long>")
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of ``nodes(node, bands)`` to compare."""
-    banded = stored(nodes.select("node", F.posexplode("bands").alias("band", "h")), "banded")
-    sizes = banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = stored(banded.join(sizes, ["band", "h"]), "met")
-    few = met.where(F.col("n") <= FEW).groupBy("band", "h").agg(F.collect_list("node").alias("nodes"))
-    pairs = few.select("nodes", F.explode("nodes").alias("a")).select("a", F.explode("nodes").alias("b")).where("a < b")
-    many = met.where(F.col("n") > FEW)
-    weights = many.groupBy("node").agg(F.sum("n").alias("weight"))
-    weighed = stored(many.join(weights, "node"), "weighed")
-    mixed = F.xxhash64("band", "node")
-    centres = weighed.groupBy("band", "h").agg(
-        F.max(F.struct("weight", mixed, "node"))["node"].alias("hub"), F.min(F.struct(mixed, "node"))["node"].alias("other")
-    )
-    stars = weighed.join(centres, ["band", "h"]).select("node", F.explode(F.array("hub", "other")).alias("centre"))
-    spokes = stars.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    return pairs.unionByName(spokes).distinct()
-
-
-def similar(keyed: DataFrame, marked: DataFrame, row: str, text: str, shingle: int, share: float) -> DataFrame:
-    """(a, b): fingerprints of texts with at least ``share`` of their distinct shingles in common."""
-    # One row per set; a row of the table stands for it.
-    nodes = stored(
-        marked.groupBy("node", "fp").agg(F.min(row).alias(row), F.min("bands").alias("bands")), "nodes"
-    )
-    pairs = stored(candidates(nodes), "candidates")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.drop("bands"), "node")
-
-    def hashed(batch: pa.RecordBatch) -> dict:
-        packed = [_distinct(list(_digests(data, shingle))).tobytes() for data in batch.column(2).to_pylist()]
-        return {"node": batch.column(0), "fp": batch.column(1), "packed": pa.array(packed, pa.binary())}
-
-    texts = keyed.select(row, utf8(text).alias("_text")).join(asked, row).select("node", "fp", "_text")
-    # Equal rows of the table would give a set more than once.
-    sets = stored(mapped(texts, hashed, "node long, fp long, packed binary").dropDuplicates(["node"]), "sets")
-
-    def close(batch: pa.RecordBatch) -> dict:
-        keep = []
-        for x, y in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
-            small, large = sorted((len(x) // 8, len(y) // 8))
-            common = 0
-            if small >= share * large:
-                common = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
-            keep.append(common > 0 and common >= share * (small + large - common))
-        kept = batch.filter(pa.array(keep, pa.bool_()))
-        return {"a": kept.column(0), "b": kept.column(2)}
-
-    both = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("fp").alias("fp_a"), F.col("packed").alias("packed_a")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("packed").alias("packed_b")), "b")
-        .select("fp_a", "packed_a", "fp_b", "packed_b")
-    )
-    return stored(mapped(both, close, "a long, b long"), "similar")
-
-
 def hex_digits(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
@@ -392,14 +281,10 @@ def links(distinct: DataFrame, radius: int = 4, blocks: int = 3, seed: int = 7)
     return met.groupBy("block", "leaf", "i", "j").applyInPandas(search, "a long, b long")
 
 
-def _grouped(marked: DataFrame, id: str, radius: int, more: DataFrame | None = None) -> DataFrame:
-    """``marked`` with ``root`` (the group's name) and ``component_id`` (its smallest id).
-
-    ``more`` are links (a, b) besides those within the radius.
-    """
+def _grouped(marked: DataFrame, id: str, radius: int) -> DataFrame:
+    """``marked`` with ``root`` (the group's name) and ``component_id`` (its smallest id)."""
     classes = stored(marked.groupBy("fp").agg(F.min(id).alias("_least")), "classes")
-    edges = links(classes.select("fp"), radius)
-    roots = components(edges if more is None else edges.unionByName(more))
+    roots = components(links(classes.select("fp"), radius))
     named = stored(
         classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
             "fp", "_least", F.coalesce("root", "fp").alias("root")
@@ -420,26 +305,18 @@ def groups(
 
 
 def one_of_each(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 5, share: float | None = None
+    docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4
 ) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the one with the smallest id.
 
-    Rows are told apart by a hash of all their columns, so of equal rows one stays. Five of 64
-    bits, the most that three groups of bits find with a distance of one, stand for a cosine
-    similarity of 0.97 between the texts' shingle counts. With ``share``, texts that have this share
-    of their distinct shingles in common (Jaccard) are near-duplicates too. All columns are kept as
-    they are.
+    Groups are those of :func:`groups`. Rows are told apart by two hashes of all their columns, so of
+    equal rows one stays. All columns are kept as they are, whatever their names.
     """
-    row = "_bulwark_row"
-    keyed = docs.withColumn(row, F.xxhash64(*docs.columns))
-    more = None
-    if share is None:
-        marked = stored(fingerprints(keyed, [id, row], text, shingle), "fingerprints")
-    else:
-        sketched = stored(sketches(keyed, [id, row], text, shingle), "fingerprints")
-        more = similar(keyed, sketched, row, text, shingle, share)
-        marked = sketched.select(id, row, "fp")
-    first = F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col(row).alias("row")))
-    grouped = _grouped(marked, id, radius, more)
-    kept = grouped.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias(row))
-    return keyed.join(kept, row, "left_semi").dropDuplicates([row]).drop(row)
+    plain, name = numbered(docs)
+    row = ["row1", "row2"]
+    keyed = plain.withColumns({r: F.xxhash64(F.lit(i), *plain.columns) for i, r in enumerate(row)})
+    marked = stored(fingerprints(keyed, [name[id], *row], name[text], shingle), "fingerprints")
+    by_id = F.struct(F.col(name[id]).isNull().alias("none"), F.col(name[id]).alias("id"), *row)
+    first = _grouped(marked, name[id], radius).groupBy("root").agg(F.min(by_id).alias("first"))
+    kept = first.select(*[F.col(f"first.{r}").alias(r) for r in row])
+    return keyed.join(kept, row, "left_semi").dropDuplicates(row).drop(*row).toDF(*docs.columns)
