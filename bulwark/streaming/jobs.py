@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,6 +11,7 @@ from bulwark.operators.metrics import EXACT_WIDTH, bucket_aggregates
 from bulwark.operators.ratelimit import DEFAULT_LIMIT, WINDOW_MS, last_windows, replay_limits
 from bulwark.operators.scoring import Scorer, score
 from bulwark.session import stored
+from bulwark.sources import snapshots
 from bulwark.sources.events import parse_events
 from bulwark.streaming.health import alerts, rolling_health
 
@@ -55,6 +56,15 @@ def bucket_metrics(
     return grouped.withColumn("bucket_start", F.col("w.start")).drop("w")
 
 
+def _open_windows(spark: SparkSession, state: str, folders: list[dict], horizon: int | None) -> DataFrame | None:
+    """Each caller's newest window in the folders, without those that started by the horizon."""
+    if not folders:
+        return None
+    rows = spark.read.parquet(*[f"{state}/{f['name']}" for f in folders])
+    newest = F.max(F.struct("window_start", "count")).alias("w")
+    return rows.where(F.col("window_start") > horizon).groupBy("identity").agg(newest).select("identity", "w.*")
+
+
 def rate_limits(
     log: DataFrame,
     path: str,
@@ -66,25 +76,50 @@ def rate_limits(
     """Allow or reject each call of (event_id, identity, arrival_ms) as it arrives.
 
     A keyed state operator would put all calls of one caller in one task. Here each micro-batch is
-    decided by the parallel replay, going on from every caller's open window, which is kept as one
-    row per caller and written once per micro-batch. Decisions go to ``path/decisions`` and state
-    to ``path/state``, in one folder per micro-batch, so a repeated batch overwrites its own
-    output. State of callers silent for longer than the window and ``lateness_ms`` is dropped; an
-    event from before that horizon may open a window of its own, and its ``late`` is true.
+    decided by the parallel replay, going on from the open windows of its own callers. Decisions go to
+    ``path/decisions``, in one folder per micro-batch, so a repeated batch overwrites its own output.
+
+    State in ``path/state`` is a log (``sources.snapshots``): a micro-batch adds one row per caller it
+    holds, and nothing for the others. Folders of like size fold into one that keeps each caller's
+    newest window. A window that ended more than ``lateness_ms`` before the newest one opened is
+    forgotten: its row is not read, and a folder that has no younger one leaves the log and is deleted.
+    An event from before that horizon may open a window of its own, and its ``late`` is true.
     """
+    state = f"{path}/state"
 
     def decide(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        carried = spark.read.parquet(f"{path}/state/batch={batch_id - 1}") if batch_id else None
-        latest = carried.agg(F.max("window_start")).first()[0] if carried is not None else None
+        known = snapshots.numbers(spark, state)
+        if batch_id + 1 in known and snapshots.load(spark, state, batch_id + 1):
+            return
+        before = [n for n in known if n <= batch_id]
+        version = snapshots.load(spark, state, before[-1]) if before else {"latest": None, "folders": []}
+        latest, folders = version["latest"], version["folders"]
+        held = _open_windows(spark, state, folders, None if latest is None else latest - width_ms - lateness_ms)
+        if held is not None:
+            callers = batch.select(F.col("identity").alias("_who")).distinct()
+            held = stored(held.join(callers, F.col("identity").eqNullSafe(F.col("_who")), "left_semi"), "windows")
         late = F.lit(False) if latest is None else F.coalesce(F.col("arrival_ms") < latest - lateness_ms, F.lit(False))
-        decided = replay_limits(batch, limit=limit, width_ms=width_ms, carried=carried).withColumn("late", late)
+        decided = replay_limits(batch, limit=limit, width_ms=width_ms, carried=held).withColumn("late", late)
         out = f"{path}/decisions/batch={batch_id}"
         decided.write.mode("overwrite").parquet(out)
-        state = last_windows(spark.read.parquet(out), carried)
-        latest = state.agg(F.max("window_start")).scalar()
-        alive = F.col("window_start") + width_ms + lateness_ms > latest
-        state.where(alive).write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+
+        def added(rows: DataFrame, name: str, level: int) -> list[dict]:
+            rows.write.mode("overwrite").parquet(f"{state}/{name}")
+            newest = spark.read.parquet(f"{state}/{name}").agg(F.max("window_start")).first()[0]
+            return [] if newest is None else [{"name": name, "level": level, "latest": newest}]
+
+        folders = folders + added(last_windows(spark.read.parquet(out), held), f"delta-{batch_id:012d}", 0)
+        latest = max((f["latest"] for f in folders), default=latest)
+        horizon = None if latest is None else latest - width_ms - lateness_ms
+        folders = [f for f in folders if f["latest"] > horizon]
+        alike = snapshots.due(folders)
+        if alike:
+            rows = _open_windows(spark, state, alike, horizon)
+            folders = [f for f in folders if f not in alike]
+            folders += added(rows, f"fold-{batch_id:012d}", alike[0]["level"] + 1)
+        snapshots.commit(spark, state, batch_id + 1, {"latest": latest, "folders": folders}, replace=True)
+        snapshots.vacuum(spark, state, lambda v: {f["name"] for f in v["folders"]}, 2, ("delta-", "fold-"))
 
     return (
         log.writeStream.foreachBatch(decide)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bulwark.operators import ratelimit
+from bulwark.sources import snapshots
 from bulwark.streaming import jobs
 
 WIDTH = 60_000
@@ -117,6 +118,59 @@ def test_stream_over_several_batches_matches_brute_force(spark, tmp_path):
     assert {r.event_id: (r.window_start, r.position, r.allowed) for r in got} == want
 
 
+def _limited(spark, batches, place, **options):
+    schema = "event_id long, identity long, arrival_ms long"
+    for part in batches:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(place / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(place / "in"))
+    jobs.rate_limits(source, str(place / "out"), str(place / "cp"), **options).awaitTermination()
+    got = spark.read.parquet(str(place / "out" / "decisions")).collect()
+    state = str(place / "out" / "state")
+    last = snapshots.numbers(spark, state)[-1]
+    return {r.event_id: (r.window_start, r.position, r.allowed) for r in got}, state, snapshots.load(spark, state, last)
+
+
+def test_micro_batch_writes_state_of_its_own_callers(spark, tmp_path):
+    """Two callers among 3,000 known: two rows of state, and the quiet callers' windows go on."""
+    first = [(i, i, 1000 + i) for i in range(3000)]
+    second = [(9000, 5, 5000), (9001, 6, 5001), (9002, 5, 5002)]
+    third = [(9100, 2999, 9000), (9101, 5, 9001)]
+    got, state, version = _limited(spark, [first, second, third], tmp_path, limit=2)
+    rows = [spark.read.parquet(f"{state}/{f['name']}").count() for f in version["folders"]]
+    assert rows == [3000, 2, 2]
+    assert got[9002] == (1005, 3, False) and got[9100] == (3999, 2, True) and got[9101] == (1005, 4, False)
+    assert got == arrival_order(first + second + third, 2)
+
+
+def test_state_folds_and_forgets(spark, tmp_path):
+    """Folders fold, and those of windows long over are deleted; decisions stay those of a live counter."""
+    base = 1_700_000_000_000
+    batches = [[(b * 10 + k, k % 3 if b != 4 else None, base + b * 9_000 + k) for k in range(4)] for b in range(12)]
+    got, state, version = _limited(spark, batches, tmp_path, limit=5, lateness_ms=30_000)
+    assert got == arrival_order([r for b in batches for r in b], 5)
+    names = {f["name"] for f in version["folders"]}
+    assert any(n.startswith("fold-") for n in names) and len(names) <= 8
+    far = tmp_path / "far"
+    batches = [[(b, b, base + b * 200_000)] for b in range(6)]
+    got, state, version = _limited(spark, batches, far, limit=5, lateness_ms=30_000)
+    assert [f["name"] for f in version["folders"]] == ["delta-000000000005"]
+    kept = {p.name for p in (far / "out" / "state").iterdir() if p.name.startswith("delta-")}
+    assert kept == {"delta-000000000004", "delta-000000000005"}
+
+
+def test_repeated_micro_batch_decides_the_same(spark, tmp_path):
+    """A batch that died after its state was committed is not counted twice."""
+    parts = [[(1, 1, 1000), (2, 1, 2000)], [(3, 1, 3000)]]
+    got, state, _ = _limited(spark, parts, tmp_path, limit=2)
+    for name in ("commits/1", "commits/.1.crc"):
+        (tmp_path / "cp" / name).unlink()
+    source = spark.readStream.schema("event_id long, identity long, arrival_ms long").option("maxFilesPerTrigger", 1)
+    jobs.rate_limits(source.parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), limit=2).awaitTermination()
+    again = spark.read.parquet(str(tmp_path / "out" / "decisions")).collect()
+    assert {r.event_id: (r.window_start, r.position, r.allowed) for r in again} == got
+    assert got[3] == (1000, 3, False)
+
+
 def test_carried_window_goes_on(spark):
     carried = spark.createDataFrame([("a", 1000, 2)], "identity string, window_start long, count long")
     rows = [(0, "a", 500), (1, "a", 2000), (2, "a", 61_000), (3, "b", 61_000)]
