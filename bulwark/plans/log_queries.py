@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from bulwark.catalog import NAMES, SCORECARD_NAMES
 from bulwark.functions.text import key_prefix, uuid_or_null
-from bulwark.operators import history, metrics, tenancy
+from bulwark.operators import history, metrics, rollups, tenancy
 from bulwark.operators.distribution import nearest_ranks, quantiles
 from bulwark.operators.ratelimit import replay_limits
 from bulwark.plans import fixtures as fx
 from bulwark.plans.oracle_sql import AS_OF_SQL
 from bulwark.plans.registry import as_doubles, query, rounded, stamp_sql, stamped
 from bulwark.session import scratch
-from bulwark.sources import events, tables, validation
+from bulwark.sources import events, log_index, tables, validation
 
 ANY_FLAG = "(" + " OR ".join(f"flag_{n}" for n in NAMES) + ")"
 SCORES = ", ".join(f"score_{n}" for n in NAMES)
@@ -32,7 +32,7 @@ def _rates(digits: int) -> str:
     )
 
 
-def _buckets_sql(digits: int, start: str = "date_trunc('hour', created_at)") -> str:
+def buckets_sql(digits: int, start: str = "date_trunc('hour', created_at)") -> str:
     return f"""
 SELECT tenant_id, {stamp_sql(start)} AS bucket_start, count(*) AS request_count,
   count(*) FILTER (WHERE blocked) AS blocked_count,
@@ -42,14 +42,14 @@ SELECT tenant_id, {stamp_sql(start)} AS bucket_start, count(*) AS request_count,
 FROM requests WHERE created_at >= {AS_OF_SQL} - INTERVAL '30' DAY GROUP BY ALL"""
 
 
-@query("time_bucket_metrics", _buckets_sql(9), ("requests",))
+@query("time_bucket_metrics", buckets_sql(9), ("requests",))
 def time_bucket_metrics(spark, sf):
     return stamped(rounded(metrics.time_buckets(fx.requests(spark, sf), fx.AS_OF, "30d", "1h", digits=None)))
 
 
 @query(
     "time_bucket_metrics_exact_6h",
-    _buckets_sql(9, "time_bucket(INTERVAL '6' HOUR, created_at, TIMESTAMP '1970-01-01')"),
+    buckets_sql(9, "time_bucket(INTERVAL '6' HOUR, created_at, TIMESTAMP '1970-01-01')"),
     ("requests",),
 )
 def time_bucket_metrics_exact(spark, sf):
@@ -59,6 +59,30 @@ def time_bucket_metrics_exact(spark, sf):
     return stamped(rounded(buckets))
 
 
+def _rollups(spark, sf):
+    """Rollups of the whole log, written in two batches that share minutes."""
+    path = scratch(spark, "rollups")
+    odd = F.col("id") % 2 == 1
+    for part in (odd, ~odd):
+        rollups.append(fx.requests(spark, sf).where(part), path)
+    return spark.read.parquet(path)
+
+
+@query("rollup_buckets", buckets_sql(9), ("requests",))
+def rollup_buckets(spark, sf):
+    return stamped(rounded(rollups.time_buckets(_rollups(spark, sf), fx.AS_OF, "30d", "1h", digits=None)))
+
+
+@query(
+    "rollup_buckets_exact_6h",
+    buckets_sql(9, "time_bucket(INTERVAL '6' HOUR, created_at, TIMESTAMP '1970-01-01')"),
+    ("requests",),
+)
+def rollup_buckets_exact(spark, sf):
+    once = rollups.merged(_rollups(spark, sf))
+    return stamped(rounded(rollups.time_buckets(once, fx.AS_OF, "30d", "6h", exact_buckets=True, digits=None)))
+
+
 @query(
     "summary_24h",
     f"""
@@ -429,6 +453,47 @@ def request_lookup(spark, sf):
     return found.select("id", "tenant_id", "model", "block_reason")
 
 
+def _indexed_log(spark, sf):
+    """The whole log stored in two appends; the index covers the first, the second is read directly."""
+    log, index = scratch(spark, "indexed-log"), scratch(spark, "log-index")
+    whole = fx.requests(spark, sf)
+    tables.append_requests(whole.where("id % 3 <> 0"), log)
+    log_index.refresh(spark, log, index)
+    tables.append_requests(whole.where("id % 3 = 0"), log)
+    return log, index
+
+
+@query(
+    "request_lookup_indexed",
+    """
+SELECT id, tenant_id, model, block_reason FROM requests r
+WHERE EXISTS (SELECT 1 FROM reviews v WHERE v.request_id = r.id AND (v.tenant_id + v.review_id % 2) % 4 = r.tenant_id)""",
+    ("requests", "reviews"),
+)
+def request_lookup_indexed(spark, sf):
+    wanted = fx.reviews(spark, sf).select(
+        F.col("request_id").cast("string").alias("id"),
+        ((F.col("tenant_id") + F.col("review_id") % 2) % 4).cast("string").alias("tenant_id"),
+    )
+    found = log_index.lookup(spark, *_indexed_log(spark, sf), wanted)
+    return found.select(F.col("id").cast("long"), F.col("tenant_id").cast("long"), "model", "block_reason")
+
+
+@query(
+    "history_page_indexed",
+    f"""
+SELECT CAST(id AS VARCHAR) AS id, {stamp_sql("created_at")} AS created_at, latency_total,
+  (SELECT count(*) FROM requests WHERE tenant_id = 1) AS total
+FROM requests WHERE tenant_id = 1 ORDER BY requests.created_at DESC, CAST(id AS VARCHAR) DESC LIMIT 50 OFFSET 100""",
+    ("requests",),
+)
+def history_page_indexed(spark, sf):
+    log, index = _indexed_log(spark, sf)
+    log_index.refresh(spark, log, index)
+    rows = log_index.page(spark, log, index, page=3, limit=50, tenant_id="1").select("id", "created_at", "latency_total")
+    return stamped(rows.withColumn("total", log_index.total(spark, log, index, "1").scalar()))
+
+
 @query(
     "review_queue",
     f"""

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bulwark.functions.text import cache_key
-from bulwark.operators import cache
+from bulwark.operators import cache, rollups
 from bulwark.operators.scoring import Scorer
 from bulwark.plans import fixtures as fx
-from bulwark.plans.log_queries import limited_sql
+from bulwark.plans.log_queries import buckets_sql, limited_sql
 from bulwark.plans.registry import as_doubles, query, rounded, stamp_sql, stamped
 from bulwark.session import STATE_STORE, scratch
 from bulwark.sources import events, tables
@@ -165,6 +165,15 @@ def bucket_metrics_stream(spark, sf):
     )
 
 
+@query("rollup_buckets_stream", buckets_sql(9), ("requests",))
+def rollup_buckets_stream(spark, sf):
+    """Rollups kept by a stream: buckets that no watermark has closed show too."""
+    source = _timed(fx.requests_of(stream(spark, sf, "events")), "created_at")
+    path = scratch(spark, "rollup-stream")
+    rollups.append_stream(source, path, scratch(spark, "rollup-checkpoint")).awaitTermination()
+    return stamped(rounded(rollups.time_buckets(spark.read.parquet(path), fx.AS_OF, "30d", "1h", digits=None)))
+
+
 @query(
     "tenant_feed_stream",
     """
