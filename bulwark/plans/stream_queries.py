@@ -15,7 +15,7 @@ from bulwark.plans.log_queries import buckets_sql, limited_sql
 from bulwark.plans.registry import as_doubles, query, rounded, stamp_sql, stamped
 from bulwark.session import STATE_STORE, scratch
 from bulwark.sources import events, tables
-from bulwark.streaming import jobs
+from bulwark.streaming import jobs, late
 from bulwark.streaming.health import alerts, rolling_health
 
 LIMITS = {"error_rate": 0.0, "block_rate": 0.002, "evaluator_failure_rate": 0.0, "p95_latency_ms": 150}
@@ -174,6 +174,34 @@ def rollup_buckets_stream(spark, sf):
     return stamped(rounded(rollups.time_buckets(spark.read.parquet(path), fx.AS_OF, "30d", "1h", digits=None)))
 
 
+@query(
+    "late_events",
+    """
+SELECT 'late-events' AS query, CAST(count(*) AS BIGINT) AS dropped,
+  (SELECT CAST(count(*) AS BIGINT) FROM events) AS kept FROM events
+WHERE event_id % 10 = 0 AND ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '10' MINUTE FROM events)""",
+)
+def late_events(spark, sf):
+    """All events, then every tenth of them delivered twice, then every tenth under a new id, which is late.
+
+    ``dropped`` is what the watermark dropped, ``kept`` how many of the first ids were written.
+    """
+    whole = _timed(fx.table(spark, sf, "events").select("event_id", "ts"))
+    inbox, path, out = (scratch(spark, n) for n in ("late-input", "late-rows", "late-output"))
+    twice = whole.where("event_id % 10 = 0")
+    for part in (whole, twice, twice.withColumn("event_id", -F.col("event_id") - 1)):
+        part.coalesce(1).write.mode("append").parquet(inbox)
+    source = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    once = late.distinct_events(source)
+    with stream_settings(spark), late.counted(spark, path, "late-events"):
+        writer = once.writeStream.format("parquet").queryName("late-events").option("path", out)
+        writer = writer.option("checkpointLocation", scratch(spark, "late-checkpoint"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.parquet(out).where("event_id >= 0").count()
+    dropped = late.totals(late.late_rows(spark, path))
+    return dropped.select("query", "dropped", F.lit(kept).cast("long").alias("kept"))
+
+
 @query(
     "tenant_feed_stream",
     """
