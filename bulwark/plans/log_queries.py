@@ -13,7 +13,7 @@ from bulwark.plans import fixtures as fx
 from bulwark.plans.oracle_sql import AS_OF_SQL
 from bulwark.plans.registry import as_doubles, query, rounded, stamp_sql, stamped
 from bulwark.session import scratch
-from bulwark.sources import events, log_index, tables, validation
+from bulwark.sources import events, log_index, merge, tables, validation
 
 ANY_FLAG = "(" + " OR ".join(f"flag_{n}" for n in NAMES) + ")"
 SCORES = ", ".join(f"score_{n}" for n in NAMES)
@@ -574,6 +574,30 @@ def reviews_applied(spark, sf):
     return stamped(applied.select("id", "tenant_id", "reviewed", "review_label", "reviewed_at"))
 
 
+@query(
+    "reviews_merged",
+    f"""
+SELECT r.id, r.tenant_id, (v.request_id IS NOT NULL OR r.reviewed) AS reviewed, v.label AS review_label,
+  {stamp_sql("v.reviewed_at")} AS reviewed_at, strftime(r.created_at, '%Y-%m-%d') AS dt
+FROM requests r LEFT JOIN (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY reviewed_at DESC, review_id DESC) AS rn
+  FROM reviews WHERE label IN ('correct_flag', 'false_positive', 'false_negative')) v
+ON v.request_id = r.id AND v.tenant_id = r.tenant_id AND v.rn = 1""",
+    ("requests", "reviews"),
+)
+def reviews_merged(spark, sf):
+    """Reviews written into the stored log, day by day; the index says which days."""
+    log, index = _indexed_log(spark, sf)
+    merge.merge_reviews(spark, log, fx.reviews(spark, sf).withColumns(
+        {"request_id": F.col("request_id").cast("string"), "tenant_id": F.col("tenant_id").cast("string")}
+    ), index)
+    rows = spark.read.parquet(log).select(
+        F.col("id").cast("long"), F.col("tenant_id").cast("long"), "reviewed", "review_label", "reviewed_at",
+        F.col("dt").cast("string").alias("dt"),
+    )
+    return stamped(rows)
+
+
 @query(
     "review_label_violations",
     "SELECT review_id, request_id, label FROM reviews WHERE label NOT IN ('correct_flag', 'false_positive', 'false_negative')",

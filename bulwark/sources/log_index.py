@@ -119,23 +119,28 @@ def vacuum(spark: SparkSession, index: str, keep: int = 2) -> list[str]:
     return snapshots.vacuum(spark, index, lambda v: {f["name"] for f in v["folders"]}, keep, ("part-",))
 
 
+def files_of(spark: SparkSession, log: str, index: str, wanted: DataFrame) -> list[str]:
+    """Files of the log that hold one of the (id, tenant_id) pairs, and those not covered yet."""
+    version = _version(spark, index)
+    listed = _listed(spark, log)
+    files = _fresh(spark, listed, index, version)
+    ids = _read(spark, index, version, "ids")
+    if ids is None:
+        return files
+    slots = [r[0] for r in wanted.select(_slot(F.col("id"))).distinct().collect()]
+    hits = ids.where(F.col("slot").isin(slots)).join(wanted, ["id", "tenant_id"], "left_semi")
+    present = set(listed)
+    return sorted({*files, *(r.file for r in hits.select("file").distinct().collect() if r.file in present)})
+
+
 def lookup(spark: SparkSession, log: str, index: str, wanted: DataFrame) -> DataFrame:
     """Requests of the (id, tenant_id) pairs in ``wanted``; another tenant's id gives no row.
 
     Reads the slots of the ids in the index, then only the files of the log that hold one of them and
     those not covered yet.
     """
-    version = _version(spark, index)
-    listed = _listed(spark, log)
     wanted = wanted.select("id", "tenant_id").distinct()
-    files = _fresh(spark, listed, index, version)
-    ids = _read(spark, index, version, "ids")
-    if ids is not None:
-        slots = [r[0] for r in wanted.select(_slot(F.col("id"))).distinct().collect()]
-        hits = ids.where(F.col("slot").isin(slots)).join(wanted, ["id", "tenant_id"], "left_semi")
-        present = set(listed)
-        files = sorted({*files, *(r.file for r in hits.select("file").distinct().collect() if r.file in present)})
-    rows = _scan(spark, log, files)
+    rows = _scan(spark, log, files_of(spark, log, index, wanted))
     some = [r.id for r in wanted.select("id").limit(PUSHED_IDS + 1).collect()]
     if len(some) <= PUSHED_IDS:
         rows = rows.where(F.col("id").isin(some))
