@@ -1,9 +1,8 @@
 """Byte-level BPE as a streaming transducer, and its inverse.
 
-Encoding reads a text in windows of bounded size. Ordinary pieces (words with their space, runs
-of digits, signs or white space) end inside the window and are merged at once. A piece longer
-than ``LONG`` bytes runs through a transducer that needs only the merge list's sufficient
-lookahead: a token that covers the next byte starts at most ``lookahead`` bytes back (the longest
+Encoding reads a text in windows of bounded size and cuts it into pieces (words with their space,
+runs of digits, signs or white space). Every piece runs through a transducer that needs only the
+merge list's sufficient lookahead; the tokens of short pieces are remembered. A token that covers the next byte starts at most ``lookahead`` bytes back (the longest
 token's length), so only the encodings of the last ``lookahead`` prefixes can still matter. For
 every prefix the last token is the one whose neighbour on the left is *stable* beside it, that
 is, merging the two tokens' bytes together gives the two tokens again; it is unique. A token is
@@ -36,10 +35,9 @@ from bulwark.llm.common import mapped, utf8
 
 #: Characters read at a time.
 WINDOW = 1 << 16
-#: Bytes from which a piece goes through the lookahead transducer.
-LONG = 256
-#: Pieces whose tokens a worker remembers.
+#: Pieces whose tokens a worker remembers, and the bytes up to which it remembers one.
 CACHED = 400_000
+REMEMBERED = 256
 
 #: Little-endian unsigned 32-bit integers.
 PACKED = "<u4"
@@ -100,9 +98,10 @@ class Merges(dict):
         self.pieces |= {i: token.encode() for token, i in self.added.items()}
         self.split_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self._beside: dict[tuple[int, int], bool] = {}
+        self._alone: dict[int, bool] = {}
 
     def merged(self, data: bytes) -> tuple[int, ...]:
-        """Tokens of one piece held as a whole: lowest-ranked pair first, from the left."""
+        """Tokens of the bytes of one or two tokens: lowest-ranked pair first, from the left."""
         single, merge = self.single, self.merge.get
         tokens = [single[b] for b in data]
         ranks = [merge(pair, NEVER) for pair in zip(tokens, tokens[1:])]
@@ -130,11 +129,22 @@ class Merges(dict):
             known = self._beside[pair] = self.merged(self.pieces[left] + self.pieces[right]) == pair
         return known
 
+    def alone(self, token: int) -> bool:
+        """Whether the token's own bytes merge to it."""
+        known = self._alone.get(token)
+        if known is None:
+            known = self._alone[token] = self.merged(self.pieces[token]) == (token,)
+        return known
+
     def streamed(self, data: bytes) -> Iterator[int]:
-        """Tokens of one piece of any length, each as soon as no later byte can change it."""
-        size, token_of, stable, pieces = self.lookahead, self.token_of, self.stable, self.pieces
-        emitted, boundary_token = 0, -1  # what is out so far ends here, in all live encodings alike
+        """Tokens of one piece of any length, each as soon as no later byte can change it.
+
+        Only one last token fits a prefix, so the order of trying is free: the longest first.
+        """
+        size, token_at, stable, beside = self.lookahead, self.token_of.get, self.stable, self._beside
+        emitted, boundary = 0, -1  # what is out so far ends here, in all live encodings alike
         back: dict[int, tuple[int, int]] = {}  # of a prefix: its last token, where that starts
+        live: deque = deque([0])
 
         def path(end: int) -> list[tuple[int, int]]:
             steps = []
@@ -144,24 +154,26 @@ class Merges(dict):
                 end = start
             return steps[::-1]
 
-        live: deque = deque([0])
         for end in range(1, len(data) + 1):
-            found = None
-            for start in reversed(live):
-                if end - start > size:
-                    break
-                token = token_of.get(data[start:end])
+            while end - live[0] > size:
+                live.popleft()
+            for start in live:
+                token = token_at(data[start:end])
                 if token is None:
                     continue
-                if start == 0 or stable(back[start][0] if start in back else boundary_token, token):
-                    found = (token, start)
+                if not start:
+                    fits = self.alone(token)
+                else:
+                    left = back[start][0] if start in back else boundary
+                    fits = beside.get((left, token))
+                    if fits is None:
+                        fits = stable(left, token)
+                if fits:
+                    back[end] = (token, start)
+                    live.append(end)
                     break
-            if found is None:
+            else:
                 continue
-            back[end] = found
-            live.append(end)
-            while end - live[0] >= size:
-                live.popleft()
             if len(back) >= 4 * size:
                 common = path(live[0])
                 for other in list(live)[1:]:
@@ -172,7 +184,7 @@ class Merges(dict):
                     common = common[:same]
                 if common:
                     yield from (token for _, token in common)
-                    emitted, boundary_token = common[-1]
+                    emitted, boundary = common[-1]
                     needed = {emitted}
                     for end_of in live:
                         while end_of > emitted and end_of not in needed:
@@ -183,11 +195,11 @@ class Merges(dict):
 
     def __missing__(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "replace")
-        if len(data) > LONG:
-            return np.fromiter(self.streamed(data), dtype=PACKED).tobytes()
-        if len(self) >= CACHED:
-            self.clear()
-        tokens = self[piece] = np.array(self.merged(data), dtype=PACKED).tobytes()
+        tokens = np.fromiter(self.streamed(data), dtype=PACKED).tobytes()
+        if len(data) <= REMEMBERED:
+            if len(self) >= CACHED:
+                self.clear()
+            self[piece] = tokens
         return tokens
 
     def encode(self, text: str) -> Iterator[bytes]:

@@ -71,6 +71,16 @@ def test_lookahead_transducer(merges, library, letters):
         assert list(merges.streamed(text.encode())) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_every_piece_runs_through_the_transducer(merges, texts, library, monkeypatch):
+    seen = []
+    streamed = bpe.Merges.streamed
+    monkeypatch.setattr(bpe.Merges, "streamed", lambda self, data: seen.append(data) or streamed(self, data))
+    merges.clear()
+    for text in list(texts.values())[:20]:
+        assert ids(merges, text) == library.encode(text, add_special_tokens=False).ids
+    assert {p.decode() for p in seen} == set(merges) and seen
+
+
 def test_long_pieces_and_windows(merges, library):
     text = "x" * 200_000 + " " + "\n" * 70_000 + "word " * 30_000
     assert ids(merges, text) == library.encode(text, add_special_tokens=False).ids
