@@ -6,7 +6,8 @@ times its words, and what it cannot give is shared by weight among the others.
 Apportionment. The mix is made of blocks of ``block`` words. Blocks go to sources one by one to
 the highest quotient target / (2 k - 1), k being the block the source would get next. A source's
 documents lie in shards of about ``SHARD`` documents (by a seeded hash, so a large source has many),
-and the source's blocks go to its shards by the same rule, which gives each an integer quota.
+and shards in groups of about ``GROUP``. The source's blocks go to its groups and a group's blocks to its
+shards by the same rule, which gives each shard an integer quota without ranking all of them in one task.
 
 Selection. A shard's documents stand in seeded order, one after another, twice. That line is cut
 into blocks; a seeded permutation of the blocks of the first pass, then of the second, says which
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 
 from bulwark.llm.common import ROWS_AT_ONCE, WORD, numbered, stored
 
-#: Documents in a shard, about.
+#: Documents in a shard, and shards in a group of shards, about.
 SHARD = 512
+GROUP = 512
 #: Primes above 2**31; multiplying by one permutes the blocks of any shard.
 PRIMES = (2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783, 2147483813, 2147483857)
 
@@ -167,7 +169,12 @@ def laid_out(
     shards = sharded(narrow).groupBy("_bw_no", "_bw_shard").agg(
         F.sum("_bw_size").cast("double").alias("_words"), F.first("_bw_blocks").alias("_blocks")
     )
-    quotas = apportion(shards, ["_bw_no"], "_bw_shard", "_words", "_blocks", "_bw_quota").select(
+    # A source of d documents ranks d / (SHARD x GROUP) groups at once, a group GROUP shards.
+    shards = stored(shards.withColumn("_group", F.floor(F.col("_bw_shard") / GROUP)), "shards")
+    of_groups = shards.groupBy("_bw_no", "_group").agg(F.sum("_words").alias("_group_words"), F.first("_blocks").alias("_blocks"))
+    given = apportion(of_groups, ["_bw_no"], "_group", "_group_words", "_blocks", "_given").select("_bw_no", "_group", "_given")
+    shards = shards.join(given, ["_bw_no", "_group"])
+    quotas = apportion(shards, ["_bw_no", "_group"], "_bw_shard", "_words", "_given", "_bw_quota").select(
         "_bw_no", "_bw_shard", "_bw_quota", F.col("_words").cast("long").alias("_bw_words")
     )
     shard = Window.partitionBy("_bw_no", "_bw_shard")

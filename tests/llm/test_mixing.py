@@ -58,6 +58,15 @@ def test_small_shards(documents, monkeypatch):
     check(documents.collect(), mixing.taken(documents).collect())
 
 
+def test_groups_of_shards(documents, monkeypatch):
+    """Apportionment in two levels, with more groups than one per source."""
+    monkeypatch.setattr(mixing, "SHARD", 2)
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    rows = mixing.taken(documents).collect()
+    check(documents.collect(), rows)
+    assert sorted(rows) == sorted(mixing.taken(documents.repartition(5)).collect())
+
+
 def test_odd_rows(odd):
     rows = mixing.taken(odd).collect()
     check(odd.collect(), rows)
