@@ -8,8 +8,9 @@ Model. Two first-order character models, one of random strings and one of ordina
 give a log-likelihood ratio per character. Their bigram counts come from labelled samples: the
 secrets inside base spans are random; other words and identifiers are ordinary. A pair's
 probability leans on its second character's own frequency by ``LEAN`` counts. The documents that train are a bounded sample (``SAMPLE``);
-all documents are scanned. A run of at least ``LEAST`` signs that no base span touches becomes a
-span of kind ``markov`` when its mean ratio reaches ``RATIO`` and it mixes digits with letters.
+all documents are scanned. A run of at least 12 signs outside the base spans (the rest of a run that
+a base span touches included) becomes a span of kind ``markov`` when it mixes digits with letters and
+its mean ratio reaches ``RATIO``, or, below ``FULL`` signs, as much in total as a run of ``FULL`` needs.
 
 Everything is DataFrame functions; the model is one array literal of 128 x 128 numbers.
 
@@ -44,17 +45,16 @@ KINDS = (
     Kind("hex", r"([0-9a-f]{16,})", 1, 16),
 )
 ADDED = "markov"
-#: Runs that the model judges.
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
-LEAST = 20
+#: Runs that the model judges: whole, of 12 or more, with digits and letters.
+RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{12,}"
+#: From so many characters on ``RATIO`` alone decides.
+FULL = 20
 #: Mean log-likelihood ratio per pair of characters.
 RATIO = 1.5
 #: Documents that train the model, about.
 SAMPLE = 20_000
 CODES = 128
 LEAN = 5.0
-#: Beyond every place in a text.
-FAR = (1 << 31) - 1
 #: Items that grow one array together.
 BLOCK = 256
 
@@ -180,37 +180,46 @@ def _ratio(run: Column, model: np.ndarray) -> Column:
     return total / (F.length(run) - 1)
 
 
-def _apart(runs: Column, base: Column, order: int) -> Column:
-    """The runs that no base span touches, found in two passes over both in the order of their starts."""
-    kind = "struct<start:int,kind:int,end:int,found:string,hit:boolean>"
+def least_ratio(length: Column) -> Column:
+    """The mean ratio that a run of this length must reach: a short run as much evidence as one of ``FULL``."""
+    return F.lit(RATIO * (FULL - 1)) / (F.least(length, F.lit(FULL)) - 1)
 
-    def out(s: Column, hit: Column) -> Column:
-        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["found"].alias("found"), hit.alias("hit"))
 
-    def from_left(reached: Column, s: Column) -> tuple[Column, Column]:
-        return F.when(s["kind"] < order, F.greatest(reached, s["end"])).otherwise(reached), out(s, reached > s["start"])
+def _uncovered(spans: Column) -> Column:
+    """array<struct<start, size, hole>>: what lies before each of the ordered spans and outside all earlier
+    ones, and how much the span covers beyond them."""
 
-    def from_right(next_: Column, s: Column) -> tuple[Column, Column]:
-        return F.when(s["kind"] < order, F.least(next_, s["start"])).otherwise(next_), out(s, s["hit"] | (next_ < s["end"]))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        after = F.greatest(at, s["end"])
+        size = F.greatest(F.lit(0), s["start"] - at)
+        return after, F.struct(at.alias("start"), size.alias("size"), (after - at - size).alias("hole"))
 
-    both = _scan(F.array_sort(F.concat(base, runs)), kind, from_left)
-    both = _scan(F.reverse(both), kind, from_right, FAR)
-    free = F.filter(both, lambda s: (s["kind"] == order) & ~s["hit"])
-    return F.transform(
-        free, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["found"].alias("found"))
-    )
+    return _scan(spans, "struct<start:int,size:int,hole:int>", step)
+
+
+def _outside(text: Column, base: Column) -> Column:
+    """The text with the base spans blanked out, so that all places stay."""
+
+    def blanked(chars: Column) -> Column:
+        piece = lambda start, size: F.array_join(F.slice(chars, start + 1, size), "")
+        parts = F.transform(_uncovered(base), lambda p: F.concat(piece(p["start"], p["size"]), F.repeat(F.lit(" "), p["hole"])))
+        covered = F.array_max(F.transform(base, lambda s: s["end"]))
+        return F.array_join(F.concat(parts, F.array(piece(covered, F.size(chars) - covered))), "")
+
+    return F.when(F.size(base) > 0, _bound(F.split(text, ""), blanked)).otherwise(text)
 
 
 def _added(text: Column, base: Column, model: np.ndarray) -> Column:
     order = len(KINDS)
-    mixed = F.filter(matches(text, RUN), lambda m: m["found"].rlike("[0-9]") & m["found"].rlike("[A-Za-z]"))
-    named = F.transform(
-        mixed, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("kind"), m["end"].alias("end"), m["found"].alias("found"))
-    )
-    free = _bound(named, lambda runs: F.when((F.size(runs) > 0) & (F.size(base) > 0), _apart(runs, base, order)).otherwise(runs))
-    fresh = F.filter(free, lambda m: _ratio(m["found"], model) >= RATIO)
+
+    def judged(runs: Column) -> Column:
+        random = F.filter(runs, lambda m: _ratio(m["found"], model) >= least_ratio(F.length(m["found"])))
+        return F.transform(
+            random, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("kind"), m["end"].alias("end"), m["found"].alias("found"))
+        )
+
     none = F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>")
-    return F.when(text.rlike(RUN), fresh).otherwise(none)
+    return F.when(text.rlike(RUN), _bound(_outside(text, base), lambda rest: judged(matches(rest, RUN)))).otherwise(none)
 
 
 def scan(docs: DataFrame, model: np.ndarray, text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
