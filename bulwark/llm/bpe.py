@@ -22,6 +22,7 @@ import codecs
 import hashlib
 import json
 import re
+from array import array
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -136,12 +137,49 @@ class Merges(dict):
             known = self._alone[token] = self.merged(self.pieces[token]) == (token,)
         return known
 
+    def in_view(self, data: bytes) -> list[int]:
+        """Tokens of a piece no longer than the lookahead, by the same rule as ``streamed``.
+
+        Nothing is stable before such a piece ends, and its end alone decides, so only the prefixes that
+        the last tokens ask for are looked at.
+        """
+        token_at, alone, beside = self.token_of.get, self._alone, self._beside
+        back: dict[int, tuple[int, int]] = {}
+
+        def last(end: int) -> tuple[int, int]:
+            for start in range(end):
+                token = token_at(data[start:end])
+                if token is None:
+                    continue
+                if start:
+                    pair = ((back.get(start) or last(start))[0], token)
+                    fits = beside.get(pair)
+                    if fits is None:
+                        fits = self.stable(*pair)
+                else:
+                    fits = alone.get(token)
+                    if fits is None:
+                        fits = self.alone(token)
+                if fits:
+                    back[end] = found = (token, start)
+                    return found
+            raise ValueError(f"no tokens for {data[:end]!r}")
+
+        tokens, end = [], len(data)
+        while end:
+            token, end = back.get(end) or last(end)
+            tokens.append(token)
+        return tokens[::-1]
+
     def streamed(self, data: bytes) -> Iterator[int]:
         """Tokens of one piece of any length, each as soon as no later byte can change it.
 
         Only one last token fits a prefix, so the order of trying is free: the longest first.
         """
         size, token_at, stable, beside = self.lookahead, self.token_of.get, self.stable, self._beside
+        if len(data) <= size:
+            yield from self.in_view(data)
+            return
         emitted, boundary = 0, -1  # what is out so far ends here, in all live encodings alike
         back: dict[int, tuple[int, int]] = {}  # of a prefix: its last token, where that starts
         live: deque = deque([0])
@@ -195,7 +233,7 @@ class Merges(dict):
 
     def __missing__(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "replace")
-        tokens = np.fromiter(self.streamed(data), dtype=PACKED).tobytes()
+        tokens = array("I", self.streamed(data)).tobytes()
         if len(data) <= REMEMBERED:
             if len(self) >= CACHED:
                 self.clear()
