@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bulwark.functions.arrays import bound, pieces, running
+
 # Word boundaries over ASCII letters, digits and underscore.
 _LEAD = "(?<![A-Za-z0-9_])"
 _TRAIL = "(?![A-Za-z0-9_])"
@@ -167,18 +169,16 @@ def spans(text: Column, pattern: Pattern) -> Column:
     gaps = F.slice(F.split(text, pattern.regex, -1), F.lit(1), F.greatest(F.size(matches), F.lit(1)))
     none = F.array().cast(f"array<{SPAN}>")
 
-    def step(done: Column, pair: Column) -> Column:
-        start = done["at"] + F.length(pair["gap"])
+    def step(at: Column, pair: Column) -> tuple[Column, Column]:
+        start = at + F.length(pair["gap"])
         end = start + F.length(pair["match"])
-        span = F.struct(
+        return end, F.struct(
             start.alias("start"), end.alias("end"), F.lit(pattern.type).alias("type"),
             F.lit(pattern.confidence).alias("score"), pair["match"].alias("match"),
         )
-        return F.struct(end.alias("at"), F.concat(done["found"], F.array(span)).alias("found"))
 
     pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    found = F.aggregate(F.filter(pairs, lambda p: p["match"].isNotNull()), start, step, lambda done: done["found"])
+    found = running(F.filter(pairs, lambda p: p["match"].isNotNull()), SPAN, step, F.lit(0))
     if pattern.check is not None:
         found = F.filter(found, lambda s: F.size(_verified(F.array(s["match"]), pattern)) > 0)
     return F.when(_guarded(text, pattern), found).otherwise(none)
@@ -187,18 +187,19 @@ def spans(text: Column, pattern: Pattern) -> Column:
 def resolved(found: Column) -> Column:
     """Spans in order without overlaps: of two that overlap the one with the higher score stays, then
     the longer, then the earlier one, then the first type by name."""
-    last = lambda kept: F.element_at(kept, -1)
 
     def better(new: Column, old: Column) -> Column:
         length = lambda s: s["end"] - s["start"]
         return (new["score"] > old["score"]) | ((new["score"] == old["score"]) & (length(new) > length(old)))
 
-    def step(kept: Column, new: Column) -> Column:
-        apart = (F.size(kept) == 0) | (F.get(kept, F.size(kept) - 1)["end"] <= new["start"])
-        instead = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(new))
-        return F.when(apart, F.concat(kept, F.array(new))).when(better(new, last(kept)), instead).otherwise(kept)
+    # The last span that stays is decided when one comes that lies apart, or none more (the NULL at the end).
+    def step(last: Column, new: Column) -> tuple[Column, Column]:
+        apart = last.isNull() | new.isNull() | (last["end"] <= new["start"])
+        return F.when(apart | better(new, last), new).otherwise(last), F.when(apart, last)
 
-    return F.aggregate(F.array_sort(found), F.array().cast(f"array<{SPAN}>"), step)
+    nothing = F.lit(None).cast(SPAN)
+    kept = running(F.concat(F.array_sort(found), F.array(nothing)), SPAN, step, nothing)
+    return F.when(F.size(found) > 0, F.filter(kept, lambda s: s.isNotNull())).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def located(
@@ -217,15 +218,16 @@ def located(
             lambda e: e["type"].isin(*wanted) & (e["score"] >= threshold)
             & (e["start"] >= 0) & (e["start"] < e["end"]) & (e["end"] <= F.length(text)),
         )
-        parts.append(
-            F.transform(
+        def named(piece: Callable[[Column, Column], Column]) -> Column:
+            return F.transform(
                 sure,
                 lambda e: F.struct(
                     e["start"].cast("int").alias("start"), e["end"].cast("int").alias("end"), e["type"].alias("type"),
-                    e["score"].cast("double").alias("score"), F.substr(text, e["start"] + 1, e["end"] - e["start"]).alias("match"),
+                    e["score"].cast("double").alias("score"), piece(e["start"], e["end"] - e["start"]).alias("match"),
                 ),
-            )
-        )
+            )
+
+        parts.append(F.when(F.size(sure) > 0, pieces(text, named)).otherwise(F.array().cast(f"array<{SPAN}>")))
     return resolved(F.concat(*parts)) if parts else F.array().cast(f"array<{SPAN}>")
 
 
@@ -246,13 +248,16 @@ def scan_spans(
 def redacted_spans(text: Column, found: Column) -> Column:
     """The text with each of the ordered spans replaced by ``<TYPE>``."""
 
-    def step(done: Column, s: Column) -> Column:
-        before = F.substr(text, done["at"] + 1, s["start"] - done["at"])
-        return F.struct(s["end"].alias("at"), F.concat(done["out"], before, F.lit("<"), s["type"], F.lit(">")).alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        return s["end"], F.struct(at.alias("at"), (s["start"] - at).alias("size"), s["type"].alias("type"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text)))
-    return F.aggregate(found, start, step, rest)
+    def filled(piece: Callable[[Column, Column], Column]) -> Column:
+        before = running(found, "struct<at:int,size:int,type:string>", step, F.lit(0))
+        parts = F.transform(before, lambda p: F.concat(piece(p["at"], p["size"]), F.lit("<"), p["type"], F.lit(">")))
+        end = F.element_at(found, -1)["end"]
+        return F.array_join(F.concat(parts, F.array(piece(end, F.length(text) - end))), "")
+
+    return F.when(F.size(found) > 0, pieces(text, filled)).otherwise(F.when(found.isNotNull(), text))
 
 
 def scan(
@@ -264,11 +269,6 @@ def scan(
     return with_entities.withColumn("score", F.coalesce(best, F.lit(0.0)))
 
 
-def _bound(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """``fn(value)`` with ``value`` computed once, however often ``fn`` uses it."""
-    return F.transform(F.array(value), lambda v: fn(v))[0]
-
-
 def redacted(text: Column, threshold: float = 0.5, types: Sequence[str] | None = None) -> Column:
     """The text with every entity replaced by ``<TYPE>``.
 
@@ -285,19 +285,19 @@ def redacted(text: Column, threshold: float = 0.5, types: Sequence[str] | None =
                 F.regexp_extract_all(current, F.lit(p.regex), F.lit(0)),
                 lambda m: F.when(F.size(_verified(F.array(m), p)) > 0, F.lit(tag)).otherwise(m),
             )
-            pieces = F.zip_with(
+            parts = F.zip_with(
                 F.split(current, p.regex, -1), tags, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))
             )
-            new = F.array_join(pieces, "")
+            new = F.array_join(parts, "")
         return F.when(_guarded(current, p), new).otherwise(current)
 
     def replace_all(current: Column, patterns: Sequence[Pattern]) -> Column:
-        return reduce(lambda c, p: _bound(c, lambda v: replace(v, p)), patterns, current)
+        return reduce(lambda c, p: bound(c, lambda v: replace(v, p)), patterns, current)
 
     active = active_patterns(threshold, types)
     plain = replace_all(text, [p for p in active if not p.numeric])
     numeric = [p for p in active if p.numeric]
-    return _bound(plain, lambda v: F.when(_any_digit(v), replace_all(v, numeric)).otherwise(v))
+    return bound(plain, lambda v: F.when(_any_digit(v), replace_all(v, numeric)).otherwise(v))
 
 
 def report(

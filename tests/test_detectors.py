@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -320,3 +322,39 @@ def test_model_entities_and_overlaps(spark):
     ] == [("PERSON", 0, 8), ("EMAIL_ADDRESS", 9, 31), ("PERSON", 40, 45)]
     assert rows[0].score == 1.0 and rows[0].r.startswith("<PERSON> <EMAIL_ADDRESS> met ")
     assert [(e.type, e.start) for e in rows[1].entities] == [("EMAIL_ADDRESS", 9)]
+
+
+def test_overlaps_against_a_plain_version(spark):
+    """Spans of random places, one text of no span and one of more than a block."""
+    rng = random.Random(6)
+
+    def spans(n):
+        starts = [rng.randrange(4 * n) for _ in range(n)]
+        return [(a, a + rng.randint(1, 9), rng.choice("AB"), rng.choice((0.5, 0.9)), "m") for a in starts]
+
+    def plain(found):
+        kept = []
+        for new in sorted(found):
+            if not kept or kept[-1][1] <= new[0]:
+                kept.append(new)
+            elif (new[3], new[1] - new[0]) > (kept[-1][3], kept[-1][1] - kept[-1][0]):
+                kept[-1] = new
+        return kept
+
+    cases = [spans(n) for n in (0, 1, 2, 5, 40, 255, 256, 257, 700)]
+    df = spark.createDataFrame(list(enumerate(cases)), f"no long, found array<{pii.SPAN}>")
+    for row in df.select("no", pii.resolved(F.col("found")).alias("kept")).collect():
+        assert [tuple(s) for s in row["kept"]] == plain(cases[row["no"]])
+
+
+def test_many_entities_in_one_text(spark):
+    count = 20_000
+    text = " ".join(f"é a{i}@example.com" for i in range(count))
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, t string")
+    began = time.monotonic()
+    found = pii.scan_spans(df, "t").withColumn("r", pii.redacted_spans(F.col("t"), F.col("entities")))
+    rows = {r["id"]: r for r in found.collect()}
+    assert rows[1]["r"] == " ".join(["é <EMAIL_ADDRESS>"] * count)
+    assert [text[e["start"] : e["end"]] for e in rows[1]["entities"]] == [f"a{i}@example.com" for i in range(count)]
+    assert rows[3]["r"] == "" and rows[3]["entities"] == [] and rows[2]["r"] is None
+    assert time.monotonic() - began < 60
