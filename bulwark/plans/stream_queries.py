@@ -22,9 +22,10 @@ LIMITS = {"error_rate": 0.0, "block_rate": 0.002, "evaluator_failure_rate": 0.0,
 
 
 def stream(spark, sf_dir: str, name: str) -> DataFrame:
-    """A table of the test data as a file stream."""
+    """A table of the test data as a file stream, be it one file or a folder of files."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # A plain path has to be a folder; a pattern, here of this one name, may also be a file.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 @contextmanager

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from bulwark.operators import cache
 from bulwark.operators.scoring import Scorer
+from bulwark.plans import stream_queries
 from bulwark.streaming import jobs
 from bulwark.streaming.health import alerts, rolling_health, snapshot
 
@@ -103,6 +104,15 @@ def test_score_once_drops_repeats_across_batches(spark, tmp_path):
     assert stored.count() == 6 and stored.select("cache_key").distinct().count() == 6
 
 
+def test_tables_of_several_files_stream_like_one_file(spark, data_dir, tmp_path):
+    for name, files in (("documents", 3), ("events", 2)):
+        whole = spark.read.parquet(f"{data_dir}/{name}.parquet")
+        whole.repartition(files).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for query in (stream_queries.score_once_stream, stream_queries.request_log_stream):
+        folder, file = ({tuple(r) for r in query(spark, d).collect()} for d in (str(tmp_path), data_dir))
+        assert folder == file and folder
+
+
 def test_feed_shows_own_and_unowned_events(spark):
     df = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", None)], "request_id string, tenant_id string")
     assert {r.request_id for r in jobs.visible_to(df, "a").collect()} == {"1", "3"}
