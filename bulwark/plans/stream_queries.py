@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from bulwark.functions.text import cache_key
 from bulwark.operators import cache, rollups
@@ -29,9 +31,9 @@ def stream(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 @contextmanager
-def stream_settings(spark):
-    """RocksDB state."""
-    wanted = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+def stream_settings(spark, **more: str):
+    """RocksDB state, and other settings by their names."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, **more}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -42,6 +44,17 @@ def stream_settings(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def in_turn(spark, parts: Iterable[DataFrame], inbox: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Each part as one micro-batch: written by its own tasks, then taken by the stream, which goes on from its checkpoint.
+
+    Nothing runs between two parts, so a watermark moves as if the parts had followed each other in one run.
+    """
+    with stream_settings(spark, **{"spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
+        for part in parts:
+            part.write.mode("append").parquet(inbox)
+            start(spark.readStream.schema(part.schema).parquet(inbox)).awaitTermination()
+
+
 def drained(spark, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Run the stream over all available input and read what it wrote."""
     path = scratch(spark, name)
@@ -137,10 +150,9 @@ def rate_limit_micro_batches(spark, sf):
     first, last = log.agg(F.min("arrival_ms"), F.max("arrival_ms")).first()
     inbox, path = scratch(spark, "rate-limits-input"), scratch(spark, "rate-limits")
     quarter = F.least(F.floor((F.col("arrival_ms") - first) * 4 / (last - first + 1)), F.lit(3))
-    for part in range(4):
-        log.where(quarter == part).coalesce(1).write.mode("append").parquet(inbox)
-    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    jobs.rate_limits(source, path, scratch(spark, "rate-limits-checkpoint"), limit=30).awaitTermination()
+    checkpoint = scratch(spark, "rate-limits-checkpoint")
+    parts = [log.where(quarter == part) for part in range(4)]
+    in_turn(spark, parts, inbox, lambda source: jobs.rate_limits(source, path, checkpoint, limit=30))
     return as_doubles(spark.read.parquet(f"{path}/decisions").drop("batch", "late"), "retry_after_s")
 
 
@@ -188,16 +200,16 @@ def late_events(spark, sf):
     ``dropped`` is what the watermark dropped, ``kept`` how many of the first ids were written.
     """
     whole = _timed(fx.table(spark, sf, "events").select("event_id", "ts"))
-    inbox, path, out = (scratch(spark, n) for n in ("late-input", "late-rows", "late-output"))
+    inbox, path, out, checkpoint = (scratch(spark, f"late-{n}") for n in ("input", "rows", "output", "checkpoint"))
     twice = whole.where("event_id % 10 = 0")
-    for part in (whole, twice, twice.withColumn("event_id", -F.col("event_id") - 1)):
-        part.coalesce(1).write.mode("append").parquet(inbox)
-    source = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    once = late.distinct_events(source)
-    with stream_settings(spark), late.counted(spark, path, "late-events"):
-        writer = once.writeStream.format("parquet").queryName("late-events").option("path", out)
-        writer = writer.option("checkpointLocation", scratch(spark, "late-checkpoint"))
-        writer.trigger(availableNow=True).start().awaitTermination()
+    parts = (whole, twice, twice.withColumn("event_id", -F.col("event_id") - 1))
+
+    def once(source: DataFrame) -> StreamingQuery:
+        writer = late.distinct_events(source).writeStream.format("parquet").queryName("late-events").option("path", out)
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    with late.counted(spark, path, "late-events"):
+        in_turn(spark, parts, inbox, once)
     kept = spark.read.parquet(out).where("event_id >= 0").count()
     dropped = late.totals(late.late_rows(spark, path))
     return dropped.select("query", "dropped", F.lit(kept).cast("long").alias("kept"))
@@ -284,11 +296,9 @@ def score_once_retry_whole_stream(spark, sf):
         texts.where("doc_id % 3 = 0").withColumn("mood", F.lit("down")),
         texts.withColumns({"mood": F.lit("well"), "ts": later}),
     ]
-    for part in parts:
-        part.drop("doc_id").coalesce(1).write.mode("append").parquet(inbox)
-    source = spark.readStream.schema(parts[0].drop("doc_id").schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    path = scratch(spark, "moody-cache")
-    jobs.score_once(source, MOODY, path, scratch(spark, "moody-checkpoint")).awaitTermination()
+    path, checkpoint = scratch(spark, "moody-cache"), scratch(spark, "moody-checkpoint")
+    parts = [part.drop("doc_id") for part in parts]
+    in_turn(spark, parts, inbox, lambda source: jobs.score_once(source, MOODY, path, checkpoint))
     return cache.read(spark, path).select("tenant_id", "cache_key", "evaluator", "score")
 
 

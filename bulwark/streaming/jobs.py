@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from bulwark.operators import cache
 from bulwark.operators.metrics import EXACT_WIDTH, bucket_aggregates
 from bulwark.operators.ratelimit import DEFAULT_LIMIT, WINDOW_MS, last_windows, replay_limits
-from bulwark.operators.scoring import Scorer, score
+from bulwark.operators.scoring import Scorer, score_all
 from bulwark.session import stored
 from bulwark.sources import snapshots
 from bulwark.sources.events import parse_events
@@ -162,19 +162,25 @@ def score_once(
         if held is not None:
             alive = held.where(F.col("evaluator") == scorer.name).select(*keys, "expires_at")
             known = distinct.join(alive, keys).where(F.col("expires_at") > F.col("ts")).select(*keys)
-            distinct = distinct.join(known, keys, "left_anti")
-        scored = stored(score(distinct, scorer), "scored")
+            known = stored(known, "known")
+            # Texts go through a join only if there is something to find.
+            if not known.isEmpty():
+                distinct = distinct.join(known, keys, "left_anti")
+        scored = stored(score_all(distinct, [scorer], keep=[*keys, "ts"]), "scored")
         fresh = scored.select(
             *keys,
             F.lit(scorer.name).alias("evaluator"),
-            "score",
+            F.col(f"score_{scorer.name}").alias("score"),
             F.lit(None).cast("string").alias("metadata"),
             F.col("ts").alias("written_at"),
-            "error",
+            F.col(f"error_{scorer.name}").alias("error"),
         )
         cache.store(fresh, path, ttl_seconds, token=(checkpoint, batch_id))
-        failed = scored.where(F.col("error").isNotNull() | F.col("score").isNull())
-        failed.select(*keys, "ts", *scorer.requires).write.mode("overwrite").parquet(f"{path}-failed/batch={batch_id}")
+        failed = fresh.where(F.col("error").isNotNull() | F.col("score").isNull())
+        failed = failed.select(F.col("tenant_id").alias("_tenant"), F.col("cache_key").alias("_key"))
+        same = F.col("tenant_id").eqNullSafe(F.col("_tenant")) & F.col("cache_key").eqNullSafe(F.col("_key"))
+        again = distinct.where(F.lit(False)) if failed.isEmpty() else distinct.join(failed, same, "left_semi")
+        again.select(*keys, "ts", *scorer.requires).write.mode("overwrite").parquet(f"{path}-failed/batch={batch_id}")
 
     return (
         texts.writeStream.foreachBatch(store)

@@ -113,6 +113,33 @@ def test_tables_of_several_files_stream_like_one_file(spark, data_dir, tmp_path)
         assert folder == file and folder
 
 
+def test_parts_in_turn_are_written_by_their_own_tasks(spark, data_dir, tmp_path, monkeypatch):
+    for name, query in (("documents", "score_once_retry_whole_stream"), ("events", "rate_limit_micro_batches"), ("events", "late_events")):
+        at = tmp_path / query
+        spark.read.parquet(f"{data_dir}/{name}.parquet").repartition(3).write.parquet(str(at / f"{name}.parquet"))
+        monkeypatch.setattr(stream_queries, "scratch", lambda _, folder, at=at: str(at / folder))
+        got = {tuple(r) for r in getattr(stream_queries, query)(spark, str(at)).collect()}
+        monkeypatch.undo()
+        assert got == {tuple(r) for r in getattr(stream_queries, query)(spark, data_dir).collect()} and got
+        inbox = next(p for p in at.iterdir() if p.name.endswith("-input"))
+        assert len(list(inbox.glob("part-*"))) >= 6  # of two parts and more, three files each
+
+
+def test_score_once_keeps_failed_texts_and_only_those(spark, tmp_path):
+    schema = "tenant_id long, text string, cache_key string, ts timestamp"
+    rows = [(1, t, t, START) for t in ("a", "bb", "ccc", None)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+
+    def picky(_, texts):
+        return [1.0 if len(t) < 3 else None for t in texts]
+
+    jobs.score_once(source, Scorer("picky", ("text",), score_batch=picky), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert {r.cache_key for r in cache.read(spark, str(tmp_path / "out")).collect()} == {"a", "bb"}
+    failed = spark.read.schema(schema).parquet(str(tmp_path / "out-failed/batch=0"))
+    assert {(r.tenant_id, r.text, r.cache_key) for r in failed.collect()} == {(1, "ccc", "ccc"), (1, None, None)}
+
+
 def test_feed_shows_own_and_unowned_events(spark):
     df = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", None)], "request_id string, tenant_id string")
     assert {r.request_id for r in jobs.visible_to(df, "a").collect()} == {"1", "3"}
