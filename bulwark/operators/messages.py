@@ -7,8 +7,14 @@ over tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from bulwark.functions.text import RECORD, UNIT, sha256
 
@@ -119,22 +125,62 @@ def pair_payloads(messages: DataFrame) -> DataFrame:
     return users.join(answers, ["conv_id", "turn"], "left")
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows whose positions follow one another, as one row: their text, and the bytes of each.
+
+    A run ends with its block. Rows without a position stay alone.
+    """
+    for batch in batches:
+        request, seq, content = batch.columns
+        content = pc.fill_null(content, "")
+        at, absent = seq.fill_null(0).to_numpy(), seq.is_null().to_numpy(zero_copy_only=False)
+        begins = np.ones(len(at), dtype=bool)
+        if len(at) > 1:
+            same = pc.fill_null(pc.equal(request[1:], request[:-1]), False).to_numpy(zero_copy_only=False)
+            begins[1:] = ~same | (at[1:] != at[:-1] + 1) | (at[1:] % BLOCK == 0) | absent[1:] | absent[:-1]
+        first = np.flatnonzero(begins)
+        ends = pa.array(np.append(first, len(at)), pa.int32())
+        text = pc.binary_join(pa.ListArray.from_arrays(ends, content), "")
+        sizes = pa.ListArray.from_arrays(ends, pc.cast(pc.binary_length(content), pa.int32()))
+        yield pa.RecordBatch.from_arrays([request.take(first), seq.take(first), text, sizes], ["request_id", "seq", "text", "sizes"])
+
+
+def chunk_runs(chunks: DataFrame) -> DataFrame:
+    """Pieces (request_id, seq, content) as runs (request_id, seq of the first, text, sizes in bytes), without a shuffle."""
+    rows = chunks.select("request_id", F.col("seq").cast("long").alias("seq"), "content")
+    schema = StructType([rows.schema["request_id"]]).add("seq", "long").add("text", "string")
+    return rows.mapInArrow(_runs, schema.add("sizes", ArrayType(IntegerType())))
+
+
 def reassemble_chunks(chunks: DataFrame) -> DataFrame:
     """Join streamed pieces (request_id, seq, content) in order; missing content is skipped and
-    an empty result is NULL. Pieces are joined in blocks first, so the ordering work of a long
+    an empty result is NULL. Pieces that lie together are gathered before they cross the network, in
+    whatever order they come. They are joined in blocks first, so the ordering work of a long
     response is spread over tasks."""
 
-    def joined(position: str):
-        present = F.when(F.col("content").isNotNull(), F.struct(position, "content"))
-        pieces = F.sort_array(F.collect_list(present))
-        return F.array_join(F.transform(pieces, lambda p: p["content"]), "")
-
-    blocks = (
-        chunks.withColumn("block", F.floor(F.col("seq") / BLOCK))
-        .groupBy("request_id", "block")
-        .agg(joined("seq").alias("content"))
-    )
-    whole = blocks.groupBy("request_id").agg(joined("block").alias("output_text"))
+    def joined(parts, field: str):
+        return F.array_join(F.transform(parts, lambda p: p[field]), "")
+
+    def pieces(run):
+        def piece(size, i):
+            before = F.aggregate(F.slice(run["sizes"], F.lit(1), i), F.lit(0), lambda a, b: a + b)
+            content = F.substring(run["text"].cast("binary"), before + 1, size).cast("string")
+            return F.struct((run["seq"] + i).alias("seq"), content.alias("content"))
+
+        return F.transform(run["sizes"], piece)
+
+    # Dealt out before they are collected: collecting in the tasks that read them would sort all rows there.
+    dealt = chunk_runs(chunks).withColumn("block", F.floor(F.col("seq") / BLOCK)).repartition("request_id", "block")
+    runs = F.sort_array(F.collect_list(F.struct("seq", "text", "sizes"))).alias("runs")
+    blocks = dealt.groupBy("request_id", "block").agg(runs)
+    # Runs that share no position are in order as they are; others are ordered piece by piece.
+    follows = F.zip_with("runs", F.slice("runs", F.lit(2), F.size("runs")), lambda a, b: b["seq"] >= a["seq"] + F.size(a["sizes"]))
+    apart = F.forall(F.slice(follows, F.lit(1), F.size("runs") - 1), lambda x: F.coalesce(x, F.lit(False)))
+    each = F.sort_array(F.flatten(F.transform("runs", pieces)))
+    content = F.when(apart, joined("runs", "text")).otherwise(joined(each, "content"))
+    blocks = blocks.select("request_id", "block", content.alias("content"))
+    parts = F.sort_array(F.collect_list(F.struct("block", "content")))
+    whole = blocks.groupBy("request_id").agg(joined(parts, "content").alias("output_text"))
     return whole.withColumn("output_text", F.nullif("output_text", F.lit("")))
 
 

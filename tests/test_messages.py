@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,40 @@ def test_chunks_join_in_order_over_blocks(spark):
     assert got == {1: "".join(str(i % 10) for i in range(n) if i % 3), 2: None}
 
 
+def plainly(rows):
+    """Request -> pieces by (seq, content), those without a seq first."""
+    of: dict = {}
+    for request, seq, content in rows:
+        of.setdefault(request, []).append((seq is not None, seq or 0, content))
+    return {r: "".join(c for *_, c in sorted(p for p in pieces if p[2] is not None)) or None for r, pieces in of.items()}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_chunks_that_repeat_overlap_or_lack_a_place(spark, parts):
+    rng = random.Random(3)
+    rows = [("a", i, rng.choice(["x", "", None, "é ", "yz"])) for i in range(3000)] + [("a", i, "again") for i in range(1000, 1100)]
+    rows += [("b", i, str(i)) for i in range(5, 9)] + [("b", i, f"<{i}>") for i in range(7, 12)] + [("b", None, "n"), ("b", 1, "one"), ("b", None, "m")]
+    rows += [(None, 0, "no"), (None, 1, "body"), ("c", 0, None), ("d", -1, "before"), ("d", 0, "zero"), ("d", 2**31, "far"), ("e", None, None)]
+    mixed = rng.sample(rows, len(rows))
+    for some in (rows, mixed):
+        df = spark.createDataFrame(some, "request_id string, seq long, content string").repartition(parts)
+        assert {r.request_id: r.output_text for r in messages.reassemble_chunks(df).collect()} == plainly(rows)
+    ints = spark.createDataFrame([(1, 1, "b"), (1, 0, "a")], "request_id int, seq int, content string")
+    assert [tuple(r) for r in messages.reassemble_chunks(ints).collect()] == [(1, "ab")]
+
+
+def test_chunks_are_gathered_before_they_are_dealt_out(spark):
+    chunks = spark.range(400, numPartitions=2).select(F.col("id").alias("request_id"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("seq"))
+    chunks = chunks.withColumn("content", F.when(F.col("seq") % 2 == 0, F.concat(F.col("seq"), F.lit(" "))))
+    # 40,000 pieces: one run per response, and one more where a batch of rows ends within it.
+    assert messages.chunk_runs(chunks).count() <= 410
+    plan = messages.reassemble_chunks(chunks)._jdf.queryExecution().executedPlan().toString()
+    first = plan[plan.rindex("Exchange hashpartitioning") :]
+    assert "MapInArrow" in first and "Aggregate" not in first
+    got = messages.reassemble_chunks(chunks).select("output_text").distinct().collect()
+    assert [r.output_text for r in got] == ["".join(f"{i} " for i in range(0, 100, 2))]
+
+
 def test_retention(spark):
     df = spark.createDataFrame([("raw", "red"), ("raw", None), ("raw", "")], "input_text string, redacted_text string")
 
