@@ -15,7 +15,7 @@ from bulwark.operators.scoring import Scorer
 from bulwark.plans import fixtures as fx
 from bulwark.plans.log_queries import buckets_sql, limited_sql
 from bulwark.plans.registry import as_doubles, query, rounded, stamp_sql, stamped
-from bulwark.session import STATE_STORE, scratch
+from bulwark.session import SMALL, STATE_STORE, scratch
 from bulwark.sources import events, tables
 from bulwark.streaming import jobs, late
 from bulwark.streaming.health import alerts, rolling_health
@@ -51,7 +51,7 @@ def in_turn(spark, parts: Iterable[DataFrame], inbox: str, start: Callable[[Data
     """
     with stream_settings(spark, **{"spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
         for part in parts:
-            part.write.mode("append").parquet(inbox)
+            part.write.mode("append").options(**SMALL).parquet(inbox)
             start(spark.readStream.schema(part.schema).parquet(inbox)).awaitTermination()
 
 

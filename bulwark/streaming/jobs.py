@@ -10,7 +10,7 @@ from bulwark.operators import cache
 from bulwark.operators.metrics import EXACT_WIDTH, bucket_aggregates
 from bulwark.operators.ratelimit import DEFAULT_LIMIT, WINDOW_MS, last_windows, replay_limits
 from bulwark.operators.scoring import Scorer, score_all
-from bulwark.session import stored
+from bulwark.session import SMALL, stored
 from bulwark.sources import snapshots
 from bulwark.sources.events import parse_events
 from bulwark.streaming.health import alerts, rolling_health
@@ -157,7 +157,7 @@ def score_once(
         if batch_id:
             wanted = wanted.unionByName(spark.read.schema(wanted.schema).parquet(f"{path}-failed/batch={batch_id - 1}"))
         newest = F.max(F.struct("ts", *scorer.requires)).alias("row")
-        distinct = stored(wanted.groupBy(*keys).agg(newest).select(*keys, "row.*"), "texts")
+        distinct = stored(wanted.groupBy(*keys).agg(newest).select(*keys, "row.*"), "texts", **SMALL)
         held = cache.read(spark, path, distinct)
         if held is not None:
             alive = held.where(F.col("evaluator") == scorer.name).select(*keys, "expires_at")
@@ -180,7 +180,8 @@ def score_once(
         failed = failed.select(F.col("tenant_id").alias("_tenant"), F.col("cache_key").alias("_key"))
         same = F.col("tenant_id").eqNullSafe(F.col("_tenant")) & F.col("cache_key").eqNullSafe(F.col("_key"))
         again = distinct.where(F.lit(False)) if failed.isEmpty() else distinct.join(failed, same, "left_semi")
-        again.select(*keys, "ts", *scorer.requires).write.mode("overwrite").parquet(f"{path}-failed/batch={batch_id}")
+        again = again.select(*keys, "ts", *scorer.requires)
+        again.write.mode("overwrite").options(**SMALL).parquet(f"{path}-failed/batch={batch_id}")
 
     return (
         texts.writeStream.foreachBatch(store)

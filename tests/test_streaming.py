@@ -1,7 +1,9 @@
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from bulwark import session
 from bulwark.operators import cache
 from bulwark.operators.scoring import Scorer
 from bulwark.plans import stream_queries
@@ -140,6 +142,15 @@ def test_score_once_keeps_failed_texts_and_only_those(spark, tmp_path):
     assert {(r.tenant_id, r.text, r.cache_key) for r in failed.collect()} == {(1, "ccc", "ccc"), (1, None, None)}
 
 
+def test_texts_on_their_way_are_written_small(spark, data_dir, tmp_path, monkeypatch):
+    for module in (session, stream_queries):
+        monkeypatch.setattr(module, "scratch", lambda _, name: str(tmp_path / f"{name}-{uuid.uuid4().hex}"))
+    assert stream_queries.score_once_retry_whole_stream(spark, data_dir).count()
+    for kind in ("moody-input-*", "texts-*", "moody-cache-*-failed/batch=0"):
+        files = [f.name for folder in tmp_path.glob(kind) for f in folder.glob("part-*")]
+        assert files and all(f.endswith(".zstd.parquet") for f in files)
+
+
 def test_feed_shows_own_and_unowned_events(spark):
     df = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", None)], "request_id string, tenant_id string")
     assert {r.request_id for r in jobs.visible_to(df, "a").collect()} == {"1", "3"}
